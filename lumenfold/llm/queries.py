@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumenfold.llm.chat_format import OP7_SQL, op7_chat_format
 from lumenfold.llm.mixing import op4_mix_sources
 from lumenfold.llm.packing import op3_best_fit_packing
+from lumenfold.llm.pii import op9_pii
 from lumenfold.llm.toxicity import op2_toxicity
 from lumenfold.llm.url_filter import op5_url_filter
 from lumenfold.llm.warc import op10_warc_round_trip
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
     "op7_chat_format": op7_chat_format,
+    "op9_pii": op9_pii,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 
