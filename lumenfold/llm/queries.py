@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumenfold.llm.chat_format import OP7_SQL, op7_chat_format
+from lumenfold.llm.embedding_dedup import op6_embedding_dedup
 from lumenfold.llm.mixing import op4_mix_sources
 from lumenfold.llm.packing import op3_best_fit_packing
 from lumenfold.llm.pii import op9_pii
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_format": op7_chat_format,
     "op9_pii": op9_pii,
     "op10_warc_round_trip": op10_warc_round_trip,
@@ -22,5 +24,6 @@ QUERIES = {
 
 #: DuckDB statements for the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_format": OP7_SQL,
 }
