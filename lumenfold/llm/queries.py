@@ -5,6 +5,7 @@ from __future__ import annotations
 from lumenfold.llm.chat_format import OP7_SQL, op7_chat_format
 from lumenfold.llm.embedding_dedup import op6_embedding_dedup
 from lumenfold.llm.mixing import op4_mix_sources
+from lumenfold.llm.near_dedup import op1_near_dedup
 from lumenfold.llm.packing import op3_best_fit_packing
 from lumenfold.llm.pii import op9_pii
 from lumenfold.llm.toxicity import op2_toxicity
@@ -12,6 +13,7 @@ from lumenfold.llm.url_filter import op5_url_filter
 from lumenfold.llm.warc import op10_warc_round_trip
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
