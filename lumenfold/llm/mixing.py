@@ -126,5 +126,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
     return out.union(empty), stream
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3) -> DataFrame:
+    """The rows, with all their columns, each as often as the mix takes its words, to the nearest whole.
+
+    Rows of size 0 stay once. Rows that repeat doc_id, source and size share their copies evenly, rounded up.
+    """
+    told = mix(docs, weights, max_epochs)[0].withColumn("_n", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1))
+    copies = told.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(F.ceil(F.sum("_n") / F.count(F.lit(1))).cast("int").alias("_n")).filter("_n > 0")
+    copies = materialize(copies, "copies")
+    d = docs.withColumn("_own", F.regexp_count(or_empty(F.col("text")), F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src")) & (F.col("_own") == F.col("_size"))
+    return d.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))[0].drop("source")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import connected_components, keep_ids, materialize, or_empty, read_table
+from lumenfold.llm.common import connected_components, join_small, keep_ids, materialize, or_empty, read_table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -244,5 +244,16 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.col("doc_id").eqNullSafe(F.coalesce("group_id", "doc_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows, with all their columns, of one document of each group; rows repeating doc_id and text go too."""
+    told = materialize(groups(docs, similarity), "groups")
+    gone = materialize(told.filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    repeated = told.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    kept = join_small(docs, gone, ["doc_id"], "left_anti")
+    if repeated.isEmpty():
+        return kept
+    return join_small(kept, repeated, ["doc_id"], "left_anti").unionByName(join_small(kept, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read_table(spark, sf_dir, "documents"))

@@ -207,6 +207,18 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty(F.col("text"))).mapInArrow(add, "doc_id long, " + ", ".join(f"`{n}` double" for n in names))
 
 
+def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows, with all their columns, that the chain's last category doesn't reject. Nothing is shuffled."""
+    cut = chain.cuts[-1]
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        told = (describe(t) for t in texts)
+        return pd.Series([bool(words) and chain.log_odds(words, shapes)[-1] >= cut for words, shapes in told])
+
+    return docs.filter(~rejected(or_empty(F.col("text"))))
+
+
 def label_categories(labels: DataFrame) -> tuple[DataFrame, list[str]]:
     """The categories of the labels table in chain order: low quality, then toxic."""
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"]
