@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenfold.llm.bm25_search import op8_bm25_search
 from lumenfold.llm.chat_format import OP7_SQL, op7_chat_format
 from lumenfold.llm.embedding_dedup import op6_embedding_dedup
 from lumenfold.llm.mixing import op4_mix_sources
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_bm25_search": op8_bm25_search,
     "op9_pii": op9_pii,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
