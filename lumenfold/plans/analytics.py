@@ -11,9 +11,9 @@ from lumenfold.plans.registry import query
 CONFIG = ["model", "rep", "strategy"]
 
 
-def rounded(df, digits: int = 6):
-    """Every double to the given number of decimals."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df, digits: int = 6, **other: int):
+    """Every double to the given number of decimals; other numbers by column."""
+    return df.select(*(F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 @query("average_runs", f"WITH {CELLS} SELECT model, rep, strategy, sigma, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae, n FROM cells")
