@@ -8,11 +8,11 @@ broadcast.
 
 1. One pass makes of each document a 128-bit name of its word sequence and ``BANDS * ROWS`` samples.
    Documents with one name are a class; only its smallest id goes on.
-2. Classes that agree on all samples of a band share a bucket. In pivot rounds every member of a
-   bucket is paired with one pivot of it, so that a bucket of n members gives n - 1 pairs, not n**2.
-   A last round pairs what still isn't connected: members of one bucket in different components,
-   whose sample agreement is not below what a pair at the threshold reaches with near certainty.
-   Large buckets are salted there. So a link is left out only where its ends are connected already.
+2. Classes that agree on all samples of a band share a bucket. Every member of a bucket is paired
+   with one pivot of it, so that a bucket of n members gives n - 1 pairs, not n**2. A last round
+   compares, block by block, what isn't known to be connected: pairs whose sample agreement is not
+   below what a pair at the threshold reaches with near certainty. It gives out links only, and so
+   a link is left out only where its ends are connected already.
 3. Every pair is verified by weighted Jaccard similarity over whole texts; only texts of documents
    that share a bucket are moved.
 4. Connected components over the links are the groups.
@@ -36,9 +36,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 #: Pairs at the threshold agree on fewer samples with probability 0.001.
 MIN_AGREEMENT = 24
-PIVOT_ROUNDS = 2
-#: Members of a bucket that one task pairs with the others in the last round.
-SALT_ROWS = 256
+#: Members of a bucket in one block of the last round.
+BLOCK_ROWS = 512
 #: Places of the word table and of each sample's table of random draws.
 WORD_PLACES, DRAWS = 1 << 16, 1 << 13
 SEED = 5
@@ -186,6 +185,72 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     return both.mapInPandas(check, "a long, b long")
 
 
+def remaining_links(member: DataFrame, samples: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) between members (rep, band, key, size, part) of one bucket with different parts.
+
+    A bucket is cut into blocks of about ``BLOCK_ROWS`` members, and every two blocks meet in a
+    group of their own, so no task holds more than two blocks. In a group pairs go by agreement of
+    samples, and a pair is verified unless links found there connect it already, or it meets in
+    the bucket of an earlier band too.
+    """
+
+    def meet(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        reps, samples = pdf["rep"].to_numpy(), np.array(pdf["samples"].tolist(), dtype=np.int32)
+        left = np.flatnonzero(pdf["side"].to_numpy() == pdf["lo"].iloc[0])
+        right = np.flatnonzero(pdf["side"].to_numpy() == pdf["hi"].iloc[0])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        parts, texts, sets, out = pdf["part"].to_numpy(), pdf["text"].to_numpy(), {}, []
+        number = int(pdf["band"].iloc[0])
+        found = []
+        for i in left:
+            others = right[(reps[right] < reps[i] if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else reps[right] != reps[i]) & (parts[right] != parts[i])]
+            if len(others):
+                same = samples[others] == samples[i]
+                earlier = same[:, : number * ROWS].reshape(len(others), number, ROWS).all(axis=2).any(axis=1) if number else np.zeros(len(others), dtype=bool)
+                agree = same.sum(axis=1)
+                found += [(-n, i, j) for n, j in zip(agree, others, strict=True) if n >= MIN_AGREEMENT] if not earlier.any() else [(-n, i, j) for n, j, e in zip(agree, others, earlier, strict=True) if n >= MIN_AGREEMENT and not e]
+        for _, i, j in sorted(found):
+            x, y = find(int(parts[i])), find(int(parts[j]))
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingles(word_hashes(texts[k]), idf)
+            if weighted_jaccard(sets[i], sets[j]) >= similarity:
+                root[x] = y
+                out.append((int(max(reps[i], reps[j])), int(min(reps[i], reps[j]))))
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def close() -> pd.DataFrame:
+            return pd.DataFrame(meet(pd.concat(held, ignore_index=True)), columns=["a", "b"])
+
+        for pdf in frames:
+            for k, group in pdf.groupby(["band", "key", "lo", "hi"], sort=False):
+                if k != key and held:
+                    yield close()
+                    held = []
+                key = k
+                held.append(group)
+        if held:
+            yield close()
+
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    m = member.withColumn("side", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("side", "_other"), "hi": F.greatest("side", "_other")})
+    m = m.join(samples, "rep").join(texts.toDF("rep", "text"), "rep").select("band", "key", "lo", "hi", "side", "rep", "part", "samples", "text")
+    m = m.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
+    return materialize(m.mapInPandas(run, "a long, b long"), "more-links")
+
+
 def agreement(x: str, y: str):  # noqa: ANN201
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
 
@@ -203,7 +268,7 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = sketch.filter("h1 is not null and doc_id is not null")
     classes = materialize(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("samples").alias("samples")), "classes")
     bands = F.array(*(F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), *(F.element_at("samples", i * ROWS + j + 1) for j in range(ROWS))).alias("key")) for i in range(BANDS)))
-    member = classes.select("rep", F.explode(bands).alias("_b")).select("rep", F.hash("_b.band").alias("band"), "_b.key")
+    member = classes.select("rep", F.explode(bands).alias("_b")).select("rep", F.col("_b.band").alias("band"), "_b.key")
     shared = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     member = materialize(member.join(shared, ["band", "key"]).select("rep", "band", "key", "size"), "members")
     ids = materialize(member.select("rep").distinct(), "ids")
@@ -212,33 +277,18 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = keep_ids(texts, "doc_id", ids, "rep", n).join(ids, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     texts = materialize(texts, "texts")
     samples = materialize(classes.select("rep", "samples").join(ids, "rep", "left_semi"), "samples")
-    linked, part = None, None
-
-    def add(pairs: DataFrame) -> None:
-        nonlocal linked, part
-        new = materialize(verified(pairs, texts, idf, similarity), "links")
-        linked = new if linked is None else linked.union(new)
-        part = materialize(connected_components(linked), "parts")
-
-    def with_part(df: DataFrame) -> DataFrame:
-        if part is None:
-            return df.withColumn("part", F.col("rep"))
-        return df.join(part.toDF("rep", "_part"), "rep", "left").withColumn("part", F.coalesce("_part", "rep")).drop("_part")
-
-    for turn in range(PIVOT_ROUNDS):
-        now = with_part(member)
-        pivot = now.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "part")).alias("p"))
-        pairs = now.join(pivot, ["band", "key"]).filter("part <> p.part").select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
-        pairs = pairs.join(samples.toDF("a", "sa"), "a").join(samples.toDF("b", "sb"), "b").filter(agreement("sa", "sb") >= MIN_AGREEMENT).select("a", "b")
-        add(materialize(pairs, "pairs"))
-    now = materialize(with_part(member), "open")
+    pivot = member.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("p"))
+    pairs = member.join(pivot, ["band", "key"]).filter("rep <> p.rep").select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
+    pairs = pairs.join(samples.toDF("a", "sa"), "a").join(samples.toDF("b", "sb"), "b").filter(agreement("sa", "sb") >= MIN_AGREEMENT).select("a", "b")
+    linked = materialize(verified(pairs, texts, idf, similarity), "links")
+    # A label that two members share proves that they are connected; two that differ prove nothing.
+    label = linked.groupBy("a").agg(F.min("b").alias("part"))
+    label = materialize(label.join(label.toDF("part", "_next"), "part", "left").select("a", F.coalesce("_next", "part").alias("part")), "labels")
+    now = member.join(label.toDF("rep", "_part"), "rep", "left").withColumn("part", F.coalesce("_part", "rep")).drop("_part")
+    now = materialize(now, "open")
     mixed = now.groupBy("band", "key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).filter("_lo < _hi").select("band", "key")
-    now = now.join(mixed, ["band", "key"]).join(samples, "rep").withColumn("salts", F.ceil(F.col("size") / SALT_ROWS).cast("int"))
-    now = materialize(now.select("band", "key", "salts", "rep", "part", "samples"), "open")
-    left = now.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).select("band", "key", "salt", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("samples").alias("sa"))
-    right = now.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("band", "key", "salt", F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("samples").alias("sb"))
-    met = left.join(right, ["band", "key", "salt"]).filter((F.col("a") > F.col("b")) & (F.col("pa") != F.col("pb")) & (agreement("sa", "sb") >= MIN_AGREEMENT))
-    add(materialize(met.select("a", "b").distinct(), "pairs"))
+    more = remaining_links(now.join(mixed, ["band", "key"]), samples, texts, idf, similarity)
+    part = materialize(connected_components(linked.union(more)), "parts")
     grouped = classes.select("h1", "h2", "rep").join(part.toDF("rep", "_part"), "rep", "left").select("h1", "h2", F.col("rep").alias("class_id"), F.coalesce("_part", "rep").alias("group_id"))
     out = sketch.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("h1")).alias("h1"), "h2").join(grouped, ["h1", "h2"], "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.col("doc_id").eqNullSafe(F.coalesce("group_id", "doc_id")).alias("kept"))
