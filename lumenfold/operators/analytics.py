@@ -71,12 +71,13 @@ def variance_decomposition(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
     Marginal sums of squares are subtracted as they are, so that unbalanced cells can leave a
     negative rest, as in the published tables. p values aren't given.
     """
-    s = df.cube(a, b).agg(F.grouping_id().alias("_g"), F.avg(y).alias("m"), F.count(F.lit(1)).alias("n"), F.var_pop(y).alias("v"))
-    g = s.filter("_g = 3").select(F.col("m").alias("_m"), F.col("n").alias("_n"), (F.col("v") * F.col("n")).alias("_total"))
-    part = s.crossJoin(F.broadcast(g)).withColumn("_ss", F.col("n") * (F.col("m") - F.col("_m")) ** 2)  # g is one row
+    s = df.cube(a, b).agg(F.grouping_id().alias("_g"), F.avg(y).alias("_y"), F.count(F.lit(1)).alias("_k"), F.var_pop(y).alias("_v")).select("_g", "_y", "_k", "_v")
+    g = s.filter("_g = 3").select(F.col("_y").alias("_m"), F.col("_k").alias("_n"), (F.col("_v") * F.col("_k")).alias("_total"))
+    part = s.crossJoin(F.broadcast(g)).withColumn("_ss", F.col("_k") * (F.col("_y") - F.col("_m")) ** 2)  # g is one row
+    level = F.col("_g")
     t = part.agg(
-        F.sum(F.when(F.col("_g") == 1, F.col("_ss"))).alias("ss_a"), F.sum(F.when(F.col("_g") == 2, F.col("_ss"))).alias("ss_b"), F.sum(F.when(F.col("_g") == 0, F.col("_ss"))).alias("ss_cells"),
-        F.count_if(F.col("_g") == 1).alias("ka"), F.count_if(F.col("_g") == 2).alias("kb"), F.max("_n").alias("n"), F.max("_total").alias("total"),
+        F.sum(F.when(level == 1, F.col("_ss"))).alias("ss_a"), F.sum(F.when(level == 2, F.col("_ss"))).alias("ss_b"), F.sum(F.when(level == 0, F.col("_ss"))).alias("ss_cells"),
+        F.count_if(level == 1).alias("ka"), F.count_if(level == 2).alias("kb"), F.max("_n").alias("n"), F.max("_total").alias("total"),
     )
     inter, rest = F.col("ss_cells") - F.col("ss_a") - F.col("ss_b"), F.col("total") - F.col("ss_cells")
     term = lambda name, ss, dof: F.struct(F.lit(name).alias("term"), ss.alias("ss"), dof.cast("long").alias("df"))
