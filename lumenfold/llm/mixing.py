@@ -136,7 +136,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     copies = materialize(copies, "copies")
     d = docs.withColumn("_own", F.regexp_count(or_empty(F.col("text")), F.lit(WORD)).cast("long"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src")) & (F.col("_own") == F.col("_size"))
-    return d.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    # Joined by a shuffle at every size; the copies are one row per document and so are never broadcast.
+    return d.hint("merge").join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
