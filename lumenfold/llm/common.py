@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+#: Rows in an Arrow batch: long texts come in batches, and Python workers hold a few at a time.
+BATCH_ROWS = 1_000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input; also bounds the Arrow batches of the session to what workers can hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
