@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import materialize, or_empty, read_table
 
 MAX_TRAINING_ROWS = 20_000
-MAX_FEATURES = 1_024
+MAX_FEATURES = 512
 MIN_DOCUMENTS = 5
 FOLDS = 5
 BEGINNING = 5
@@ -69,7 +69,7 @@ class Sparse:
         return Sparse(at[self.row[keep]], self.col[keep], self.dense[rows], self.width)
 
 
-def fit_linear(x: Sparse, y: np.ndarray, decay: float = 1e-4, rounds: int = 150) -> np.ndarray:
+def fit_linear(x: Sparse, y: np.ndarray, decay: float = 5e-4, rounds: int = 150) -> np.ndarray:
     """Logistic regression with an L2 penalty, by accelerated gradient steps scaled per column."""
     n, dims = len(y), x.width + x.dense.shape[1]
     # Columns' step sizes: the curvature bound shared out over the features that a row holds.
