@@ -33,10 +33,11 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_TOKENS = 8_192, 3_000_000
 #: Documents under one block maximum; a term is common in a shard if at least one in COMMON of its documents holds it.
-BLOCK_DOCS, COMMON = 64, 16
+BLOCK_DOCS, COMMON = 64, 4
 #: Terms of the queries in one block, about: 16 bytes each are broadcast.
 QUERY_TERMS = 1_000_000
 DIGITS = 9
+NOTHING = (np.zeros(0, dtype=np.int64), np.zeros(0))
 WORDS = re.compile(r"\w+")
 SHARD = "shard long, docs binary, lengths binary, terms binary, starts binary, held binary, times binary"
 
@@ -137,8 +138,8 @@ class Shard:
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
 
-    def top(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Document numbers and scores of the best k, ties by doc_id; documents with score 0 aren't found."""
+    def top(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """doc_ids and scores of the best k that reach the floor, ties by doc_id; documents with score 0 aren't found."""
         rare = self.column[at] < 0
         t, w = at[rare], weights[rare]
         n = self.df[t]
@@ -146,8 +147,10 @@ class Shard:
         partial = np.bincount(self.held[postings], weights=self.impact[postings] * np.repeat(w, n), minlength=len(self.docs))
         columns, w = self.column[at[~rare]], weights[~rare]
         bound = partial + (self.maxima[:, columns] @ w)[self.blocks]
-        few = np.argpartition(-bound, k - 1)[:k] if len(bound) > k else np.arange(len(bound))
-        floor = np.sort(partial[few] + self.table[few][:, columns] @ w)[0] if len(few) == k else 0.0
+        if len(bound) > k and np.count_nonzero(bound >= floor - 1e-6) > 4 * k:
+            # The k documents with the best bounds have a k-th best score that the result reaches.
+            few = np.argpartition(-bound, k - 1)[:k]
+            floor = max(floor, float((partial[few] + self.table[np.ix_(few, columns)] @ w).min()))
         may = np.flatnonzero((bound >= floor - 1e-6) & (bound > 0))
         score = np.round(partial[may] + self.table[np.ix_(may, columns)] @ w, DIGITS)
         best = np.lexsort((self.docs[may], -score))[:k]
@@ -191,19 +194,24 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, query_terms_in_bl
 def _searcher(sent, mean_length: float, k: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, edges, terms, weights = sent.value
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each query the best of the task's shards so far
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(*(batch.column(c)[i] for c in range(6)), mean_length)
                 at = shard.look_up(terms)
-                out = []
-                for j, query_id in enumerate(ids):
+                for j in range(len(ids)):
                     own = at[edges[j] : edges[j + 1]]
                     there = own >= 0
-                    if there.any():
-                        docs, score = shard.top(own[there], weights[edges[j] : edges[j + 1]][there], k)
-                        out.append((np.full(len(docs), query_id), docs, score))
-                if out:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "score"])
+                    if not there.any():
+                        continue
+                    docs, score = best.get(j, NOTHING)
+                    more, gained = shard.top(own[there], weights[edges[j] : edges[j + 1]][there], k, score[-1] if len(score) == k else 0.0)
+                    docs, score = np.concatenate([docs, more]), np.concatenate([score, gained])
+                    order = np.lexsort((docs, -score))[:k]
+                    best[j] = docs[order], score[order]
+        if best:
+            rows = [(np.full(len(d), ids[j]), d, s) for j, (d, s) in best.items()]
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query_id", "doc_id", "score"])
 
     return run
 
