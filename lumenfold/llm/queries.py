@@ -10,7 +10,7 @@ from lumenfold.llm.near_dedup import op1_near_dedup
 from lumenfold.llm.packing import op3_best_fit_packing
 from lumenfold.llm.pii import op9_pii
 from lumenfold.llm.toxicity import op2_toxicity
-from lumenfold.llm.url_filter import op5_url_filter
+from lumenfold.llm.url_filter import OP5_SQL, op5_url_filter
 from lumenfold.llm.warc import op10_warc_round_trip
 
 QUERIES = {
@@ -29,5 +29,6 @@ QUERIES = {
 #: DuckDB statements for the queries that SQL can express.
 ORACLE: dict[str, str] = {
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op5_url_filter": OP5_SQL,
     "op7_chat_format": OP7_SQL,
 }

@@ -103,3 +103,18 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
     return judge(read_table(spark, sf_dir, "pages"), rules).drop("url", "component")
+
+
+#: The tables' pages state no canonical or refresh links, so a component there is the pages with one alias key.
+OP5_SQL = r"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, regexp_extract(u, '^.*?://[^/?#]*[^?#]*\?([^#]*)', 1, 's') AS q FROM a),
+rules(rule, own) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+r AS (SELECT rule, own, split_part(rule, '/', 1) AS h, substr(rule, position('/' IN rule)) AS s FROM rules),
+best AS (SELECT page_id, rule, own FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1),
+k AS (SELECT page_id, host, path, regexp_replace(host, '^www\.|:(?:80|443)$', '', 'g') AS name,
+  regexp_replace(regexp_replace(q, '(?i)(?:^|&)(?:utm_[a-z]+|gclid|fbclid|ref|source)=[^&]*', '', 'g'), '^&', '') AS rest FROM p),
+n AS (SELECT page_id, host, path, CASE WHEN name <> '' THEN name || regexp_replace(path, '/+$', '') || CASE WHEN rest <> '' THEN '?' || rest ELSE '' END END AS key FROM k)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN key IS NOT NULL AND bool_or(own = 'block') OVER (PARTITION BY key) THEN 'block' ELSE 'allow' END) AS verdict FROM n LEFT JOIN best USING (page_id)
+"""
