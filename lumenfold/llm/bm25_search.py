@@ -219,4 +219,15 @@ def _searcher(sent, mean_length: float, k: int):  # noqa: ANN001, ANN202
 def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     index = materialize(build_index(docs), "index")
-    return search(index, docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+    found = search(index, docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents WHERE doc_id IS NOT NULL), f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT count(*) AS n, (SELECT count(*) FROM t) / count(*) AS mean FROM documents WHERE doc_id IS NOT NULL), len AS (SELECT doc_id, count(*) AS len FROM t GROUP BY 1),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+s AS (SELECT q.doc_id AS query_id, d.doc_id, sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score
+  FROM f q JOIN df USING (term) JOIN f d USING (term) JOIN len ON len.doc_id = d.doc_id, n WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER w AS rank, doc_id, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) QUALIFY row_number() OVER w <= 10
+"""

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from lumenfold.llm.bm25_search import op8_bm25_search
+from lumenfold.llm.bm25_search import OP8_SQL, op8_bm25_search
 from lumenfold.llm.chat_format import OP7_SQL, op7_chat_format
-from lumenfold.llm.embedding_dedup import op6_embedding_dedup
+from lumenfold.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from lumenfold.llm.mixing import op4_mix_sources
 from lumenfold.llm.near_dedup import op1_near_dedup
 from lumenfold.llm.packing import op3_best_fit_packing
 from lumenfold.llm.pii import op9_pii
 from lumenfold.llm.toxicity import op2_toxicity
 from lumenfold.llm.url_filter import OP5_SQL, op5_url_filter
-from lumenfold.llm.warc import op10_warc_round_trip
+from lumenfold.llm.warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -30,5 +30,8 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op6_embedding_dedup": op6_embedding_dedup,
     "op5_url_filter": OP5_SQL,
+    "op6_embedding_dedup": OP6_SQL,
     "op7_chat_format": OP7_SQL,
+    "op8_bm25_search": OP8_SQL,
+    "op10_warc_round_trip": OP10_SQL,
 }
