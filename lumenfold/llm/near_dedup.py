@@ -210,12 +210,13 @@ def remaining_links(member: DataFrame, samples: DataFrame, texts: DataFrame, idf
         found = []
         for i in left:
             others = right[(reps[right] < reps[i] if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] else reps[right] != reps[i]) & (parts[right] != parts[i])]
-            if len(others):
-                same = samples[others] == samples[i]
-                earlier = same[:, : number * ROWS].reshape(len(others), number, ROWS).all(axis=2).any(axis=1) if number else np.zeros(len(others), dtype=bool)
-                agree = same.sum(axis=1)
-                found += [(-n, i, j) for n, j in zip(agree, others, strict=True) if n >= MIN_AGREEMENT] if not earlier.any() else [(-n, i, j) for n, j, e in zip(agree, others, earlier, strict=True) if n >= MIN_AGREEMENT and not e]
-        for _, i, j in sorted(found):
+            same = samples[others] == samples[i]
+            earlier = same[:, : number * ROWS].reshape(len(others), number, ROWS).all(axis=2).any(axis=1)
+            agree = same.sum(axis=1, dtype=np.int16)
+            others, agree = others[good := (agree >= MIN_AGREEMENT) & ~earlier], agree[good]
+            found.append(np.column_stack([agree, np.full(len(others), i), others]).astype(np.int32))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int32)
+        for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")]:
             x, y = find(int(parts[i])), find(int(parts[j]))
             if x == y:
                 continue
