@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,36 +90,46 @@ def consensus(germlines: dict[str, str]) -> str:
     return "".join(Counter(column).most_common(1)[0][0] for column in zip(*germlines.values()))
 
 
+HUMANNESS = ("best", "top3", "top5", "identity_std", "best_framework", "consensus_matches", "z")
+
+
 def humanness(df: DataFrame, key: str, column: str, chain: str = "heavy") -> DataFrame:
-    """Ungapped identity with a germline library (22 or 21 rows, broadcast): best, means of the best 3 and 5,
-    deviation, best framework identity, consensus matches, z score of the best. Empty sequences are left out.
+    """Ungapped identity with a germline library (22 or 21 sequences): best, means of the best 3 and 5, deviation,
+    best framework identity, consensus matches, z score of the best. Empty sequences are left out.
+
+    A sequence is compared with the whole library as one letter matrix, in Arrow batches; nothing is
+    shuffled or multiplied.
     """
     if chain not in ("heavy", "light"):
         raise ValueError(f"chain must be 'heavy' or 'light', not {chain!r}")
-    library = R.HEAVY_GERMLINES if chain == "heavy" else R.LIGHT_GERMLINES
-    g = F.broadcast(df.sparkSession.createDataFrame(list(library.items()), "germline string, _g string"))
-    s = F.upper(F.trim(column))
-    d = df.select(key, s.alias("_s")).filter("_s <> ''").crossJoin(g)
-    n = F.least(F.length("_s"), F.length("_g"))
-    places = F.sequence(F.lit(0), n - 1)
-    same = lambda i: F.substr(F.col("_s"), i + 1, F.lit(1)) == F.substr(F.col("_g"), i + 1, F.lit(1))
-
-    def outside(i: Column) -> Column:
-        first, *rest = ((i >= a) & (i < b) for a, b in R.CDR_RANGES)
-        for more in rest:
-            first = first | more
-        return ~first
-
-    framework = F.filter(places, outside)
-    d = d.withColumns({"identity": F.size(F.filter(places, same)) / n, "framework": F.when(F.size(framework) > 0, F.size(F.filter(framework, same)) / F.size(framework)).otherwise(0.0)})
-    agreed = consensus(library)
-    matches = F.size(F.filter(F.sequence(F.lit(0), F.least(F.length("_s"), F.lit(len(agreed))) - 1), lambda i: F.substr(F.col("_s"), i + 1, F.lit(1)) == F.substr(F.lit(agreed), i + 1, F.lit(1))))
-    out = d.groupBy(key).agg(F.sort_array(F.collect_list("identity"), asc=False).alias("_i"), F.stddev_pop("identity").alias("identity_std"), F.avg("identity").alias("_m"), F.max("framework").alias("best_framework"), F.first(matches).alias("consensus_matches"))
-    top = lambda k: F.aggregate(F.slice("_i", 1, k), F.lit(0.0), lambda x, v: x + v) / F.least(F.size("_i"), F.lit(k))
-    return out.select(
-        key, F.element_at("_i", 1).alias("best"), top(3).alias("top3"), top(5).alias("top5"), "identity_std", "best_framework", F.col("consensus_matches").cast("double").alias("consensus_matches"),
-        F.when(F.col("identity_std") > 1e-10, (F.element_at("_i", 1) - F.col("_m")) / F.col("identity_std")).otherwise(0.0).alias("z"),
-    )
+    library = list((R.HEAVY_GERMLINES if chain == "heavy" else R.LIGHT_GERMLINES).values())
+    agreed = consensus(R.HEAVY_GERMLINES if chain == "heavy" else R.LIGHT_GERMLINES)
+
+    @F.pandas_udf(", ".join(f"{name} double" for name in HUMANNESS))
+    def compare(texts: pd.Series) -> pd.DataFrame:
+        lengths = np.array([len(g) for g in library])
+        width = int(lengths.max())
+        letters = np.array([[*g.ljust(width)] for g in library])
+        place = np.arange(width)
+        frame = np.ones(width, dtype=bool)
+        for a, b in R.CDR_RANGES:
+            frame[a:b] = False
+        common = np.array([*agreed])
+        out = np.zeros((len(texts), len(HUMANNESS)))
+        for k, text in enumerate(texts):
+            s = np.array([*text[:width].ljust(width, "-")])
+            used = place < np.minimum(lengths, len(text))[:, None]
+            same = (letters == s) & used
+            identity = same.sum(axis=1) / used.sum(axis=1)
+            inside = (used & frame).sum(axis=1)
+            framework = np.where(inside > 0, (same & frame).sum(axis=1) / np.maximum(inside, 1), 0.0)
+            ranked, spread = np.sort(identity)[::-1], identity.std()
+            z = (ranked[0] - identity.mean()) / spread if spread > 1e-10 else 0.0
+            out[k] = ranked[0], ranked[:3].mean(), ranked[:5].mean(), spread, framework.max(), (s[: len(common)] == common).sum(), z
+        return pd.DataFrame(out, columns=list(HUMANNESS))
+
+    d = df.select(key, F.upper(F.trim(column)).alias("_s")).filter("_s <> ''")
+    return d.withColumn("_h", compare("_s")).select(key, "_h.*")
 
 
 def region(numbered: Column, start: int, end: int) -> Column:

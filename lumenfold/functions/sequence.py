@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,24 +52,36 @@ def ngrams(s: Column, n: int) -> Column:
     return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def gc_features(df: DataFrame, column: str, window: int = 100) -> DataFrame:
-    """Adds content, skew, purines, and variance, maximum and minimum of GC over sliding windows; zeros for no bases.
+def gc_windows(s: Column, window: int = 100) -> Column:
+    """struct(variance, max, min) of the GC share over sliding windows, by prefix sums in Arrow batches: linear in the length.
 
-    The window shares are a column of their own first: within a lambda they would be made anew for each element.
+    The same by higher-order functions reads each base once for every window that covers it.
     """
+
+    @F.pandas_udf("variance double, max double, min double")
+    def slide(texts: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(texts), 3))
+        for k, text in enumerate(texts):
+            if text:
+                b = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
+                upto = np.concatenate([[0], np.cumsum((b == 71) | (b == 67))])
+                w = min(window, len(b))
+                share = (upto[w:] - upto[:-w]) / w
+                out[k] = share.var(), share.max(), share.min()
+        return pd.DataFrame(out, columns=["variance", "max", "min"])
+
+    return slide(F.coalesce(s, F.lit("")))
+
+
+def gc_features(df: DataFrame, column: str, window: int = 100) -> DataFrame:
+    """Adds content, skew, purines, and variance, maximum and minimum of GC over sliding windows; zeros for no bases."""
     s = F.col(column)
     n, g, c, a, t = F.length(s), *(count_of(s, b) for b in "GCAT")
-    w = F.least(F.lit(window), n)
-    shares = F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.length(F.translate(F.substr(s, i, w), "ATN", "")) / w)
-    df = df.withColumn("_shares", F.when(n > 0, shares))
-    total = lambda f: F.aggregate(F.transform("_shares", f), F.lit(0.0), lambda x, v: x + v) / F.size("_shares")
-    df = df.withColumns({"_mean": total(lambda v: v), "_square": total(lambda v: v * v)})
-    some = lambda x: F.when(n > 0, x).otherwise(0.0)
     out = {
         "gc": ratio(g + c, n), "skew": ratio(g - c, g + c), "at": ratio(a + t, n), "purine": ratio(a + g, n),
-        "gc_variance": some(F.greatest(F.col("_square") - F.col("_mean") ** 2, F.lit(0.0))), "gc_max": some(F.array_max("_shares")), "gc_min": some(F.array_min("_shares")),
+        "gc_variance": F.col("_w.variance"), "gc_max": F.col("_w.max"), "gc_min": F.col("_w.min"),
     }
-    return df.withColumns(out).drop("_shares", "_mean", "_square")
+    return df.withColumn("_w", gc_windows(s, window)).withColumns(out).drop("_w")
 
 
 def entropy(counts: list[Column], total: Column) -> Column:
