@@ -140,7 +140,15 @@ def kmer_counts(df: DataFrame, key: str, column: str, k: int = 6, lower: bool =
     Exploded k-mers are counted per row before anything is shuffled.
     """
     sizes = range(1, k + 1) if lower else [k]
-    grams = df.select(key, F.explode(F.concat(*(ngrams(F.col(column), n) for n in sizes))).alias("kmer")).filter(F.col("kmer").rlike(f"^[{BASES}]+$"))
+    # A substring at place i of UTF-8 text is found by reading up to i, an array element isn't.
+    letters = df.select(key, F.split(column, "").alias("_l"))
+
+    def grams_of(n: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(0), F.size("_l") - n), lambda i: F.concat(*(F.get("_l", i + m) for m in range(n))))
+        return F.when(F.size("_l") >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    # explode_outer: for explode, Catalyst adds a filter on the array's size below, which makes the array twice.
+    grams = letters.select(key, F.explode_outer(F.concat(*map(grams_of, sizes))).alias("kmer")).filter((F.col("kmer") != "") & (F.translate("kmer", BASES, "") == ""))
     counts = grams.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
     if not normalize:
         return counts.withColumn("value", F.col("n").cast("double"))
