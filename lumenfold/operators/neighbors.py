@@ -126,6 +126,67 @@ def standardize_vectors(df: DataFrame, vector: str = "x", weights: list[float] |
     return df.crossJoin(F.broadcast(arrays)).withColumn(vector, z).drop("_stats")
 
 
+def gram_codes(text: str, n: int = 3) -> np.ndarray:
+    """The set of a text's n-grams (n at most 3), sorted, each as one exact number."""
+    letters = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    if len(letters) < n:
+        return np.zeros(0, dtype=np.int64)
+    code = letters[: len(letters) - n + 1].copy()
+    for i in range(1, n):
+        code = (code << 21) | letters[i : len(letters) - n + 1 + i]
+    return np.unique(code)
+
+
+def _shared(asked: list[np.ndarray], held: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shared codes, held by asked: those that many asked sets hold by a matrix product, others by postings."""
+    q, codes = np.repeat(np.arange(len(asked)), [len(a) for a in asked]), np.concatenate([*asked, np.zeros(0, dtype=np.int64)])
+    order = np.argsort(codes, kind="stable")
+    q, codes = q[order], codes[order]
+    words, start, n = np.unique(codes, return_index=True, return_counts=True)
+    common = n * 16 > len(asked)
+    place = np.cumsum(common) - 1
+    wide = np.zeros((len(asked), int(common.sum())), dtype=np.float32)
+    of_common = np.repeat(common, n)
+    wide[q[of_common], np.repeat(place, n)[of_common]] = 1
+    mine, out = np.zeros((len(held), wide.shape[1]), dtype=np.float32), np.zeros((len(held), len(asked)), dtype=np.int64)
+    for k, h in enumerate(held):
+        at = np.searchsorted(words, h)
+        inside = at < len(words)
+        at = at[inside][words[at[inside]] == h[inside]]
+        mine[k, place[at[common[at]]]] = 1
+        rare = at[~common[at]]
+        if len(rare):
+            many = n[rare]
+            first = np.repeat(start[rare] - (np.cumsum(many) - many), many)
+            out[k] = np.bincount(q[first + np.arange(many.sum())], minlength=len(asked))
+    return out + (mine @ wide.T).astype(np.int64)
+
+
+def nearest_grams(asked: DataFrame, held: DataFrame, key: str = "id", text: str = "text", n: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, best): the largest Tanimoto similarity of each asked row's n-gram set with a held row's, 0 for empty sets.
+
+    Whole texts, every asked row with every held row, block against block as in ``neighbors``.
+    """
+    of = lambda d: max(1, -(-d.count() // block_rows))
+    ni, nj = of(asked), of(held)
+    place = lambda m: F.pmod(F.xxhash64("_id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    kept = lambda d, q: d.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.lit(q).alias("_q"))
+    both = kept(asked, True).withColumn("_i", place(ni)).withColumn("_j", every(nj)).union(kept(held, False).withColumn("_j", place(nj)).withColumn("_i", every(ni)).select("_id", "_t", "_q", "_i", "_j"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, h = pdf[pdf["_q"]], pdf[~pdf["_q"]]
+        if a.empty or h.empty:
+            return pd.DataFrame({"_id": [], "best": []}).astype({"_id": "int64", "best": "float64"})
+        ga, gh = [gram_codes(t, n) for t in a["_t"]], [gram_codes(t, n) for t in h["_t"]]
+        shared = _shared(ga, gh)
+        union = np.array([len(x) for x in gh])[:, None] + np.array([len(x) for x in ga])[None, :] - shared
+        return pd.DataFrame({"_id": a["_id"].to_numpy(), "best": (shared / np.maximum(union, 1)).max(axis=0)})
+
+    found = both.groupBy("_i", "_j").applyInPandas(best, "_id long, best double")
+    return found.groupBy(F.col("_id").alias(key)).agg(F.max("best").alias("best"))
+
+
 def tanimoto(x: Column, y: Column) -> Column:
     """Shared share of two sets given as arrays."""
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
