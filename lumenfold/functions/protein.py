@@ -57,32 +57,48 @@ def isoelectric_point(df: DataFrame, column: str, name: str = "isoelectric_point
     return df.withColumn(name, F.when(F.length(s) > 0, low + 14.0 / 2 ** (rounds + 1)).otherwise(7.0)).drop("_residues")
 
 
+def hydrophobic_stretch(s: Column, window: int = 7) -> Column:
+    """The largest mean hydrophobicity of a sliding window, by prefix sums in Arrow batches; 0 for a shorter string."""
+
+    @F.pandas_udf("double")
+    def slide(texts: pd.Series) -> pd.Series:
+        value = np.zeros(256)
+        for a, v in R.RESIDUES.items():
+            value[ord(a)] = v[0]
+        out = np.zeros(len(texts))
+        for k, text in enumerate(texts):
+            b = np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)
+            if len(b) >= window:
+                upto = np.concatenate([[0.0], np.cumsum(value[b])])
+                out[k] = (upto[window:] - upto[:-window]).max() / window
+        return pd.Series(out)
+
+    return slide(F.coalesce(s, F.lit("")))
+
+
 def developability(df: DataFrame, heavy: str, light: str | None = None, window: int = 7) -> DataFrame:
     """Adds charges, hydrophobicity, weight, isoelectric point and liability motifs of one or both chains.
 
     Both chains must hold residues only (``require_valid`` checks).
     """
     h, li = F.col(heavy), F.lit("") if light is None else F.col(light)
-    table = F.create_map(*(F.lit(x) for a, v in R.RESIDUES.items() for x in (a, v[0])))
     df = df.withColumn("_both", F.concat(h, li))
     both = F.col("_both")
     n = F.length(both)
-    df = df.withColumn("_hydro", F.when(n > 0, F.transform(F.split(both, ""), lambda a: F.element_at(table, a))).otherwise(F.array().cast("array<double>")))
-    df = df.withColumns({"_mean": F.when(n > 0, property_sum(both, 0) / n).otherwise(0.0), "_n": n})
+    df = df.withColumn("_stretch", hydrophobic_stretch(both, window)).withColumn("_mean", F.when(n > 0, property_sum(both, 0) / n).otherwise(0.0))
     mean, square = F.col("_mean"), sum((count_of(both, a) * v[0] * v[0] for a, v in R.RESIDUES.items()), F.lit(0.0)) / F.greatest(n, F.lit(1))
-    windows = F.transform(F.sequence(F.lit(1), F.col("_n") - window + 1), lambda i: F.aggregate(F.slice("_hydro", i, window), F.lit(0.0), lambda x, v: x + v) / window)
     sticky = sum((count_of(both, a) for a, v in R.RESIDUES.items() if v[0] > 1.5), F.lit(0.0))
     q_heavy, q_light = property_sum(h, 1), property_sum(li, 1)
     some = lambda x: F.when(n > 0, x).otherwise(0.0)
     df = df.withColumns({
         "charge_heavy": q_heavy, "charge_light": q_light, "charge": q_heavy + q_light, "charge_asymmetry": F.abs(q_heavy - q_light) / F.greatest(n, F.lit(1)),
-        "hydrophobicity": mean, "hydrophobicity_std": some(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))), "hydrophobic_stretch": F.when(n >= window, F.array_max(windows)).otherwise(mean),
+        "hydrophobicity": mean, "hydrophobicity_std": some(F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))), "hydrophobic_stretch": F.when(n >= window, F.col("_stretch")).otherwise(mean),
         "hydrophobic_fraction": some(sticky / F.greatest(n, F.lit(1))), "weight_kda": (property_sum(both, 2) - F.when(n > 1, (n - 1) * R.WATER).otherwise(0.0)) / 1000,
         "deamidation": motif_sum(both, R.DEAMIDATION), "isomerization": motif_sum(both, R.ISOMERIZATION), "oxidation": motif_sum(both, R.OXIDATION),
         "sequons": F.regexp_count(both, F.lit(R.SEQUON)).cast("double"), "odd_cysteines": count_of(both, "C") % 2,
     })
     df = df.withColumn("liabilities", F.col("deamidation") + F.col("isomerization") + F.col("oxidation") + F.col("sequons"))
-    return isoelectric_point(df, "_both").drop("_both", "_hydro", "_mean", "_n")
+    return isoelectric_point(df, "_both").drop("_both", "_stretch", "_mean")
 
 
 def consensus(germlines: dict[str, str]) -> str:

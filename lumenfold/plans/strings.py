@@ -22,7 +22,7 @@ _G, _C, _A, _T = (_count("seq", b) for b in "GCAT")
 
 @query("clean_sequences", "SELECT doc_id, length(regexp_replace(replace(upper(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 200)), 'U', 'T'), '[^ACGT]', 'N', 'g')) AS n, md5(regexp_replace(replace(upper(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 200)), 'U', 'T'), '[^ACGT]', 'N', 'g')) AS digest FROM documents")
 def clean_sequences(spark, sf):
-    s = S.clean(F.substring(F.regexp_replace("text", "[^a-zA-Z]", ""), 1, 200))
+    s = S.clean(F.regexp_replace("text", "[^a-zA-Z]", ""))
     return table(spark, sf, "documents").select("doc_id", F.length(s).cast("long").alias("n"), F.md5(s).alias("digest"))
 
 
@@ -108,7 +108,7 @@ SELECT doc_id, round({_property('seq', 1)}, 5) AS charge, round(CASE WHEN n > 0
   round(CASE WHEN n > 0 THEN {_STICKY} / n ELSE 0 END, 5) AS hydrophobic_fraction, round(({_property('seq', 2)} - CASE WHEN n > 1 THEN (n - 1) * {R.WATER} ELSE 0 END) / 1000, 7) AS weight_kda,
   {_motifs('seq', R.DEAMIDATION)} AS deamidation, {_motifs('seq', R.ISOMERIZATION)} AS isomerization, {_motifs('seq', R.OXIDATION)} AS oxidation, len(regexp_extract_all(seq, '{R.SEQUON}'))::DOUBLE AS sequons, {_count('seq', 'C')} % 2 AS odd_cysteines FROM h""")
 def developability(spark, sf):
-    d = proteins(spark, sf).select("doc_id", F.substring("seq", 1, 400).alias("seq"))
+    d = proteins(spark, sf)
     keep = ("charge", "hydrophobicity", "hydrophobicity_std", "hydrophobic_stretch", "hydrophobic_fraction", "weight_kda", "deamidation", "isomerization", "oxidation", "sequons", "odd_cysteines")
     return rounded(P.developability(d, "seq").select("doc_id", *keep), 5, weight_kda=7)
 

@@ -206,3 +206,25 @@ def test_nearest_tanimoto_takes_whole_texts_and_all_documents(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lower("text").alias("text"))
     small = N.nearest_grams(docs.filter("doc_id % 5 = 0"), docs.filter("doc_id % 5 <> 0"), "doc_id", block_rows=7)
     assert {r["doc_id"]: round(r["best"], 6) for r in small.collect()} == want
+
+
+def test_string_queries_read_whole_texts(spark, tmp_path):
+    import hashlib
+    import re
+
+    from lumenfold.functions import residues as R
+    from lumenfold.plans import strings as plans
+
+    rng = np.random.default_rng(8)
+    texts = ["", "IVL", "acgU-x 1", "".join(rng.choice([*P.LETTERS, " ", "b", "u"], 3_000)), "G" * 500 + "ng c IIIIIII" + "k" * 90]
+    strings(spark, *texts).toDF("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    cleaned = [re.sub("[^ACGT]", "N", re.sub("[^a-zA-Z]", "", t).upper().replace("U", "T")) for t in texts]
+    assert [tuple(r) for r in plans.clean_sequences(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(i, len(c), hashlib.md5(c.encode()).hexdigest()) for i, c in enumerate(cleaned)]
+    for r, text in zip(plans.developability(spark, str(tmp_path)).orderBy("doc_id").collect(), texts, strict=True):
+        s = "".join(c for c in text.upper() if c in R.RESIDUES)
+        v = np.array([R.RESIDUES[c] for c in s]).reshape(-1, 6)
+        h = v[:, 0]
+        stretch = max(h[i : i + 7].mean() for i in range(len(h) - 6)) if len(h) >= 7 else h.mean() if len(h) else 0
+        want = [v[:, 1].sum(), h.mean() if s else 0, h.std() if s else 0, stretch, (h > 1.5).mean() if s else 0, (v[:, 2].sum() - max(0, len(s) - 1) * R.WATER) / 1000]
+        want += [sum(s.count(m) for m in ms) for ms in (R.DEAMIDATION, R.ISOMERIZATION, R.OXIDATION)] + [len(re.findall(R.SEQUON, s)), s.count("C") % 2]
+        assert np.allclose([*r][1:], want, rtol=1e-9, atol=6e-6), (r, want)
