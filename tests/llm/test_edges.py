@@ -163,3 +163,17 @@ def test_stages_keep_columns(spark, docs, labels, empty, tmp_path):
         assert out.count() > 0
         assert name == "packing" or out.columns == docs.columns
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_special_token_in_a_text_is_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y \n<|endoftext|>  z", "<|endoftext|", "<<|endoftext|>>", " <|ENDOFTEXT|> it's"]
+    mine = packing.encoder()
+    assert mine(texts[0]) == [64, 220, 50256, 275]
+    assert [mine(x) for x in texts] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], dtype="<u4") for x in texts]
+    assert [(r["length"], r["ids_crc32"]) for r in got] == [(len(w), zlib.crc32(w.tobytes())) for w in want]
