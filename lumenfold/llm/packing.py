@@ -3,10 +3,10 @@
 The length histogram (at most ``capacity`` rows, whatever the corpus) is the only thing that
 reaches the driver. There a configuration linear program over it is solved by multiplicative
 weights, each step priced by a knapsack dynamic program, and rounded down to whole
-configurations; what the rounding leaves (less than one sequence per configuration) goes by
-best fit, tightest gap first. The plan is a table of runs "pieces number i to j of length l go
-to place p of sequences q, q+1, ..."; its size depends on ``capacity`` only, so it is shipped to
-the tasks, which look up each piece by its rank within its length.
+configurations, again and again while that places a share of what is left; the rest goes by
+best fit, tightest gap first, equal lengths together. The plan is a table of runs "pieces number i
+to j of length l go to place p of sequences q, q+1, ..."; its size depends on ``capacity`` only, so
+it is shipped to the tasks, which look up each piece by its rank within its length.
 
 Tokenizing runs in Arrow batches; token ids never leave the task that made them.
 """
@@ -86,35 +86,49 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabul
     return docs.select(F.col("doc_id").cast("long"), or_empty(F.col("text"))).mapInArrow(cut, PIECES)
 
 
-def _knapsack(price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best value and counts by length of a configuration: unbounded knapsack, weights 1..capacity."""
+def _table(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best value of each room and the length it takes (0: none): unbounded knapsack, weights 1..capacity.
+
+    Among equals the longest is taken, so that ties don't fill a configuration with short pieces.
+    """
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     useful = np.flatnonzero(price > 0)
     useful = useful[useful > 0]
+    longest = useful[::-1]
     for c in range(1, capacity + 1):
-        fit = useful[: np.searchsorted(useful, c, side="right")]
+        fit = longest[len(longest) - np.searchsorted(useful, c, side="right") :]
         best[c], took[c] = best[c - 1], 0
         if len(fit):
             value = best[c - fit] + price[fit]
             k = int(value.argmax())
             if value[k] > best[c]:
                 best[c], took[c] = value[k], fit[k]
-    counts, c = np.zeros(capacity + 1, dtype=np.int64), capacity
-    while c > 0:
-        if took[c]:
-            counts[took[c]] += 1
-            c -= took[c]
+    return best, took
+
+
+def _fill(took: np.ndarray, room: int, counts: np.ndarray) -> np.ndarray:
+    while room > 0:
+        if took[room]:
+            counts[took[room]] += 1
+            room -= took[room]
         else:
-            c -= 1
-    return float(best[capacity]), counts
+            room -= 1
+    return counts
+
+
+def _knapsack(price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """Best value and counts by length of a configuration."""
+    best, took = _table(price, capacity)
+    return float(best[capacity]), _fill(took, capacity, np.zeros(capacity + 1, dtype=np.int64))
 
 
 def configurations(histogram: np.ndarray, rounds: int = ROUNDS, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
     """A fractional solution of the configuration program: (configurations, how often each is used).
 
-    Multiplicative weights for covering: the knapsack picks the configuration worth most at the
-    present prices, it is used until its scarcest length is covered by a step, and the prices of
-    the lengths it covers fall.
+    Multiplicative weights for covering: one knapsack table a round prices, for each length, the
+    best configuration that holds it. Of the lengths covered least, each that has one within a step
+    of the best of all is covered by a step of its configuration's scarcest length, and the prices
+    of the covered lengths fall. It ends when all lengths are covered once.
     """
     capacity = len(histogram) - 1
     need = histogram.astype(float)
@@ -125,41 +139,85 @@ def configurations(histogram: np.ndarray, rounds: int = ROUNDS, step: float = ST
     price = np.where(have, np.arange(capacity + 1) / capacity, 0.0)
     covered = np.zeros(capacity + 1)
     base = price.copy()
+    lengths = np.flatnonzero(have)[::-1]
     for _ in range(rounds):
-        _, counts = _knapsack(price, capacity)
-        if not counts.any():
+        best, took = _table(price, capacity)
+        near = price[lengths] + best[capacity - lengths] >= (1 - step) * best[capacity]
+        limit = covered[have].min() + step
+        for length in lengths[near]:
+            if covered[length] >= limit:
+                continue
+            counts = np.zeros(capacity + 1, dtype=np.int64)
+            counts[length] = 1
+            _fill(took, capacity - int(length), counts)
+            inside = np.flatnonzero(counts)
+            amount = step * float((need[inside] / counts[inside]).min())
+            entry = used.setdefault(counts.tobytes(), [counts, 0.0])
+            entry[1] += amount
+            covered[inside] += amount * counts[inside] / need[inside]
+        if covered[have].min() >= 1:
             break
-        inside = counts > 0
-        amount = max(step, 1e-9) * float((need[inside] / counts[inside]).min())
-        entry = used.setdefault(counts.tobytes(), [counts, 0.0])
-        entry[1] += amount
-        covered[inside] += amount * counts[inside] / need[inside]
         price[have] = base[have] * np.exp(-(covered[have] - covered[have].min()) * 2)
     matrix, times = np.array([v[0] for v in used.values()]), np.array([v[1] for v in used.values()])
-    # What the covering may use of each length is its number of pieces: scale down to a packing.
-    return matrix, times / max(1.0, float(covered[have].max()))
+    return matrix, times
+
+
+def best_fit(histogram: np.ndarray) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Best fit, longest first, all pieces of a length at once: runs (length, pieces, first sequence, offset), number of sequences.
+
+    Gaps are runs of sequences with equal room; a length takes from the tightest ones, or opens
+    sequences that each hold as many as fit. The number of runs depends on the lengths present, not
+    on the pieces.
+    """
+    capacity = len(histogram) - 1
+    runs: list[tuple[int, int, int, int]] = []
+    sequences = 0
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    for length in np.flatnonzero(histogram)[::-1].tolist():
+        n = int(histogram[length])
+        while n:
+            room = min((r for r, at in gaps.items() if r >= length and at), default=0)
+            if room:
+                first, many = gaps[room].pop()
+                each = min(room // length, max(1, n // many))
+            else:
+                room, first, each = capacity, sequences, min(capacity // length, n)
+                many = n // each
+                sequences += many
+            now = min(many, n)
+            if now < many:
+                gaps[room].append((first + now, many - now))
+            for k in range(each):
+                runs.append((length, now, first, capacity - room + k * length))
+            n -= now * each
+            if rest := room - each * length:
+                gaps.setdefault(rest, []).append((first, now))
+    return runs, sequences
 
 
 def pack_histogram(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Runs (length, first rank, pieces, first sequence, offset) and the number of sequences.
 
-    Every piece of the histogram is in exactly one run. The program is solved again for what
-    rounding down leaves, until a solution rounds to nothing; the rest goes by best fit.
+    Every piece of the histogram is in exactly one run. Configurations are used, most used first, as
+    far as there are pieces, and the program is solved again for what is left, until that is less
+    than about a sequence per configuration or a solution places less than a step of it. The rest
+    goes by best fit, equal lengths together. So the number of runs doesn't grow with the pieces.
     """
     capacity = len(histogram) - 1
     left, taken, runs, sequences = histogram.astype(np.int64).copy(), np.zeros(capacity + 1, dtype=np.int64), [], 0
 
-    def place(length: int, times: int, offset: int) -> None:
-        runs.append((length, int(taken[length]), times, sequences, offset))
+    def place(length: int, times: int, offset: int, first: int) -> None:
+        runs.append((length, int(taken[length]), times, first, offset))
         taken[length] += times
         left[length] -= times
 
     full = int(left[capacity])
     if full:  # a full piece is a configuration by itself
-        place(capacity, full, 0)
+        place(capacity, full, 0, sequences)
         sequences += full
-    for _ in range(4):
-        before = int(left.sum())
+    size = np.arange(capacity + 1)
+    while int(left @ size) > capacity * np.count_nonzero(left):
+        before = int(left @ size)
         matrix, times = configurations(left, rounds)
         for counts, use in sorted(zip(matrix, times, strict=True), key=lambda x: -x[1]):
             inside = np.flatnonzero(counts)
@@ -169,21 +227,15 @@ def pack_histogram(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tu
             offset = 0
             for length in inside[::-1]:
                 for _ in range(int(counts[length])):
-                    place(int(length), whole, offset)
+                    place(int(length), whole, offset, sequences)
                     offset += int(length)
             sequences += whole
-        if int(left.sum()) == before or not left.any():
+        if int(left @ size) > (1 - STEP) * before:
             break
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    for length in range(capacity, 0, -1):
-        for _ in range(int(left[length])):
-            room = min((r for r, at in gaps.items() if r >= length and at), default=0)
-            number, offset = gaps[room].pop() if room else (sequences, 0)
-            sequences += not room
-            runs.append((length, int(taken[length]), 1, number, offset))
-            taken[length] += 1
-            gaps.setdefault(capacity - offset - length, []).append((number, offset + length))
-    return runs, sequences
+    rest, more = best_fit(left)
+    for length, times, first, offset in rest:
+        place(length, times, offset, sequences + first)
+    return runs, sequences + more
 
 
 def _ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:

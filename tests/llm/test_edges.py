@@ -1,5 +1,8 @@
 """Every operator and stage takes nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +180,20 @@ def test_special_token_in_a_text_is_one_id(spark):
     got = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     want = [np.array([*t.encode(x, add_special_tokens=False).ids, 2], dtype="<u4") for x in texts]
     assert [(r["length"], r["ids_crc32"]) for r in got] == [(len(w), zlib.crc32(w.tobytes())) for w in want]
+
+
+def test_plan_does_not_grow_with_the_pieces():
+    capacity = 64
+    h = np.random.default_rng(2).integers(0, 7, capacity + 1)
+    h[0] = 0
+    h[: capacity // 2] *= 4  # enough short pieces to fill the gaps
+    runs, sequences = packing.pack_histogram(h * 1_000)
+    cover, taken = np.zeros((sequences, capacity), dtype=np.int8), np.zeros(capacity + 1, dtype=np.int64)
+    for length, first, times, sequence, offset in runs:
+        assert first == taken[length] and offset + length <= capacity
+        taken[length] += times
+        cover[sequence : sequence + times, offset : offset + length] += 1
+    assert (taken == h * 1_000).all() and cover.max() == 1 and cover[:, 0].all()
+    assert sequences <= 1.01 * -(-int(h @ np.arange(capacity + 1)) * 1_000 // capacity) + 1
+    assert sum(times == 1 for _, _, times, _, _ in runs) <= 10 * capacity and len(runs) <= 60 * capacity
+    assert len(packing.pack_histogram(h * 1_000_000)[0]) <= 60 * capacity
