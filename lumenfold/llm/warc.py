@@ -3,8 +3,8 @@
 ``spark.read.format("warc")`` plans one partition per archive file (large uncompressed files
 aren't cut: a record's start is known only from the record before it; write many files). Predicates
 on headers are pushed down. A record's header is parsed first; if a predicate rules it out, or the
-read wants no payloads, an uncompressed file is sought past the block and a compressed one is
-skipped without being decoded.
+read wants no payloads, an uncompressed file is sought past the block; a compressed one is
+inflated past it, and only not kept.
 
 Options of a read: ``path`` (a file or folder of any file system that pyarrow opens), ``payload``
 ("false" leaves payloads null). Options of a write: ``path``, ``compression`` ("gzip", a member a
