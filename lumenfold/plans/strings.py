@@ -20,7 +20,7 @@ _GRAMS = "CASE WHEN length(seq) >= {0} THEN list_transform(range(1, length(seq)
 _G, _C, _A, _T = (_count("seq", b) for b in "GCAT")
 
 
-@query("clean_sequences", "SELECT doc_id, length(regexp_replace(replace(upper(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 200)), 'U', 'T'), '[^ACGT]', 'N', 'g')) AS n, md5(regexp_replace(replace(upper(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 200)), 'U', 'T'), '[^ACGT]', 'N', 'g')) AS digest FROM documents")
+@query("clean_sequences", "SELECT doc_id, length(regexp_replace(replace(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 'U', 'T'), '[^ACGT]', 'N', 'g')) AS n, md5(regexp_replace(replace(upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')), 'U', 'T'), '[^ACGT]', 'N', 'g')) AS digest FROM documents")
 def clean_sequences(spark, sf):
     s = S.clean(F.regexp_replace("text", "[^a-zA-Z]", ""))
     return table(spark, sf, "documents").select("doc_id", F.length(s).cast("long").alias("n"), F.md5(s).alias("digest"))
@@ -102,9 +102,11 @@ _SQUARES = "(" + " + ".join(f"{_count('seq', a)} * {v[0] ** 2!r}" for a, v in R.
 _STICKY = _motifs("seq", [a for a, v in R.RESIDUES.items() if v[0] > 1.5])
 
 
-@query("developability", f"""WITH {AA}, w AS (SELECT doc_id, substr(seq, 1, 400) AS seq, least(400, length(seq)) AS n FROM aas), h AS (SELECT *, list_transform(range(1, n + 1), lambda i: ({_TABLE})[substr(seq, i, 1)]) AS hy FROM w)
+@query("developability", f"""WITH {AA}, l AS (SELECT doc_id, unnest(string_split(seq, '')) AS a, generate_subscripts(string_split(seq, ''), 1) AS i FROM aas WHERE seq <> ''),
+  m AS (SELECT doc_id, i, sum(({_TABLE})[a]) OVER (PARTITION BY doc_id ORDER BY i ROWS 6 PRECEDING) / 7 AS hy FROM l), t AS (SELECT doc_id, max(hy) FILTER (WHERE i >= 7) AS stretch FROM m GROUP BY 1),
+  h AS (SELECT doc_id, seq, length(seq) AS n, stretch FROM aas LEFT JOIN t USING (doc_id))
 SELECT doc_id, round({_property('seq', 1)}, 5) AS charge, round(CASE WHEN n > 0 THEN {_property('seq', 0)} / n ELSE 0 END, 5) AS hydrophobicity, round(CASE WHEN n > 0 THEN sqrt(greatest({_SQUARES} / n - ({_property('seq', 0)} / n) ** 2, 0)) ELSE 0 END, 5) AS hydrophobicity_std,
-  round(CASE WHEN n >= 7 THEN list_max(list_transform(range(1, n - 5), lambda i: list_sum(hy[i:i + 6]) / 7)) WHEN n > 0 THEN {_property('seq', 0)} / n ELSE 0 END, 5) AS hydrophobic_stretch,
+  round(CASE WHEN n >= 7 THEN stretch WHEN n > 0 THEN {_property('seq', 0)} / n ELSE 0 END, 5) AS hydrophobic_stretch,
   round(CASE WHEN n > 0 THEN {_STICKY} / n ELSE 0 END, 5) AS hydrophobic_fraction, round(({_property('seq', 2)} - CASE WHEN n > 1 THEN (n - 1) * {R.WATER} ELSE 0 END) / 1000, 7) AS weight_kda,
   {_motifs('seq', R.DEAMIDATION)} AS deamidation, {_motifs('seq', R.ISOMERIZATION)} AS isomerization, {_motifs('seq', R.OXIDATION)} AS oxidation, len(regexp_extract_all(seq, '{R.SEQUON}'))::DOUBLE AS sequons, {_count('seq', 'C')} % 2 AS odd_cysteines FROM h""")
 def developability(spark, sf):
