@@ -23,17 +23,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session with a local master gets a temporary folder (tests); on a cluster
+    that is an error, for executors couldn't read each other's files there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of ``df`` has, in any case: the given ones, with underscores where needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -42,6 +59,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing reads any more."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            try:
+                system, path = fs.FileSystem.from_uri(folder)
+                system.delete_dir(path)
+            except (pa.ArrowInvalid, OSError):  # a file system that pyarrow can't open, or files gone already: they stay
+                continue
+
+
 def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join a side expected to be small: broadcast when its counted rows allow it, else a shuffled join.
 
@@ -79,7 +110,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star rounds: every round is a partial aggregation plus an
     equi-join on the node, so a hub's edges are pre-aggregated and its join partition can be split.
-    Null ends and self-loops are ignored. Each round's edges are written to the shared folder.
+    Null ends and self-loops are ignored. Each round's edges are written to the shared folder, and
+    those of the round before are removed. Any long is a good id.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -92,9 +124,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # Small star: a node and its smaller neighbours attach to the smallest of those.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.filter("u <> v").distinct(), "edges")
-        row = e.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        now = (row["n"], row["s"], row["x"])
+        e, done = materialize(small.filter("u <> v").distinct(), "edges"), e
+        discard(done)
+        row = e.agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"bit_xor(xxhash64({seed}, u, v))").alias(f"x{seed}") for seed in (1, 2))).first()
+        now = tuple(row)
         if now == state or row["n"] == 0:
             break
         state = now

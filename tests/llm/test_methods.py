@@ -32,7 +32,8 @@ def test_registered():
     assert len(corpus_pipeline.STAGES) == 5
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("shift", [False, True])
+def test_components_against_union_find(spark, shift):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(80)] + [(5, 5)]
     root = {}
@@ -42,6 +43,9 @@ def test_components_against_union_find(spark):
             x = root[x]
         return x
 
+    if shift:  # ids near both ends of the long range
+        far = lambda x: x * 2**52 - 2**63 if x % 2 else 2**63 - 1 - x
+        pairs = [(far(a), far(b)) for a, b in pairs]
     for a, b in pairs:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
@@ -79,6 +83,30 @@ def test_near_dedup_against_all_pairs(spark, documents):
     assert set(same) == set(reps["class_id"]) - set(documents.loc[[not (t or "").split() for t in documents["text"]], "doc_id"])
 
 
+def test_texts_of_a_repeated_id_are_documents_of_their_own(spark):
+    w, v = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu", "one two three four five six seven eight nine ten eleven"
+    d = spark.createDataFrame([(5, w), (5, v), (3, v), (7, w), (5, w), (9, "alone"), (9, "Alone"), (None, w)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["group_id"], r["kept"]) for r in near_dedup.groups(d).filter("doc_id is not null").collect())
+    assert got[:5] == [(3, 3, 3, True), (5, 3, 3, False), (5, 5, 5, True), (5, 5, 5, True), (7, 5, 5, False)]
+    assert [g[3] for g in got[5:]] in ([True, False], [False, True])
+    kept = [tuple(r) for r in near_dedup.keep_one(d).collect()]
+    assert sorted(k[1].lower() for k in kept) == sorted([w, w, v, "alone"]) and (3, v) in kept and (5, w) in kept and (None, w) in kept
+
+
+def test_last_round_moves_no_needless_text(spark, monkeypatch):
+    """With tiny blocks the last round finds the same groups as with one block."""
+    words = [f"w{i}" for i in range(80)]
+    rng = np.random.default_rng(8)
+    rows, base = [], list(words)
+    for i in range(60):  # a chain: each text differs from the one before in a few words
+        base[int(rng.integers(80))] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r["group_id"] for r in near_dedup.groups(d, 0.7).collect()}
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    assert {r["doc_id"]: r["group_id"] for r in near_dedup.groups(d, 0.7).collect()} == whole
+
+
 def test_samples_agree_as_often_as_weighted_sets(spark):
     rng = np.random.default_rng(1)
     sampler = near_dedup.Sampler(2_000)
