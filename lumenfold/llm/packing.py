@@ -2,11 +2,15 @@
 
 The length histogram (at most ``capacity`` rows, whatever the corpus) is the only thing that
 reaches the driver. There a configuration linear program over it is solved by multiplicative
-weights, each step priced by a knapsack dynamic program, and rounded down to whole
-configurations, again and again while that places a share of what is left; the rest goes by
-best fit, tightest gap first, equal lengths together. The plan is a table of runs "pieces number i
-to j of length l go to place p of sequences q, q+1, ..."; its size depends on ``capacity`` only, so
-it is shipped to the tasks, which look up each piece by its rank within its length.
+weights, priced by a knapsack dynamic program, and rounded: each configuration is used as often as
+its use's whole part says, then, those of the longest pieces first, once more where its pieces are
+still there. The program is solved
+again for what is left, until that is about a sequence or a solution places less than a tenth of
+it (full configurations are used first, so that pieces wait for a better partner); the few pieces
+left go by best fit, tightest gap first. Covering and rounding work on lengths
+with multiplicities, so the plan, a table of runs "pieces number i to j of length l go to place p
+of sequences q, q+1, ...", grows with the lengths present (a few rows for each) and not with the
+pieces. It is shipped to the tasks, which look up each piece by its rank within its length.
 
 Tokenizing runs in Arrow batches; token ids never leave the task that made them.
 """
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import materialize, or_empty, read_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rounds of multiplicative weights and the step of a round.
-ROUNDS, STEP = 600, 0.15
+#: Rounds of multiplicative weights at most, the share of its demand that a round covers of each length, and how fast a covered length's price falls.
+ROUNDS, STEP, RATE = 100, 0.1, 3.0
+#: Configurations at least so full are rounded first; emptier ones only if those place less than this share of what is left.
+FULLNESS, PROGRESS = (0.99, 0.95, 0.0), 0.1
 #: Pieces of one length in one window partition, about.
 SALT_ROWS = 20_000
 
@@ -86,18 +92,18 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabul
     return docs.select(F.col("doc_id").cast("long"), or_empty(F.col("text"))).mapInArrow(cut, PIECES)
 
 
-def _table(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def knapsack_table(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best value of each room and the length it takes (0: none): unbounded knapsack, weights 1..capacity.
 
     Among equals the longest is taken, so that ties don't fill a configuration with short pieces.
     """
+    capacity = len(price) - 1
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     useful = np.flatnonzero(price > 0)
-    useful = useful[useful > 0]
-    longest = useful[::-1]
+    longest, fitting = useful[::-1], np.searchsorted(useful, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        fit = longest[len(longest) - np.searchsorted(useful, c, side="right") :]
-        best[c], took[c] = best[c - 1], 0
+        best[c] = best[c - 1]
+        fit = longest[len(useful) - fitting[c] :]
         if len(fit):
             value = best[c - fit] + price[fit]
             k = int(value.argmax())
@@ -106,60 +112,51 @@ def _table(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return best, took
 
 
-def _fill(took: np.ndarray, room: int, counts: np.ndarray) -> np.ndarray:
+def filling(took: np.ndarray, room: int) -> list[int]:
+    """The lengths that a table takes into a room."""
+    out = []
     while room > 0:
         if took[room]:
-            counts[took[room]] += 1
-            room -= took[room]
-        else:
-            room -= 1
-    return counts
-
+            out.append(int(took[room]))
+        room -= int(took[room]) or 1
+    return out
 
-def _knapsack(price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best value and counts by length of a configuration."""
-    best, took = _table(price, capacity)
-    return float(best[capacity]), _fill(took, capacity, np.zeros(capacity + 1, dtype=np.int64))
 
+def configurations(histogram: np.ndarray, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """A fractional solution of the configuration program: (use by configuration, share covered by length).
 
-def configurations(histogram: np.ndarray, rounds: int = ROUNDS, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """A fractional solution of the configuration program: (configurations, how often each is used).
-
-    Multiplicative weights for covering: one knapsack table a round prices, for each length, the
-    best configuration that holds it. Of the lengths covered least, each that has one within a step
-    of the best of all is covered by a step of its configuration's scarcest length, and the prices
-    of the covered lengths fall. It ends when all lengths are covered once.
+    Minimize the total use such that each length is covered: for every length, the sum over
+    configurations of use times occurrences is at least its number of pieces. By multiplicative
+    weights: a length's price is its share of the capacity times exp(-RATE * share covered). Each
+    round raises the share that all lengths are to reach by a step; a knapsack table over the prices
+    gives, for each length that is behind, the best configuration that holds it, which is used until
+    the length has caught up or another one is more than a step ahead. Those far ahead are left out
+    of the table.
     """
     capacity = len(histogram) - 1
-    need = histogram.astype(float)
-    used: dict[bytes, list] = {}
-    have = histogram > 0
-    if not have.any():
-        return np.zeros((0, capacity + 1), dtype=np.int64), np.zeros(0)
-    price = np.where(have, np.arange(capacity + 1) / capacity, 0.0)
-    covered = np.zeros(capacity + 1)
-    base = price.copy()
-    lengths = np.flatnonzero(have)[::-1]
+    need, lengths = histogram.astype(float), np.flatnonzero(histogram)
+    lengths = lengths[lengths > 0]
+    covered, used = np.zeros(capacity + 1), {}
+    target = 0.0
     for _ in range(rounds):
-        best, took = _table(price, capacity)
-        near = price[lengths] + best[capacity - lengths] >= (1 - step) * best[capacity]
-        limit = covered[have].min() + step
-        for length in lengths[near]:
-            if covered[length] >= limit:
-                continue
-            counts = np.zeros(capacity + 1, dtype=np.int64)
-            counts[length] = 1
-            _fill(took, capacity - int(length), counts)
-            inside = np.flatnonzero(counts)
-            amount = step * float((need[inside] / counts[inside]).min())
-            entry = used.setdefault(counts.tobytes(), [counts, 0.0])
-            entry[1] += amount
-            covered[inside] += amount * counts[inside] / need[inside]
-        if covered[have].min() >= 1:
+        if not len(lengths) or (least := float(covered[lengths].min())) >= 1:
             break
-        price[have] = base[have] * np.exp(-(covered[have] - covered[have].min()) * 2)
-    matrix, times = np.array([v[0] for v in used.values()]), np.array([v[1] for v in used.values()])
-    return matrix, times
+        target = min(1.0, max(target, least) + step)
+        near = lengths[covered[lengths] < target + step]
+        price = np.zeros(capacity + 1)
+        price[near] = near / capacity * np.exp(-RATE * (covered[near] - least))
+        _, took = knapsack_table(price)
+        for length in lengths[::-1].tolist():
+            if covered[length] >= target:
+                continue
+            parts = tuple(sorted((length, *filling(took, capacity - length)), reverse=True))
+            held, times = np.unique(parts, return_counts=True)
+            own = (target - covered[length]) * need[length] / parts.count(length)
+            amount = min(own, float(((target + step - covered[held]) * need[held] / times).min()))
+            if amount > 0:
+                used[parts] = used.get(parts, 0.0) + amount
+                covered[held] += amount * times / need[held]
+    return used, covered
 
 
 def best_fit(histogram: np.ndarray) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -195,13 +192,10 @@ def best_fit(histogram: np.ndarray) -> tuple[list[tuple[int, int, int, int]], in
     return runs, sequences
 
 
-def pack_histogram(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, pieces, first sequence, offset) and the number of sequences.
+def pack_histogram(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
+    """Runs (length, first rank, pieces, first sequence, offset), the number of sequences, and the pieces that best fit placed.
 
-    Every piece of the histogram is in exactly one run. Configurations are used, most used first, as
-    far as there are pieces, and the program is solved again for what is left, until that is less
-    than about a sequence per configuration or a solution places less than a step of it. The rest
-    goes by best fit, equal lengths together. So the number of runs doesn't grow with the pieces.
+    Every piece of the histogram is in exactly one run.
     """
     capacity = len(histogram) - 1
     left, taken, runs, sequences = histogram.astype(np.int64).copy(), np.zeros(capacity + 1, dtype=np.int64), [], 0
@@ -211,31 +205,36 @@ def pack_histogram(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tu
         taken[length] += times
         left[length] -= times
 
-    full = int(left[capacity])
-    if full:  # a full piece is a configuration by itself
-        place(capacity, full, 0, sequences)
-        sequences += full
+    def use(parts: tuple[int, ...], times: int) -> int:
+        """Fills as many sequences with a configuration as asked, at most as there are pieces."""
+        held, each = np.unique(parts, return_counts=True)
+        times = min(times, int((left[held] // each).min()))
+        offset = 0
+        for length in parts if times else ():
+            place(length, times, offset, sequences)
+            offset += length
+        return times
+
+    sequences += use((capacity,), int(left[capacity]))  # a full piece is a configuration by itself
     size = np.arange(capacity + 1)
-    while int(left @ size) > capacity * np.count_nonzero(left):
-        before = int(left @ size)
-        matrix, times = configurations(left, rounds)
-        for counts, use in sorted(zip(matrix, times, strict=True), key=lambda x: -x[1]):
-            inside = np.flatnonzero(counts)
-            whole = min(int(use), int((left[inside] // counts[inside]).min()))
-            if whole < 1:
-                continue
-            offset = 0
-            for length in inside[::-1]:
-                for _ in range(int(counts[length])):
-                    place(int(length), whole, offset, sequences)
-                    offset += int(length)
-            sequences += whole
-        if int(left @ size) > (1 - STEP) * before:
+    while (before := int(left @ size)) > capacity:
+        used, _ = configurations(left, rounds)
+        for least in FULLNESS:
+            good = [parts for parts in used if sum(parts) >= least * capacity]
+            for parts in sorted(good, key=lambda p: (-used[p], p)):
+                sequences += use(parts, int(used[parts]))
+            for parts in sorted(good, key=lambda p: tuple(-n for n in p)):
+                sequences += use(parts, 1)
+                used[parts] = 0.0
+            if int(left @ size) <= (1 - PROGRESS) * before:
+                break
+        else:
             break
+    residue = int(left.sum())
     rest, more = best_fit(left)
     for length, times, first, offset in rest:
         place(length, times, offset, sequences + first)
-    return runs, sequences + more
+    return runs, sequences + more, residue
 
 
 def _ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
@@ -259,7 +258,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    runs, _ = pack_histogram(counts)
+    runs, _, _ = pack_histogram(counts)
     plan = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
 
     def look_up(batches: Iterator) -> Iterator:

@@ -187,7 +187,7 @@ def test_plan_does_not_grow_with_the_pieces():
     h = np.random.default_rng(2).integers(0, 7, capacity + 1)
     h[0] = 0
     h[: capacity // 2] *= 4  # enough short pieces to fill the gaps
-    runs, sequences = packing.pack_histogram(h * 1_000)
+    runs, sequences, residue = packing.pack_histogram(h * 1_000)
     cover, taken = np.zeros((sequences, capacity), dtype=np.int8), np.zeros(capacity + 1, dtype=np.int64)
     for length, first, times, sequence, offset in runs:
         assert first == taken[length] and offset + length <= capacity
@@ -195,5 +195,5 @@ def test_plan_does_not_grow_with_the_pieces():
         cover[sequence : sequence + times, offset : offset + length] += 1
     assert (taken == h * 1_000).all() and cover.max() == 1 and cover[:, 0].all()
     assert sequences <= 1.01 * -(-int(h @ np.arange(capacity + 1)) * 1_000 // capacity) + 1
-    assert sum(times == 1 for _, _, times, _, _ in runs) <= 10 * capacity and len(runs) <= 60 * capacity
+    assert residue <= capacity and sum(times == 1 for _, _, times, _, _ in runs) <= 10 * capacity and len(runs) <= 60 * capacity
     assert len(packing.pack_histogram(h * 1_000_000)[0]) <= 60 * capacity
