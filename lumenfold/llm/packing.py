@@ -32,8 +32,8 @@ from lumenfold.llm.common import materialize, or_empty, read_table
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rounds of multiplicative weights at most, the share of its demand that a round covers of each length, and how fast a covered length's price falls.
 ROUNDS, STEP, RATE = 100, 0.1, 3.0
-#: Configurations at least so full are rounded first; emptier ones only if those place less than this share of what is left.
-FULLNESS, PROGRESS = (0.99, 0.95, 0.0), 0.1
+#: How full a configuration must be for its whole uses, and for being used once more; emptier ones only if those place less than this share of what is left.
+FULLNESS, PROGRESS = ((0.999, 0.99), (0.99, 0.95), (0.0, 0.0)), 0.1
 #: Pieces of one length in one window partition, about.
 SALT_ROWS = 20_000
 
@@ -219,13 +219,12 @@ def pack_histogram(histogram: np.ndarray, rounds: int = ROUNDS) -> tuple[list[tu
     size = np.arange(capacity + 1)
     while (before := int(left @ size)) > capacity:
         used, _ = configurations(left, rounds)
-        for least in FULLNESS:
-            good = [parts for parts in used if sum(parts) >= least * capacity]
-            for parts in sorted(good, key=lambda p: (-used[p], p)):
+        for whole, once in FULLNESS:
+            for parts in sorted((p for p in used if sum(p) >= whole * capacity), key=lambda p: (-used[p], p)):
                 sequences += use(parts, int(used[parts]))
-            for parts in sorted(good, key=lambda p: tuple(-n for n in p)):
+                used[parts] %= 1
+            for parts in sorted((p for p in used if sum(p) >= once * capacity), key=lambda p: tuple(-n for n in p)):
                 sequences += use(parts, 1)
-                used[parts] = 0.0
             if int(left @ size) <= (1 - PROGRESS) * before:
                 break
         else:
