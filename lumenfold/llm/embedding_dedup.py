@@ -1,14 +1,20 @@
-"""Near-duplicate vectors by counting collisions of one-dimensional projections.
-
-A table is a bundle of random one-dimensional projections. Within a table, vectors meet that fall
-on the same step of each of its first projections (steps with a random shift) and whose last
-projections, sorted, lie in each other's window (query-centred: no step edge there). The number of
-first projections grows with the logarithm of the number of vectors, so that a vector meets about
-as many strangers at any size. A pair is counted once for each table it meets in; pairs met at least ``COUNT`` times
-are verified by their cosine. The number of tables is calibrated: the smallest at which a pair
-right at the threshold reaches the count with probability ``RECALL``.
-
-Equal vectors are collapsed to one before anything is paired.
+"""Near-duplicate vectors by counting collisions of sorted one-dimensional projections.
+
+A table is a bundle of random one-dimensional projections. Its first projections cut the space into
+cells (steps with a random shift); within a cell the vectors are sorted by the last projection, and
+each vector collides with those in the window centred on it. (One projection's window meets at
+best ``1 / sqrt(1 - threshold)``, 4.5 times, as many of a threshold pair's as of a strangers' pair,
+so windows over the whole table would meet about as many pairs as there are, at any width; the
+first projections, whose number grows with the logarithm of the number of vectors, leave a vector
+about as many strangers in its cell at any size.) A pair collides at most once in a table. Pairs
+with at least ``COUNT`` collisions are verified by their cosine. The number of tables is calibrated:
+the smallest at which a pair right at the threshold reaches the count with probability ``RECALL``.
+
+Sorting is by strips of a window's width within a cell; a strip also gets the rows of the next one,
+where its windows end. A strip with many rows is cut into blocks that meet two by two, so no
+task holds more than two blocks and what its windows give is passed on in batches. Equal vectors are
+collapsed to one before anything is paired. The links of a dense group of different vectors are
+counted one by one: their number is that of its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +34,9 @@ RECALL = 0.97
 COUNT = 2
 #: Width of a step and half-width of a window, in standard deviations of a projection.
 STEP, WINDOW = 1.0, 0.6
+#: Rows of a strip in one block; rows and pairs that are worked on at once.
+BLOCK_ROWS = 8_192
+FLUSH_ROWS, LEFT_ROWS, PAIRS = 65_536, 65_536, 500_000
 SEED = 11
 
 
@@ -84,16 +93,80 @@ def meetings(classes: DataFrame, steps: int, tables: int, seed: int = SEED) -> D
     return classes.select("rep", "x").mapInArrow(project, "rep long, cell long, at double")
 
 
+def window_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs that collide, from rows (cell, strip, lo, hi, part, at, own, rep) sorted by all but the last two.
+
+    In a group (cell, strip, lo, hi) each own row of block ``lo`` meets the rows of ``hi`` that are in
+    its window, and the other way round if the blocks differ; of two rows the lower one finds the pair.
+    """
+
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        cell, strip, lo, hi, part, at, own, rep = (c.to_numpy() for c in t.columns)
+        new = np.ones(len(cell), dtype=bool)
+        new[1:] = (cell[1:] != cell[:-1]) | (strip[1:] != strip[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        group = np.cumsum(new)
+        for mine, other in ((lo, hi), (hi, lo)):
+            left, right = np.flatnonzero((part == mine) & own), np.flatnonzero(part == other)
+            if mine is hi:
+                left = left[lo[left] != hi[left]]
+            # Groups lie apart on one axis, so that a sorted search stays within a group.
+            place = group * (at.max() - at.min() + 2 * WINDOW) + at
+            first, last = np.searchsorted(place[right], place[left] - 1e-9), np.searchsorted(place[right], place[left] + WINDOW + 1e-9)
+            for k in range(0, len(left), LEFT_ROWS):
+                f, n = first[k : k + LEFT_ROWS], (last - first)[k : k + LEFT_ROWS]
+                edges = np.cumsum(n)
+                for u, v in _slices(edges, PAIRS):
+                    i = np.repeat(left[k + u : k + v], n[u:v])
+                    j = right[np.repeat(f[u:v] - (edges[u:v] - n[u:v]) + (edges[u - 1] if u else 0), n[u:v]) + np.arange(n[u:v].sum())]
+                    ahead = at[j] - at[i]
+                    ok = ((ahead > 0) | ((ahead == 0) & (rep[j] > rep[i]))) & (ahead <= WINDOW)
+                    x, y = rep[i[ok]], rep[j[ok]]
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= FLUSH_ROWS:
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = [t.column(c).to_numpy() for c in range(4)]
+            last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            yield from flush(t.slice(0, cut))
+            held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+    if held:
+        yield from flush(pa.Table.from_batches(held).combine_chunks())
+
+
+def _slices(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts rows, given the running sum of their sizes, where about ``most`` are together."""
+    u = 0
+    while u < len(edges):
+        v = max(u + 1, int(np.searchsorted(edges, (edges[u - 1] if u else 0) + most, side="right")))
+        yield u, v
+        u = v
+
+
+def collisions(meetings: DataFrame) -> DataFrame:
+    """(a, b, n): pairs of vectors and the number of tables in which they collide, from (rep, cell, at)."""
+    m = meetings.withColumn("strip", F.floor(F.col("at") / WINDOW))
+    m = m.withColumn("_d", F.explode(F.array(F.lit(0), F.lit(1)))).select("rep", "cell", (F.col("strip") - F.col("_d")).alias("strip"), "at", (F.col("_d") == 0).alias("own"))
+    size = m.groupBy("cell", "strip").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).filter("n > 1 and any")
+    m = m.join(size, ["cell", "strip"])
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    m = m.withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    m = m.select("cell", "strip", F.least("part", "_other").alias("lo"), F.greatest("part", "_other").alias("hi"), "part", "at", "own", "rep")
+    m = m.repartition("cell", "strip", "lo", "hi").sortWithinPartitions("cell", "strip", "lo", "hi", "at")
+    return m.mapInArrow(window_pairs, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def links(classes: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, cosine) of linked vectors of ``classes`` (rep, x, norm), a < b."""
     steps, tables = calibrate(n, threshold)
-    m = materialize(meetings(classes, steps, tables), "meetings")
-    # Cells with one vector can't make pairs; most are.
-    crowded = m.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("cell")
-    m = m.join(crowded, "cell", "left_semi").select("rep", "cell", "at")
-    left, right = m.toDF("a", "cell", "at_a"), m.toDF("b", "cell", "at_b")
-    met = left.join(right, "cell").filter((F.col("a") < F.col("b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= WINDOW))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_met")).filter(F.col("_met") >= COUNT)
+    pairs = collisions(materialize(meetings(classes, steps, tables), "meetings")).filter(F.col("n") >= COUNT).select("a", "b")
     v = classes.select("rep", "x", "norm")
     both = pairs.join(v.toDF("a", "x", "nx"), "a").join(v.toDF("b", "y", "ny"), "b")
     return both.withColumn("cosine", cosine(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).filter((F.size("x") == F.size("y")) & (F.col("cosine") >= threshold)).select("a", "b", "cosine")
@@ -104,22 +177,24 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A vector that is null or empty, zero, or holds null or non-finite components has no links and
     is its own component. So is a row with a null vec_id, which other vectors don't count either.
-    Rows with equal vectors and ids count as separate vectors of one id.
+    Each row counts as a vector of its own, also where ids or vectors repeat. An empty table gives
+    no rows; other columns are left out.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     ok = usable(F.col("x")) & F.col("vec_id").isNotNull()
-    key = lambda seed: F.when(ok, F.xxhash64("x", F.lit(seed)))  # noqa: E731  both together name an equal vector
+    key = lambda seed: F.when(ok, F.xxhash64(F.lit(seed), "x"))  # noqa: E731  two independent hashes name a vector by 128 bits
     largest = F.array_max(F.transform("x", F.abs))
     norm = largest * F.sqrt(F.aggregate(F.transform("x", lambda c: (c / largest) ** 2), F.lit(0.0), lambda s, c: s + c))
     v = v.withColumns({"h": key(1), "g": key(2)})
-    classes = v.filter("h is not null").groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("x").alias("x")).withColumn("norm", norm)
-    classes = materialize(classes, "classes")
+    classes = v.filter("h is not null").groupBy("h", "g").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("x").alias("x")).withColumn("norm", norm)
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     linked = materialize(links(classes, classes.count(), threshold), "links")
     sizes = classes.select("rep", "n")
     around = linked.select("a", "b").union(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes.toDF("b", "n"), "b").groupBy("a").agg(F.sum("n").alias("around"))
     components = connected_components(linked)
-    told = classes.select("h", "g", "rep", "n").join(around, F.col("rep") == F.col("a"), "left").join(components, F.col("rep") == F.col("node"), "left")
-    told = told.select("h", "g", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    told = classes.select("h", "g", "rep", "low", "n").join(around, F.col("rep") == F.col("a"), "left").join(components, F.col("rep") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "rep"))
+    lowest = told.groupBy("_c").agg(F.min("low").alias("component_id"))
+    told = told.join(lowest, "_c").select("h", "g", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"), "component_id")
     out = v.select("vec_id", "h", "g").join(told, ["h", "g"], "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -28,7 +28,6 @@ QUERIES = {
 
 #: DuckDB statements for the queries that SQL can express.
 ORACLE: dict[str, str] = {
-    "op6_embedding_dedup": op6_embedding_dedup,
     "op5_url_filter": OP5_SQL,
     "op6_embedding_dedup": OP6_SQL,
     "op7_chat_format": OP7_SQL,

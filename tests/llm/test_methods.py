@@ -276,6 +276,37 @@ def test_embeddings_against_brute_force(spark):
     assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((3_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    away = rng.standard_normal(a.shape)
+    away -= (away * a).sum(axis=1, keepdims=True) * a
+    cos = np.where(np.arange(3_000) % 2, 0.9505, 0.9495)[:, None]  # every other pair is a little below
+    b = cos * a + np.sqrt(1 - cos**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = embedding_dedup.dedup(d).toPandas().set_index("vec_id")
+    linked = got["n_links"].to_numpy()[np.argsort(got.index)]
+    assert linked[0:3_000:2].sum() == 0 and linked[1:3_000:2].mean() >= embedding_dedup.RECALL - 0.02
+
+
+@pytest.mark.parametrize("block_rows", [8_192, 7])
+def test_windows_against_all_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(2)
+    rows = [(int(i), int(c), float(x)) for i, (c, x) in enumerate(zip(rng.integers(0, 9, 400), np.round(rng.normal(0, 1.4, 400), 2), strict=True))]
+    rows += [(400 + i, 3, 0.25) for i in range(30)]  # a hot place
+    got = {(r["a"], r["b"]): r["n"] for r in embedding_dedup.collisions(spark.createDataFrame(rows, "rep long, cell long, at double")).collect()}
+    want = {(a, b): 1 for a, c, x in rows for b, e, y in rows if a < b and c == e and abs(x - y) <= embedding_dedup.WINDOW}
+    assert got == want
+
+
+def test_vectors_of_a_repeated_id(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2**63 - 1, [1.0, 0.01]), (-(2**63), [0.01, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.dedup(d).collect())
+    assert got == [(-(2**63), 2, -(2**63)), (1, 1, 1), (1, 2, -(2**63)), (2, 2, -(2**63)), (2**63 - 1, 1, 1)]
+
+
 def test_calibration_reaches_its_recall():
     rng = np.random.default_rng(0)
     steps, tables = embedding_dedup.calibrate(5_000)
