@@ -20,9 +20,10 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import join_small, materialize, or_empty, read_table
+from lumenfold.llm.common import fresh, join_small, materialize, or_empty, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words in a block: a block is the grain of the schedule, so a source's taken words are within about one of its target.
 BLOCK_WORDS = 32
 #: Documents, and slots, of one source in one window partition, about.
 CHUNK = 8_192
@@ -129,15 +130,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epoch
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3) -> DataFrame:
     """The rows, with all their columns, each as often as the mix takes its words, to the nearest whole.
 
-    Rows of size 0 stay once. Rows that repeat doc_id, source and size share their copies evenly, rounded up.
+    Rows of size 0 (null or empty texts) stay once. Rows that repeat doc_id, source and size share
+    their copies evenly, rounded up. An empty table gives none.
     """
-    told = mix(docs, weights, max_epochs)[0].withColumn("_n", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1))
-    copies = told.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size")).agg(F.ceil(F.sum("_n") / F.count(F.lit(1))).cast("int").alias("_n")).filter("_n > 0")
-    copies = materialize(copies, "copies")
-    d = docs.withColumn("_own", F.regexp_count(or_empty(F.col("text")), F.lit(WORD)).cast("long"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src")) & (F.col("_own") == F.col("_size"))
+    told = mix(docs, weights, max_epochs)[0].withColumn("n", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1))
+    copies = told.groupBy("doc_id", "source", "size").agg(F.ceil(F.sum("n") / F.count(F.lit(1))).cast("int").alias("n")).filter("n > 0")
+    doc_id, source, size, n, own, copy = fresh(docs, "doc_id_", "source_", "size_", "n_", "own_", "copy_")
+    copies = materialize(copies.toDF(doc_id, source, size, n), "copies")
+    d = docs.withColumn(own, F.regexp_count(or_empty(F.col("text")), F.lit(WORD)).cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size))
     # Joined by a shuffle at every size; the copies are one row per document and so are never broadcast.
-    return d.hint("merge").join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    return d.hint("merge").join(copies, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,19 @@ def test_mixing(docs, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_with_clashing_names(docs):
+    d = docs.selectExpr("*", "'x' AS _own", "5 AS _n", "7 AS n", "'s' AS size_", "1.5 AS own_", "2 AS N_")
+    again = mixing.mixed_documents(d)
+    assert again.columns == d.columns and again.count() == mixing.mixed_documents(docs).count()
+    assert again.filter("_own <> 'x' or _n <> 5 or n <> 7 or size_ <> 's'").count() == 0
+
+
+def test_near_dedup_with_clashing_names(docs):
+    d = docs.selectExpr("*", "'x' AS text_key", "5 AS Many", "7 AS _p", "'s' AS _word", "1 AS rep")
+    kept = near_dedup.keep_one(d)
+    assert kept.columns == d.columns and kept.count() == near_dedup.keep_one(docs).count() and kept.filter("text_key <> 'x' or Many <> 5").count() == 0
+
+
 def test_pii(docs, empty):
     got = {r["doc_id"]: r for r in pii.detect(docs).collect()}
     assert [s["kind"] for s in got[8]["base"]] == ["email", "phone"] and not got[3]["base"]
