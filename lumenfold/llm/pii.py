@@ -1,13 +1,16 @@
 """Personal data: base patterns, and further spans by aggregated weak supervision.
 
 One pass over whole texts finds the base spans and wider candidates of each kind, and asks four
-labelers about every candidate: the strict pattern, a check of the value (Luhn, ranges, digit
-counts), a gazetteer (issuer prefixes, calling codes, domain endings, reserved networks) and the
-words before it. Each votes yes, no or nothing. Votes are counted by pattern (at most
-kinds * 3**4 rows, whatever the corpus); expectation-maximisation over those counts estimates how
-reliable each labeler is for each kind, and a logistic model of the votes and the candidate's shape
-is trained on the resulting posteriors. Candidates that the model accepts and that overlap no base
-span of any kind are added. No text is shuffled.
+labelers about every candidate, none of which knows whether the base pattern matched: the form
+(a regular expression of well-grouped values), the value (Luhn, ranges, digit counts), gazetteers
+(issuer prefixes, calling codes, domain endings, reserved networks) and the words before it (those
+that announce the kind, those that announce another number). Each votes yes, no or nothing. Votes
+are counted by pattern (at most kinds * 3**4 rows, whatever the corpus); expectation-maximisation
+over those counts estimates how reliable each labeler is for each kind and gives each pattern's
+posterior. A logistic model of each kind's spans, which sees the words on both sides, the shape of
+the value and the votes, is trained on the posteriors of a bounded sample of candidates
+(``MAX_TRAINING_SPANS``, in hash order). Candidates that the model accepts, whose value no check
+refutes and that overlap no base span of any kind are added. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialize, or_empty, read_table
+from lumenfold.llm.common import discard, materialize, or_empty, read_table
+from lumenfold.llm.toxicity import Sparse, fit_linear
 
+WORD = re.compile(r"\w+")
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns (each starts where the leftmost match can).
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,6 +41,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Wider shapes.
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,4}")
 LOCAL_CALL = re.compile(r"(?<![\w+.])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[-. ])[0-9]{3,4}[-. ][0-9]{4}(?![\w])|\b00[1-9][0-9](?:[ -]?[0-9]){6,11}\b")
+#: An international number by itself, where the base pattern runs on into the digits after it.
+INTERNATIONAL = re.compile(r"(?<![\w+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])")
 #: Gazetteers and context words.
 ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "36", "38", "30", "6011", "62", "64", "65", "35")
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "98", "351", "352", "353", "358", "380", "420", "421", "966", "971", "972")
@@ -45,11 +53,21 @@ CONTEXT = {
     "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|carte|karte|tarjeta|payment)\W"),
     "phone": re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|cell|telefon|tél|llame|sms|whatsapp)\W"),
 }
+OTHER = re.compile(r"(?i)\b(?:order|invoice|isbn|issn|serial|ticket|version|page|ref|id|no|sku|article|item|case|model|part)\W*$")
+#: Well-grouped values of each kind.
+FORM = {
+    "email": re.compile(r"[\w.%+-]+(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}"),
+    "card": re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}"),
+    "phone": re.compile(r"(?:\+|00)?[0-9]{0,3}[ .-]?(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ .-]?[0-9]{2,5}){1,4}"),
+}
 CONTEXT_CHARS = 40
 YES, NONE, NO = 2, 1, 0
 LABELERS = 4
 ACCEPT = 0.5
-CANDIDATE = "struct<kind:int,start:int,end:int,votes:int,shape:int,base:boolean>"
+#: Candidates of one kind that its span model is fitted to, at most, and the places of its hashed features.
+MAX_TRAINING_SPANS, PLACES = 20_000, 1 << 12
+CANDIDATE = "struct<kind:int,start:int,end:int,votes:int,base:boolean,held:array<int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -94,53 +112,69 @@ def wide_spans(text: str) -> Iterator[tuple[int, int, int]]:
     yield from ((3, *m.span()) for m in LOCAL_CALL.finditer(text))
     if "+" in text:
         yield from ((3, *m.span()) for m in PHONE.finditer(text))
+        yield from ((3, *m.span()) for m in INTERNATIONAL.finditer(text))
 
 
-def votes(kind: int, text: str, start: int, end: int, base: bool) -> tuple[int, int]:
-    """The labelers' votes, as a number in base 3, and the shape class of a candidate."""
-    value = text[start:end]
+def votes(kind: int, text: str, start: int, end: int) -> list[int]:
+    """The labelers' votes on a span: form, value, gazetteer, context."""
+    value, before = text[start:end], text[max(0, start - CONTEXT_CHARS) : start]
     digits = digits_of(value)
-    strict = YES if base else NO
+    inside = bool(start and text[start - 1].isalnum()) or text[end : end + 1].isalnum()
+    form = YES if not inside and FORM[KINDS[kind]].fullmatch(value) else NO
     if kind == 0:
         ending = re.split(r"[^A-Za-z0-9]+", value.rstrip(")]"))[-1].lower()
         check = YES if re.search("[A-Za-z]", value[:64]) else NO
-        known = YES if ending in ENDINGS else NONE
+        known = YES if ending in ENDINGS else NONE if len(ending) == 2 else NO
     elif kind == 1:
         parts = [int(p[-6:]) for p in value.split(".")]
         check = YES if max(parts) <= 255 else NO
         known = NO if parts[0] in (0, 255) or value == "127.0.0.1" else YES if max(parts) <= 255 else NONE
     elif kind == 2:
-        check = YES if luhn(digits) else NO
+        check = YES if 13 <= len(digits) <= 19 and luhn(digits) else NO
         known = YES if digits.startswith(ISSUERS) else NO
     else:
         check = YES if 10 <= len(digits) <= 15 else NONE if len(digits) >= 7 else NO
-        code = digits.removeprefix("00")
-        known = YES if value.startswith(("+", "00")) and code.startswith(CALLING) else NONE if value.startswith("(") else NO
-    context = YES if CONTEXT[KINDS[kind]].search(f"{text[max(0, start - CONTEXT_CHARS) : start]} ") else NONE
-    inside = bool(start and text[start - 1].isalnum()) or text[end : end + 1].isalnum()
-    shape = 2 * int(inside) + int(any(c in value for c in " -()"))
-    return ((strict * 3 + check) * 3 + known) * 3 + context, shape
+        known = (YES if digits.removeprefix("00").startswith(CALLING) else NO) if value.startswith(("+", "00")) else NONE
+    context = YES if CONTEXT[KINDS[kind]].search(f"{before} ") else NO if OTHER.search(before) else NONE
+    return [form, check, known, context]
+
+
+def pack_votes(said: list[int]) -> int:
+    return ((said[0] * 3 + said[1]) * 3 + said[2]) * 3 + said[3]
+
+
+def span_features(kind: int, text: str, start: int, end: int, said: list[int]) -> list[int]:
+    """Places of what the span model sees: words on both sides, the value's shape, votes."""
+    before, after = text[max(0, start - CONTEXT_CHARS) : start].lower(), text[end : end + CONTEXT_CHARS].lower()
+    left, right = WORD.findall(before)[-3:], WORD.findall(after)[:2]
+    value = text[start:end]
+    shape = re.sub(r"[A-Za-z]+", "a", re.sub("[0-9]+", lambda m: f"9{min(len(m[0]), 6)}", value))[:40]
+    found = [f"l{len(left) - i}={w}" for i, w in enumerate(left)] + [f"l={w}" for w in left] + [f"r={w}" for w in right]
+    found += [f"s={shape}", f"n={len(digits_of(value))}", f"b={before[-1:]}", f"e={after[:1]}", *(f"v{j}={v}" for j, v in enumerate(said))]
+    return sorted({xxhash.xxh32_intdigest(f) & (PLACES - 1) for f in found})
+
+
+def spans_of(text: str) -> list[dict]:
+    """Base spans and candidates of a text, with votes and features."""
+    spans = dict.fromkeys(base_spans(text), True)
+    for s in wide_spans(text):
+        spans.setdefault(s, False)
+    out = []
+    for (kind, a, b), base in spans.items():
+        said = votes(kind, text, a, b)
+        out.append({"kind": kind, "start": a, "end": b, "votes": pack_votes(said), "base": base, "held": span_features(kind, text, a, b, said)})
+    return out
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and its candidates, base spans among them: one row per input row."""
 
-    def find(text: str) -> list[dict]:
-        spans = dict.fromkeys(base_spans(text), True)
-        for s in wide_spans(text):
-            spans.setdefault(s, False)
-        out = []
-        for (kind, a, b), base in spans.items():
-            v, shape = votes(kind, text, a, b, base)
-            out.append({"kind": kind, "start": a, "end": b, "votes": v, "shape": shape, "base": base})
-        return out
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.int32()), ("shape", pa.int32()), ("base", pa.bool_())]))
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.int32()), ("base", pa.bool_()), ("held", pa.list_(pa.int32()))]))
         for batch in batches:
             # Every pattern needs an ASCII digit or an at sign, spelled or not.
             may = pc.match_substring_regex(batch.column(1), r"[0-9@]|[\[(]at[\])]").to_pylist()
-            found = [find(t.as_py()) if m else [] for m, t in zip(may, batch.column(1), strict=True)]
+            found = [spans_of(t.as_py()) if m else [] for m, t in zip(may, batch.column(1), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(found, kind)], ["doc_id", "found"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty(F.col("text"))).mapInArrow(add, f"doc_id long, found array<{CANDIDATE}>")
@@ -169,43 +203,42 @@ def reliabilities(counts: dict[int, float], rounds: int = 60) -> tuple[float, np
     return float(prior), table, dict(zip(patterns, map(float, belief), strict=True))
 
 
-def span_features(v: int, shape: int) -> np.ndarray:
-    said = unpack(v)
-    return np.array([1.0, *(float(s == YES) for s in said), *(float(s == NO) for s in said), float(shape & 1), float(shape >> 1)])
+def train_classifier(held: list[list[int]], target: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model of hashed features (and an intercept), fitted to the posteriors."""
+    lengths = np.array([len(h) for h in held])
+    x = Sparse(np.repeat(np.arange(len(held)), lengths), np.concatenate([np.asarray(h, dtype=np.int64) for h in held]), np.ones((len(held), 1)), PLACES)
+    return fit_linear(x, target)
 
 
-def train_classifier(counts: dict[tuple[int, int], float], posterior: dict[int, float], rounds: int = 400) -> np.ndarray:
-    """Logistic model of votes and shape for one kind, fitted to the posteriors, weighted by counts."""
-    keys = sorted(counts)
-    x = np.array([span_features(*k) for k in keys])
-    n = np.array([counts[k] for k in keys])
-    y = np.array([posterior[v] for v, _ in keys])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
-        h = (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (n * (y - p)) - w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def fit(found: DataFrame) -> dict[tuple[int, int, int], float]:
-    """Probability by (kind, votes, shape), over every candidate of the table."""
-    c = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.shape").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 * 81 * 4 rows
-    out = {}
+def fit(found: DataFrame) -> dict[int, np.ndarray]:
+    """The span model of each kind that has candidates: reliabilities from all of them, weights from a bounded sample."""
+    spans = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*")
+    counts = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 4 * 81 rows
+    models = {}
     for kind in range(len(KINDS)):
-        own = {(r["votes"], r["shape"]): float(r["n"]) for r in c if r["kind"] == kind}
+        own = {r["votes"]: float(r["n"]) for r in counts if r["kind"] == kind}
         if not own:
             continue
-        by_votes: dict[int, float] = {}
-        for (v, _), n in own.items():
-            by_votes[v] = by_votes.get(v, 0.0) + n
-        _, _, posterior = reliabilities(by_votes)
-        w = train_classifier(own, posterior)
-        out |= {(kind, v, shape): 1 / (1 + math.exp(-float(span_features(v, shape) @ w))) for v, shape in own}
-    return out
+        _, _, posterior = reliabilities(own)
+        sample = spans.filter(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "start", "end"), "doc_id", "start", "end").limit(MAX_TRAINING_SPANS).select("votes", "held").collect()
+        models[kind] = train_classifier([r["held"] for r in sample], np.array([posterior[r["votes"]] for r in sample]))
+    return models
+
+
+def choose(spans: list[dict], models: dict[int, np.ndarray], accept: float) -> list[tuple[int, int, int]]:
+    """Base spans and accepted candidates as (kind, start, end); of overlapping candidates the more probable, then longer, then first one."""
+    kept = [(c["kind"], c["start"], c["end"]) for c in spans if c["base"]]
+    more = []
+    for c in spans:
+        if not c["base"] and c["kind"] in models and unpack(c["votes"])[1] != NO:
+            w = models[c["kind"]]
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[c["held"]].sum() + w[PLACES])))))
+            if p >= accept:
+                more.append((-p, c["start"] - c["end"], c["start"], c["kind"], c["end"]))
+    for _, _, a, kind, b in sorted(more):
+        if all(b <= s or a >= e for _, s, e in kept):
+            kept.append((kind, a, b))
+    return sorted(kept, key=lambda s: (s[1], s[0], s[2]))
 
 
 def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -215,56 +248,42 @@ def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     probable one stays, then the longer, then the first.
     """
     found = materialize(candidates(docs), "candidates")
-    chance = fit(found)
+    models = fit(found)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(spans, key=lambda s: (s[1], s[0], s[2]))]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
         for batch in batches:
-            base, every = [], []
-            for found in batch.column(1).to_pylist():
-                kept = [(c["kind"], c["start"], c["end"]) for c in found or [] if c["base"]]
-                base.append(told(kept))
-                more = [(chance[c["kind"], c["votes"], c["shape"]], c) for c in found or [] if not c["base"]]
-                kept = list(kept)
-                for p, c in sorted(more, key=lambda x: (-x[0], x[1]["start"] - x[1]["end"], x[1]["start"], x[1]["kind"])):
-                    if p >= accept and all(c["end"] <= a or c["start"] >= b for _, a, b in kept):
-                        kept.append((c["kind"], c["start"], c["end"]))
-                every.append(told(kept))
-            yield pa.record_batch([batch.column(0), pa.array(base, span), pa.array(every, span)], ["doc_id", "base", "spans"])
+            rows = [r or [] for r in batch.column(1).to_pylist()]
+            base = [told(choose([c for c in r if c["base"]], {}, accept)) for r in rows]
+            yield pa.record_batch([batch.column(0), pa.array(base, span), pa.array([told(choose(r, models, accept)) for r in rows], span)], ["doc_id", "base", "spans"])
 
-    return found.mapInArrow(choose, "doc_id long, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>")
+    return found.mapInArrow(add, "doc_id long, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The same columns and rows, with each detected span of a text replaced by its kind in brackets.
 
-    Rows that repeat both doc_id and text have the same spans. A null doc_id or text stays as it is.
+    Rows that repeat both doc_id and text have the same spans. A null doc_id or text stays as it is;
+    an empty table gives none.
     """
-    # Added spans depend on the text and corpus counts only, so they are looked up by value, not joined.
-    chance = fit(materialize(candidates(docs), "candidates"))
+    # Added spans depend on the text and the models only, so they are found again by value, not joined.
+    found = materialize(candidates(docs), "candidates")
+    models = fit(found)
+    discard(found)
 
     @F.pandas_udf("string")
     def mask(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([redact_text(t, chance) if isinstance(t, str) else None for t in texts])
+        return pd.Series([redact_text(t, models) if isinstance(t, str) else None for t in texts])
 
     return docs.withColumn("text", F.when(F.col("text").rlike(r"[0-9@]|[\[(]at[\])]"), mask("text")).otherwise(F.col("text")))
 
 
-def redact_text(text: str, chance: dict[tuple[int, int, int], float], accept: float = ACCEPT) -> str:
-    kept = base_spans(text)
-    known, more = set(kept), []
-    for kind, a, b in wide_spans(text):
-        if (kind, a, b) not in known:
-            p = chance.get((kind, *votes(kind, text, a, b, False)), 0.0)
-            more.append((-p, a - b, a, kind, b))
-    for p, _, a, kind, b in sorted(more):
-        if -p >= accept and all(b <= s or a >= e for _, s, e in kept):
-            kept.append((kind, a, b))
+def redact_text(text: str, models: dict[int, np.ndarray], accept: float = ACCEPT) -> str:
     out, at = [], 0
-    for kind, a, b in sorted(kept, key=lambda s: (s[1], -s[2])):
+    for kind, a, b in sorted(choose(spans_of(text), models, accept), key=lambda s: (s[1], -s[2])):
         if a >= at:
             out += [text[at:a], f"<{KINDS[kind].upper()}>"]
         at = max(at, b)
