@@ -1,14 +1,15 @@
 """WARC archives as a Python data source, and deduplicated archiving of pages.
 
-``spark.read.format("warc")`` plans one partition per archive file (large uncompressed files
-aren't cut: a record's start is known only from the record before it; write many files). Predicates
-on headers are pushed down. A record's header is parsed first; if a predicate rules it out, or the
-read wants no payloads, an uncompressed file is sought past the block; a compressed one is
-inflated past it, and only not kept.
+``spark.read.format("warc")`` plans a partition per archive file; large files are cut by bytes where
+an offset index lies beside them (``<archive>.idx``: the records' places, as this writer leaves it).
+Predicates on headers are pushed down. A record's header is parsed first; if a predicate rules it
+out, or the read wants no payloads, the rest of it is passed over: an uncompressed record by a
+seek, a compressed one with an index too, for only the first bytes of its gzip member are inflated.
+A compressed file of others, without an index, has to be inflated to find where records end.
 
 Options of a read: ``path`` (a file or folder of any file system that pyarrow opens), ``payload``
-("false" leaves payloads null). Options of a write: ``path``, ``compression`` ("gzip", a member a
-record, or "none").
+("false" leaves payloads null), ``split_bytes``. Options of a write: ``path``, ``compression``
+("gzip", a member a record, or "none").
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_ur
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 BATCH_BYTES = 8 << 20
+#: Bytes of an indexed archive in one partition, about; bytes inflated at a time while a header is read.
+SPLIT_BYTES, HEADER_BYTES = 128 << 20, 256
 
 
 def file_system(path: str):
@@ -74,52 +79,91 @@ def read_header(f) -> tuple[str, dict[str, str]] | None:
     return first.decode("utf-8", "replace").strip(), fields
 
 
-def read_records(f, wanted, payloads: bool, skip) -> Iterator[dict]:
-    """Records whose header ``wanted`` accepts. ``skip(n)`` passes over n bytes of ``f``."""
-    while (head := read_header(f)) is not None:
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {head[0][:80]!r}")
-        fields = head[1]
-        row: dict = {column: fields.get(name.lower()) for column, name in HEADERS.items()}
-        row["content_length"] = length = int(row["content_length"] or 0)
-        if not wanted(row):
+def read_record(f, wanted, payloads: bool, skip) -> dict | bool:
+    """The next record, True for one whose header ``wanted`` refuses, False at the end. ``skip(n)`` passes over n bytes of ``f``."""
+    head = read_header(f)
+    if head is None:
+        return False
+    if not head[0].startswith("WARC/"):
+        raise ValueError(f"not a WARC record: {head[0][:80]!r}")
+    fields = head[1]
+    row: dict = {column: fields.get(name.lower()) for column, name in HEADERS.items()}
+    row["content_length"] = length = int(row["content_length"] or 0)
+    if not wanted(row):
+        skip(length)
+        return True
+    row |= {"payload": None, "payload_length": None}
+    if not fields.get("content-type", "").startswith("application/http"):
+        row["payload_length"] = length
+        if payloads:
+            row["payload"] = f.read(length)
+        else:
             skip(length)
+        return row
+    http = io.BytesIO()
+    left = length
+    while left > 0:  # the HTTP header only
+        line = f.readline(left)
+        left -= len(line)
+        http.write(line)
+        if line in (b"\r\n", b"\n", b""):
+            break
+    http.seek(0)
+    said = read_header(http)
+    row["payload_length"] = int(said[1].get("content-length", left)) if said else left
+    if row["record_type"] == "revisit" or not payloads:
+        skip(left)
+    else:
+        row["payload"] = f.read(left)
+    return row
+
+
+class Member:
+    """A gzip member of known length, inflated only as far as it is read."""
+
+    def __init__(self, raw, length: int) -> None:  # noqa: ANN001
+        self.raw, self.left, self.z, self.held, self.inflated = raw, length, zlib.decompressobj(31), b"", 0
+
+    def _more(self, n: int) -> bool:
+        data = self.z.unconsumed_tail
+        if not data and self.left > 0:
+            data = self.raw.read(min(self.left, 1 << 16))
+            self.left -= len(data)
+        out = self.z.decompress(data, n)
+        self.inflated += len(out)
+        self.held += out
+        return bool(data)
+
+    def _take(self, n: int) -> bytes:
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+    def readline(self, limit: int = -1) -> bytes:
+        while (at := self.held.find(b"\n")) < 0 and not 0 <= limit <= len(self.held) and self._more(HEADER_BYTES):
             continue
-        row |= {"payload": None, "payload_length": None}
-        if not fields.get("content-type", "").startswith("application/http"):
-            row["payload_length"] = length
-            if payloads:
-                row["payload"] = f.read(length)
-            else:
-                skip(length)
-            yield row
+        n = at + 1 if at >= 0 else len(self.held)
+        return self._take(min(n, limit) if limit >= 0 else n)
+
+    def read(self, n: int) -> bytes:
+        while len(self.held) < n and self._more(n - len(self.held)):
             continue
-        http = io.BytesIO()
-        left = length
-        while left > 0:  # the HTTP header only
-            line = f.readline(left)
-            left -= len(line)
-            http.write(line)
-            if line in (b"\r\n", b"\n", b""):
-                break
-        http.seek(0)
-        said = read_header(http)
-        row["payload_length"] = int(said[1].get("content-length", left)) if said else left
-        if row["record_type"] == "revisit" or not payloads:
-            skip(left)
-        else:
-            row["payload"] = f.read(left)
-        yield row
+        return self._take(n)
 
 
 @dataclass
-class ArchiveFile(InputPartition):
+class ArchivePart(InputPartition):
+    """The records of a file that begin within its bytes lo to hi; the whole file if it has no index."""
+
     path: str
+    indexed: bool
+    lo: int
+    hi: int
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.payloads, self.filters = options["path"], options.get("payload", "true").lower() != "false", []
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Takes comparisons of header columns with literals; hands back the rest."""
@@ -135,9 +179,18 @@ class WarcReader(DataSourceReader):
         system, path = file_system(self.path)
         info = system.get_file_info(path)
         if info.type == fs.FileType.File:
-            return [ArchiveFile(path)]
-        found = system.get_file_info(fs.FileSelector(path, recursive=True))
-        return [ArchiveFile(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
+            found = [info, *(x for x in [system.get_file_info(f"{path}.idx")] if x.is_file)]
+        else:
+            found = system.get_file_info(fs.FileSelector(path, recursive=True))
+        indexes = {x.path for x in found if x.is_file and x.path.endswith(".idx")}
+        parts = []
+        for x in sorted(found, key=lambda x: x.path):
+            if x.is_file and x.base_name.endswith((".warc", ".warc.gz")):
+                indexed = f"{x.path}.idx" in indexes
+                size = max(1, x.size)
+                step = self.split_bytes if indexed else size
+                parts += [ArchivePart(x.path, indexed, lo, min(lo + step, size)) for lo in range(0, size, step)]
+        return parts
 
     def wanted(self, row: dict) -> bool:
         for f in self.filters:
@@ -152,12 +205,22 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema()
+    def records(self, partition: ArchivePart) -> Iterator[dict]:
         system, _ = file_system(self.path)
-        rows, size = [], 0
+        zipped = partition.path.endswith(".gz")
         with system.open_input_file(partition.path) as raw:
-            if partition.path.endswith(".gz"):
+            if partition.indexed:
+                with system.open_input_file(f"{partition.path}.idx") as f:
+                    edges = np.frombuffer(f.read(), dtype="<i8")  # one file's records and its end
+                data = io.BufferedReader(raw, 1 << 16)
+                first, last = np.searchsorted(edges[:-1], [partition.lo, partition.hi])
+                for a, b in zip(edges[first:last].tolist(), edges[first + 1 : last + 1].tolist(), strict=True):
+                    data.seek(a)
+                    row = read_record(Member(data, b - a) if zipped else data, self.wanted, self.payloads, lambda n: None)
+                    if isinstance(row, dict):
+                        yield row
+                return
+            if zipped:
                 f = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20)
 
                 def skip(n: int) -> None:
@@ -166,12 +229,19 @@ class WarcReader(DataSourceReader):
             else:
                 f = io.BufferedReader(raw, 1 << 16)
                 skip = lambda n: f.seek(n, io.SEEK_CUR)
-            for row in read_records(f, self.wanted, self.payloads, skip):
-                rows.append(row)
-                size += 300 + len(row["payload"] or b"")
-                if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows, size = [], 0
+            while (row := read_record(f, self.wanted, self.payloads, skip)) is not False:
+                if row is not True:
+                    yield row
+
+    def read(self, partition: ArchivePart) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema()
+        rows, size = [], 0
+        for row in self.records(partition):
+            rows.append(row)
+            size += 300 + len(row["payload"] or b"")
+            if size > BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -183,44 +253,58 @@ def arrow_schema() -> pa.Schema:
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    name: str
     records: int
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """One archive per task, under a name of its own; files of failed attempts are removed by abort."""
+    """One archive per task, with its offset index, under names that readers look for only once the job commits.
+
+    An overwrite removes what was there before only then. What failed attempts of the job left is
+    removed at its end, whichever way it ends.
+    """
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.gzip = options["path"], options.get("compression", "gzip") == "gzip"
+        self.path, self.gzip, self.overwrite = options["path"], options.get("compression", "gzip") == "gzip", overwrite
+        self.job, self.end = uuid.uuid4().hex, ".warc.gz" if self.gzip else ".warc"
         system, path = file_system(self.path)
         system.create_dir(path, recursive=True)
-        if overwrite:
-            system.delete_dir_contents(path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, folder = file_system(self.path)
-        name = f"{folder}/{uuid.uuid4().hex}"
-        end, n = ".warc.gz" if self.gzip else ".warc", 0
-        with system.open_output_stream(f"{name}.part", compression=None) as f:
+        name, edges = f"{self.job}-{uuid.uuid4().hex}", [0]
+        with system.open_output_stream(f"{folder}/{name}.part", compression=None) as f:
             for batch in iterator:
                 for i in range(batch.num_rows):
                     data = record_bytes({c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)})
-                    f.write(gzip.compress(data, 4, mtime=0) if self.gzip else data)
-                    n += 1
-        return Written(f"{name}{end}", n)
+                    data = gzip.compress(data, 4, mtime=0) if self.gzip else data
+                    f.write(data)
+                    edges.append(edges[-1] + len(data))
+        with system.open_output_stream(f"{folder}/{name}.idx.part", compression=None) as f:
+            f.write(np.array(edges, dtype="<i8").tobytes())
+        return Written(name, len(edges) - 1)
 
     def commit(self, messages: list[Written | None]) -> None:
-        """Only files of successful attempts get a name that readers look for."""
-        system, _ = file_system(self.path)
+        system, folder = file_system(self.path)
+        old = self._files(lambda name: name.endswith((".warc", ".warc.gz", ".idx"))) if self.overwrite else []
         for m in messages:
-            if m is not None:
-                system.move(m.path.split(".warc")[0] + ".part", m.path)
+            if m is not None:  # the index first: an archive that can be seen has its index
+                system.move(f"{folder}/{m.name}.idx.part", f"{folder}/{m.name}{self.end}.idx")
+                system.move(f"{folder}/{m.name}.part", f"{folder}/{m.name}{self.end}")
+        for path in old:
+            system.delete_file(path)
+        self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = file_system(self.path)
-        for m in messages:
-            if m is not None:
-                system.delete_file(m.path.split(".warc")[0] + ".part")
+        for path in self._files(lambda name: name.startswith(self.job) and name.endswith(".part")):
+            system.delete_file(path)
+
+    def _files(self, wanted) -> list[str]:  # noqa: ANN001
+        from pyarrow import fs
+
+        system, folder = file_system(self.path)
+        return [x.path for x in system.get_file_info(fs.FileSelector(folder)) if x.is_file and wanted(x.base_name)]
 
 
 class WarcDataSource(DataSource):

@@ -442,6 +442,54 @@ def test_warc_predicates_skip_payloads(spark, tmp_path):
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 21
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_unwanted_payloads_are_not_decoded(spark, tmp_path, monkeypatch, compression):
+    long = "".join(f"<p>{i * i % 977}</p>" for i in range(20_000))
+    d = spark.createDataFrame([(i, f"http://h/{i}", f"{i}{long}" if i % 2 else "same") for i in range(20)], "page_id long, url string, html string").coalesce(2)
+    warc.archive(d, str(tmp_path), compression=compression)
+    spent = []
+    plain = warc.Member._more
+    monkeypatch.setattr(warc.Member, "_more", lambda self, n: (before := self.inflated, plain(self, n), spent.append(self.inflated - before))[1])
+
+    def run(payload, kind, **options):
+        spent.clear()
+        r = warc.WarcReader({"path": str(tmp_path), "payload": payload, **options})
+        list(r.pushFilters([warc.EqualTo(("record_type",), kind)]))
+        parts = r.partitions()
+        return [row for p in parts for row in r.records(p)], sum(spent), len(parts)
+
+    rows, inflated, parts = run("true", "revisit")
+    assert len(rows) == 9 and inflated <= 20 * 1_500  # the headers of twenty records
+    rows, inflated, _ = run("false", "response")
+    assert len(rows) == 11 and all(r["payload"] is None and r["payload_length"] > 0 for r in rows) and inflated <= 20 * 1_500
+    rows, _, more = run("true", "response", split_bytes="5000")
+    assert more > parts and sorted(len(r["payload"]) for r in rows)[-10:] == sorted(len(f"{i}{long}") for i in range(1, 20, 2))
+    read = spark.read.format("warc").option("path", str(tmp_path)).option("split_bytes", 5_000).load()
+    assert read.count() == 20
+    for f in tmp_path.glob("*.idx"):  # archives of others have no index
+        f.rename(f.with_suffix(".gone"))
+    rows, _, without = run("true", "response")
+    assert without == parts and len(rows) == 11
+
+
+def test_warc_writer_leaves_nothing_half_done(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"http://h/{i}", f"page {i}") for i in range(10)], "page_id long, url string, html string")
+    warc.archive(d, str(tmp_path))
+    before = sorted(p.name for p in tmp_path.iterdir())
+    writer = warc.WarcWriter({"path": str(tmp_path)}, True)
+    rows = [{c: None for c in warc.arrow_schema().names} | {"record_type": "response", "record_id": "<urn:page:1>", "payload": b"x", "payload_length": 1}]
+    message = writer.write(iter([warc.pa.RecordBatch.from_pylist(rows, warc.arrow_schema())]))
+    writer.write(iter([]))  # an attempt whose message never comes
+    assert set(before) <= {p.name for p in tmp_path.iterdir()}
+    writer.abort([message])
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
+    message = writer.write(iter([warc.pa.RecordBatch.from_pylist(rows, warc.arrow_schema())]))
+    writer.write(iter([]))
+    writer.commit([message])
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"{message.name}.warc.gz", f"{message.name}.warc.gz.idx"]
+    assert [r["page_id"] for r in warc.page_records(spark, str(tmp_path)).collect()] == [1]
+
+
 def test_warc_round_trip(spark):
     got = {r["page_id"]: r for r in queries.QUERIES["op10_warc_round_trip"](spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
