@@ -4,12 +4,16 @@ Index. Each scan task cuts its documents into shards (bounded by documents and t
 row per shard: its documents, ordered by length, and the postings of each term. Nothing is
 shuffled. Document frequencies and the mean length are summed over all shards.
 
-Search. Queries go in blocks of bounded size, and a block is all that is broadcast; each shard
-is read once a block. Within a shard the terms that few of its documents hold are traversed whole.
-The terms that many hold aren't: their share of a document's score is bounded by the maxima of its
-block of documents, as in block-max WAND, and added up exactly only for documents whose bound
-reaches the k-th best score so far. Scores use global statistics, so the shards' top-k lists merge
-by a plain top-k per query.
+Search. One job: each task reads the query blocks, bounded files in the shared folder, one after
+another for each of its shards, so a shard and a block of queries are all that it holds. Within a
+shard a query's terms go by how many documents hold them. Lists of a single posting block are added
+up at once. Longer lists are cut into posting blocks with their maximal impact; lists that a
+quarter of the documents hold are kept as columns, with a maximum for each range of documents. The
+ranges' bounds are the sums of these maxima (as in block-max WAND, but all pivots are found at once
+instead of one at a time): the most promising ranges are scored first and set the threshold, the
+k-th best score so far; posting blocks that touch no range whose bound reaches it are never decoded,
+and columns are looked up only for documents whose own bound still does. Scores use global
+statistics, so the shards' top-k lists merge by a plain top-k per query.
 
 Terms are 64-bit hashes of lower-case words.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +32,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialize, or_empty, read_table
+from lumenfold.llm.common import materialize, or_empty, read_table, shared_dir
+from lumenfold.llm.warc import file_system
 
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS, SHARD_TOKENS = 8_192, 3_000_000
-#: Documents under one block maximum; a term is common in a shard if at least one in COMMON of its documents holds it.
-BLOCK_DOCS, COMMON = 64, 4
-#: Terms of the queries in one block, about: 16 bytes each are broadcast.
+#: Documents of a range, postings of a posting block; a term is kept as a column if at least one in COMMON of a shard's documents holds it.
+RANGE_DOCS, BLOCK_POSTINGS, COMMON = 64, 64, 4
+#: Ranges that are scored before the others, to set the threshold.
+FIRST_RANGES = 4
+#: Terms of the queries in one block, about: 16 bytes each are read at a time.
 QUERY_TERMS = 1_000_000
 DIGITS = 9
-NOTHING = (np.zeros(0, dtype=np.int64), np.zeros(0))
 WORDS = re.compile(r"\w+")
 SHARD = "shard long, docs binary, lengths binary, terms binary, starts binary, held binary, times binary"
 
@@ -123,7 +130,8 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         self.impact = tf * (K1 + 1) / (tf + norm[self.held])
         n, self.df = len(self.docs), np.diff(self.starts)
-        self.blocks = np.arange(n) // BLOCK_DOCS
+        self.range_of = np.arange(n) // RANGE_DOCS
+        self.ranges = int(self.range_of[-1]) + 1 if n else 0
         common = np.flatnonzero(self.df * COMMON >= n)
         self.column = np.full(len(self.terms), -1)
         self.column[common] = np.arange(len(common))
@@ -131,31 +139,72 @@ class Shard:
         for j, t in enumerate(common):
             a, b = self.starts[t], self.starts[t + 1]
             self.table[self.held[a:b], j] = self.impact[a:b]
-        self.maxima = np.maximum.reduceat(self.table, np.arange(0, n, BLOCK_DOCS), axis=0) if len(common) else np.zeros((int(self.blocks[-1]) + 1, 0))
+        self.maxima = np.maximum.reduceat(self.table, np.arange(0, n, RANGE_DOCS), axis=0) if len(common) else np.zeros((self.ranges, 0))
+        # Posting blocks: where they begin and end, their maximum, the ranges they touch.
+        self.n_blocks = -(-self.df // BLOCK_POSTINGS)
+        self.first_block = np.cumsum(self.n_blocks) - self.n_blocks
+        of_term = np.repeat(np.arange(len(self.df)), self.n_blocks)
+        self.begin = self.starts[of_term] + (np.arange(len(of_term)) - self.first_block[of_term]) * BLOCK_POSTINGS
+        self.end = np.minimum(self.begin + BLOCK_POSTINGS, self.starts[of_term + 1])
+        self.most = np.maximum.reduceat(self.impact, self.begin) if len(self.begin) else np.zeros(0)
+        self.lo, self.hi = self.held[self.begin] // RANGE_DOCS, self.held[self.end - 1] // RANGE_DOCS
+        self.decoded = self.asked = 0  # postings
 
     def look_up(self, terms: np.ndarray) -> np.ndarray:
         """The terms' numbers in this shard, -1 where it lacks one."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
 
+    def _decode(self, blocks: np.ndarray, weights: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+        """By document what the postings of these blocks add, within some ranges or everywhere."""
+        n = self.end[blocks] - self.begin[blocks]
+        postings = np.repeat(self.begin[blocks] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        docs, gain = self.held[postings], self.impact[postings] * np.repeat(weights, n)
+        self.decoded += len(postings)
+        if within is not None:
+            inside = within[docs // RANGE_DOCS]
+            docs, gain = docs[inside], gain[inside]
+        return np.bincount(docs, weights=gain, minlength=len(self.docs))
+
     def top(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of the best k that reach the floor, ties by doc_id; documents with score 0 aren't found."""
-        rare = self.column[at] < 0
-        t, w = at[rare], weights[rare]
-        n = self.df[t]
-        postings = np.repeat(self.starts[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        partial = np.bincount(self.held[postings], weights=self.impact[postings] * np.repeat(w, n), minlength=len(self.docs))
-        columns, w = self.column[at[~rare]], weights[~rare]
-        bound = partial + (self.maxima[:, columns] @ w)[self.blocks]
-        if len(bound) > k and np.count_nonzero(bound >= floor - 1e-6) > 4 * k:
-            # The k documents with the best bounds have a k-th best score that the result reaches.
-            few = np.argpartition(-bound, k - 1)[:k]
-            floor = max(floor, float((partial[few] + self.table[np.ix_(few, columns)] @ w).min()))
-        may = np.flatnonzero((bound >= floor - 1e-6) & (bound > 0))
-        score = np.round(partial[may] + self.table[np.ix_(may, columns)] @ w, DIGITS)
-        best = np.lexsort((self.docs[may], -score))[:k]
-        best = best[score[best] > 0]
-        return self.docs[may[best]], score[best]
+        column = self.column[at]
+        self.asked += int(self.df[at].sum())
+        short = (column < 0) & (self.n_blocks[at] == 1)
+        partial = self._decode(self.first_block[at[short]], weights[short])
+        rest = (column < 0) & ~short
+        n = self.n_blocks[at[rest]]
+        blocks = np.repeat(self.first_block[at[rest]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of_block, columns, w = np.repeat(weights[rest], n), column[column >= 0], weights[column >= 0]
+        most, lo, hi = self.most[blocks] * of_block, self.lo[blocks], self.hi[blocks]
+        from_columns = self.maxima[:, columns] @ w
+        spread = np.cumsum(np.bincount(lo, most, self.ranges + 1) - np.bincount(hi + 1, most, self.ranges + 1))[: self.ranges]
+        bound = np.maximum.reduceat(partial, np.arange(0, len(partial), RANGE_DOCS)) + spread + from_columns
+        found_docs, found = np.zeros(0, dtype=np.int64), np.zeros(0)
+        order = np.argsort(-bound, kind="stable")
+        for ranges in (order[:FIRST_RANGES], order[FIRST_RANGES:]):
+            if len(found) >= k:
+                floor = max(floor, float(found[k - 1]))
+            ranges = ranges[(bound[ranges] >= floor - 1e-6) & (bound[ranges] > 0)]
+            if not len(ranges):
+                continue
+            within = np.zeros(self.ranges, dtype=bool)
+            within[ranges] = True
+            upto = np.concatenate([[0], np.cumsum(within)])
+            touched = upto[hi + 1] > upto[lo]
+            exact = partial + self._decode(blocks[touched], of_block[touched], within) if touched.any() else partial
+            own = exact + from_columns[self.range_of]
+            may = np.flatnonzero(within[self.range_of] & (own >= floor - 1e-6) & (own > 0))
+            if len(may) > 4 * k:  # the documents with the best bounds have a k-th best score that the result reaches
+                few = may[np.argpartition(-own[may], k - 1)[:k]]
+                least = float((exact[few] + self.table[np.ix_(few, columns)] @ w).min())
+                may = may[own[may] >= max(floor, least) - 1e-6]
+            score = np.round(exact[may] + self.table[np.ix_(may, columns)] @ w, DIGITS)
+            docs, score = np.concatenate([found_docs, self.docs[may]]), np.concatenate([found, score])
+            best = np.lexsort((docs, -score))[:k]
+            found_docs, found = docs[best], score[best]
+        good = (found > 0) & (found >= floor - 1e-6)
+        return found_docs[good], found[good]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, query_terms_in_block: int = QUERY_TERMS) -> DataFrame:
@@ -177,41 +226,47 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, query_terms_in_bl
     q = q.withColumn("weight", F.col("qtf") * rare).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"))
     q = materialize(q.select("query_id", F.col("terms.term").alias("terms"), F.col("terms.weight").alias("weights"), F.size("terms").alias("n")), "queries")
     blocks = max(1, math.ceil((q.agg(F.sum("n")).first()[0] or 0) / query_terms_in_block))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = None
-    for block in range(blocks):
-        rows = q.filter(F.col("block") == block).select("query_id", "terms", "weights").toArrow()  # about query_terms_in_block terms
-        ids, lengths = rows.column(0).to_numpy(), rows.column(1).combine_chunks().value_lengths().to_numpy()
-        flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
-        sent = spark.sparkContext.broadcast((ids, np.concatenate([[0], np.cumsum(lengths)]), flat(1), flat(2)))
-        hits = index.drop("shard").mapInArrow(_searcher(sent, mean_length, k), "query_id long, doc_id long, score double")
-        hits = materialize(hits, "hits")
-        found = hits if found is None else found.union(hits)
+    path = f"{shared_dir(spark)}/query-blocks-{uuid.uuid4().hex}"
+    q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(path)
+    found = materialize(index.drop("shard").mapInArrow(_searcher(path, blocks, mean_length, k), "query_id long, doc_id long, score double"), "hits")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _searcher(sent, mean_length: float, k: int):  # noqa: ANN001, ANN202
+def _block(path: str, block: int) -> tuple[np.ndarray, ...] | None:
+    """Query ids, where their terms begin, terms and weights of a block; None for an empty one."""
+    system, folder = file_system(f"{path}/block={block}")
+    from pyarrow import fs, parquet
+
+    if system.get_file_info(folder).type == fs.FileType.NotFound:
+        return None
+    t = parquet.read_table(folder, filesystem=system, columns=["query_id", "terms", "weights"], partitioning=None).combine_chunks()
+    terms, weights = (t.column(c).combine_chunks() for c in ("terms", "weights"))
+    edges = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
+    return t.column("query_id").to_numpy(), edges, terms.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False)
+
+
+def _searcher(path: str, blocks: int, mean_length: float, k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, edges, terms, weights = sent.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each query the best of the task's shards so far
+        held = (-1, None)
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard(*(batch.column(c)[i] for c in range(6)), mean_length)
-                at = shard.look_up(terms)
-                for j in range(len(ids)):
-                    own = at[edges[j] : edges[j + 1]]
-                    there = own >= 0
-                    if not there.any():
+                for number in range(blocks):
+                    if held[0] != number:
+                        held = (number, _block(path, number))
+                    if held[1] is None:
                         continue
-                    docs, score = best.get(j, NOTHING)
-                    more, gained = shard.top(own[there], weights[edges[j] : edges[j + 1]][there], k, score[-1] if len(score) == k else 0.0)
-                    docs, score = np.concatenate([docs, more]), np.concatenate([score, gained])
-                    order = np.lexsort((docs, -score))[:k]
-                    best[j] = docs[order], score[order]
-        if best:
-            rows = [(np.full(len(d), ids[j]), d, s) for j, (d, s) in best.items()]
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query_id", "doc_id", "score"])
+                    ids, edges, terms, weights = held[1]
+                    at, rows = shard.look_up(terms), []
+                    for j in range(len(ids)):
+                        own = at[edges[j] : edges[j + 1]]
+                        there = own >= 0
+                        if there.any():
+                            docs, score = shard.top(own[there], weights[edges[j] : edges[j + 1]][there], k)
+                            rows.append((np.full(len(docs), ids[j]), docs, score))
+                    if rows:
+                        yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query_id", "doc_id", "score"])
 
     return run
 

@@ -364,6 +364,28 @@ def test_search_against_brute_force(spark, documents):
         assert mine["doc_id"].tolist() == ids[best].tolist() and np.allclose(mine["score"], score[best])
 
 
+def test_blocks_that_cannot_reach_the_threshold_are_not_decoded(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(2_000)]
+    share = 1 / np.arange(1, 2_001)
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(20, 400)), p=share / share.sum()))) for i in range(4_000)]
+    index = bm25_search.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(index) == 1
+    shard = bm25_search.Shard(*(warc.pa.scalar(bytes(index[0][c]), warc.pa.binary()) for c in ("docs", "lengths", "terms", "starts", "held", "times")), 200.0)
+    for words in (("w40", "w900", "w60"), ("w30", "w50"), ("w1", "w35", "w1500"), ("w700",), ("w2", "w3")):
+        terms = np.unique(bm25_search.term_hashes(" ".join(words)))
+        at = shard.look_up(terms)
+        w = np.log(1 + (4_000 - shard.df[at] + 0.5) / (shard.df[at] + 0.5))
+        score = np.zeros(4_000)
+        for t, x in zip(at, w, strict=True):
+            a, b = shard.starts[t], shard.starts[t + 1]
+            score[shard.held[a:b]] += shard.impact[a:b] * x
+        best = np.lexsort((shard.docs, -np.round(score, 9)))[:10]
+        docs, got = shard.top(at, w, 10)
+        assert docs.tolist() == shard.docs[best].tolist() and np.allclose(got, score[best])
+    assert shard.decoded <= 0.6 * shard.asked
+
+
 def test_search_over_small_shards_and_query_blocks(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     q = d.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
