@@ -10,9 +10,12 @@ from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ranks import fresh, hash_ranked
+from lumenfold.operators.splits import folds
+
 SEED = 42
 
 
@@ -42,13 +45,14 @@ def permutation_importance(df: DataFrame, columns: list[int], repeats: int = 5,
     d = assembled(df)
     model = model or forest().fit(d)
     base = r2(model.transform(d))
-    place = d.withColumn("_k", F.row_number().over(Window.orderBy(key)))
+    k, n, v = fresh(d, "k", "n", "v")
+    place = hash_ranked(d, key, "place", k, n).drop(n)
     out = {}
     for c in columns:
         drops = []
         for r in range(repeats):
-            other = d.select(F.element_at("x", c + 1).alias("_v"), F.row_number().over(Window.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{c}_{r}"))))).alias("_k"))
-            moved = place.join(other, "_k").withColumn("x", F.transform("x", lambda v, i: F.when(i == c, F.col("_v")).otherwise(v)))
+            other = hash_ranked(d.select(key, F.element_at("x", c + 1).alias(v)), key, f"{c}_{r}", k, n).select(k, v)
+            moved = place.join(other, k).withColumn("x", F.transform("x", lambda x, i: F.when(i == c, F.col(v)).otherwise(x)))
             drops.append(base - r2(model.transform(moved.withColumn("features", array_to_vector("x")))))
         out[c] = sum(drops) / repeats
     return out
@@ -66,7 +70,7 @@ def drop_column_importance(df: DataFrame, columns: list[int], k: int = 3, key: s
 
 def fold_predictions(df: DataFrame, k: int = 5, key: str = "id", make: Callable[[], RandomForestRegressor] | None = None) -> DataFrame:
     """Adds out-of-fold ``prediction`` (unshuffled folds)."""
-    d = assembled(df).withColumn("fold", F.ntile(k).over(Window.orderBy(key)) - 1)
+    d = folds(assembled(df), key, k)
     out = None
     for i in range(k):
         p = (make or forest)().fit(d.filter(F.col("fold") != i)).transform(d.filter(F.col("fold") == i))

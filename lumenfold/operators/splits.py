@@ -1,17 +1,18 @@
 """Splits, folds and samples by hash order: the same in every run, engine and partitioning.
 
-A global order needs exact sizes, so a split ranks all keys once (one window over key and hash only);
+Exact sizes need exact ranks; they come from ``ranks``, bucket by bucket, so no task sees all rows.
 ``hashed_fraction`` gives approximate sizes without any shuffle, which is what very large tables want.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def order_key(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"_{seed}")))
+from lumenfold.operators.ranks import fresh, hash_ranked, key_ranked, order_key, tile
 
 
 def hashed_fraction(df: DataFrame, key: str, fractions: dict[str, float], seed: int = 42) -> DataFrame:
@@ -26,12 +27,10 @@ def hashed_fraction(df: DataFrame, key: str, fractions: dict[str, float], seed:
 
 def random_split(df: DataFrame, key: str, train: float = 0.8, validation: float = 0.1, seed: int = 42, strata: list[str] | None = None) -> DataFrame:
     """Adds ``split`` with exact sizes floor(n * share) per stratum; the rest is test."""
-    part = strata or []
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    place = F.row_number().over(Window.partitionBy(*part).orderBy(order_key(key, seed), key)) - 1
-    upto = lambda share: F.floor(F.col("_n") * share)
-    split = F.when(F.col("_place") < upto(train), "train").when(F.col("_place") < upto(train) + upto(validation), "validation").otherwise("test")
-    return df.withColumns({"_n": n, "_place": place}).withColumn("split", split).drop("_n", "_place")
+    n, place = fresh(df, "n", "place")
+    upto = lambda share: F.floor(F.col(n) * share)
+    split = F.when(F.col(place) < upto(train), "train").when(F.col(place) < upto(train) + upto(validation), "validation").otherwise("test")
+    return hash_ranked(df, key, seed, place, n, strata).withColumn("split", split).drop(n, place)
 
 
 def quartile_strata(df: DataFrame, value: str, name: str = "stratum") -> DataFrame:
@@ -42,16 +41,17 @@ def quartile_strata(df: DataFrame, value: str, name: str = "stratum") -> DataFra
 
 def internal_validation(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """Adds ``is_validation``: the first max(floor(n * share), 1) rows in hash order; fewer than 2 training rows are an error."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    k = F.greatest(F.floor(n * share), F.lit(1))
-    k = F.when(n - k >= 2, k).otherwise(F.raise_error(F.lit("fewer than 2 training rows")).cast("long"))
-    return df.withColumn("is_validation", F.row_number().over(Window.orderBy(order_key(key, seed), key)) <= k)
+    n, place = fresh(df, "n", "place")
+    k = F.greatest(F.floor(F.col(n) * share), F.lit(1))
+    k = F.when(F.col(n) - k >= 2, k).otherwise(F.raise_error(F.lit("fewer than 2 training rows")).cast("long"))
+    return hash_ranked(df, key, seed, place, n).withColumn("is_validation", F.col(place) < k).drop(n, place)
 
 
 def folds(df: DataFrame, key: str, k: int = 5, seed: int | None = None) -> DataFrame:
-    """Adds ``fold`` of equal sizes, by hash order or, without a seed, by key."""
-    order = [key] if seed is None else [order_key(key, seed), key]
-    return df.withColumn("fold", F.ntile(k).over(Window.orderBy(*order)) - 1)
+    """Adds ``fold`` of equal sizes, by hash order or, without a seed, by (numeric) key."""
+    n, place = fresh(df, "n", "place")
+    d = key_ranked(df, key, place, n) if seed is None else hash_ranked(df, key, seed, place, n)
+    return d.withColumn("fold", tile(F.col(place), F.col(n), k)).drop(n, place)
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -60,56 +60,81 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def bootstrap(df: DataFrame, key: str, runs: int) -> DataFrame:
     """(run, weight) per row: Poisson(1) weights by hash; out of bag where 0."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("run")), F.lit(1 << 30)) / float(1 << 30)
+    d = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("_"), F.col("run").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     weight, mass, upto = F.lit(0), 0.36787944117144233, 0.36787944117144233
     for k in range(1, 9):
         weight = weight + (u >= upto).cast("int")
         mass /= k
         upto += mass
-    return df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("weight", weight)
+    return d.withColumn("weight", weight)
 
 
 def learning_curve(df: DataFrame, key: str, sizes: list[int], seeds: list[int]) -> DataFrame:
-    """(size, seed) subsets: the first ``size`` rows in each seed's hash order, nested within a seed."""
-    d = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("_"), F.col("seed").cast("string"))), key)))
-    return d.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col("_k") <= F.col("size")).drop("_k")
+    """(size, seed) subsets: the first ``size`` rows in each seed's hash order, nested within a seed.
+
+    Sizes are parameters, so each seed keeps its first ``max(sizes)`` rows only, found by a partial top-n.
+    """
+    out = None
+    for seed in seeds:
+        h, place = fresh(df, "h", "place")
+        first = df.withColumn(h, order_key(key, seed)).orderBy(h, key).limit(max(sizes)).drop(h)
+        n = fresh(first, place, "n")[1]
+        part = hash_ranked(first, key, seed, place, n).withColumn("seed", F.lit(seed)).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).filter(F.col(place) < F.col("size")).drop(place, n)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _dealt(df: DataFrame, group: str, column: str, kind: str, deal: Callable[[], Callable[[int], object]]) -> DataFrame:
+    """Adds to each row what ``deal`` gives its group: it sees the groups' sizes, largest first, one after another.
 
+    Sequential by nature: one task sorts the table of groups (two columns, spilled as needed) and
+    streams it by; its state is what ``deal`` keeps. The result is joined back on the group.
+    """
+    g, n = fresh(df, "g", "n")
+    sizes = df.groupBy(F.col(group).alias(g)).agg(F.count(F.lit(1)).alias(n)).repartition(1).sortWithinPartitions(F.col(n).desc(), g)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        put = deal()
+        for pdf in frames:
+            yield pd.DataFrame({g: pdf[g], column: [put(int(x)) for x in pdf[n]]})
 
-def _packed(sizes: DataFrame, start: Column, step) -> DataFrame:  # noqa: ANN001
-    """One row with the groups' array after a sequential fold; groups go largest first."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "g", "n")))
-    return sizes.agg(F.aggregate(ordered, start, step).alias("s"))
+    named = sizes.mapInPandas(run, f"`{g}` {df.schema[group].dataType.simpleString()}, `{column}` {kind}")
+    return df.join(named, F.col(group).eqNullSafe(F.col(g))).drop(g)
 
 
 def group_split(df: DataFrame, group: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
     """Adds ``split``, whole groups each, largest first: train while it fits, then validation, else test.
 
-    Sequential by nature, over one row per group: a group that doesn't fit goes on to the next split
-    while smaller ones after it may still fit.
+    A group that doesn't fit goes on to the next split while smaller ones after it may still fit.
     """
-    sizes = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    total = df.count()
     a, b = total * train, total * (train + validation)
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<struct<g:string,split:string>>").alias("out"))
 
-    def put(s: Column, x: Column) -> Column:
-        to_a, to_b = s["a"] + x["n"] <= a, s["a"] + s["b"] + x["n"] <= b
-        name = F.when(to_a, "train").when(to_b, "validation").otherwise("test")
-        return F.struct((s["a"] + F.when(to_a, x["n"]).otherwise(0)).alias("a"), (s["b"] + F.when(~to_a & to_b, x["n"]).otherwise(0)).alias("b"), F.concat(s["out"], F.array(F.struct(x["g"].cast("string").alias("g"), name.alias("split")))).alias("out"))
+    def deal() -> Callable[[int], str]:
+        held = {"train": 0, "validation": 0}
+
+        def put(n: int) -> str:
+            name = "train" if held["train"] + n <= a else "validation" if held["train"] + held["validation"] + n <= b else "test"
+            held[name] = held.get(name, 0) + n
+            return name
 
-    named = _packed(sizes, start, put).select(F.explode("s.out").alias("o")).select("o.*")
-    return df.join(named, F.col(group).cast("string").eqNullSafe(F.col("g"))).drop("g")
+        return put
+
+    return _dealt(df, group, "split", "string", deal)
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Adds ``fold``: groups, largest first, each to the lightest fold (the first among equals)."""
-    sizes = df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<struct<g:string,fold:int>>").alias("out"))
 
-    def put(s: Column, x: Column) -> Column:
-        at = F.array_position(s["load"], F.array_min(s["load"])).cast("int")
-        return F.struct(F.transform(s["load"], lambda v, i: v + F.when(i + 1 == at, x["n"]).otherwise(0)).alias("load"), F.concat(s["out"], F.array(F.struct(x["g"].cast("string").alias("g"), (at - 1).alias("fold")))).alias("out"))
+    def deal() -> Callable[[int], int]:
+        load = [0] * k
+
+        def put(n: int) -> int:
+            at = load.index(min(load))
+            load[at] += n
+            return at
+
+        return put
 
-    named = _packed(sizes, start, put).select(F.explode("s.out").alias("o")).select("o.*")
-    return df.join(named, F.col(group).cast("string").eqNullSafe(F.col("g"))).drop("g")
+    return _dealt(df, group, "fold", "int", deal)

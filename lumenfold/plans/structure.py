@@ -59,17 +59,31 @@ def learning_curve(spark, sf):
     return d.groupBy("size", "seed").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-@query("group_split")
+@query("group_split", """WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source NULLS FIRST) AS k FROM documents GROUP BY 1), t AS (SELECT count(*) AS total FROM documents),
+r AS (SELECT 0::BIGINT AS k, 0::BIGINT AS a, 0::BIGINT AS b, NULL::VARCHAR AS source, NULL::BIGINT AS n, NULL::VARCHAR AS split UNION ALL
+  SELECT g.k, a + CASE WHEN a + g.n <= total * 0.8 THEN g.n ELSE 0 END, b + CASE WHEN a + g.n > total * 0.8 AND a + b + g.n <= total * (0.8 + 0.1) THEN g.n ELSE 0 END, g.source, g.n,
+    CASE WHEN a + g.n <= total * 0.8 THEN 'train' WHEN a + b + g.n <= total * (0.8 + 0.1) THEN 'validation' ELSE 'test' END FROM r JOIN g ON g.k = r.k + 1, t)
+SELECT source, split, n FROM r WHERE k > 0""")
 def group_split(spark, sf):
     return S.group_split(table(spark, sf, "documents").select("doc_id", "source"), "source").groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("group_folds")
+@query("group_folds", """WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source NULLS FIRST) AS k FROM documents GROUP BY 1),
+r AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::VARCHAR AS source, NULL::BIGINT AS n, NULL::INT AS fold UNION ALL
+  SELECT g.k, list_transform(load, lambda v, i: v + CASE WHEN i = list_position(load, list_min(load)) THEN g.n ELSE 0 END), g.source, g.n, (list_position(load, list_min(load)) - 1)::INT FROM r JOIN g ON g.k = r.k + 1)
+SELECT source, fold, n FROM r WHERE k > 0""")
 def group_folds(spark, sf):
     return S.group_folds(table(spark, sf, "documents").select("doc_id", "source"), "source").groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("bootstrap_weights")
+_POISSON, _MASS = [0.36787944117144233], 0.36787944117144233
+for _k in range(1, 8):
+    _MASS /= _k
+    _POISSON.append(_POISSON[-1] + _MASS)
+
+
+@query("bootstrap_weights", f"""WITH u AS (SELECT run, ('0x' || substr(md5(c_custkey::VARCHAR || '_' || run::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u FROM customer, range(10) t(run)),
+w AS (SELECT run, {' + '.join(f'(u >= {p!r}::DOUBLE)::INT' for p in _POISSON)} AS weight FROM u) SELECT run::INT AS run, sum(weight)::BIGINT AS drawn, count(*) FILTER (WHERE weight = 0) AS out_of_bag FROM w GROUP BY 1""")
 def bootstrap_weights(spark, sf):
     b = S.bootstrap(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 10)
     return b.groupBy("run").agg(F.sum("weight").alias("drawn"), F.count_if(F.col("weight") == 0).alias("out_of_bag"))
