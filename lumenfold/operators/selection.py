@@ -46,6 +46,14 @@ def top_features(scores: DataFrame, n: int, groups: list[str] | None = None) ->
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def two_stage(screen: DataFrame, scores: DataFrame, budget: int, factor: int = 3) -> DataFrame:
+    """(rep, pos, score, rank): a cheap score (rep, pos, score) screens ``factor * budget`` features, a better one ranks them."""
+    order = [F.desc("score"), F.desc("rep"), F.desc("pos")]
+    kept = screen.orderBy(*order).limit(factor * budget).select("rep", "pos")
+    best = scores.join(kept, ["rep", "pos"], "left_semi").orderBy(*order).limit(budget)
+    return best.select("rep", "pos", "score", F.row_number().over(Window.orderBy(*order)).alias("rank"))  # ``budget`` rows
+
+
 def allocate(scores: DataFrame, budget: int) -> DataFrame:
     """(rep, score, width, n): the budget shared by score, rounded half to even, capped by width.
 
