@@ -4,9 +4,9 @@ Index. Each scan task cuts its documents into shards (bounded by documents and t
 row per shard: its documents, ordered by length, and the postings of each term. Nothing is
 shuffled. Document frequencies and the mean length are summed over all shards.
 
-Search. One job: each task reads the query blocks, bounded files in the shared folder, one after
-another for each of its shards, so a shard and a block of queries are all that it holds. Within a
-shard a query's terms go by how many documents hold them. Lists of a single posting block are added
+Search. One job: each task goes through the query blocks, bounded files in the shared folder, and
+for each through the shards of its split of the index, so that split and a block of queries are all
+that it holds; the best of a query so far set the threshold in the next shard. Within a shard a query's terms go by how many documents hold them. Lists of a single posting block are added
 up at once. Longer lists are cut into posting blocks with their maximal impact; lists that a
 quarter of the documents hold are kept as columns, with a maximum for each range of documents. The
 ranges' bounds are the sums of these maxima (as in block-max WAND, but all pivots are found at once
@@ -45,6 +45,7 @@ FIRST_RANGES = 4
 #: Terms of the queries in one block, about: 16 bytes each are read at a time.
 QUERY_TERMS = 1_000_000
 DIGITS = 9
+NOTHING = (np.zeros(0, dtype=np.int64), np.zeros(0))
 WORDS = re.compile(r"\w+")
 SHARD = "shard long, docs binary, lengths binary, terms binary, starts binary, held binary, times binary"
 
@@ -248,25 +249,30 @@ def _block(path: str, block: int) -> tuple[np.ndarray, ...] | None:
 
 def _searcher(path: str, blocks: int, mean_length: float, k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (-1, None)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = Shard(*(batch.column(c)[i] for c in range(6)), mean_length)
-                for number in range(blocks):
-                    if held[0] != number:
-                        held = (number, _block(path, number))
-                    if held[1] is None:
+        rows = [tuple(batch.column(c)[i] for c in range(6)) for batch in batches for i in range(batch.num_rows)]  # the task's split of the index
+        only = Shard(*rows[0], mean_length) if len(rows) == 1 else None
+        for number in range(blocks):
+            block = _block(path, number) if rows else None
+            if block is None:
+                continue
+            ids, edges, terms, weights = block
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each query of the block the best of the task's shards so far
+            for row in rows:
+                shard = only or Shard(*row, mean_length)
+                at = shard.look_up(terms)
+                for j in range(len(ids)):
+                    own = at[edges[j] : edges[j + 1]]
+                    there = own >= 0
+                    if not there.any():
                         continue
-                    ids, edges, terms, weights = held[1]
-                    at, rows = shard.look_up(terms), []
-                    for j in range(len(ids)):
-                        own = at[edges[j] : edges[j + 1]]
-                        there = own >= 0
-                        if there.any():
-                            docs, score = shard.top(own[there], weights[edges[j] : edges[j + 1]][there], k)
-                            rows.append((np.full(len(docs), ids[j]), docs, score))
-                    if rows:
-                        yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["query_id", "doc_id", "score"])
+                    docs, score = best.get(j, NOTHING)
+                    more, gained = shard.top(own[there], weights[edges[j] : edges[j + 1]][there], k, score[-1] if len(score) == k else 0.0)
+                    docs, score = np.concatenate([docs, more]), np.concatenate([score, gained])
+                    order = np.lexsort((docs, -score))[:k]
+                    best[j] = docs[order], score[order]
+            if best:
+                found = [(np.full(len(d), ids[j]), d, s) for j, (d, s) in best.items()]
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "doc_id", "score"])
 
     return run
 
