@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -156,5 +157,9 @@ def region(numbered: Column, start: int, end: int) -> Column:
 
 def at_positions(numbered: Column, positions: list[int]) -> Column:
     """The letter at each position; a dash where there is none."""
-    m = F.map_from_entries(numbered)
-    return F.array(*(F.coalesce(F.element_at(m, F.lit(p)), F.lit("-")) for p in positions))
+    return once(F.map_from_entries(numbered), lambda m: F.array(*(F.coalesce(F.element_at(m, F.lit(p)), F.lit("-")) for p in positions)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -142,7 +142,7 @@ def humanness(spark, sf):
 
 @query("numbered_regions", f"WITH {AA} SELECT doc_id, substr(seq, 27, 12) AS cdr1, substr(seq, 56, 10) AS cdr2, substr(seq, 105, 13) AS cdr3, CASE WHEN length(seq) >= 40 THEN substr(seq, 40, 1) ELSE '-' END || CASE WHEN length(seq) >= 500 THEN substr(seq, 500, 1) ELSE '-' END AS picked FROM aas")
 def numbered_regions(spark, sf):
-    n = F.length("seq")
-    numbered = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("position"), F.substr(F.col("seq"), i, F.lit(1)).alias("letter")))).otherwise(F.array().cast("array<struct<position:int,letter:string>>"))
+    letters = F.filter(F.split("seq", ""), lambda a: a != "")
+    numbered = F.transform(letters, lambda a, i: F.struct((i + 1).alias("position"), a.alias("letter")))
     d = proteins(spark, sf).withColumn("numbered", numbered)
     return d.select("doc_id", *(P.region(F.col("numbered"), a, b).alias(f"cdr{i + 1}") for i, (a, b) in enumerate(((27, 38), (56, 65), (105, 117)))), F.array_join(P.at_positions(F.col("numbered"), [40, 500]), "").alias("picked"))
