@@ -109,6 +109,65 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "row long, values array<double>")
 
 
+def write_matrix(df: DataFrame, path: str, vector: str) -> DataFrame:
+    """(file, rows): a NumPy matrix per partition, under a name that a repeated attempt writes again; ragged rows are refused."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+    from pyspark import TaskContext
+
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [v for pdf in frames for v in pdf[vector]]  # one partition is one file
+        if rows:
+            system, folder = file_system(path)
+            name = f"{folder}/part-{TaskContext.get().partitionId():05d}.npy"
+            with system.open_output_stream(name) as f:
+                np.save(f, np.array(rows, dtype=float), allow_pickle=False)
+            yield pd.DataFrame({"file": [name], "rows": [len(rows)]})
+
+    system, folder = file_system(path)
+    system.create_dir(folder, recursive=True)
+    return df.select(vector).mapInPandas(save, "file string, rows long")
+
+
+def file_system(path: str):  # noqa: ANN201
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where it is unset and the master is local."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_named_runs(df: DataFrame, path: str, keys: tuple[str, str, str]) -> None:
+    """One CSV file MODEL_REP_STRATEGY.csv per value of the keys, whose rows are few (a row per noise level) and written by its task."""
+    import pandas as pd
+
+    system, folder = file_system(path)
+    system.create_dir(folder, recursive=True)
+
+    def save(pdf: pd.DataFrame) -> pd.DataFrame:
+        system, folder = file_system(path)
+        name = "_".join(str(pdf[k].iloc[0]) for k in keys)
+        with system.open_output_stream(f"{folder}/{name}.csv") as f:
+            f.write(pdf.drop(columns=list(keys)).to_csv(index=False).encode())
+        return pd.DataFrame({"file": [f"{name}.csv"]})
+
+    df.groupBy(*keys).applyInPandas(save, "file string").count()
+
+
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """Read-through cache: a Parquet table that is made where it is missing."""
     from pyspark.errors import AnalysisException
