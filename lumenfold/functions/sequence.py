@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,25 +137,42 @@ def one_hot(s: Column, length: int, alphabet: str = BASES) -> Column:
 
 
 def kmer_counts(df: DataFrame, key: str, column: str, k: int = 6, lower: bool = True, normalize: bool = True) -> DataFrame:
-    """(key, kmer, value), long form: only k-mers over the four bases; shares of the row's total over all k if normalized.
+    """(key, kmer, n, value), long form: only k-mers over the four bases; shares of the row's total over all k if normalized.
 
-    Exploded k-mers are counted per row before anything is shuffled.
+    A row's k-mers are counted where the row is, in Arrow batches, and only distinct ones leave it:
+    nothing is shuffled. Rows that repeat a key are counted each for itself.
     """
     sizes = range(1, k + 1) if lower else [k]
-    # A substring at place i of UTF-8 text is found by reading up to i, an array element isn't.
-    letters = df.select(key, F.split(column, "").alias("_l"))
-
-    def grams_of(n: int) -> Column:
-        joined = F.transform(F.sequence(F.lit(0), F.size("_l") - n), lambda i: F.concat(*(F.get("_l", i + m) for m in range(n))))
-        return F.when(F.size("_l") >= n, joined).otherwise(F.array().cast("array<string>"))
-
-    # explode_outer: for explode, Catalyst adds a filter on the array's size below, which makes the array twice.
-    grams = letters.select(key, F.explode_outer(F.concat(*map(grams_of, sizes))).alias("kmer")).filter((F.col("kmer") != "") & (F.translate("kmer", BASES, "") == ""))
-    counts = grams.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
-    if not normalize:
-        return counts.withColumn("value", F.col("n").cast("double"))
-    total = counts.groupBy(key).agg(F.sum("n").alias("_t"))
-    return counts.join(total, key).withColumn("value", F.col("n") / F.col("_t")).drop("_t")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = np.full(256, -1, dtype=np.int64)
+        code[[ord(b) for b in BASES]] = range(4)
+        names = {n: np.array(["".join(p) for p in product(BASES, repeat=n)]) for n in sizes if n <= 8}
+        for batch in batches:
+            rows, grams, counts, totals = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                c = code[np.frombuffer((text or "").encode("ascii", "replace"), dtype=np.uint8)]
+                found = []
+                for n in sizes:
+                    if len(c) >= n:
+                        number, good = np.zeros(len(c) - n + 1, dtype=np.int64), np.ones(len(c) - n + 1, dtype=bool)
+                        for m in range(n):
+                            part = c[m : len(c) - n + 1 + m]
+                            number, good = number * 4 + part, good & (part >= 0)
+                        at, times = np.unique(number[good], return_counts=True)
+                        found.append((names[n][at] if n in names else ["".join(BASES[(x >> (2 * (n - 1 - m))) & 3] for m in range(n)) for x in at.tolist()], times))
+                total = sum(int(t.sum()) for _, t in found)
+                for name, times in found:
+                    grams.extend(name)
+                    counts.append(times)
+                    rows.append(np.full(len(times), i))
+                    totals.append(np.full(len(times), total))
+            if grams:
+                yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(grams, pa.string()), pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(totals), pa.int64())], [key, "kmer", "n", "total"])
+
+    d = df.select(key, column)
+    counts = d.mapInArrow(count, f"`{key}` {d.schema[key].dataType.simpleString()}, kmer string, n long, total long")
+    return counts.select(key, "kmer", "n", (F.col("n") / F.col("total") if normalize else F.col("n").cast("double")).alias("value"))
 
 
 GC = ("gc", "skew", "at", "purine", "gc_variance", "gc_max", "gc_min")

@@ -6,6 +6,8 @@ Everything is grouped by graph, so graphs spread over tasks; refinement and dist
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +20,29 @@ def refinement_histogram(edges: DataFrame, labels: DataFrame, rounds: int = 5) -
     """(g, label, n): counts of the labels "round_label" that neighbourhood refinement gives.
 
     ``labels`` is (g, node, label). A round's label is the node's label and its neighbours' sorted
-    labels, hashed so that its length stays bounded. Isolated nodes refine to their own label.
+    labels, hashed so that its length stays bounded. Isolated nodes refine to their own label. A
+    graph is small and travels as one row: one shuffle for all rounds.
     """
-    now = labels.select("g", "node", F.col("label").cast("string").alias("label"))
-    out = now.select("g", F.concat(F.lit("0_"), "label").alias("label"))
-    for r in range(1, rounds + 1):
-        around = edges.join(now.select("g", F.col("node").alias("dst"), F.col("label").alias("_l")), ["g", "dst"]).groupBy("g", F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("_l")), "_").alias("_around"))
-        now = now.join(around, ["g", "node"], "left").select("g", "node", F.md5(F.concat_ws("|", "label", F.coalesce("_around", F.lit("")))).alias("label"))
-        out = out.union(now.select("g", F.concat(F.lit(f"{r}_"), "label").alias("label")))
-    return out.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+
+    def refine(parts: list) -> Counter:
+        now = {p["src"]: p["label"] for p in parts if p["label"] is not None}
+        near: dict[int, list[int]] = {}
+        for p in parts:
+            if p["label"] is None and p["src"] in now and p["dst"] in now:
+                near.setdefault(p["src"], []).append(p["dst"])
+        found = Counter(f"0_{label}" for label in now.values())
+        for r in range(1, rounds + 1):
+            now = {v: hashlib.md5(f"{label}|{'_'.join(sorted(now[u] for u in near.get(v, ())))}".encode()).hexdigest() for v, label in now.items()}
+            found.update(f"{r}_{label}" for label in now.values())
+        return found
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([(g, label, n) for g, parts in zip(pdf["g"], pdf["parts"], strict=True) for label, n in refine(parts).items()], columns=["g", "label", "n"])
+
+    link = edges.select("g", F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.lit(None).cast("string").alias("label")).alias("p"))
+    node = labels.filter("label is not null").select("g", F.struct(F.col("node").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("label").cast("string").alias("label")).alias("p"))
+    return link.union(node).groupBy("g").agg(F.collect_list("p").alias("parts")).mapInPandas(run, "g long, label string, n long")
 
 
 def vocabulary_counts(histogram: DataFrame, vocabulary: DataFrame) -> DataFrame:

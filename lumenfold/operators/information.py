@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.neighbors import _matrix as distance_matrix
+from lumenfold.operators.neighbors import against_all, neighbors
 from lumenfold.operators.noise import with_scalar
-from lumenfold.operators.selection import long_form
 
 EULER = 0.5772156649015329
 
@@ -16,13 +20,24 @@ def mutual_information(df: DataFrame, x: str, y: str, k: int = 3, key: str = "id
     """One row: the k-nearest-neighbour estimate of the mutual information of two numbers.
 
     A row's radius is the Chebyshev distance of its k-th neighbour in the joint plane; counted are
-    the others nearer than that in each number. Quadratic in rows: meant for bounded samples.
+    the others nearer than that in each number. Work is quadratic in rows by nature; it goes block
+    against block, and a block gives out one row per row of its own.
     """
-    a, b = df.select(F.col(key).alias("_i"), F.col(x).alias("_x"), F.col(y).alias("_y")), df.select(F.col(key).alias("_j"), F.col(x).alias("_u"), F.col(y).alias("_v"))
-    p = a.join(b, F.col("_i") != F.col("_j")).select("_i", F.abs(F.col("_x") - F.col("_u")).alias("_dx"), F.abs(F.col("_y") - F.col("_v")).alias("_dy"))
-    p = p.withColumn("_r", F.row_number().over(Window.partitionBy("_i").orderBy(F.greatest("_dx", "_dy"))))
-    radius = p.filter(F.col("_r") == k).select("_i", F.greatest("_dx", "_dy").alias("_e"))
-    counts = p.join(radius, "_i").groupBy("_i").agg(F.count_if(F.col("_dx") < F.col("_e")).alias("_nx"), F.count_if(F.col("_dy") < F.col("_e")).alias("_ny"), F.count(F.lit(1)).alias("_m"))
+    d = df.select(F.col(key).alias("id"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("x"))
+    radius = neighbors(d, k, "chebyshev").filter(F.col("rank") == k).select("id", F.col("distance").alias("_e"))
+
+    def count(a: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        own, held, e = np.array(a["x"].tolist()), np.array(h["x"].tolist()), a["_e"].to_numpy()
+        out = []
+        for axis in (0, 1):  # others nearer than the radius, by a sorted search in the block
+            s = np.sort(held[:, axis])
+            n = np.array([(np.abs(s[max(0, i - 1) : j + 1] - v) < r).sum() for v, r, i, j in zip(own[:, axis], e, np.searchsorted(s, own[:, axis] - e), np.searchsorted(s, own[:, axis] + e, side="right"), strict=True)])
+            out.append(n)
+        same = np.isin(a["_id"].to_numpy(), h["_id"].to_numpy()) & (e > 0)
+        return pd.DataFrame({"_id": a["_id"].to_numpy(), "nx": out[0] - same, "ny": out[1] - same, "m": len(h) - np.isin(a["_id"].to_numpy(), h["_id"].to_numpy())})
+
+    rows = d.join(radius, "id").select(F.col("id").alias("_id"), "x", "_e")
+    counts = against_all(rows, count, "_id long, nx long, ny long, m long").groupBy("_id").agg(F.sum("nx").alias("_nx"), F.sum("ny").alias("_ny"), F.sum("m").alias("_m"))
     # digamma of a whole number n is the sum of 1 / i for i < n, less Euler's constant
     digamma = lambda n: F.aggregate(F.when(n > 1, F.sequence(F.lit(1), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(-EULER), lambda s, i: s + 1 / i)
     at_k = sum(1 / i for i in range(1, k)) - EULER
@@ -33,16 +48,62 @@ def mutual_information(df: DataFrame, x: str, y: str, k: int = 3, key: str = "id
 def silhouette(df: DataFrame, cluster: str, key: str = "id", vector: str = "x") -> DataFrame:
     """One row: mean over rows of (b - a) / max(a, b) by Euclidean distance; 0 for a cluster of one.
 
-    Distances to every other row: quadratic, meant for bounded samples.
+    Distances to every other row: quadratic work by nature, block against block; a block gives out,
+    for each row of its own, a sum of distances per cluster.
     """
-    from lumenfold.operators.neighbors import distance
 
-    a, b = df.select(F.col(key).alias("_i"), F.col(cluster).alias("_c"), F.col(vector).alias("_x")), df.select(F.col(key).alias("_j"), F.col(cluster).alias("_d"), F.col(vector).alias("_y"))
-    m = a.join(b, F.col("_i") != F.col("_j")).groupBy("_i", "_c", "_d").agg(F.avg(distance(F.col("_x"), F.col("_y"))).alias("_m"))
-    s = m.groupBy("_i").agg(F.max(F.when(F.col("_c") == F.col("_d"), F.col("_m"))).alias("_a"), F.min(F.when(F.col("_c") != F.col("_d"), F.col("_m"))).alias("_b"))
+    def sums(a: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        m = distance_matrix(np.array(a["_x"].tolist()), np.array(h["_x"].tolist()), "euclidean")
+        codes, names = pd.factorize(h["_c"])
+        total = np.zeros((len(a), len(names)))
+        np.add.at(total.T, codes, m.T)
+        n = np.bincount(codes, minlength=len(names))
+        i, j = np.indices(total.shape)
+        return pd.DataFrame({"_id": a["_id"].to_numpy()[i.ravel()], "_c": a["_c"].to_numpy()[i.ravel()], "_d": np.asarray(names)[j.ravel()], "s": total.ravel(), "n": n[j.ravel()]})
+
+    kind = df.schema[cluster].dataType.simpleString()
+    d = df.select(F.col(key).alias("_id"), F.col(cluster).alias("_c"), F.col(vector).alias("_x"))
+    m = against_all(d, sums, f"_id long, _c {kind}, _d {kind}, s double, n long").groupBy("_id", "_c", "_d").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = F.col("_c") == F.col("_d")
+    m = m.withColumn("_m", F.when(own & (F.col("n") > 1), F.col("s") / (F.col("n") - 1)).when(~own, F.col("s") / F.col("n")))
+    s = m.groupBy("_id").agg(F.max(F.when(own, F.col("_m"))).alias("_a"), F.min(F.when(~own, F.col("_m"))).alias("_b"))
     return s.agg(F.avg(F.when(F.col("_a").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))).alias("silhouette"))
 
 
+def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, sample covariance) of the components, from partial sums per batch: two arrays as wide as a vector reach the driver per task."""
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, mean, moment = 0, None, None
+        for pdf in frames:
+            if len(pdf):  # sums about a running mean, so that they don't cancel
+                x = np.array(pdf["x"].tolist(), dtype=float)
+                k, m = len(x), x.mean(axis=0)
+                c = (x - m).T @ (x - m)
+                if mean is None:
+                    n, mean, moment = k, m, c
+                else:
+                    gap = m - mean
+                    moment = moment + c + np.outer(gap, gap) * n * k / (n + k)
+                    n, mean = n + k, mean + gap * k / (n + k)
+        if n:
+            yield pd.DataFrame({"n": [n], "mean": [mean], "moment": [moment.ravel()]})
+
+    parts = df.select(F.col(vector).cast("array<double>").alias("x")).mapInPandas(partial, "n long, mean array<double>, moment array<double>").collect()
+    n, mean, moment = 0, None, None
+    for p in parts:
+        m, c = np.array(p["mean"]), np.array(p["moment"]).reshape(len(p["mean"]), -1)
+        if mean is None:
+            n, mean, moment = p["n"], m, c
+        else:
+            gap, k = m - mean, p["n"]
+            moment = moment + c + np.outer(gap, gap) * n * k / (n + k)
+            n, mean = n + k, mean + gap * k / (n + k)
+    if mean is None:
+        return np.zeros(0), np.zeros((0, 0))
+    return mean, moment / max(1, n - 1)
+
+
 def clusters(df: DataFrame, k: int, key: str = "id", vector: str = "x", seed: int = 42) -> DataFrame:
     """(key, cluster) by k-means."""
     from pyspark.ml.clustering import KMeans
@@ -54,16 +115,8 @@ def clusters(df: DataFrame, k: int, key: str = "id", vector: str = "x", seed: in
 
 def mahalanobis(df: DataFrame, key: str = "id", vector: str = "x", percentile: float = 0.9) -> DataFrame:
     """(key, distance, is_noise): squared distance from the mean under the covariance; the matrix is as wide as a vector."""
-    long = long_form(df, key, [vector]).select(key, "pos", "value")
-    n = df.count()
-    pairs = long.join(long.select(F.col(key), F.col("pos").alias("q"), F.col("value").alias("w")), key).filter("pos <= q").groupBy("pos", "q").agg(F.covar_samp("value", "w").alias("c"), F.avg("value").alias("m")).toPandas()
-    d = int(pairs["q"].max()) + 1
-    c, mean = np.zeros((d, d)), np.zeros(d)
-    for r in pairs.itertuples():
-        c[r.pos, r.q] = c[r.q, r.pos] = r.c
-        if r.pos == r.q:
-            mean[r.pos] = r.m
-    inverse = np.linalg.pinv(c) if n > 1 else np.eye(d)
+    mean, c = covariance(df, vector)
+    inverse = np.linalg.pinv(c) if c.any() else np.eye(len(mean))
     rows = F.array(*(F.array(*map(F.lit, map(float, row))) for row in inverse))
     centred = F.zip_with(vector, F.array(*map(F.lit, map(float, mean))), lambda a, b: a - b)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)

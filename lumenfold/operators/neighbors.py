@@ -9,6 +9,8 @@ window of k * blocks rows per id. For more rows than exact search can pay for, u
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,17 +107,65 @@ def neighbors(df: DataFrame, k: int, metric: str = "euclidean", key: str = "id",
     return ranked.select(F.col("_id").alias(key), F.col("_n").alias("neighbor"), F.col("_d").alias("distance"), "rank")
 
 
+def against_all(df: DataFrame, make: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS, groups: list[str] | None = None, asked: Column | None = None) -> DataFrame:
+    """``make(asked, held)`` for every two blocks of rows (with equal ``groups``): a block is bounded, so no task holds more than two.
+
+    ``df`` has the column ``_id``. A group's number of blocks follows from its size, so a hot one is
+    cut up. ``asked`` picks the rows that ask; all are held.
+    """
+    g = groups or []
+    sizes = df.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_m"))
+    d = (df.join(sizes, g) if g else df.crossJoin(F.broadcast(sizes))).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int"))
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    queries = (d if asked is None else d.filter(asked)).withColumns({"_i": F.col("_b"), "_j": F.col("_o"), "_q": F.lit(True)})
+    rows = d.withColumns({"_i": F.col("_o"), "_j": F.col("_b"), "_q": F.lit(False)})
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, h = pdf[pdf["_q"]], pdf[~pdf["_q"]]
+        return make(a, h) if len(a) and len(h) else pd.DataFrame({n: [] for n in names})
+
+    return queries.unionByName(rows).drop("_b", "_o", "_m").groupBy(*g, "_i", "_j").applyInPandas(run, schema)
+
+
 def pairs_within(df: DataFrame, radius: float, metric: str = "euclidean", groups: list[str] | None = None, key: str = "id", vector: str = "x", limit: int | None = None) -> DataFrame:
     """(groups, key, neighbor, distance) of pairs in a group closer than the radius, at most ``limit`` nearest per row."""
     g = groups or []
-    a, b = df.select(*g, F.col(key), F.col(vector).alias("_x")), df.select(*g, F.col(key).alias("neighbor"), F.col(vector).alias("_y"))
-    both = a.join(b, g) if g else a.join(b, F.col(key) != F.col("neighbor"))
-    near = both.filter(F.col(key) != F.col("neighbor")).withColumn("distance", distance(F.col("_x"), F.col("_y"), metric)).filter(F.col("distance") < radius).drop("_x", "_y")
+
+    def close(a: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        ai, hi = a["_id"].to_numpy(), h["_id"].to_numpy()
+        m = _matrix(np.array(a["_x"].tolist()), np.array(h["_x"].tolist()), metric)
+        m[ai[:, None] == hi[None, :]] = np.inf
+        i, j = np.nonzero(m < radius)
+        if limit is not None:  # of a block no more than the limit can be among the nearest
+            order = np.lexsort((hi[j], m[i, j], i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j = i[place < limit], j[place < limit]
+        out = {c: [a[c].iloc[0]] * len(i) for c in g}
+        return pd.DataFrame(out | {key: ai[i], "neighbor": hi[j], "distance": m[i, j]})
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in g)
+    near = against_all(df.select(*g, F.col(key).alias("_id"), F.col(vector).alias("_x")), close, f"{kinds}{key} long, neighbor long, distance double", groups=g)
     if limit is None:
         return near
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(*g, key).orderBy("distance", "neighbor"))).filter(F.col("_r") <= limit).drop("_r")
 
 
+def whitened(df: DataFrame, vector: str = "x") -> DataFrame:
+    """Vectors times the inverse root of their sample covariance: Euclidean distances between them are Mahalanobis distances.
+
+    The covariance, as wide as a vector, comes from one pass of partial sums.
+    """
+    from lumenfold.operators.information import covariance
+
+    _, c = covariance(df, vector)
+    values, axes = np.linalg.eigh(c)
+    root = axes @ np.diag(np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0)) @ axes.T
+    rows = F.array(*(F.array(*map(F.lit, map(float, r))) for r in root))
+    return df.withColumn(vector, F.transform(rows, lambda r: _dot(r, F.col(vector))))
+
+
 def standardize_vectors(df: DataFrame, vector: str = "x", weights: list[float] | None = None) -> DataFrame:
     """Components minus their mean over their population deviation (0 where that is 0), times the root of a weight."""
     stats = df.select(F.posexplode(vector).alias("_p", "_v")).groupBy("_p").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"))

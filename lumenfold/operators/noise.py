@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ranks import fresh, hash_ranked
+
 EPS = 1e-10
 
 
@@ -102,32 +104,38 @@ def scaled_score(df: DataFrame) -> DataFrame:
     return with_scalar(df, _lo=F.min("score"), _hi=F.max("score")).withColumn("_n", (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + EPS)).drop("_lo", "_hi")
 
 
-def weights(df: DataFrame, strength: float = 1.0, method: str = "inverse") -> DataFrame:
-    """Adds ``weight`` (mean 1) from scaled scores."""
-    n = F.col("_n")
-    forms = {"inverse": 1 / (1 + strength * n), "exponential": F.exp(-strength * n), "soft": F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - strength * n * n))}
-    if method not in forms:
-        raise ValueError(f"unknown weighting {method!r}; known: {sorted(forms)}")
-    d = scaled_score(df).withColumn("weight", forms[method])
-    return with_scalar(d, _m=F.avg("weight")).withColumn("weight", F.col("weight") / F.col("_m")).drop("_m", "_n")
+def weight_forms(n: Column, strength: float = 1.0) -> dict[str, Column]:
+    """A weight for a scaled score, by name."""
+    return {"inverse": 1 / (1 + strength * n), "exponential": F.exp(-strength * n), "soft": F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - strength * n * n))}
+
+
+def weights(df: DataFrame, strength: float = 1.0, method: str | tuple[str, ...] = "inverse") -> DataFrame:
+    """Adds ``weight`` (mean 1) from scaled scores; of several methods, given as a tuple, a column each by name."""
+    forms = weight_forms(F.col("_n"), strength)
+    methods = (method,) if isinstance(method, str) else method
+    if unknown := set(methods) - forms.keys():
+        raise ValueError(f"unknown weighting {sorted(unknown)}; known: {sorted(forms)}")
+    names = ["weight"] if isinstance(method, str) else list(methods)
+    d = scaled_score(df).withColumns({n: forms[m] for n, m in zip(names, methods, strict=True)})
+    means = {f"_m{i}": F.avg(n) for i, n in enumerate(names)}
+    return with_scalar(d, **means).withColumns({n: F.col(n) / F.col(f"_m{i}") for i, n in enumerate(names)}).drop(*means, "_n")
 
 
-def smooth(df: DataFrame, alpha: float = 0.5, method: str = "proportional") -> DataFrame:
-    """Adds ``y_smooth``: labels moved towards ``target`` by their scores."""
+def smooth(df: DataFrame, alpha: float = 0.5, method: str | tuple[str, ...] = "proportional") -> DataFrame:
+    """Adds ``y_smooth``: labels moved towards ``target`` by their scores; of several methods, given as a tuple, a column each by name."""
     d, n, y, t = scaled_score(df), F.col("_n"), F.col("y"), F.col("target")
-    if method == "proportional":
-        out = y + alpha * n * (t - y)
-    elif method == "soft_threshold":
-        out = y + alpha / (1 + F.exp(-5 * (n - 0.5))) * (t - y)
-    elif method == "confidence":
-        c = alpha * F.col("score") / (1 + alpha * F.col("score"))
-        out = (1 - c) * y + c * t
-    elif method == "threshold":
+    c = alpha * F.col("score") / (1 + alpha * F.col("score"))
+    forms = {
+        "proportional": y + alpha * n * (t - y), "soft_threshold": y + alpha / (1 + F.exp(-5 * (n - 0.5))) * (t - y), "confidence": (1 - c) * y + c * t,
+        "threshold": F.when(n > F.col("_cut"), (1 - alpha) * y + alpha * t).otherwise(y),
+    }
+    methods = (method,) if isinstance(method, str) else method
+    if unknown := set(methods) - forms.keys():
+        raise ValueError(f"unknown smoothing {sorted(unknown)}; known: {sorted(forms)}")
+    if "threshold" in methods:
         d = with_scalar(d, _cut=F.percentile("_n", F.lit(1 - alpha)))
-        out = F.when(n > F.col("_cut"), (1 - alpha) * y + alpha * t).otherwise(y)
-    else:
-        raise ValueError(f"unknown smoothing {method!r}")
-    return d.withColumn("y_smooth", out).drop("_n", "_cut")
+    names = ["y_smooth"] if isinstance(method, str) else list(methods)
+    return d.withColumns({x: forms[m] for x, m in zip(names, methods, strict=True)}).drop("_n", "_cut")
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -140,29 +148,70 @@ def normal(key: Column, seed: str) -> Column:
     return F.sqrt(-2 * F.log(uniform(key, f"{seed}a"))) * F.cos(2 * 3.141592653589793 * uniform(key, f"{seed}b"))
 
 
-def inject(rows: DataFrame, sigma: float, strategy: str = "legacy", seed: str = "0", key: str = "id") -> DataFrame:
-    """Adds ``y_noisy``; unknown strategies are plain normal noise."""
+STRATEGIES = ("legacy", "outlier", "quantile", "hetero", "threshold", "valprop")
+
+
+def inject(rows: DataFrame, sigma: float, strategy: str | tuple[str, ...] = "legacy", seed: str = "0", key: str = "id") -> DataFrame:
+    """Adds ``y_noisy``; of several strategies, given as a tuple, a column each by name. Unknown strategies are plain normal noise.
+
+    Outliers are the first twentieth of the rows, at least one, in hash order.
+    """
+    names = ["y_noisy"] if isinstance(strategy, str) else list(strategy)
+    strategies = (strategy,) if isinstance(strategy, str) else strategy
     z = normal(F.col(key), seed)
-    d = with_scalar(rows, _s=F.stddev_pop("y"), _m=F.avg("y"), _q=F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), _k=F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 0.05)))
-    y, plain = F.col("y"), z * sigma * F.col("_s")
-    if strategy == "outlier":
-        u = uniform(F.col(key), f"{seed}o")
-        chosen = d.withColumn("_u", u).orderBy("_u", key).limit(max(1, int(0.05 * rows.count()))).select(key).withColumn("_out", F.lit(True))
-        d = d.join(chosen, key, "left")
-        noise = plain * F.when(F.col("_out"), 5.0).otherwise(1.0)
-    elif strategy == "quantile":
-        noise = plain * F.when((y < F.element_at("_q", 1)) | (y > F.element_at("_q", 3)), 2.0).otherwise(1.0)
-    elif strategy == "hetero":
-        noise = z * sigma * F.abs(y - F.col("_m"))
-    elif strategy == "threshold":
-        noise = plain * F.when(y > F.element_at("_q", 2), 1.5).otherwise(1.0)
-    elif strategy == "valprop":
-        noise = z * sigma * (F.abs(y) + 0.1)
-    else:
-        noise = plain
-    return d.withColumn("y_noisy", y + noise).drop("_s", "_m", "_q", "_k", "_out")
-
-
-def flip(rows: DataFrame, probability: float, seed: str = "0", key: str = "id", label: str = "label") -> DataFrame:
-    """Adds ``label_noisy``: 0/1 labels flipped with this probability."""
-    return rows.withColumn("label_noisy", F.when(uniform(F.col(key), seed) < probability, 1 - F.col(label)).otherwise(F.col(label)))
+    s, m, q = fresh(rows, "s", "m", "q")
+    d = with_scalar(rows, **{s: F.stddev_pop("y"), m: F.avg("y"), q: F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
+    place, n = fresh(d, "place", "n")
+    if "outlier" in strategies:
+        d = hash_ranked(d, key, f"{seed}o", place, n)
+    y, plain = F.col("y"), z * sigma * F.col(s)
+    noise = {
+        "outlier": lambda: plain * F.when(F.col(place) < F.greatest(F.lit(1), F.floor(F.col(n) * 0.05)), 5.0).otherwise(1.0),
+        "quantile": lambda: plain * F.when((y < F.element_at(q, 1)) | (y > F.element_at(q, 3)), 2.0).otherwise(1.0), "hetero": lambda: z * sigma * F.abs(y - F.col(m)),
+        "threshold": lambda: plain * F.when(y > F.element_at(q, 2), 1.5).otherwise(1.0), "valprop": lambda: z * sigma * (F.abs(y) + 0.1),
+    }
+    return d.withColumns({x: y + noise.get(t, lambda: plain)() for x, t in zip(names, strategies, strict=True)}).drop(s, m, q, place, n)
+
+
+def flip(rows: DataFrame, probability: float, seed: str = "0", key: str = "id", label: str = "label", strategy: str = "uniform") -> DataFrame:
+    """Adds ``label_noisy``: 0/1 labels flipped with this probability, by hash of the key.
+
+    ``binary_asymmetric``: ones flip with the probability, zeros with half of it. ``class_imbalance``:
+    a label flips with the probability times twice the share of the other class, so that the rarer
+    class loses more of its labels.
+    """
+    p = {"uniform": F.lit(probability), "binary_asymmetric": F.when(F.col(label) == 1, probability).otherwise(probability / 2)}
+    d = rows
+    if strategy == "class_imbalance":
+        ones = fresh(rows, "ones")[0]
+        d = with_scalar(rows, **{ones: F.avg(F.col(label).cast("double"))})
+        p[strategy] = 2 * probability * F.when(F.col(label) == 1, 1 - F.col(ones)).otherwise(F.col(ones))
+    if strategy not in p:
+        raise ValueError(f"unknown flips {strategy!r}; known: uniform, binary_asymmetric, class_imbalance")
+    return d.withColumn("label_noisy", F.when(uniform(F.col(key), seed) < p[strategy], 1 - F.col(label)).otherwise(F.col(label))).select(*rows.columns, "label_noisy")
+
+
+#: Detectors by name: what each needs of (rows, near) and its options.
+DETECTORS = {"knn_consistency": knn_consistency, "distance_weighted": distance_weighted, "consensus": consensus, "lof": lof_noise, "z_score": lambda rows, near, **options: z_score(rows, **options)}
+
+
+def detect(method: str, rows: DataFrame, near: DataFrame | None = None, **options: object) -> DataFrame:
+    """Flags noise by a named detector; an unknown name is an error."""
+    if method not in DETECTORS:
+        raise ValueError(f"unknown detector {method!r}; known: {sorted(DETECTORS)}")
+    if near is None and method != "z_score":
+        raise ValueError(f"{method} needs a neighbour table")
+    return DETECTORS[method](rows, near, **options)
+
+
+def conformal_widths(predicted: DataFrame, alpha: float = 0.1, calibration: float = 0.2, seed: str = "42", key: str = "id", y: str = "y", p: str = "y_pred", unc: str = "unc") -> DataFrame:
+    """Adds ``width`` (twice the calibration rows' (1 - alpha) quantile of |y - p| / unc, times unc) and ``score`` (width over its deviation).
+
+    Calibration rows are the first ``floor(n * calibration)`` in hash order.
+    """
+    place, n, cut, s = fresh(predicted, "place", "n", "cut", "s")
+    d = hash_ranked(predicted, key, seed, place, n)
+    ratio = F.abs(F.col(y) - F.col(p)) / (F.col(unc) + EPS)
+    d = with_scalar(d, **{cut: F.percentile(F.when(F.col(place) < F.floor(F.col(n) * calibration), ratio), F.lit(1 - alpha))})
+    d = d.withColumn("width", 2 * F.col(cut) * F.col(unc))
+    return with_scalar(d, **{s: F.stddev_pop("width") + EPS}).withColumn("score", F.col("width") / F.col(s)).drop(place, n, cut, s)

@@ -95,22 +95,16 @@ _SCALED = f"WITH {_knn('cosine', 10)}, {_STATS}, e AS (SELECT id, y, abs(y - nbr
 SELECT id, round(a / avg(a) OVER (), 6) AS inverse, round(b / avg(b) OVER (), 6) AS exponential, round(c / avg(c) OVER (), 6) AS soft FROM w""")
 def weights_from_scores(spark, sf):
     d = Z.estimate(*_near(spark, sf, 10, "cosine")).select("id", "y", "score", "target")
-    out = None
-    for m in ("inverse", "exponential", "soft"):
-        w = Z.weights(d, method=m).select("id", F.col("weight").alias(m))
-        out = w if out is None else out.join(w, "id")
-    return rounded(out)
+    methods = ("inverse", "exponential", "soft")
+    return rounded(Z.weights(d, method=methods).select("id", *methods))
 
 
 @query("smooth_labels", _SCALED + """SELECT id, round(y + 0.5 * n * (target - y), 6) AS proportional, round(CASE WHEN n > quantile_cont(n, 0.5) OVER () THEN 0.5 * y + 0.5 * target ELSE y END, 6) AS threshold,
   round(y + 0.5 / (1 + exp(-5 * (n - 0.5))) * (target - y), 6) AS soft_threshold, round((1 - 0.5 * score / (1 + 0.5 * score)) * y + 0.5 * score / (1 + 0.5 * score) * target, 6) AS confidence FROM n""")
 def smooth_labels(spark, sf):
     d = Z.estimate(*_near(spark, sf, 10, "cosine")).select("id", "y", "score", "target")
-    out = None
-    for m in ("proportional", "threshold", "soft_threshold", "confidence"):
-        w = Z.smooth(d, method=m).select("id", F.col("y_smooth").alias(m))
-        out = w if out is None else out.join(w, "id")
-    return rounded(out)
+    methods = ("proportional", "threshold", "soft_threshold", "confidence")
+    return rounded(Z.smooth(d, method=methods).select("id", *methods))
 
 
 @query("hybrid_noise_score", f"""WITH {_knn('cosine', 10)}, {_STATS}, e AS (SELECT id, abs(y - nbr_mean) / (s + 1e-10) AS a, abs(y - nbr_mean) / (nbr_std + 1e-10) AS b FROM r)
@@ -131,11 +125,7 @@ _NOISE = {"legacy": "z * 0.3 * s", "quantile": "z * 0.3 * s * CASE WHEN y < q[1]
 @query("inject_noise", f"""WITH {VEC}, g AS (SELECT stddev_pop(y) AS s, avg(y) AS m, quantile_cont(y, [0.25, 0.5, 0.75]) AS q, count(*) AS c FROM vecs), d AS (SELECT id, y, s, m, q, c, {_NORMAL} AS z, row_number() OVER (ORDER BY {_u('7o')}, id) AS k FROM vecs, g)
 SELECT id, {', '.join(f'round(y + {e}, 6) AS {n}' for n, e in _NOISE.items())} FROM d""")
 def inject_noise(spark, sf):
-    rows, out = vectors(spark, sf).select("id", "y"), None
-    for m in _NOISE:
-        w = Z.inject(rows, 0.3, m, "7").select("id", F.col("y_noisy").alias(m))
-        out = w if out is None else out.join(w, "id")
-    return rounded(out)
+    return rounded(Z.inject(vectors(spark, sf).select("id", "y"), 0.3, tuple(_NOISE), "7").select("id", *_NOISE))
 
 
 @query("flip_labels", f"SELECT doc_id, toxic, CASE WHEN {_u('3').replace('id::', 'doc_id::')} < 0.2 THEN 1 - toxic ELSE toxic END AS label_noisy FROM labels")
@@ -143,6 +133,46 @@ def flip_labels(spark, sf):
     return Z.flip(table(spark, sf, "labels").select("doc_id", "toxic"), 0.2, "3", "doc_id", "toxic")
 
 
+_DRAW = _u("3").replace("id::", "doc_id::")
+
+
+@query("flip_labels_asymmetric", f"SELECT doc_id, toxic, CASE WHEN {_DRAW} < CASE WHEN toxic = 1 THEN 0.4 ELSE 0.2 END THEN 1 - toxic ELSE toxic END AS label_noisy FROM labels")
+def flip_labels_asymmetric(spark, sf):
+    return Z.flip(table(spark, sf, "labels").select("doc_id", "toxic"), 0.4, "3", "doc_id", "toxic", "binary_asymmetric")
+
+
+@query("flip_labels_imbalanced", f"SELECT doc_id, toxic, CASE WHEN {_DRAW} < 0.4 * CASE WHEN toxic = 1 THEN 1 - avg(toxic) OVER () ELSE avg(toxic) OVER () END THEN 1 - toxic ELSE toxic END AS label_noisy FROM labels")
+def flip_labels_imbalanced(spark, sf):
+    return Z.flip(table(spark, sf, "labels").select("doc_id", "toxic"), 0.2, "3", "doc_id", "toxic", "class_imbalance")
+
+
+@query("conformal_widths", f"""WITH {VEC}, p AS (SELECT id, y, label::DOUBLE AS y_pred, 0.05 + abs(x[2]) AS unc FROM vecs), k AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR || '_42'), id) - 1 AS place, count(*) OVER () AS n FROM p),
+c AS (SELECT quantile_cont(abs(y - y_pred) / (unc + 1e-10), 0.9) AS q FROM k WHERE place < floor(n * 0.2)), w AS (SELECT id, 2 * q * unc AS width FROM p, c) SELECT id, round(width, 6) AS width, round(width / (stddev_pop(width) OVER () + 1e-10), 6) AS score FROM w""")
+def conformal_widths(spark, sf):
+    p = vectors(spark, sf).select("id", "y", F.col("label").cast("double").alias("y_pred"), (0.05 + F.abs(F.element_at("x", 2))).alias("unc"))
+    return rounded(Z.conformal_widths(p).select("id", "width", "score"))
+
+
+@query("detector_flags", f"WITH {_knn('euclidean', 15)}, {_STATS} SELECT 'distance_weighted' AS method, count(*) FILTER (WHERE abs(y - nbr_weighted) > 1.5 * s) AS flagged, count(*) AS n FROM r UNION ALL SELECT 'knn_consistency', count(*) FILTER (WHERE k), count(*) FROM (SELECT nbr_std > quantile_cont(nbr_std, 0.9) OVER () AS k FROM r) UNION ALL SELECT 'z_score', count(*) FILTER (WHERE k), count(*) FROM (SELECT abs(y - avg(y) OVER ()) > 1.5 * stddev_pop(y) OVER () AS k FROM vecs)")
+def detector_flags(spark, sf):
+    rows, near = _near(spark, sf, 15)
+    options = {"distance_weighted": {"deviations": 1.5}, "knn_consistency": {}, "z_score": {"limit": 1.5}}
+    out = None
+    for method, o in options.items():
+        part = Z.detect(method, rows, near, **o).agg(F.lit(method).alias("method"), F.count_if("is_noise").alias("flagged"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+_WHITE = f"{VEC}, m AS (SELECT covar_samp(x[1], x[1]) AS a, covar_samp(x[1], x[2]) AS b, covar_samp(x[2], x[2]) AS d FROM vecs), p AS (SELECT s.id, s.x[1] - t.x[1] AS u, s.x[2] - t.x[2] AS v FROM vecs s JOIN vecs t ON t.id = s.id + 1)"
+
+
+@query("mahalanobis_distance", f"WITH {_WHITE} SELECT id, round(sqrt((d * u * u - 2 * b * u * v + a * v * v) / (a * d - b * b)), 5) AS d FROM p, m")
+def mahalanobis_distance(spark, sf):
+    v = N.whitened(vectors(spark, sf).select("id", F.slice("x", 1, 2).alias("x")))
+    return rounded(v.join(v.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id").select("id", N.distance(F.col("x"), F.col("y")).alias("d")), 5)
+
+
 @query("activity_cliffs", f"""WITH {VEC}, p AS (SELECT a.id AS a, b.id AS b, list_distance(a.x, b.x) AS d, abs(a.y - b.y) AS dy FROM vecs a, vecs b), t AS (SELECT quantile_cont(d, 0.1) FILTER (WHERE a < b) AS ds, quantile_cont(dy, 0.9) AS da FROM p)
 SELECT a AS id, count(*) AS cliffs FROM p, t WHERE d < ds AND dy > da GROUP BY 1""")
 def activity_cliffs(spark, sf):
@@ -160,9 +190,9 @@ def standardized_distance(spark, sf):
     return rounded(v.join(v.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id").select("id", N.distance(F.col("x"), F.col("y")).alias("d")))
 
 
-@query("radius_pairs", f"WITH {VEC} SELECT label, id, neighbor, round(distance, 6) AS distance FROM (SELECT a.label, a.id, b.id AS neighbor, list_distance(a.x, b.x) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS k FROM vecs a JOIN vecs b ON a.label = b.label AND a.id <> b.id WHERE list_distance(a.x, b.x) < 1.35) WHERE k <= 8")
+@query("radius_pairs", f"WITH {VEC} SELECT label, id, neighbor, round(distance, 6) AS distance FROM (SELECT a.label, a.id, b.id AS neighbor, list_distance(a.x, b.x) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS k FROM vecs a JOIN vecs b ON a.label = b.label AND a.id <> b.id WHERE list_distance(a.x, b.x) < 1.35) WHERE k <= 32")
 def radius_pairs(spark, sf):
-    return rounded(N.pairs_within(vectors(spark, sf).select("label", "id", "x"), 1.35, groups=["label"], limit=8))
+    return rounded(N.pairs_within(vectors(spark, sf).select("label", "id", "x"), 1.35, groups=["label"], limit=32))
 
 
 @query("nearest_tanimoto", "WITH t AS (SELECT doc_id, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS g FROM documents WHERE text IS NOT NULL), p AS (SELECT a.doc_id, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM t a JOIN t b ON a.doc_id % 100 = 0 AND b.doc_id % 100 <> 0) SELECT doc_id, round(max(n / (m - n)), 6) AS best FROM p GROUP BY 1")

@@ -101,6 +101,12 @@ def kmeans_clusters(spark, sf):
     return I.clusters(vectors(spark, sf), 10)
 
 
-@query("noise_mahalanobis")
+@query("noise_mahalanobis", f"""WITH {VEC}, m AS (SELECT avg(x[1]) AS p, avg(x[2]) AS q, covar_samp(x[1], x[1]) AS a, covar_samp(x[1], x[2]) AS b, covar_samp(x[2], x[2]) AS d FROM vecs), z AS (SELECT id, x[1] - p AS u, x[2] - q AS v, a, b, d FROM vecs, m),
+s AS (SELECT id, (d * u * u - 2 * b * u * v + a * v * v) / (a * d - b * b) AS distance FROM z) SELECT id, round(distance, 5) AS distance, distance > quantile_cont(distance, 0.9) OVER () AS is_noise FROM s""")
 def noise_mahalanobis(spark, sf):
+    return rounded(I.mahalanobis(vectors(spark, sf).select("id", F.slice("x", 1, 2).alias("x"))), 5)
+
+
+@query("noise_mahalanobis_wide")
+def noise_mahalanobis_wide(spark, sf):
     return I.mahalanobis(vectors(spark, sf).select("id", "x"))
