@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.ranks import fresh, hash_ranked
-from lumenfold.operators.splits import folds
+from lumenfold.operators.splits import bootstrap, folds
 
 SEED = 42
 
@@ -160,3 +160,64 @@ def greedy_allocation(df: DataFrame, reps: dict[str, list[int]], budget: int, st
     return best
 
 
+def oob_scores(df: DataFrame, members: int = 10, key: str = "id") -> DataFrame:
+    """(key, prediction, score): |label - mean prediction of the members that didn't see the row| over the labels' deviation.
+
+    Bootstrap weights are Poisson by hash; a row that every member saw has no score.
+    """
+    d = assembled(df)
+    spread = d.agg(F.stddev_pop("label")).first()[0] or 0.0
+    drawn = bootstrap(d, key, members)
+    out = None
+    for i in range(members):
+        own = drawn.filter(F.col("run") == i)
+        seen = own.filter("weight > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), "weight")))
+        p = forest(20, 8, SEED + i).fit(seen).transform(own.filter("weight = 0")).select(key, "label", "prediction")
+        out = p if out is None else out.union(p)
+    return out.groupBy(key).agg(F.avg("prediction").alias("prediction"), (F.abs(F.first("label") - F.avg("prediction")) / (spread + 1e-10)).alias("score"))
+
+
+def tree_quantiles(df: DataFrame, shares: tuple[float, float, float] = (0.1, 0.5, 0.9), trees: int = 30, key: str = "id") -> DataFrame:
+    """(key, low, median, high, half_width): quantiles over a forest's trees, in place of a quantile loss."""
+    d = assembled(df)
+    out = None
+    for t in forest(trees, 8).fit(d).trees:
+        p = t.transform(d).select(key, F.col("prediction").alias("p"))
+        out = p if out is None else out.union(p)
+    q = out.groupBy(key).agg(F.percentile("p", F.array(*map(F.lit, shares))).alias("q"))
+    low, middle, high = (F.element_at("q", i) for i in (1, 2, 3))
+    return q.select(key, low.alias("low"), middle.alias("median"), high.alias("high"), ((high - low) / 2).alias("half_width"))
+
+
+def co_teaching(df: DataFrame, epochs: int = 4, keep: float = 0.7, rejected: float = 0.6, key: str = "id") -> DataFrame:
+    """(key, rejections, is_noise): two forests teach each other with their rows of small error, epoch by epoch.
+
+    In an epoch each is fitted to the rows whose error under the other was among the ``keep``
+    smallest; a row can be rejected twice in an epoch and is noise from ``rejected`` * epochs on.
+    """
+    d = assembled(df).select(key, "features", "label")
+    u = lambda seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) < int(1000 * keep)
+    sets = [d.filter(u(1)), d.filter(u(2))]
+    votes = None
+    for epoch in range(epochs):
+        small = []
+        for i in (0, 1):
+            p = forest(15, 6, SEED + 2 * epoch + i).fit(sets[i]).transform(d).select(key, F.abs(F.col("label") - F.col("prediction")).alias("e"))
+            cut = p.agg(F.percentile("e", F.lit(keep))).first()[0]
+            v = p.select(key, (F.col("e") > cut).cast("int").alias("r"))
+            small.append(v.filter("r = 0").select(key))
+            votes = v if votes is None else votes.union(v)
+        sets = [d.join(small[1], key, "left_semi"), d.join(small[0], key, "left_semi")]
+    return votes.groupBy(key).agg(F.sum("r").alias("rejections")).withColumn("is_noise", F.col("rejections") >= rejected * epochs)
+
+
+#: Model-based noise scores by name: each takes (df, key=...) and gives the key and its score.
+SCORES: dict[str, tuple[Callable[..., DataFrame], str]] = {"ensemble": (ensemble_scores, "score"), "leave_one_out": (oob_scores, "score"), "bayesian": (tree_spread, "std"), "quantile": (tree_quantiles, "half_width"), "cross_validation": (cv_disagreement, "error")}
+
+
+def model_score(method: str, df: DataFrame, key: str = "id", **options: object) -> DataFrame:
+    """(key, score) by a named estimator; an unknown name is an error."""
+    if method not in SCORES:
+        raise ValueError(f"unknown estimator {method!r}; known: {sorted(SCORES)}")
+    make, column = SCORES[method]
+    return make(df, key=key, **options).select(key, F.col(column).alias("score"))

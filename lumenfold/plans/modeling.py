@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.operators import hybrid as H
 from lumenfold.operators import models as M
+from lumenfold.operators import selection as S
+from lumenfold.plans.analytics import rounded
 from lumenfold.plans.carriers import table, vectors
 from lumenfold.plans.registry import query
+from lumenfold.plans.selection import _LONG, _reps
 from lumenfold.streaming.curation import windowed_potency
 
 
@@ -39,3 +43,70 @@ def forest_uncertainty(spark, sf):
 def windowed(spark, sf):
     d = windowed_potency(table(spark, sf, "events"))
     return d.select("start", "event_type", F.round("p_mean", 6).alias("p_mean"), "n", F.round("spread", 6).alias("spread"))
+
+
+_TRAIN = f"{_LONG}, split AS (SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR || '_42'), id) <= greatest(floor(count(*) OVER () * 0.2), 1) AS held FROM vecs)"
+_KEPT = "kept AS (SELECT rep, pos FROM long_v GROUP BY ALL HAVING var_pop(value) > 0.01 AND avg((value = 0)::INT) <= 0.95)"
+_TRAINED = "scored AS (SELECT rep, pos, abs(corr(value, y)) AS c FROM long_v JOIN split USING (id) SEMI JOIN kept USING (rep, pos) WHERE NOT held GROUP BY ALL)"
+
+
+@query("create_hybrid", f"WITH {_TRAIN}, {_KEPT}, {_TRAINED}, k AS (SELECT rep, pos FROM scored QUALIFY row_number() OVER (PARTITION BY rep ORDER BY c DESC, pos DESC) <= 4) SELECT id, count(*) AS n, round(sum(value), 6) AS total FROM long_v SEMI JOIN k USING (rep, pos) GROUP BY 1")
+def create_hybrid(spark, sf):
+    d, _ = H.create_hybrid(_reps(spark, sf), ["a", "b", "c"], allocation="fixed", importance="correlation", n_per_rep=4, filters="quality_only")
+    return rounded(d.select("id", F.size("features").cast("long").alias("n"), F.aggregate("features", F.lit(0.0), lambda s, v: s + v).alias("total")))
+
+
+@query("hybrid_augmented", f"WITH {_TRAIN}, all_scores AS (SELECT rep, pos, abs(corr(value, y)) AS c FROM long_v JOIN split USING (id) WHERE NOT held OR rep = 'c' GROUP BY ALL), k AS (SELECT rep, pos FROM all_scores QUALIFY row_number() OVER (PARTITION BY rep ORDER BY c DESC, pos DESC) <= CASE rep WHEN 'c' THEN 6 ELSE 3 END) SELECT id, count(*) AS n, round(sum(value), 6) AS total FROM long_v SEMI JOIN k USING (rep, pos) GROUP BY 1")
+def hybrid_augmented(spark, sf):
+    d, _ = H.create_hybrid(_reps(spark, sf), ["a", "b"], allocation="fixed", importance="correlation", n_per_rep=3, augmentations=("c",), augmentation="all", augmentation_budget=6)
+    return rounded(d.select("id", F.size("features").cast("long").alias("n"), F.aggregate("features", F.lit(0.0), lambda s, v: s + v).alias("total")))
+
+
+@query("hybrid_greedy")
+def hybrid_greedy(spark, sf):
+    _, h = H.create_hybrid(_reps(spark, sf), ["a", "b", "c"], budget=12, step=6, patience=1, importance="correlation", augmentations=("c",), augmentation="greedy_ablation", augmentation_budget=4)
+    return spark.createDataFrame([(r, n, r in h.augmentations) for r, n in h.allocation.items()], "rep string, n long, augments boolean")
+
+
+@query("stable_features", f"WITH {_LONG}, r AS (SELECT run, rep, pos, abs(corr(value, y)) AS c FROM long_v, range(5) t(run) WHERE id % 5 <> run GROUP BY ALL), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY c DESC, pos DESC) <= 16) SELECT rep, pos, count(*) / 5 AS frequency FROM k GROUP BY ALL HAVING count(*) / 5 >= 0.6")
+def stable_features(spark, sf):
+    d = S.long_form(_reps(spark, sf), "id", ["a", "b", "c"]).join(vectors(spark, sf).select("id", "y"), "id").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(4)))).filter("id % 5 <> run")
+    runs = d.groupBy("run", "rep", "pos").agg(F.abs(F.corr("value", "y")).alias("score"))
+    return S.stable_features(runs, 8).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    found = M.permutation_importance(vectors(spark, sf).select("id", "x", "y"), [0, 1, 2], 1)
+    return spark.createDataFrame([(i, float(v)) for i, v in found.items()], "pos long, importance double")
+
+
+@query("drop_column_importance")
+def drop_column_importance(spark, sf):
+    found = M.drop_column_importance(vectors(spark, sf).select("id", F.slice("x", 1, 4).alias("x"), "y"), [0, 1], 2)
+    return spark.createDataFrame([(i, float(v)) for i, v in found.items()], "pos long, importance double")
+
+
+@query("cross_validated")
+def cross_validated(spark, sf):
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(M.cross_validated(vectors(spark, sf).select("id", "x", "y"), 3))], "fold long, r2 double")
+
+
+@query("noise_co_teaching")
+def noise_co_teaching(spark, sf):
+    return M.co_teaching(vectors(spark, sf).select("id", "x", "y"), 2)
+
+
+@query("noise_mixture")
+def noise_mixture(spark, sf):
+    return M.mixture_noise(M.model_score("ensemble", vectors(spark, sf).select("id", "x", "y"), members=4))
+
+
+@query("estimate_leave_one_out")
+def estimate_leave_one_out(spark, sf):
+    return M.model_score("leave_one_out", vectors(spark, sf).select("id", "x", "y"), members=4)
+
+
+@query("estimate_quantile")
+def estimate_quantile(spark, sf):
+    return M.model_score("quantile", vectors(spark, sf).select("id", "x", "y"), trees=10)
