@@ -10,9 +10,9 @@ that it holds; the best of a query so far set the threshold in the next shard. W
 up at once. Longer lists are cut into posting blocks with their maximal impact; lists that a
 quarter of the documents hold are kept as columns, with a maximum for each range of documents. The
 ranges' bounds are the sums of these maxima (as in block-max WAND, but all pivots are found at once
-instead of one at a time): the most promising ranges are scored first and set the threshold, the
-k-th best score so far; posting blocks that touch no range whose bound reaches it are never decoded,
-and columns are looked up only for documents whose own bound still does. Scores use global
+instead of one at a time). What short lists and columns give the most promising documents sets the
+threshold, a score that the k best surely reach; posting blocks that touch no range whose bound
+reaches it are never decoded, and columns are looked up only for documents whose own bound still does. Scores use global
 statistics, so the shards' top-k lists merge by a plain top-k per query.
 
 Terms are 64-bit hashes of lower-case words.
@@ -40,8 +40,6 @@ TOP = 10
 SHARD_DOCS, SHARD_TOKENS = 8_192, 3_000_000
 #: Documents of a range, postings of a posting block; a term is kept as a column if at least one in COMMON of a shard's documents holds it.
 RANGE_DOCS, BLOCK_POSTINGS, COMMON = 64, 64, 4
-#: Ranges that are scored before the others, to set the threshold.
-FIRST_RANGES = 4
 #: Terms of the queries in one block, about: 16 bytes each are read at a time.
 QUERY_TERMS = 1_000_000
 DIGITS = 9
@@ -181,31 +179,25 @@ class Shard:
         from_columns = self.maxima[:, columns] @ w
         spread = np.cumsum(np.bincount(lo, most, self.ranges + 1) - np.bincount(hi + 1, most, self.ranges + 1))[: self.ranges]
         bound = np.maximum.reduceat(partial, np.arange(0, len(partial), RANGE_DOCS)) + spread + from_columns
-        found_docs, found = np.zeros(0, dtype=np.int64), np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        for ranges in (order[:FIRST_RANGES], order[FIRST_RANGES:]):
-            if len(found) >= k:
-                floor = max(floor, float(found[k - 1]))
-            ranges = ranges[(bound[ranges] >= floor - 1e-6) & (bound[ranges] > 0)]
-            if not len(ranges):
-                continue
-            within = np.zeros(self.ranges, dtype=bool)
-            within[ranges] = True
-            upto = np.concatenate([[0], np.cumsum(within)])
-            touched = upto[hi + 1] > upto[lo]
-            exact = partial + self._decode(blocks[touched], of_block[touched], within) if touched.any() else partial
-            own = exact + from_columns[self.range_of]
-            may = np.flatnonzero(within[self.range_of] & (own >= floor - 1e-6) & (own > 0))
-            if len(may) > 4 * k:  # the documents with the best bounds have a k-th best score that the result reaches
-                few = may[np.argpartition(-own[may], k - 1)[:k]]
-                least = float((exact[few] + self.table[np.ix_(few, columns)] @ w).min())
-                may = may[own[may] >= max(floor, least) - 1e-6]
-            score = np.round(exact[may] + self.table[np.ix_(may, columns)] @ w, DIGITS)
-            docs, score = np.concatenate([found_docs, self.docs[may]]), np.concatenate([found, score])
-            best = np.lexsort((docs, -score))[:k]
-            found_docs, found = docs[best], score[best]
-        good = (found > 0) & (found >= floor - 1e-6)
-        return found_docs[good], found[good]
+        # What short lists and columns alone give k documents is a score that the k best reach.
+        sure = partial + from_columns[self.range_of]
+        if len(sure) > k:
+            few = np.argpartition(-sure, k - 1)[:k]
+            floor = max(floor, float((partial[few] + self.table[few[:, None], columns] @ w).min()))
+        within = (bound >= floor - 1e-6) & (bound > 0)
+        upto = np.concatenate([[0], np.cumsum(within)])
+        touched = upto[hi + 1] > upto[lo]
+        exact = partial + self._decode(blocks[touched], of_block[touched], within) if touched.any() else partial
+        own = exact + from_columns[self.range_of]
+        may = np.flatnonzero(within[self.range_of] & (own >= floor - 1e-6) & (own > 0))
+        if len(may) > 4 * k:  # the documents with the best bounds have a k-th best score that the result reaches
+            few = may[np.argpartition(-own[may], k - 1)[:k]]
+            floor = max(floor, float((exact[few] + self.table[few[:, None], columns] @ w).min()))
+            may = may[own[may] >= floor - 1e-6]
+        score = np.round(exact[may] + self.table[may[:, None], columns] @ w, DIGITS)
+        best = np.lexsort((self.docs[may], -score))[:k]
+        best = best[score[best] > 0]
+        return self.docs[may[best]], score[best]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, query_terms_in_block: int = QUERY_TERMS) -> DataFrame:
