@@ -130,6 +130,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(chain.rest[1]) == len(chain.rest[0]) + 1  # the later model sees the earlier one's log-odds
 
 
+def test_chain_against_a_loop(spark, documents, monkeypatch):
+    """Probabilities recomputed by a plain loop; out-of-fold models never see the rows that they score."""
+    fitted = []
+    plain = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, y, *a, **k: (fitted.append(len(y)), plain(x, y, *a, **k))[1])
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    y, categories = toxicity.label_categories(labels)
+    chain = toxicity.train(docs, y, categories)
+    fold = [r["n"] for r in docs.join(y.na.drop().select("doc_id").distinct(), "doc_id").groupBy(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(toxicity.FOLDS)).alias("f")).agg(F.count(F.lit(1)).alias("n")).orderBy("f").collect()]
+    rows = sum(fold)
+    assert fitted == [*(rows - n for n in fold), rows] * 2
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for doc_id, text in zip(documents["doc_id"], documents["text"], strict=True):
+        raw = re.findall(r"\w+", text or "")
+        want = [0.0, 0.0]
+        if raw:
+            kinds = set(raw)
+            words = {w.lower() for w in kinds}
+            words |= {w[:5] + "*" for w in words if len(w) > 5}
+            shapes = [math.log1p(len(raw)) / 10, len(kinds) / len(raw), sum(w.isupper() for w in kinds) / len(kinds), text.count("!") / len(text) * 10, text.count("|") / len(text) * 10]
+            z = []
+            for k in range(2):
+                total = sum(chain.features[k].get(w, 0.0) for w in words)
+                for weight, value in zip(chain.rest[k], [*shapes, *z, 1.0], strict=True):
+                    total += weight * value
+                z.append(max(-30.0, min(30.0, total)))
+            want = [sigmoid(v) for v in z]
+        assert math.isclose(got[doc_id]["p_low_quality"], want[0], abs_tol=1e-9) and math.isclose(got[doc_id]["p_toxic"], want[1], abs_tol=1e-9)
+
+
 def test_token_ids_are_those_of_the_tokenizers_library(spark, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -265,6 +296,40 @@ def test_longest_rule_against_a_loop(spark):
         assert (r.host, r.path, r.rule) == (host, path, best[0]) and (best[1] is None or r.verdict == best[1])
 
 
+def test_redirect_components_against_union_find(spark):
+    rng = np.random.default_rng(3)
+    hosts = [f"h{i}.org" for i in range(60)] + [f"h{i}.net" for i in range(20)] + ["example.com", "www.example.com"]
+    urls = [f"https://{hosts[i % len(hosts)]}/{'en' if i % 3 else 'es'}/p{i}" for i in range(240)]
+    links = [(i, int(rng.integers(240))) for i in rng.integers(0, 240, 110)] + [(200 + i, 201 + i) for i in range(30)] + [(230, 200)]  # a chain that closes to a cycle
+    moved = [(int(a), int(b)) for a, b in rng.integers(0, 240, (30, 2))]
+    canonical = {}
+    for a, b in links:
+        canonical.setdefault(int(a), b)
+    pages = spark.createDataFrame([(i - 2**63, u, f'<link rel="canonical" href="{urls[canonical[i]]}">' if i in canonical else None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    redirects = spark.createDataFrame([(urls[a], urls[b]) for a, b in moved], "source_url string, target_url string")
+    rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
+    got = {r["page_id"] + 2**63: r for r in url_filter.judge(pages, rules, redirects).collect()}
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in [*canonical.items(), *moved]:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    own = {i: dict(url_filter.RULES).get(got[i]["rule"]) for i in range(240)}
+    blocked = {find(i) for i in range(240) if own[i] == "block"}
+    aliases = allowed = 0
+    for i in range(240):
+        want = own[i] or ("block" if find(i) in blocked else "allow")
+        assert got[i]["verdict"] == want and got[i]["component"] + 2**63 == find(i)
+        aliases += own[i] is None and want == "block"
+        allowed += own[i] == "allow" and find(i) in blocked
+    assert aliases > 5 and allowed > 0
+
+
 def test_embeddings_against_brute_force(spark):
     got = queries.QUERIES["op6_embedding_dedup"](spark, "/root/testdata/sf0.1").toPandas().set_index("vec_id")
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
@@ -536,5 +601,27 @@ def test_pipeline(spark):
     assert second.count() == groups.filter("kept").count()
     masked = corpus_pipeline.mask_personal_data(spark, docs, SF)
     assert masked.filter(F.col("text").rlike(r"\+[0-9] \([0-9]{3}\)")).count() == 0 and masked.filter("n_chars <> length(text)").count() == 0
-    pieces = corpus_pipeline.run(spark, SF)
-    assert pieces.count() > 0 and pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+    stage = docs
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before, stage = stage, common.materialize(f(spark, stage, SF), f"test-{name}")
+        if name == "mixing":
+            want = collections.Counter()
+            for r in mixing.mix(before)[0].collect():
+                want[r["doc_id"]] += 1 if r["size"] == 0 else math.floor(r["taken"] / r["size"] + 0.5)
+            got = collections.Counter(r[0] for r in stage.select("doc_id").collect())
+            assert got == +want  # ids are distinct after deduplication
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(importlib.import_module("public_tokenizers").path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for doc_id, text in stage.select("doc_id", "text").collect():
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        first = len(ids) % 1024 or 1024
+        edges = [0, *range(first, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            want[doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    pieces = corpus_pipeline.run(spark, SF).toPandas()
+    assert collections.Counter(zip(pieces["doc_id"], pieces["piece"], pieces["start"], pieces["length"], pieces["ids_crc32"])) == want
+    pieces = pieces.sort_values(["sequence_id", "offset"])
+    by = pieces.groupby("sequence_id")["length"]
+    assert (by.sum() <= 1024).all() and (pieces["offset"] == by.cumsum() - pieces["length"]).all()
