@@ -199,13 +199,13 @@ def test_nearest_tanimoto_takes_whole_texts_and_all_documents(spark, tmp_path):
     rows = [(i, same + " ".join(rng.choice(["abc", "Déjà", "漢字x", "noise", "q", "zz top"], 12))) for i in range(190, 260)] + [(300, ""), (301, None), (302, "ab")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     sets = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in ((i, (t or "").lower()) for i, t in rows)}
-    want = {i: round(max(len(a & b) / max(1, len(a | b)) for j, b in sets.items() if j % 5), 6) for i, a in sets.items() if i % 5 == 0}
+    want = lambda m: {i: round(max(len(a & b) / max(1, len(a | b)) for j, b in sets.items() if j % m), 6) for i, a in sets.items() if i % m == 0}
     from lumenfold.plans import neighbors as plans
 
-    assert {r["doc_id"]: r["best"] for r in plans.nearest_tanimoto(spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["best"] for r in plans.nearest_tanimoto(spark, str(tmp_path)).collect()} == want(100)
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lower("text").alias("text"))
     small = N.nearest_grams(docs.filter("doc_id % 5 = 0"), docs.filter("doc_id % 5 <> 0"), "doc_id", block_rows=7)
-    assert {r["doc_id"]: round(r["best"], 6) for r in small.collect()} == want
+    assert {r["doc_id"]: round(r["best"], 6) for r in small.collect()} == want(5)
 
 
 def test_string_queries_read_whole_texts(spark, tmp_path):
