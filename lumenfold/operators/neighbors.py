@@ -152,6 +152,79 @@ def pairs_within(df: DataFrame, radius: float, metric: str = "euclidean", groups
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(*g, key).orderBy("distance", "neighbor"))).filter(F.col("_r") <= limit).drop("_r")
 
 
+def pair_order_statistic(df: DataFrame, values: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], k: int, high: float, bins: int = 4_096, few: int = 100_000) -> float:
+    """The k-th smallest (from 0) of what ``values`` gives for all pairs of rows, numbers from 0 to ``high``, exactly.
+
+    The pairs are never kept: a pass counts them by bin, the bin that holds the k-th is the next
+    pass's range, and once it holds ``few`` at most they are looked at.
+    """
+    lo, hi, closed = 0.0, high, True
+    while np.nextafter(lo, np.inf) < hi:
+        edges = np.linspace(lo, hi, bins + 1)
+
+        def place(a: pd.DataFrame, h: pd.DataFrame, edges: np.ndarray = edges, closed: bool = closed) -> tuple[np.ndarray, np.ndarray]:
+            v = values(a, h)
+            v = v[(v >= edges[0]) & ((v <= edges[-1]) if closed else (v < edges[-1]))]
+            return v, np.minimum(np.searchsorted(edges, v, side="right") - 1, bins - 1)
+
+        def count(a: pd.DataFrame, h: pd.DataFrame, place=place) -> pd.DataFrame:  # noqa: ANN001
+            at, n = np.unique(place(a, h)[1], return_counts=True)
+            return pd.DataFrame({"bin": at, "n": n})
+
+        found = against_all(df, count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()  # at most ``bins`` rows
+        upto = found["n"].cumsum().to_numpy()
+        at = int(np.searchsorted(upto, k, side="right"))
+        b, n = int(found["bin"].iloc[at]), int(found["n"].iloc[at])
+        k -= int(upto[at]) - n
+        if n <= few:
+
+            def inside(a: pd.DataFrame, h: pd.DataFrame, place=place, b: int = b) -> pd.DataFrame:  # noqa: ANN001
+                v, i = place(a, h)
+                return pd.DataFrame({"v": v[i == b]})
+
+            return float(np.sort(against_all(df, inside, "v double").toPandas()["v"].to_numpy())[k])
+        lo, hi, closed = float(edges[b]), float(edges[b + 1]), closed and b == bins - 1
+    return lo
+
+
+def pair_quantile(df: DataFrame, values: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], share: float, high: float, pairs: int) -> float:
+    """The quantile of the values of ``pairs`` pairs, between neighbouring order statistics by linear interpolation."""
+    place = (pairs - 1) * share
+    k = int(place)
+    low = pair_order_statistic(df, values, k, high)
+    return low if place == k else low + (place - k) * (pair_order_statistic(df, values, k + 1, high) - low)
+
+
+def activity_cliffs(df: DataFrame, distance_share: float = 0.1, label_share: float = 0.9, key: str = "id", vector: str = "x", y: str = "y") -> DataFrame:
+    """(key, cliffs): for each row the others that are nearer than a quantile of all distances but whose label is farther than a quantile of all label gaps.
+
+    Distances count each pair once, gaps every ordered pair and a row with itself. Work is quadratic
+    by definition; it goes block against block, and no pair is kept.
+    """
+    d = df.select(F.col(key).alias("_id"), F.col(vector).alias("_x"), F.col(y).cast("double").alias("_y"))
+    row = d.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(_dot(F.col("_x"), F.col("_x")))).alias("norm"), (F.max("_y") - F.min("_y")).alias("gap")).first()
+    n = row["n"]
+    if n < 2:
+        return df.select(key, F.lit(0).cast("long").alias("cliffs")).filter("false")
+
+    def far(a: pd.DataFrame, h: pd.DataFrame) -> np.ndarray:
+        m = _matrix(np.array(a["_x"].tolist()), np.array(h["_x"].tolist()), "euclidean")
+        return m[a["_id"].to_numpy()[:, None] < h["_id"].to_numpy()[None, :]]
+
+    def gap(a: pd.DataFrame, h: pd.DataFrame) -> np.ndarray:
+        return np.abs(a["_y"].to_numpy()[:, None] - h["_y"].to_numpy()[None, :]).ravel()
+
+    near = pair_quantile(d, far, distance_share, 2 * row["norm"] + 1e-9, n * (n - 1) // 2)
+    wide = pair_quantile(d, gap, label_share, float(row["gap"]), n * n)
+
+    def count(a: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(np.array(a["_x"].tolist()), np.array(h["_x"].tolist()), "euclidean")
+        g = np.abs(a["_y"].to_numpy()[:, None] - h["_y"].to_numpy()[None, :])
+        return pd.DataFrame({"_id": a["_id"].to_numpy(), "n": ((m < near) & (g > wide)).sum(axis=1)})
+
+    return against_all(d, count, "_id long, n long").groupBy(F.col("_id").alias(key)).agg(F.sum("n").alias("cliffs")).filter("cliffs > 0")
+
+
 def whitened(df: DataFrame, vector: str = "x") -> DataFrame:
     """Vectors times the inverse root of their sample covariance: Euclidean distances between them are Mahalanobis distances.
 

@@ -176,11 +176,7 @@ def mahalanobis_distance(spark, sf):
 @query("activity_cliffs", f"""WITH {VEC}, p AS (SELECT a.id AS a, b.id AS b, list_distance(a.x, b.x) AS d, abs(a.y - b.y) AS dy FROM vecs a, vecs b), t AS (SELECT quantile_cont(d, 0.1) FILTER (WHERE a < b) AS ds, quantile_cont(dy, 0.9) AS da FROM p)
 SELECT a AS id, count(*) AS cliffs FROM p, t WHERE d < ds AND dy > da GROUP BY 1""")
 def activity_cliffs(spark, sf):
-    v = vectors(spark, sf).select("id", "x", "y")
-    p = v.select(F.col("id").alias("a"), "x", F.col("y").alias("ya")).crossJoin(v.select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("yb")))
-    p = p.select("a", "b", N.distance(F.col("x"), F.col("x2")).alias("d"), F.abs(F.col("ya") - F.col("yb")).alias("dy"))
-    cut = p.agg(F.percentile(F.when(F.col("a") < F.col("b"), F.col("d")), F.lit(0.1)).alias("ds"), F.percentile("dy", F.lit(0.9)).alias("da"))
-    return p.crossJoin(F.broadcast(cut)).filter("d < ds and dy > da").groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("cliffs"))
+    return N.activity_cliffs(vectors(spark, sf).select("id", "x", "y"))
 
 
 @query("standardized_distance", f"""WITH {VEC}, l AS (SELECT id, unnest(x) AS v, generate_subscripts(x, 1) AS p FROM vecs), s AS (SELECT p, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY 1), z AS (SELECT id, p, (v - m) / s AS z FROM l JOIN s USING (p))

@@ -80,6 +80,25 @@ def effective_dimensions(spark, sf):
     return spark.createDataFrame([(float(s), int(n)) for s, n in S.effective_dimensions(vectors(spark, sf), "x").items()], "share double, components long")
 
 
+@query("collinearity_report")
+def collinearity_report(spark, sf):
+    """Both diagnoses in one row set: components with inflated variance, and how far the features compress."""
+    v = vectors(spark, sf)
+    vif, dims = S.variance_inflation(v, "x"), S.effective_dimensions(v, "x")
+    inflated = int((vif > 10).sum())
+    return spark.createDataFrame([(float(s), int(n), len(vif) / n, inflated) for s, n in dims.items()], "share double, components long, compression double, inflated long")
+
+
+@query("selection_summary", f"WITH {_STAT}, k AS (SELECT rep, c, pos FROM stat QUALIFY row_number() OVER (ORDER BY c DESC, rep DESC, pos DESC) <= 20) SELECT rep, printf('%s: %d features, best %d, %.2f%% of the importance', rep, count(*), max_by(pos, c), 100 * sum(c) / sum(sum(c)) OVER ()) AS line FROM k GROUP BY 1")
+def selection_summary(spark, sf):
+    from pyspark.sql import Window
+
+    k = _scores(spark, sf).orderBy(F.desc("score"), F.desc("rep"), F.desc("pos")).limit(20)
+    s = k.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.max_by("pos", "score").alias("best"), F.sum("score").alias("t"))
+    share = 100 * F.col("t") / F.sum("t").over(Window.partitionBy())  # one row per representation
+    return s.select("rep", F.format_string("%s: %d features, best %d, %.2f%% of the importance", "rep", "n", "best", share).alias("line"))
+
+
 @query("diversity_selection")
 def diversity_selection(spark, sf):
     v = vectors(spark, sf)

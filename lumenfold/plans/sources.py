@@ -19,6 +19,24 @@ def read_csv(spark, sf):
     return R.load(spark, "csv", path, schema="c_custkey long, c_name string, c_acctbal double")
 
 
+@query("read_measurements", "SELECT l_partkey, l_extendedprice FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O' AND l_linenumber = 1 AND l_extendedprice IS NOT NULL")
+def read_measurements(spark, sf):
+    return R.load(spark, "measurements", f"{sf}/lineitem.parquet", columns=("l_partkey", "l_extendedprice"), equal={"l_returnflag": "R", "l_linestatus": "O", "l_linenumber": 1}, present=("l_extendedprice",))
+
+
+_CHAIN = """c AS (SELECT l_partkey AS compound, try_cast(CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE l_quantity::VARCHAR END AS DOUBLE) / 50 AS solubility FROM lineitem),
+m AS (SELECT compound, median(log10(solubility)) AS y, count(*) AS n, max(log10(solubility)) - min(log10(solubility)) AS spread FROM c WHERE solubility IS NOT NULL AND solubility > 0 GROUP BY 1)"""
+
+
+@query("solubility_chain", f"WITH {_CHAIN} SELECT compound, round(y, 6) AS y, n FROM m WHERE isfinite(y) AND spread <= 1")
+def solubility_chain(spark, sf):
+    """A data set's post-processing in one pass: cast, drop, log scale, one median per compound, spread filter."""
+    raw = F.when(F.col("l_linenumber") == 7, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    d = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("compound"), (raw.try_cast("double") / 50).alias("s")).filter("s is not null and s > 0").withColumn("y", F.log10("s"))
+    m = d.groupBy("compound").agg(F.median("y").alias("y"), F.count(F.lit(1)).alias("n"), (F.max("y") - F.min("y")).alias("spread"))
+    return rounded(m.filter("spread <= 1 and not isnan(y) and abs(y) < double('inf')").select("compound", "y", "n"))
+
+
 @query("read_tsv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def read_tsv(spark, sf):
     path = R.scratch(spark, "tsv")

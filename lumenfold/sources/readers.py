@@ -30,6 +30,22 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@reader("measurements")
+def read_measurements(spark: SparkSession, path: str, columns: tuple[str, ...], equal: dict[str, object], missing: tuple[str, ...] = (), present: tuple[str, ...] = ()) -> DataFrame:
+    """A scan that carries its predicates: equalities (target, type, unit, relation), columns that must or mustn't be null, and the columns wanted.
+
+    All of them reach the Parquet reader, so row groups are skipped and other columns aren't read.
+    """
+    d = spark.read.parquet(path)
+    for name, value in equal.items():
+        d = d.filter(F.col(name) == value)
+    for name in missing:
+        d = d.filter(F.col(name).isNull())
+    for name in present:
+        d = d.filter(F.col(name).isNotNull())
+    return d.select(*columns)
+
+
 @reader("csv")
 def read_delimited(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", comment: str | None = None) -> DataFrame:
     """Text with a header. Without a schema every column is text: types are cast where they are used, in one scan."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lumenfold.operators import evaluation as E
 from lumenfold.operators import hybrid as H
 from lumenfold.operators import models as M
+from lumenfold.operators import neighbors as N
 from lumenfold.operators import noise as Z
 from lumenfold.operators import ranks as K
 from lumenfold.operators import splits as S
@@ -120,3 +121,14 @@ def test_column_aliases(spark):
     d = spark.createDataFrame([(1, "x", 0.5)], "model_name int, representation string, sigma double")
     assert E.standardize_columns(d).columns == ["model", "rep", "sigma"]
     assert E.standardize_columns(d.withColumn("noise_level", F.lit(1.0))).columns == ["model", "rep", "sigma", "noise_level"]
+
+
+def test_pair_order_statistics(spark):
+    rng = np.random.default_rng(5)
+    y = np.round(rng.gamma(1, 2, 90), 1)  # ties
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "_id long, _y double")
+    gap = lambda a, h: np.abs(a["_y"].to_numpy()[:, None] - h["_y"].to_numpy()[None, :]).ravel()
+    every = np.sort(np.abs(y[:, None] - y[None, :]).ravel())
+    for k in (0, 89, 90, 4_000, 8_099):
+        assert N.pair_order_statistic(d, gap, k, float(np.ptp(y)), bins=7, few=40) == every[k]
+    assert math.isclose(N.pair_quantile(d, gap, 0.37, float(np.ptp(y)), 8_100), np.quantile(every, 0.37))
