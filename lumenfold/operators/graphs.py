@@ -137,7 +137,16 @@ def spectral_features(edges: DataFrame, k: int = 10) -> DataFrame:
 
 def token_vocabulary(tokens: DataFrame, size: int, doc: str = "doc_id", token: str = "token") -> DataFrame:
     """(token, n, place): the ``size`` tokens in most documents; ties to the larger token."""
-    n = tokens.select(doc, token).distinct().groupBy(token).agg(F.count(F.lit(1)).alias("n"))
+    return _most_frequent(tokens.select(doc, token).distinct().select(token), size, token)
+
+
+def row_vocabulary(docs: DataFrame, size: int, tokens: str = "tokens", token: str = "token") -> DataFrame:
+    """``token_vocabulary`` of documents that are a row each, with an array of tokens: repeats go before anything is shuffled."""
+    return _most_frequent(docs.select(F.explode(F.array_distinct(tokens)).alias(token)), size, token)
+
+
+def _most_frequent(held: DataFrame, size: int, token: str) -> DataFrame:
+    n = held.groupBy(token).agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
     return n.orderBy(F.desc("n"), F.desc(token)).limit(size).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.desc(token))))

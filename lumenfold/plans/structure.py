@@ -141,15 +141,15 @@ _TOKENS = "tokens AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS t
 
 
 def _tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("token")).filter("token <> ''")
+    return table(spark, sf, "documents").select("doc_id", F.filter(F.split(F.lower("text"), " "), lambda t: t != "").alias("tokens"))
 
 
 @query("token_vocabulary", f"WITH {_TOKENS} SELECT token, n, place FROM vocab")
 def token_vocabulary(spark, sf):
-    return G.token_vocabulary(_tokens(spark, sf), 100)
+    return G.row_vocabulary(_tokens(spark, sf), 100)
 
 
 @query("sort_and_slice", f"WITH {_TOKENS} SELECT doc_id, place, count(*) AS value FROM tokens JOIN vocab USING (token) GROUP BY ALL")
 def sort_and_slice(spark, sf):
     t = _tokens(spark, sf)
-    return G.sort_and_slice(t, G.token_vocabulary(t, 100))
+    return G.sort_and_slice(t.select("doc_id", F.explode("tokens").alias("token")), G.row_vocabulary(t, 100))
