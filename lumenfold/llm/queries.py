@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumenfold.llm.bm25_search import OP8_SQL, op8_bm25_search
+from lumenfold.llm.byte_bpe import op11_byte_bpe
 from lumenfold.llm.chat_format import OP7_SQL, op7_chat_format
 from lumenfold.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from lumenfold.llm.mixing import op4_mix_sources
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bm25_search": op8_bm25_search,
     "op9_pii": op9_pii,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 #: DuckDB statements for the queries that SQL can express.
