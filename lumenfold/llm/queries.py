@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenfold.llm.bm25_search import OP8_SQL, op8_bm25_search
 from lumenfold.llm.byte_bpe import op11_byte_bpe
+from lumenfold.llm.centroid_clustering import OP13_SQL, op13_ball_tree_clusters
 from lumenfold.llm.chat_format import OP7_SQL, op7_chat_format
 from lumenfold.llm.embedding_dedup import OP6_SQL, op6_embedding_dedup
 from lumenfold.llm.mixing import op4_mix_sources
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_ball_tree_clusters": op13_ball_tree_clusters,
 }
 
 #: DuckDB statements for the queries that SQL can express.
@@ -35,4 +37,5 @@ ORACLE: dict[str, str] = {
     "op7_chat_format": OP7_SQL,
     "op8_bm25_search": OP8_SQL,
     "op10_warc_round_trip": OP10_SQL,
+    "op13_ball_tree_clusters": OP13_SQL,
 }
