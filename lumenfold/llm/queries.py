@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenfold.llm.bit_sliced_search import OP12_SQL, op12_bit_sliced_search
 from lumenfold.llm.bm25_search import OP8_SQL, op8_bm25_search
 from lumenfold.llm.byte_bpe import op11_byte_bpe
 from lumenfold.llm.centroid_clustering import OP13_SQL, op13_ball_tree_clusters
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_bit_sliced_search": op12_bit_sliced_search,
     "op13_ball_tree_clusters": op13_ball_tree_clusters,
 }
 
@@ -37,5 +39,6 @@ ORACLE: dict[str, str] = {
     "op7_chat_format": OP7_SQL,
     "op8_bm25_search": OP8_SQL,
     "op10_warc_round_trip": OP10_SQL,
+    "op12_bit_sliced_search": OP12_SQL,
     "op13_ball_tree_clusters": OP13_SQL,
 }
