@@ -221,8 +221,8 @@ class Codec:
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each array of ids, which must all be in the vocabulary."""
-        n = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids).astype(np.int32) if len(ids) else np.zeros(0, np.int32)
+        n = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
         rows = pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), n), "pos": (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "id": flat})
         if not rows.num_rows:
             return [b""] * len(ids)

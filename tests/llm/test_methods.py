@@ -29,7 +29,7 @@ def documents(spark):
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{i}_" for i in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in queries.QUERIES}
+    assert "pipeline" in names and {f"op{i}_" for i in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in queries.QUERIES}
     assert len(corpus_pipeline.STAGES) == 5
 
 
