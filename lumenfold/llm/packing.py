@@ -57,10 +57,30 @@ def byte_bpe(vocabulary: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
-def encoder(vocabulary: str | None = None):
-    """Text -> ids; special tokens in the text are special."""
+@lru_cache(maxsize=2)
+def json_bpe(library: str | None = None):
+    """The same encoder by the ``tokenizers`` library, from its JSON."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(library or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def encoder(vocabulary: str | None = None, library: str | None = None):
+    """Text -> ids; special tokens in the text are special.
+
+    The rank file's encoder gives up on about a million white spaces in a row; such a text goes to
+    the ``tokenizers`` library, which takes longer and gives the same ids.
+    """
     bpe, allowed = byte_bpe(vocabulary or default_vocabulary()), set(SPECIAL)
-    return lambda text: bpe.encode(text, allowed_special=allowed, disallowed_special=())
+
+    def encode(text: str) -> list[int]:
+        try:
+            return bpe.encode(text, allowed_special=allowed, disallowed_special=())
+        except ValueError:  # its pattern's stack is full
+            return json_bpe(library).encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def default_vocabulary() -> str:
@@ -69,7 +89,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, library: str | None = None) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document's ids and ``end_id``; the first may be shorter.
 
     A null text counts as empty (one piece holding ``end_id``). Rows with equal doc_id are
@@ -77,7 +97,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabul
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, library)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
