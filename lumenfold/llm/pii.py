@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,12 @@ def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def part_value(part: str) -> int:
+    """What an address part says, however many zeros stand before; any number over 999,999 is as good as another."""
+    digits = part.lstrip("0")
+    return int(digits or 0) if len(digits) <= 6 else 1_000_000
+
+
 def base_emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of the email pattern, found from the @ sign so that long words cost nothing."""
     last = 0
@@ -94,7 +101,7 @@ def base_emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, validated."""
     out = [(0, a, b) for a, b in base_emails(text)] if "@" in text else []
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if max(map(part_value, m[0].split("."))) <= 255]
     for m in CARD.finditer(text):
         if 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
             out.append((2, *m.span()))
@@ -126,7 +133,7 @@ def votes(kind: int, text: str, start: int, end: int) -> list[int]:
         check = YES if re.search("[A-Za-z]", value[:64]) else NO
         known = YES if ending in ENDINGS else NONE if len(ending) == 2 else NO
     elif kind == 1:
-        parts = [int(p[-6:]) for p in value.split(".")]
+        parts = [part_value(p) for p in value.split(".")]
         check = YES if max(parts) <= 255 else NO
         known = NO if parts[0] in (0, 255) or value == "127.0.0.1" else YES if max(parts) <= 255 else NONE
     elif kind == 2:
@@ -235,8 +242,16 @@ def choose(spans: list[dict], models: dict[int, np.ndarray], accept: float) -> l
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[c["held"]].sum() + w[PLACES])))))
             if p >= accept:
                 more.append((-p, c["start"] - c["end"], c["start"], c["kind"], c["end"]))
+    taken: list[tuple[int, int]] = []  # what the kept spans cover: disjoint, in order
+    for a, b in sorted((a, b) for _, a, b in kept):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     for _, _, a, kind, b in sorted(more):
-        if all(b <= s or a >= e for _, s, e in kept):
+        at = bisect_left(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            taken.insert(at, (a, b))
             kept.append((kind, a, b))
     return sorted(kept, key=lambda s: (s[1], s[0], s[2]))
 
