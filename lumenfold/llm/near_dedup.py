@@ -87,8 +87,9 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 class Sampler:
     """Consistent weighted samples: of each k, the element with the least ln a = ln c - r * (t - beta + 1), t = floor(ln w / r + beta).
 
-    r and c are Gamma(2, 1) and beta uniform, drawn by the element's hash from a table for each k. A
-    sample is named by its element and t.
+    r and c are Gamma(2, 1) and beta uniform, drawn by the element's hash from tables for each k: r
+    by one part of it, c and beta by another, so that few of a long text's elements share all three.
+    A sample is named by its element and t.
     """
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = SEED) -> None:
@@ -96,7 +97,8 @@ class Sampler:
         shape = (samples, DRAWS)
         r, c, beta = rng.gamma(2, 1, shape), rng.gamma(2, 1, shape), rng.random(shape)
         self.r, self.one_by_r, self.beta = r.astype(np.float32), (1 / r).astype(np.float32), beta.astype(np.float32)
-        self.base = (np.log(c) + r * (beta - 1) + 64).astype(np.float32)  # above 0, so that its bits are in order
+        self.base = (np.log(c) + 64).astype(np.float32)  # ranks above 0, so that their bits are in order
+        self.less = (beta - 1).astype(np.float32)
         self.odd = rng.integers(1, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, names: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -105,9 +107,11 @@ class Sampler:
         low = (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         out = np.empty((len(starts), len(self.odd)), dtype=np.uint32)
         for k, odd in enumerate(self.odd):
-            at = ((names * odd) >> np.uint64(65 - DRAWS.bit_length())).astype(np.int64)
-            t = np.floor(log_w * self.one_by_r[k].take(at) + self.beta[k].take(at))
-            rank = np.maximum(self.base[k].take(at) - self.r[k].take(at) * t, np.float32(0))
+            mixed = names * odd
+            at = (mixed >> np.uint64(65 - DRAWS.bit_length())).astype(np.int64)
+            other = ((mixed >> np.uint64(66 - 2 * DRAWS.bit_length())) & np.uint64(DRAWS - 1)).astype(np.int64)
+            t = np.floor(log_w * self.one_by_r[k].take(at) + self.beta[k].take(other))
+            rank = np.maximum(self.base[k].take(other) + self.r[k].take(at) * (self.less[k].take(other) - t), np.float32(0))
             name = low ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
             out[:, k] = np.minimum.reduceat((rank.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name, starts).astype(np.uint32)
         return out
