@@ -145,11 +145,16 @@ def choose_features(sample: DataFrame, categories: list[str]) -> list[list[str]]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = MAX_TRAINING_ROWS) -> Chain:
-    """Fit the chain. Rows with a null label are left out; repeated labels of a document count as their largest."""
+    """Fit the chain to at most ``max_rows`` documents, by hash of their ids.
+
+    Rows with a null label are left out; repeated labels of a document count as their largest, and
+    rows that repeat both doc_id and text count once. Labels of absent documents count for nothing.
+    """
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("int").alias(c) for c in categories)).na.drop().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty(F.col("text")).alias("text"))
-    sample = materialize(texts.join(F.broadcast(y), "doc_id"), "training")  # at most max_rows rows are broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty(F.col("text")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    picked = texts.select("doc_id", "text_key").join(y, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(max_rows)
+    picked = materialize(picked, "picked")
+    sample = materialize(texts.join(F.broadcast(picked), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]), "training")  # at most max_rows rows are broadcast, and stay
     features = choose_features(sample, categories)
     index = {w: i for i, w in enumerate(sorted(set().union(*features)))}
 
@@ -159,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: i
             yield pd.DataFrame({"fold": pdf["fold"], "held": [[index[w] for w in words & index.keys()] for words, _ in told], "shapes": [s for _, s in told]} | {c: pdf[c] for c in categories})
 
     rows = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")).select("doc_id", "text", "fold", *categories)
-    rows = rows.sortWithinPartitions("doc_id").mapInPandas(held, "fold int, held array<int>, shapes array<double>, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()  # max_rows rows at most
+    rows = rows.sortWithinPartitions("doc_id", "text").mapInPandas(held, "fold int, held array<int>, shapes array<double>, " + ", ".join(f"`{c}` int" for c in categories)).toPandas()  # max_rows rows at most
     chain = Chain(categories)
     if rows.empty:
         chain.features, chain.rest, chain.cuts = [{} for _ in categories], [np.array([0.0] * (SHAPES + k) + [-30.0]) for k in range(len(categories))], [0.0 for _ in categories]
