@@ -62,12 +62,14 @@ def page_links(html: Column, url: Column) -> Column:
 def longest_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(_row, rule, _own) for rows of ``pages`` (_row, host, path) that a rule (rule, verdict) fits.
 
-    Hosts are matched by equality with each suffix of the page's host, so that a long rule list is
-    an equi-join; the path prefix is a condition on what meets there.
+    Hosts are matched by equality with each suffix of the page's host that has no more labels than
+    the rules have, so that a long rule list is an equi-join and a host of many labels costs no more
+    than its length; the path prefix is a condition on what meets there.
     """
     rules = rules.select(F.col("rule"), F.col("verdict").alias("_own"), F.regexp_extract("rule", "^([^/]*)", 1).alias("_suffix"), F.regexp_extract("rule", "(?s)^[^/]*(.*)$", 1).alias("_prefix"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    dots = F.length("_suffix") - F.length(F.replace("_suffix", F.lit("."), F.lit("")))
+    most = rules.agg(F.max(dots)).first()[0]
+    suffixes = F.expr(f"transform(sequence(1, least({(most or 0) + 1}, length(host) - length(replace(host, '.', '')) + 1)), i -> substring_index(host, '.', -i))")
     hit = join_small(pages.filter("host <> ''").select("_row", "path", F.explode(suffixes).alias("_suffix")), rules, ["_suffix"]).filter("startswith(path, _prefix)")
     best = hit.groupBy("_row").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "_own")).alias("_best"))
     return best.select("_row", "_best.rule", "_best._own")
