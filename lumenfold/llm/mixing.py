@@ -2,7 +2,11 @@
 
 Golden-ratio points frac(k * phi) fall on the sources' shares of the unit interval; the r-th slot
 that falls on a source takes the r-th block of that source's shuffled word stream, going round it
-again when it is used up (never beyond ``max_epochs`` rounds). Every step is a DataFrame
+again when it is used up (never beyond ``max_epochs`` rounds). A source's blocks are equal, and so
+many that one is a small part of it: between ``MIN_BLOCKS`` and ``MAX_BLOCKS``, single words where
+the source has fewer. Points fall on a source a few times more or less often than it wants slots;
+so that this never costs a small source its target, each has an exact quota: ranks beyond it are
+left out, and missing ones are put at hashed places of the schedule. Every step is a DataFrame
 operation:
 
 * slots meet the shares through an equi-join on a cell of the unit interval, so a source with a
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import fresh, join_small, materialize, or_empty, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words in a block: a block is the grain of the schedule, so a source's taken words are within about one of its target.
-BLOCK_WORDS = 32
+#: Words in a block, about, and how many blocks a source has at least (if it has as many words) and at most, whatever its size: a source's taken words are within a block of its target.
+BLOCK_WORDS, MIN_BLOCKS, MAX_BLOCKS = 32, 512, 1 << 16
 #: Documents, and slots, of one source in one window partition, about.
 CHUNK = 8_192
 SEED = 17
@@ -66,29 +70,40 @@ def _golden(k: Column) -> Column:
     return z - F.floor(z)
 
 
-def schedule(sources: DataFrame, n_sources: int, block: int = BLOCK_WORDS, max_epochs: int = 3) -> DataFrame:
-    """slot, src, rank, block, epoch: the order in which the mix takes blocks.
+def block_words(size: Column) -> Column:
+    """Words in a block of a source of this size."""
+    blocks = F.least(F.greatest(size / F.lit(BLOCK_WORDS), F.lit(float(MIN_BLOCKS))), F.lit(float(MAX_BLOCKS)))
+    return F.greatest(F.ceil(size / blocks), F.lit(1)).cast("long")
 
-    A source wants target / size rounds of its blocks; the number of slots is the sum of that and
-    its share of the unit interval is in proportion.
+
+def schedule(sources: DataFrame, n_sources: int, max_epochs: int = 3, seed: int = SEED) -> DataFrame:
+    """slot, src, rank, block, epoch: the order in which the mix takes blocks, by (slot, src).
+
+    A source wants target / size rounds of its blocks, to the nearest whole block: its quota. The
+    number of points is the sum of quotas and a source's share of the unit interval is in
+    proportion. A slot that a source lacks by then has a hashed number, which another may have too.
     """
     spark = sources.sparkSession
     order = Window.orderBy("src")
-    s = sources.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
-    s = s.withColumn("want", F.col("target") / F.col("source_size") * F.col("blocks"))
+    s = sources.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words(F.col("source_size"))).cast("long"))
+    s = s.withColumn("want", F.least(F.round(F.col("target") / block_words(F.col("source_size"))).cast("long"), F.col("blocks") * max_epochs)).filter("want > 0")
     s = s.withColumn("_all", F.sum("want").over(Window.partitionBy())).withColumn("hi", F.sum("want").over(order) / F.col("_all"))
     s = s.withColumn("lo", F.lag("hi", 1, 0.0).over(order)).withColumn("hi", F.when(F.lead("src").over(order).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-    total = s.agg(F.sum("want")).first()[0] or 0.0
+    total = s.agg(F.sum("want")).first()[0] or 0
     cells = 4 * n_sources + 64
     cell = lambda u: F.least(F.floor(u * cells), F.lit(cells - 1)).cast("long")
-    shares = s.select("src", "lo", "hi", "blocks", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("_cell"))
-    slots = spark.range(int(round(total))).select(F.col("id").alias("slot"), _golden(F.col("id")).alias("_u")).withColumn("_cell", cell(F.col("_u")))
-    hit = join_small(slots, shares, ["_cell"], rows=cells + n_sources).filter("_u >= lo and _u < hi").select("slot", "src", "blocks")
+    shares = s.select("src", "lo", "hi", "blocks", "want", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("_cell"))
+    slots = spark.range(total).select(F.col("id").alias("slot"), _golden(F.col("id")).alias("_u")).withColumn("_cell", cell(F.col("_u")))
+    hit = join_small(slots, shares, ["_cell"], rows=cells + n_sources).filter("_u >= lo and _u < hi").select("slot", "src", "blocks", "want")
     hit = hit.withColumn("_chunk", F.floor(F.col("slot") / F.lit(CHUNK)).cast("long"))
     before = hit.groupBy("src", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("src").orderBy("_chunk")) - F.col("_n")).drop("_n")
     ranked = hit.withColumn("_row", F.row_number().over(Window.partitionBy("src", "_chunk").orderBy("slot")) - 1).join(before, ["src", "_chunk"])
-    ranked = ranked.withColumn("rank", F.col("_row") + F.col("_before")).filter(F.col("rank") < F.col("blocks") * max_epochs)
+    ranked = ranked.withColumn("rank", F.col("_row") + F.col("_before")).filter("rank < want").select("slot", "src", "rank", "blocks")
+    held = hit.groupBy("src").agg(F.count(F.lit(1)).alias("_held"))
+    short = s.join(held, "src", "left").withColumn("_held", F.coalesce("_held", F.lit(0))).filter("_held < want")
+    short = short.select("src", "blocks", F.explode(F.sequence(F.col("_held"), F.col("want") - 1)).alias("rank"))
+    ranked = ranked.union(short.select(F.pmod(F.xxhash64("src", "rank", F.lit(seed)), F.lit(max(total, 1))).alias("slot"), "src", "rank", "blocks"))
     return ranked.select("slot", "src", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
 
 
@@ -104,22 +119,25 @@ def streams(sizes: DataFrame, sources: DataFrame, n_sources: int, seed: int = SE
     return d.withColumn("_upto", upto).join(before, ["src", "_chunk"]).withColumn("start", F.col("_before") + F.col("_upto") - F.col("size")).drop("_h", "_chunk", "_upto", "_before", "n_docs")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, block: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents with size, target and words taken, the mixed stream).
 
     The stream has one row per fragment of a document in a slot: slot, src, doc_id, start (the
     document's place in its source's stream), words. Documents: one row per input row, whatever
     its text or source; rows with equal doc_id count each for itself. An empty table gives none.
+    A source's words taken miss its target by less than a block and a half: half a word where it has
+    up to ``MIN_BLOCKS`` words, at most 0.3 % of its size beyond.
     """
     sizes = materialize(sized(docs), "sizes")
     sources = materialize(source_targets(sizes, weights, max_epochs), "sources")
     n = sources.count()
     placed = materialize(streams(sizes, sources, n, seed), "streams")
-    at = lambda c: F.floor(c / F.lit(block)).cast("long")
-    pieces = placed.filter("size > 0").select("src", "doc_id", "start", "size", F.explode(F.sequence(at(F.col("start")), at(F.col("start") + F.col("size") - 1))).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    placed = placed.withColumn("_block", block_words(F.col("source_size")))
+    at = lambda c: F.floor(c / F.col("_block")).cast("long")
+    pieces = placed.filter("size > 0").select("src", "doc_id", "start", "size", "_block", F.explode(F.sequence(at(F.col("start")), at(F.col("start") + F.col("size") - 1))).alias("block"))
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("_block")) - F.greatest(F.col("start"), F.col("block") * F.col("_block"))
     pieces = pieces.select("src", "block", "doc_id", "start", words.alias("words"))
-    stream = schedule(sources, n, block, max_epochs).join(pieces, ["src", "block"]).select("slot", "src", "doc_id", "start", "words")
+    stream = schedule(sources, n, max_epochs, seed).join(pieces, ["src", "block"]).select("slot", "src", "doc_id", "start", "words")
     taken = stream.groupBy("src", "start").agg(F.sum("words").alias("taken"))
     # Rows of size 0 share their start with a neighbour; they take nothing.
     out = placed.filter("size > 0").join(taken, ["src", "start"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
