@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.distributions import f_tail, pearson_p, rank_sum_p, signed_rank_p, t_two_sided
+from lumenfold.operators.quantiles import quantiles
+
+
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group (Spark prunes groups before the shuffle)."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col("rank") <= n)
@@ -69,7 +73,7 @@ def variance_decomposition(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
     """Sums of squares of a, b, their interaction and the rest: one row per term, from one pass of grouping sets.
 
     Marginal sums of squares are subtracted as they are, so that unbalanced cells can leave a
-    negative rest, as in the published tables. p values aren't given.
+    negative rest, as in the published tables; p is null where f can't be one then.
     """
     s = df.cube(a, b).agg(F.grouping_id().alias("_g"), F.avg(y).alias("_y"), F.count(F.lit(1)).alias("_k"), F.var_pop(y).alias("_v")).select("_g", "_y", "_k", "_v")
     g = s.filter("_g = 3").select(F.col("_y").alias("_m"), F.col("_k").alias("_n"), (F.col("_v") * F.col("_k")).alias("_total"))
@@ -84,7 +88,9 @@ def variance_decomposition(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
     terms = F.array(term(a, F.col("ss_a"), F.col("ka") - 1), term(b, F.col("ss_b"), F.col("kb") - 1), term("interaction", inter, (F.col("ka") - 1) * (F.col("kb") - 1)), term("residual", rest, F.col("n") - F.col("ka") * F.col("kb")))
     out = t.select("total", F.explode(terms).alias("t")).select("t.*", "total")
     residual = F.max(F.when(F.col("term") == "residual", F.col("ss") / F.col("df"))).over(Window.partitionBy())
-    return out.withColumn("ms", F.col("ss") / F.col("df")).withColumn("f", F.when(F.col("term") != "residual", F.col("ss") / F.col("df") / residual)).withColumn("eta2", F.col("ss") / F.col("total") * 100)
+    rest = F.max(F.when(F.col("term") == "residual", F.col("df"))).over(Window.partitionBy())
+    out = out.withColumn("_rest", rest).withColumn("ms", F.col("ss") / F.col("df")).withColumn("f", F.when(F.col("term") != "residual", F.col("ss") / F.col("df") / residual)).withColumn("eta2", F.col("ss") / F.col("total") * 100)
+    return out.withColumn("p", f_tail(F.col("f"), F.col("df"), F.col("_rest"))).drop("_rest")
 
 
 def with_average_rank(df: DataFrame, value: str, groups: list[str], name: str) -> DataFrame:
@@ -95,35 +101,52 @@ def with_average_rank(df: DataFrame, value: str, groups: list[str], name: str) -
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, top: int = 6, min_n: int = 3) -> DataFrame:
-    """U of every pair among the ``top`` most frequent groups, average ranks for ties."""
+    """U and its two-sided p for every pair among the ``top`` most frequent groups, average ranks for ties."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n).orderBy(F.desc("n"), group).limit(top)
     s = df.join(F.broadcast(sizes.select(group)), group).select(F.col(group).alias("g"), F.col(value).alias("v"))
     names = sizes.select(F.col(group).alias("g"))
     pairs = names.select(F.col("g").alias("g1")).join(names.select(F.col("g").alias("g2")), F.col("g1") < F.col("g2"))
     both = s.join(F.broadcast(pairs), (F.col("g") == F.col("g1")) | (F.col("g") == F.col("g2")))  # at most top * (top - 1) / 2 pairs
-    r = with_average_rank(both, "v", ["g1", "g2"], "r")
+    r = with_average_rank(both, "v", ["g1", "g2"], "r").withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy("g1", "g2", "v")))
     first = F.col("g") == F.col("g1")
-    out = r.groupBy("g1", "g2").agg(F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), F.sum(F.when(first, F.col("r"))).alias("_r1"))
-    return out.select("g1", "g2", "n1", "n2", (F.col("_r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
+    out = r.groupBy("g1", "g2").agg(F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), F.sum(F.when(first, F.col("r"))).alias("_r1"), F.sum(F.col("_t").cast("double") ** 2 - 1).alias("_ties"))
+    out = out.select("g1", "g2", "n1", "n2", (F.col("_r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "_ties")
+    return out.withColumn("p", rank_sum_p(F.col("n1"), F.col("n2"), F.col("u"), F.col("_ties"))).drop("_ties")
 
 
 def wilcoxon(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Signed-rank sums of a - b per key, zero differences left out: statistic is the smaller sum."""
+    """Signed-rank sums of a - b per key, zero differences left out: statistic is the smaller sum, p two-sided."""
     d = df.withColumn("_d", F.col(a) - F.col(b)).filter("_d <> 0").withColumn("_abs", F.abs("_d"))
-    r = with_average_rank(d, "_abs", keys, "_r")
-    out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"))
-    return out.withColumn("statistic", F.least("w_plus", "w_minus"))
+    r = with_average_rank(d, "_abs", keys, "_r").withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_abs")))
+    out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"), F.sum(F.col("_t").cast("double") ** 2 - 1).alias("_ties"))
+    out = out.withColumn("statistic", F.least("w_plus", "w_minus"))
+    return out.withColumn("p", signed_rank_p(F.col("n"), F.col("statistic"), F.col("_ties"))).drop("_ties")
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Rank correlation per key; 0 where a side is constant."""
     r = with_average_rank(with_average_rank(df, a, keys, "_ra"), b, keys, "_rb")
-    return r.groupBy(*keys).agg(F.coalesce(F.nanvl(F.corr("_ra", "_rb"), F.lit(None).cast("double")), F.lit(0.0)).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(*keys).agg(F.coalesce(correlation(F.col("_ra"), F.col("_rb")), F.lit(0.0)).alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r as an aggregate, null where a side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
+def pearson(df: DataFrame, keys: list[str], a: str | Column, b: str | Column) -> DataFrame:
+    """Correlation, its two-sided p and n per key; null p for fewer than three pairs or a constant side."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    out = df.groupBy(*keys).agg(correlation(a, b).alias("r"), F.count_if(a.isNotNull() & b.isNotNull()).alias("n"))
+    return out.withColumn("p", pearson_p(F.col("r"), F.col("n")))
 
 
 def paired_t(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Mean difference, t and its two-sided p per key."""
     d = F.col(a) - F.col(b)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_difference"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1))))).alias("t"))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_difference"), (F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1))))).alias("t"))
+    return out.withColumn("p", t_two_sided(F.col("t"), F.col("n") - 1))
 
 
 def regression_metrics(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -155,9 +178,8 @@ def calibration_error(df: DataFrame, keys: list[str], error: str, unc: str, bins
     Bin edges are percentiles of the uncertainty, bins are half open and the last edge is raised a
     little; equal edges leave empty bins, which count nothing.
     """
-    cuts = F.percentile(unc, F.array(*(F.lit(i / bins) for i in range(bins + 1))))
-    edges = df.groupBy(*keys).agg(cuts.alias("_edges"), F.count(F.lit(1)).alias("_n"))
-    d = df.join(edges, keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    d = df.join(quantiles(df, unc, [i / bins for i in range(bins + 1)], keys, "_edges").join(sizes, keys), keys)
     top = F.element_at("_edges", bins + 1) + 1e-8
     bin_of = F.size(F.filter(F.slice("_edges", 1, bins), lambda e: e <= F.col(unc)))
     b = d.filter(F.col(unc) < top).withColumn("_bin", bin_of).groupBy(*keys, "_bin").agg(F.avg(error).alias("_e"), F.avg(unc).alias("_u"), F.count(F.lit(1)).alias("_k"), F.first("_n").alias("_n"))

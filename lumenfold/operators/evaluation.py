@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.quantiles import quantiles
+
 # Kinds of mitigation methods, and those that take a distance or spare activity cliffs.
 CATEGORIES = {"distance": ("knn_k5", "knn_k10", "knn_k20", "neighborhood_consensus", "distance_weighted", "lof"), "ensemble": ("cv_disagreement", "bootstrap_ensemble", "co_teaching"), "outlier": ("zscore", "mahalanobis", "prediction_error")}
 CLIFF_AWARE = ("neighborhood_consensus", "activity_cliff")
@@ -103,7 +105,7 @@ def standardize_columns(df: DataFrame, aliases: dict[str, tuple[str, ...]] = ALI
 
 def half_width(df: DataFrame, keys: list[str], value: str, low: float = 0.16, high: float = 0.84) -> DataFrame:
     """Median and half the distance between two quantiles: one standard deviation of a normal value."""
-    d = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("q"))
+    d = quantiles(df, value, [low, 0.5, high], keys)
     return d.select(*keys, F.element_at("q", 2).alias("median"), ((F.element_at("q", 3) - F.element_at("q", 1)) / 2).alias("half_width"))
 
 

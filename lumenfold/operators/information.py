@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.neighbors import _matrix as distance_matrix
 from lumenfold.operators.neighbors import against_all, neighbors
-from lumenfold.operators.noise import with_scalar
+from lumenfold.operators.quantiles import with_quantile
 
 EULER = 0.5772156649015329
 
@@ -121,4 +121,4 @@ def mahalanobis(df: DataFrame, key: str = "id", vector: str = "x", percentile: f
     centred = F.zip_with(vector, F.array(*map(F.lit, map(float, mean))), lambda a, b: a - b)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     out = df.select(key, centred.alias("_z")).select(key, dot(F.col("_z"), F.transform(rows, lambda row: dot(row, F.col("_z")))).alias("distance"))
-    return with_scalar(out, _c=F.percentile("distance", F.lit(percentile))).withColumn("is_noise", F.col("distance") > F.col("_c")).drop("_c")
+    return with_quantile(out, "_c", "distance", percentile, df.count()).withColumn("is_noise", F.col("distance") > F.col("_c")).drop("_c")

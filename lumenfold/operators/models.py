@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.quantiles import quantiles, with_quantile
 from lumenfold.operators.ranks import fresh, hash_ranked
 from lumenfold.operators.splits import bootstrap, folds
 
@@ -87,22 +88,24 @@ def cross_validated(df: DataFrame, k: int = 5, key: str = "id") -> list[float]:
 def cv_disagreement(df: DataFrame, k: int = 5, percentile: float = 0.9, key: str = "id") -> DataFrame:
     """Flags rows whose out-of-fold error is above the percentile."""
     d = fold_predictions(df, k, key).withColumn("error", F.abs(F.col("label") - F.col("prediction")))
-    return d.crossJoin(F.broadcast(d.agg(F.percentile("error", F.lit(percentile)).alias("_c")))).withColumn("is_noise", F.col("error") > F.col("_c")).select(key, "error", "is_noise")
+    return with_quantile(d, "_c", "error", percentile, df.count()).withColumn("is_noise", F.col("error") > F.col("_c")).select(key, "error", "is_noise")
 
 
 def prediction_error(df: DataFrame, percentile: float = 0.9, key: str = "id") -> DataFrame:
     """Flags rows with the largest in-sample errors."""
     d = assembled(df)
     p = forest(100).fit(d).transform(d).withColumn("error", F.abs(F.col("label") - F.col("prediction")))
-    return p.crossJoin(F.broadcast(p.agg(F.percentile("error", F.lit(percentile)).alias("_c")))).withColumn("is_noise", F.col("error") > F.col("_c")).select(key, "error", "is_noise")
+    return with_quantile(p, "_c", "error", percentile, df.count()).withColumn("is_noise", F.col("error") > F.col("_c")).select(key, "error", "is_noise")
 
 
 def ensemble_scores(df: DataFrame, members: int = 10, key: str = "id") -> DataFrame:
-    """Deviation of the members' predictions plus |residual| of their mean."""
+    """Deviation of the members' predictions plus |residual| of their mean; each member is fitted to a hashed bootstrap."""
     d = assembled(df)
+    drawn = bootstrap(d, key, members)
     out = None
     for i in range(members):
-        p = forest(20, 8, SEED + i).fit(d.sample(True, 1.0, SEED + i)).transform(d).select(key, "label", F.col("prediction").alias("p"))
+        own = drawn.filter((F.col("run") == i) & (F.col("weight") > 0)).withColumn("_c", F.explode(F.sequence(F.lit(1), "weight")))
+        p = forest(20, 8, SEED + i).fit(own).transform(d).select(key, "label", F.col("prediction").alias("p"))
         out = p if out is None else out.union(p)
     return out.groupBy(key).agg((F.stddev_pop("p") + F.abs(F.first("label") - F.avg("p"))).alias("score"))
 
@@ -131,35 +134,6 @@ def mixture_noise(scores: DataFrame, key: str = "id", cut: float = 0.5) -> DataF
     return model.transform(d).withColumn("p_noise", F.element_at(vector_to_array("probability"), high + 1)).select(key, "score", "p_noise", (F.col("p_noise") > cut).alias("is_noise"))
 
 
-def greedy_allocation(df: DataFrame, reps: dict[str, list[int]], budget: int, step: int, patience: int = 3, key: str = "id") -> dict[str, int]:
-    """Adds ``step`` features to one representation at a time, the one that validates best; the best allocation seen wins.
-
-    ``reps`` lists each representation's components of x, best first (importance depends on the
-    representation alone, so it is ranked once). Jobs: budget / step * representations * 1.
-    """
-    d = df.withColumn("_val", F.pmod(F.xxhash64(key), F.lit(5)) == 0).cache()
-
-    def value(counts: dict[str, int]) -> float:
-        idx = [i for r, n in counts.items() for i in reps[r][:n]]
-        part = assembled(d.withColumn("x", F.array(*(F.element_at("x", i + 1) for i in idx))))
-        return r2(forest(20, 6).fit(part.filter("not _val")).transform(part.filter("_val")))
-
-    now, best, best_value, waited = dict.fromkeys(reps, 0), {}, float("-inf"), 0
-    while sum(now.values()) < budget and waited < patience:
-        tries = []
-        for r in reps:
-            more = min(step, len(reps[r]) - now[r], budget - sum(now.values()))
-            if more > 0:
-                c = now | {r: now[r] + more}
-                tries.append((value(c), c))
-        if not tries:
-            break
-        v, now = max(tries, key=lambda t: t[0])
-        best, best_value, waited = (now, v, 0) if v > best_value else (best, best_value, waited + 1)
-    d.unpersist()
-    return best
-
-
 def oob_scores(df: DataFrame, members: int = 10, key: str = "id") -> DataFrame:
     """(key, prediction, score): |label - mean prediction of the members that didn't see the row| over the labels' deviation.
 
@@ -197,13 +171,13 @@ def co_teaching(df: DataFrame, epochs: int = 4, keep: float = 0.7, rejected: flo
     """
     d = assembled(df).select(key, "features", "label")
     u = lambda seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) < int(1000 * keep)
-    sets = [d.filter(u(1)), d.filter(u(2))]
+    sets, rows = [d.filter(u(1)), d.filter(u(2))], d.count()
     votes = None
     for epoch in range(epochs):
         small = []
         for i in (0, 1):
             p = forest(15, 6, SEED + 2 * epoch + i).fit(sets[i]).transform(d).select(key, F.abs(F.col("label") - F.col("prediction")).alias("e"))
-            cut = p.agg(F.percentile("e", F.lit(keep))).first()[0]
+            cut = quantiles(p, "e", [keep], most=rows).first()["q"][0]
             v = p.select(key, (F.col("e") > cut).cast("int").alias("r"))
             small.append(v.filter("r = 0").select(key))
             votes = v if votes is None else votes.union(v)

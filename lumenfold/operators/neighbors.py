@@ -1,15 +1,15 @@
-"""Distances and exact nearest neighbours, block against block.
+"""Distances and exact nearest neighbours.
 
-Rows are dealt into blocks of bounded size; every pair of blocks is one group, in which the
-distances are one matrix. A group gives out the k best of its own for each row, so what is shuffled
-grows with rows * k * blocks and no pair table ever exists. The k best over all blocks follow by a
-window of k * blocks rows per id. For more rows than exact search can pay for, use
-``embedding``-style blocking keys first and pass ``within``.
+Neighbours within a metric go by parts around pivots: a row is shuffled once to be found, and once
+for each block of a part that can hold one of its neighbours. What obeys no triangle inequality, or
+needs all pairs, goes block against block (``against_all``): rows are dealt into blocks of bounded
+size and every pair of blocks is one group, in which the distances are one matrix. Neither way makes
+a pair table; a block gives out the k best of its own for each row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2_000
+#: Pivots at most: their distances to one another, and to a batch of rows, are held as matrices.
+MAX_PIVOTS = 1_024
+#: Share of a distance that rounding may take, with room.
+SLACK = 1e-9
+ANGLES = ("cosine", "correlation")
 METRICS = ("euclidean", "manhattan", "cosine", "chebyshev", "canberra", "correlation", "braycurtis", "minkowski_3")
 
 
@@ -80,31 +85,169 @@ def _matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
-def neighbors(df: DataFrame, k: int, metric: str = "euclidean", key: str = "id", vector: str = "x", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, neighbor, distance, rank) of the k nearest other rows; ties by key. Vectors have one length, no nulls."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}; known: {METRICS}")
-    blocks = max(1, -(-df.count() // block_rows))
-    d = df.select(F.col(key).alias("_id"), F.col(vector).alias("_x")).withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    queries = d.withColumn("_q", F.lit(True)).withColumn("_o", F.explode(every)).select("_id", "_x", "_q", F.col("_b").alias("_i"), F.col("_o").alias("_j"))
-    rows = d.withColumn("_q", F.lit(False)).withColumn("_o", F.explode(every)).select("_id", "_x", "_q", F.col("_o").alias("_i"), F.col("_b").alias("_j"))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, held = pdf[pdf["_q"]], pdf[~pdf["_q"]]
-        if asked.empty or held.empty:
-            return pd.DataFrame({"_id": [], "_n": [], "_d": []}).astype({"_id": "int64", "_n": "int64", "_d": "float64"})
+class Pivots:
+    """Reference rows that cut a metric space into parts, each row to its nearest one (ties: the first).
+
+    Cosine and correlation distances are half the square of a chord between unit vectors; a zero
+    vector stands at a right angle to all others, on an axis of its own.
+    """
+
+    def __init__(self, rows: np.ndarray, metric: str) -> None:
+        self.metric = metric
+        self.points = np.unique(self.embedded(rows), axis=0)
+        self.inner = "euclidean" if metric in ANGLES else metric
+        self.between = _matrix(self.points, self.points, self.inner)
+
+    def embedded(self, x: np.ndarray) -> np.ndarray:
+        if self.metric not in ANGLES:
+            return x
+        x = x - x.mean(axis=1, keepdims=True) if self.metric == "correlation" else x
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.hstack([x / np.where(norm > 0, norm, 1), norm == 0])
+
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """Distances of rows to all pivots."""
+        return _matrix(self.embedded(x), self.points, self.inner)
+
+    def length(self, distance: np.ndarray) -> np.ndarray:
+        """The space's length of a distance of rows."""
+        return np.sqrt(2 * np.maximum(distance, 0)) if self.metric in ANGLES else distance
+
+    def nearer(self, far: np.ndarray, own: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """(rows, parts): the least distance that a row can have to a row of each part, which reaches ``radius`` around its pivot."""
+        away = far[np.arange(len(own)), own][:, None]
+        least = np.maximum(far - radius, (far - away) / 2)
+        if self.inner == "euclidean":  # the plane between two pivots
+            gap = self.between[own]
+            least = np.maximum(least, np.where(gap > 0, (far**2 - away**2) / (2 * np.where(gap > 0, gap, 1)), 0))
+        return least - SLACK * (1 + far)
+
+
+def choose_pivots(d: DataFrame, metric: str, rows: int, part_rows: int) -> Pivots:
+    """Pivots from a hash sample of rows: one for about ``part_rows`` rows, ``MAX_PIVOTS`` at most."""
+    n = min(MAX_PIVOTS, max(1, rows // part_rows))
+    sample = d.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(n).select("_x").collect()
+    return Pivots(np.array([r["_x"] for r in sample], dtype=float).reshape(len(sample), -1), metric)
+
+
+def in_parts(d: DataFrame, pivots: Pivots) -> DataFrame:
+    """Adds ``_part``, the nearest pivot, and ``_far``, the distance to it."""
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                far = pivots.far(np.array(pdf["_x"].tolist(), dtype=float))
+                yield pdf.assign(_part=far.argmin(axis=1), _far=far.min(axis=1))
+
+    return d.mapInPandas(place, f"{_ddl(d)}, _part int, _far double")
+
+
+def _ddl(d: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
+
+
+def visit(asking: DataFrame, held: DataFrame, make: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, groups: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``make(asking, held)`` for the rows of ``asking`` with the blocks of ``held`` that have their ``_part`` (and groups).
+
+    A part's held rows are cut into blocks by its counted size, each held row is shuffled once, and
+    rows that ask go to every block of the part. A task takes up one block and streams what asks it.
+    Both sides have the same columns.
+    """
+    keys = [*(groups or []), "_part"]
+    sizes = held.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_m"))
+    block = F.pmod(F.xxhash64("_id"), F.col("_m")).cast("int")
+    both = (
+        held.join(sizes, keys).withColumns({"_b": block, "_q": F.lit(False)})
+        .unionByName(asking.join(sizes, keys).withColumns({"_b": F.explode(F.sequence(F.lit(0), F.col("_m") - 1)), "_q": F.lit(True)})).drop("_m")
+    )
+    by = [*keys, "_b"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, kept = None, []
+        for pdf in frames:
+            for k, rows in pdf.groupby(by, sort=False, dropna=False):
+                if k != key:
+                    key, kept = k, []
+                if (own := rows[~rows["_q"]]).size:
+                    kept.append(own)
+                if (asked := rows[rows["_q"]]).size and kept:
+                    kept = [pd.concat(kept)]
+                    yield make(asked, kept[0])
+
+    return both.repartition(*by).sortWithinPartitions(*by, "_q", "_id").mapInPandas(run, schema)
+
+
+def _nearest(k: int, metric: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         qi, hi = asked["_id"].to_numpy(), held["_id"].to_numpy()
-        m = _matrix(np.array(asked["_x"].tolist()), np.array(held["_x"].tolist()), metric)
+        m = _matrix(np.array(asked["_x"].tolist(), dtype=float), np.array(held["_x"].tolist(), dtype=float), metric)
         m[qi[:, None] == hi[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(hi, m.shape), m), axis=1)[:, :k]
         best = np.take_along_axis(m, order, axis=1)
         out = pd.DataFrame({"_id": np.repeat(qi, order.shape[1]), "_n": hi[order].ravel(), "_d": best.ravel()})
         return out[np.isfinite(out["_d"])]
 
-    found = queries.union(rows).groupBy("_i", "_j").applyInPandas(nearest, "_id long, _n long, _d double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_id").orderBy("_d", "_n"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("_id").alias(key), F.col("_n").alias("neighbor"), F.col("_d").alias("distance"), "rank")
+    return nearest
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("_id").orderBy("_d", "_n"))).filter(F.col("rank") <= k)
+
+
+def routed(d: DataFrame, k: int, metric: str, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For an exact k-neighbour search: rows with the parts they must ask (_id, _x, _part), the best of their own part (_id, _n, _d), all rows in their parts.
+
+    A row looks in its own part first. The k-th distance found there, or what the parts' sizes around
+    their pivots prove, bounds how far its neighbours can be; parts that the triangle inequality keeps
+    farther away aren't asked. What reaches the driver is k + 1 distances for each pivot.
+    """
+    pivots = choose_pivots(d, metric, d.count(), block_rows)
+    parts = in_parts(d, pivots)
+    stats = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy("_far"))).filter(F.col("_r") <= k + 1).groupBy("_part").agg(F.collect_list("_far").alias("near"))
+    radius, shortest = np.full(len(pivots.points), -np.inf), np.full((len(pivots.points), k + 1), np.inf)
+    for r in stats.join(parts.groupBy("_part").agg(F.max("_far").alias("most")), "_part").collect():
+        radius[r["_part"]] = r["most"]
+        shortest[r["_part"], : len(r["near"])] = sorted(r["near"])
+    # Within this of a part's pivot there are k + 1 rows, so k others than the row itself.
+    around = np.array([np.partition((gap[:, None] + shortest).ravel(), k)[k] for gap in pivots.between])
+    held = parts.select("_id", "_x", "_part")
+    own = _best(visit(held, held, _nearest(k, metric), "_id long, _n long, _d double", block_rows=block_rows), k)
+    reach = own.groupBy("_id").agg(F.when(F.count(F.lit(1)) == k, F.max("_d")).alias("_kth"))
+
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if pdf.empty:
+                continue
+            x = np.array(pdf["_x"].tolist(), dtype=float)
+            far, part = pivots.far(x), pdf["_part"].to_numpy()
+            proven = pdf["_far"].to_numpy() + around[part]
+            if metric in ANGLES:  # two zero vectors are no chord apart, but a right angle
+                proven[pivots.embedded(x)[:, -1] > 0] = np.inf
+            within = np.fmin(pivots.length(pdf["_kth"].to_numpy(dtype=float)), proven)
+            open_to = pivots.nearer(far, part, radius) <= within[:, None] + SLACK * (1 + np.where(np.isfinite(within), within, 0))[:, None]
+            open_to[np.arange(len(part)), part] = False
+            i, j = np.nonzero(open_to & np.isfinite(radius))
+            yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[i], "_x": pdf["_x"].to_numpy()[i], "_part": j.astype("int32")})
+
+    asking = parts.join(reach, "_id", "left").mapInPandas(route, "_id long, _x array<double>, _part int")
+    return asking, own.select("_id", "_n", "_d"), held
+
+
+def neighbors(df: DataFrame, k: int, metric: str = "euclidean", key: str = "id", vector: str = "x", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, neighbor, distance, rank) of the k nearest other rows; ties by key. Vectors have one length, no nulls.
+
+    Rows are dealt to parts around pivots, and ask those parts only that can hold a neighbour (see
+    ``routed``). Braycurtis obeys no triangle inequality: there every block asks every other.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {METRICS}")
+    d = df.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_x"))
+    if metric == "braycurtis" or d.count() <= block_rows:  # one block has nothing to skip
+        found = against_all(d, _nearest(k, metric), "_id long, _n long, _d double", block_rows)
+    else:
+        asking, own, held = routed(d, k, metric, block_rows)
+        found = own.union(visit(asking, held, _nearest(k, metric), "_id long, _n long, _d double", block_rows=block_rows))
+    return _best(found, k).select(F.col("_id").alias(key), F.col("_n").alias("neighbor"), F.col("_d").alias("distance"), "rank")
 
 
 def against_all(df: DataFrame, make: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block_rows: int = BLOCK_ROWS, groups: list[str] | None = None, asked: Column | None = None) -> DataFrame:
@@ -128,13 +271,17 @@ def against_all(df: DataFrame, make: Callable[[pd.DataFrame, pd.DataFrame], pd.D
     return queries.unionByName(rows).drop("_b", "_o", "_m").groupBy(*g, "_i", "_j").applyInPandas(run, schema)
 
 
-def pairs_within(df: DataFrame, radius: float, metric: str = "euclidean", groups: list[str] | None = None, key: str = "id", vector: str = "x", limit: int | None = None) -> DataFrame:
-    """(groups, key, neighbor, distance) of pairs in a group closer than the radius, at most ``limit`` nearest per row."""
+def pairs_within(df: DataFrame, radius: float, metric: str = "euclidean", groups: list[str] | None = None, key: str = "id", vector: str = "x", limit: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(groups, key, neighbor, distance) of pairs in a group closer than the radius, at most ``limit`` nearest per row.
+
+    As in ``neighbors``, a row asks those parts only that reach within the radius; a null group is
+    one like others.
+    """
     g = groups or []
 
     def close(a: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         ai, hi = a["_id"].to_numpy(), h["_id"].to_numpy()
-        m = _matrix(np.array(a["_x"].tolist()), np.array(h["_x"].tolist()), metric)
+        m = _matrix(np.array(a["_x"].tolist(), dtype=float), np.array(h["_x"].tolist(), dtype=float), metric)
         m[ai[:, None] == hi[None, :]] = np.inf
         i, j = np.nonzero(m < radius)
         if limit is not None:  # of a block no more than the limit can be among the nearest
@@ -142,11 +289,34 @@ def pairs_within(df: DataFrame, radius: float, metric: str = "euclidean", groups
             i, j = i[order], j[order]
             place = np.arange(len(i)) - np.searchsorted(i, i)
             i, j = i[place < limit], j[place < limit]
-        out = {c: [a[c].iloc[0]] * len(i) for c in g}
-        return pd.DataFrame(out | {key: ai[i], "neighbor": hi[j], "distance": m[i, j]})
+        return pd.DataFrame({c: a[c].to_numpy()[i] for c in g} | {key: ai[i], "neighbor": hi[j], "distance": m[i, j]})
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in g)
-    near = against_all(df.select(*g, F.col(key).alias("_id"), F.col(vector).alias("_x")), close, f"{kinds}{key} long, neighbor long, distance double", groups=g)
+    schema = f"{kinds}{key} long, neighbor long, distance double"
+    d = df.select(*g, F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_x"))
+    if metric == "braycurtis":
+        near = against_all(d, close, schema, block_rows, groups=g)
+    else:
+        numbers = [f"_g{i}" for i in range(len(g))]
+        pivots = choose_pivots(d, metric, d.count(), block_rows)
+        parts = in_parts(d, pivots).withColumns({n: F.xxhash64(c) for n, c in zip(numbers, g, strict=True)})  # a null joins, as a number
+        reach = np.full(len(pivots.points), -np.inf)
+        for r in parts.groupBy("_part").agg(F.max("_far").alias("most")).collect():
+            reach[r["_part"]] = r["most"]
+        length = float(pivots.length(np.array([radius]))[0]) * (1 + SLACK) + SLACK
+
+        def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if pdf.empty:
+                    continue
+                x, part = np.array(pdf["_x"].tolist(), dtype=float), pdf["_part"].to_numpy()
+                least = pivots.nearer(pivots.far(x), part, reach)
+                least[np.arange(len(part)), part] = -np.inf
+                i, j = np.nonzero((least <= length) & np.isfinite(reach))
+                yield pdf.iloc[i].assign(_part=j.astype("int32"))
+
+        held = parts.drop("_far")
+        near = visit(held.mapInPandas(route, _ddl(held)), held, close, schema, numbers, block_rows)
     if limit is None:
         return near
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(*g, key).orderBy("distance", "neighbor"))).filter(F.col("_r") <= limit).drop("_r")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.quantiles import with_quantile
 from lumenfold.operators.ranks import fresh, hash_ranked
 
 EPS = 1e-10
@@ -35,7 +36,7 @@ def neighbor_labels(rows: DataFrame, near: DataFrame, key: str = "id") -> DataFr
 def knn_consistency(rows: DataFrame, near: DataFrame, percentile: float = 0.9, key: str = "id") -> DataFrame:
     """Flags rows whose neighbours' labels deviate more than the percentile of all rows' deviations."""
     d = neighbor_labels(rows, near, key)
-    return with_scalar(d, _cut=F.percentile("nbr_std", F.lit(percentile))).withColumn("is_noise", F.col("nbr_std") > F.col("_cut")).drop("_cut")
+    return with_quantile(d, "_cut", "nbr_std", percentile, rows.count()).withColumn("is_noise", F.col("nbr_std") > F.col("_cut")).drop("_cut")
 
 
 def distance_weighted(rows: DataFrame, near: DataFrame, deviations: float = 2.0, key: str = "id") -> DataFrame:
@@ -61,7 +62,7 @@ def local_outlier_factor(near: DataFrame, key: str = "id") -> DataFrame:
 
 def lof_noise(rows: DataFrame, near: DataFrame, contamination: float = 0.1, key: str = "id") -> DataFrame:
     d = rows.join(local_outlier_factor(near, key), key)
-    return with_scalar(d, _cut=F.percentile("lof", F.lit(1 - contamination))).withColumn("is_noise", F.col("lof") > F.col("_cut")).drop("_cut")
+    return with_quantile(d, "_cut", "lof", 1 - contamination, rows.count()).withColumn("is_noise", F.col("lof") > F.col("_cut")).drop("_cut")
 
 
 def z_score(rows: DataFrame, limit: float = 3.0) -> DataFrame:
@@ -133,7 +134,7 @@ def smooth(df: DataFrame, alpha: float = 0.5, method: str | tuple[str, ...] = "p
     if unknown := set(methods) - forms.keys():
         raise ValueError(f"unknown smoothing {sorted(unknown)}; known: {sorted(forms)}")
     if "threshold" in methods:
-        d = with_scalar(d, _cut=F.percentile("_n", F.lit(1 - alpha)))
+        d = with_quantile(d, "_cut", "_n", 1 - alpha)
     names = ["y_smooth"] if isinstance(method, str) else list(methods)
     return d.withColumns({x: forms[m] for x, m in zip(names, methods, strict=True)}).drop("_n", "_cut")
 
@@ -160,7 +161,7 @@ def inject(rows: DataFrame, sigma: float, strategy: str | tuple[str, ...] = "leg
     strategies = (strategy,) if isinstance(strategy, str) else strategy
     z = normal(F.col(key), seed)
     s, m, q = fresh(rows, "s", "m", "q")
-    d = with_scalar(rows, **{s: F.stddev_pop("y"), m: F.avg("y"), q: F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))})
+    d = with_quantile(with_scalar(rows, **{s: F.stddev_pop("y"), m: F.avg("y")}), q, "y", [0.25, 0.5, 0.75], rows.count())
     place, n = fresh(d, "place", "n")
     if "outlier" in strategies:
         d = hash_ranked(d, key, f"{seed}o", place, n)
@@ -212,6 +213,6 @@ def conformal_widths(predicted: DataFrame, alpha: float = 0.1, calibration: floa
     place, n, cut, s = fresh(predicted, "place", "n", "cut", "s")
     d = hash_ranked(predicted, key, seed, place, n)
     ratio = F.abs(F.col(y) - F.col(p)) / (F.col(unc) + EPS)
-    d = with_scalar(d, **{cut: F.percentile(F.when(F.col(place) < F.floor(F.col(n) * calibration), ratio), F.lit(1 - alpha))})
+    d = with_quantile(d, cut, F.when(F.col(place) < F.floor(F.col(n) * calibration), ratio), 1 - alpha, predicted.count())
     d = d.withColumn("width", 2 * F.col(cut) * F.col(unc))
     return with_scalar(d, **{s: F.stddev_pop("width") + EPS}).withColumn("score", F.col("width") / F.col(s)).drop(place, n, cut, s)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.quantiles import with_quantile
 from lumenfold.operators.ranks import fresh, hash_ranked, key_ranked, order_key, tile
 
 
@@ -35,8 +36,8 @@ def random_split(df: DataFrame, key: str, train: float = 0.8, validation: float
 
 def quartile_strata(df: DataFrame, value: str, name: str = "stratum") -> DataFrame:
     """Adds the quartile (0..3) of a value: right-open bins."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(name, F.size(F.filter("_q", lambda e: e <= F.col(value)))).drop("_q")
+    q = fresh(df, "quartiles")[0]
+    return with_quantile(df, q, value, [0.25, 0.5, 0.75]).withColumn(name, F.size(F.filter(q, lambda e: e <= F.col(value)))).drop(q)
 
 
 def internal_validation(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:

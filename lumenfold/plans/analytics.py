@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenfold.operators import analytics as A
+from lumenfold.operators.quantiles import quantiles, with_quantile
 from lumenfold.plans.carriers import CELLS, PRED, RUNS, cells, predictions, runs, table
 from lumenfold.plans.registry import query
 
@@ -74,7 +75,8 @@ def value_counts(spark, sf):
 
 @query("percentiles", f"WITH {RUNS} SELECT model, round(quantile_cont(rmse, 0.1), 6) AS p10, round(quantile_cont(rmse, 0.5), 6) AS p50, round(quantile_cont(rmse, 0.9), 6) AS p90 FROM runs GROUP BY 1")
 def percentiles(spark, sf):
-    return rounded(runs(spark, sf).groupBy("model").agg(*(F.percentile("rmse", F.lit(q / 100)).alias(f"p{q}") for q in (10, 50, 90))))
+    q = quantiles(runs(spark, sf), "rmse", [0.1, 0.5, 0.9], ["model"])
+    return rounded(q.select("model", *(F.element_at("q", i + 1).alias(n) for i, n in enumerate(("p10", "p50", "p90")))))
 
 
 @query("class_counts", "SELECT quality, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY 1")
@@ -97,8 +99,7 @@ def top_n_per_group(spark, sf):
 @query("quartile_bins", "WITH e AS (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders) SELECT (o_totalprice >= q[1])::INT + (o_totalprice >= q[2])::INT + (o_totalprice >= q[3])::INT AS bin, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders, e GROUP BY 1")
 def quartile_bins(spark, sf):
     o = table(spark, sf, "orders").select("o_totalprice")
-    q = o.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    b = o.crossJoin(F.broadcast(q)).withColumn("bin", F.size(F.filter("q", lambda e: e <= F.col("o_totalprice"))))  # one row
+    b = with_quantile(o, "q", "o_totalprice", [0.25, 0.5, 0.75]).withColumn("bin", F.size(F.filter("q", lambda e: e <= F.col("o_totalprice"))))  # one row
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
@@ -161,35 +162,61 @@ def two_point_index(spark, sf):
     return rounded(d.withColumns({"retention": F.round("retention", 5), "mae_increase": F.round("mae_increase", 5)}))
 
 
+def _integral(f: str, upper: str, nodes: int = 4_000) -> str:
+    """Simpson's rule from 0 in SQL; ``f`` is written over @."""
+    weight = f"CASE WHEN i IN (0, {nodes}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range(0, {nodes + 1}), lambda i: {weight} * {f.replace('@', f'(({upper}) * i / {nodes})')})) * ({upper}) / {3 * nodes})"
+
+
+def _normal_p(z: str) -> str:
+    return f"(1 - 2 * {_integral('exp(-pow(@, 2) / 2) / sqrt(2 * pi())', f'least(abs({z}), 30)')})"
+
+
+def _t_p(t: str, n: str) -> str:
+    """Two-sided, n degrees of freedom."""
+    c = f"exp(lgamma(({n} + 1) / 2.0) - lgamma({n} / 2.0)) / sqrt({n} * pi())"
+    return f"(1 - 2 * {_integral(f'{c} * pow(1 + pow(@, 2) / {n}, -({n} + 1) / 2.0)', f'least(abs({t}), 60)')})"
+
+
+def _f_p(f: str, a: str, b: str) -> str:
+    c = f"exp(lgamma(({a} + {b}) / 2.0) - lgamma({a} / 2.0) - lgamma({b} / 2.0)) * pow({a}::DOUBLE / {b}, {a} / 2.0)"
+    return f"(1 - {_integral(f'2 * {c} * pow(@, {a} - 1) * pow(1 + {a}::DOUBLE / {b} * pow(@, 2), -({a} + {b}) / 2.0)', f'least(sqrt({f}), 60)')})"
+
+
 _ANOVA = """g AS (SELECT avg(y) AS m, count(*) AS n, var_pop(y) * count(*) AS total FROM d),
 sa AS (SELECT sum(x.n * (k - g.m) ** 2) AS ss, count(*) AS c FROM (SELECT a, avg(y) AS k, count(*) AS n FROM d GROUP BY a) x, g),
 sb AS (SELECT sum(x.n * (k - g.m) ** 2) AS ss, count(*) AS c FROM (SELECT b, avg(y) AS k, count(*) AS n FROM d GROUP BY b) x, g),
 sc AS (SELECT sum(x.n * (k - g.m) ** 2) AS ss FROM (SELECT a, b, avg(y) AS k, count(*) AS n FROM d GROUP BY a, b) x, g),
 t AS (SELECT 'model' AS term, sa.ss AS ss, sa.c - 1 AS df FROM sa UNION ALL SELECT 'rep', sb.ss, sb.c - 1 FROM sb
-  UNION ALL SELECT 'interaction', sc.ss - sa.ss - sb.ss, (sa.c - 1) * (sb.c - 1) FROM sa, sb, sc UNION ALL SELECT 'residual', g.total - sc.ss, g.n - sa.c * sb.c FROM sa, sb, sc, g)
-SELECT term, round(ss, 6) AS ss, df, round(ss / df, 8) AS ms, CASE WHEN term <> 'residual' THEN round(ss / df / (SELECT ss / df FROM t WHERE term = 'residual'), 5) END AS f, round(ss / g.total * 100, 6) AS eta2 FROM t, g"""
+  UNION ALL SELECT 'interaction', sc.ss - sa.ss - sb.ss, (sa.c - 1) * (sb.c - 1) FROM sa, sb, sc UNION ALL SELECT 'residual', g.total - sc.ss, g.n - sa.c * sb.c FROM sa, sb, sc, g),
+f AS (SELECT t.*, CASE WHEN term <> 'residual' THEN ss / df / (SELECT ss / df FROM t WHERE term = 'residual') END AS f, (SELECT df FROM t WHERE term = 'residual') AS rest FROM t)
+SELECT term, round(ss, 6) AS ss, df, round(ss / df, 8) AS ms, round(f, 5) AS f, round(ss / g.total * 100, 6) AS eta2, round(CASE WHEN f >= 0 AND df > 0 AND rest > 0 THEN @P END, 6) AS p FROM f, g""".replace("@P", _f_p("f", "df", "rest"))
 
 
 @query("variance_decomposition", f"WITH {CELLS}, d AS (SELECT model AS a, rep AS b, r2 AS y FROM cells WHERE abs(sigma - 0.3) < 0.05), {_ANOVA}")
 def variance_decomposition(spark, sf):
     d = A.variance_decomposition(cells(spark, sf).filter("abs(sigma - 0.3) < 0.05"), "model", "rep", "r2")
-    return d.select("term", F.round("ss", 6).alias("ss"), "df", F.round("ms", 8).alias("ms"), F.round("f", 5).alias("f"), F.round("eta2", 6).alias("eta2"))
+    return d.select("term", F.round("ss", 6).alias("ss"), "df", F.round("ms", 8).alias("ms"), F.round("f", 5).alias("f"), F.round("eta2", 6).alias("eta2"), F.round("p", 6).alias("p"))
 
 
 @query("mann_whitney", f"""WITH {CELLS}, p AS (SELECT DISTINCT x.rep || x.model AS g1, y.rep || y.model AS g2 FROM cells x, cells y WHERE x.rep || x.model < y.rep || y.model),
-b AS (SELECT g1, g2, rep || model AS g, r2 AS v FROM cells JOIN p ON rep || model IN (g1, g2)), r AS (SELECT *, rank() OVER (PARTITION BY g1, g2 ORDER BY v) + (count(*) OVER (PARTITION BY g1, g2, v) - 1) / 2 AS r FROM b)
-SELECT g1, g2, count(*) FILTER (WHERE g = g1) AS n1, count(*) FILTER (WHERE g = g2) AS n2, sum(r) FILTER (WHERE g = g1) - count(*) FILTER (WHERE g = g1) * (count(*) FILTER (WHERE g = g1) + 1) / 2 AS u FROM r GROUP BY ALL""")
+b AS (SELECT g1, g2, rep || model AS g, r2 AS v FROM cells JOIN p ON rep || model IN (g1, g2)), r AS (SELECT *, rank() OVER (PARTITION BY g1, g2 ORDER BY v) + (count(*) OVER (PARTITION BY g1, g2, v) - 1) / 2 AS r, pow(count(*) OVER (PARTITION BY g1, g2, v), 2) - 1 AS t FROM b),
+u AS (SELECT g1, g2, count(*) FILTER (WHERE g = g1) AS n1, count(*) FILTER (WHERE g = g2) AS n2, sum(r) FILTER (WHERE g = g1) - count(*) FILTER (WHERE g = g1) * (count(*) FILTER (WHERE g = g1) + 1) / 2 AS u, sum(t) AS t, count(*) AS n FROM r GROUP BY ALL),
+z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - t / (n * (n - 1)))) AS z FROM u)
+SELECT g1, g2, n1, n2, u, round(CASE WHEN z <= 0 THEN 1 ELSE {_normal_p('z')} END, 6) AS p FROM z""")
 def mann_whitney(spark, sf):
-    return A.mann_whitney(cells(spark, sf).withColumn("g", F.concat("rep", "model")).select("g", "r2"), "g", "r2")
+    return A.mann_whitney(cells(spark, sf).withColumn("g", F.concat("rep", "model")).select("g", "r2"), "g", "r2").withColumn("p", F.round("p", 6))
 
 
 @query("wilcoxon", f"""WITH {CELLS}, p AS (SELECT rep, strategy, sigma, max(r2) FILTER (WHERE model = 'A') - max(r2) FILTER (WHERE model = 'R') AS d FROM cells GROUP BY ALL),
-r AS (SELECT rep, d, rank() OVER (PARTITION BY rep ORDER BY abs(d)) + (count(*) OVER (PARTITION BY rep, abs(d)) - 1) / 2 AS r FROM p WHERE d <> 0)
-SELECT rep, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS w_minus, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS statistic FROM r GROUP BY 1""")
+r AS (SELECT rep, d, rank() OVER (PARTITION BY rep ORDER BY abs(d)) + (count(*) OVER (PARTITION BY rep, abs(d)) - 1) / 2 AS r, pow(count(*) OVER (PARTITION BY rep, abs(d)), 2) - 1 AS t FROM p WHERE d <> 0),
+w AS (SELECT rep, sum(t) AS t, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS w_minus, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS statistic FROM r GROUP BY 1),
+z AS (SELECT *, (statistic - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48) AS z FROM w)
+SELECT rep, n, w_plus, w_minus, statistic, round({_normal_p('z')}, 6) AS p FROM z""")
 def wilcoxon(spark, sf):
     r2 = lambda m: F.max(F.when(F.col("model") == m, F.col("r2")))
     p = cells(spark, sf).groupBy("rep", "strategy", "sigma").agg(r2("A").alias("a"), r2("R").alias("b")).filter("a is not null and b is not null")
-    return A.wilcoxon(p, ["rep"], "a", "b")
+    return A.wilcoxon(p, ["rep"], "a", "b").withColumn("p", F.round("p", 6))
 
 
 @query("spearman_by_sigma", f"""WITH {PRED}, r AS (SELECT sigma, rank() OVER (PARTITION BY sigma ORDER BY y_true) + (count(*) OVER (PARTITION BY sigma, y_true) - 1) / 2 AS a,
@@ -198,14 +225,14 @@ def spearman_by_sigma(spark, sf):
     return rounded(A.spearman(predictions(spark, sf), ["sigma"], "y_true", "y_pred"))
 
 
-@query("pearson_by_group", f"WITH {PRED} SELECT model, rep, round(corr(abs(y_true - y_pred), unc), 6) AS r, count(*) AS n FROM preds GROUP BY ALL")
+@query("pearson_by_group", f"WITH {PRED}, c AS (SELECT model, rep, corr(abs(y_true - y_pred), unc) AS r, count(*) AS n FROM preds GROUP BY ALL) SELECT model, rep, round(r, 6) AS r, n, round({_t_p('r * sqrt((n - 2) / (1 - r * r))', '(n - 2)')}, 6) AS p FROM c")
 def pearson_by_group(spark, sf):
-    return rounded(predictions(spark, sf).groupBy("model", "rep").agg(F.corr(F.abs(F.col("y_true") - F.col("y_pred")), F.col("unc")).alias("r"), F.count(F.lit(1)).alias("n")))
+    return rounded(A.pearson(predictions(spark, sf), ["model", "rep"], F.abs(F.col("y_true") - F.col("y_pred")), F.col("unc")))
 
 
-@query("paired_t", f"WITH {PRED} SELECT model, count(*) AS n, round(avg(y_true - y_pred), 6) AS mean_difference, round(avg(y_true - y_pred) / (stddev_samp(y_true - y_pred) / sqrt(count(*))), 5) AS t FROM preds GROUP BY 1")
+@query("paired_t", f"WITH {PRED}, s AS (SELECT model, count(*) AS n, avg(y_true - y_pred) AS m, avg(y_true - y_pred) / (stddev_samp(y_true - y_pred) / sqrt(count(*))) AS t FROM preds GROUP BY 1) SELECT model, n, round(m, 6) AS mean_difference, round(t, 5) AS t, round({_t_p('t', '(n - 1)')}, 6) AS p FROM s")
 def paired_t(spark, sf):
-    return A.paired_t(predictions(spark, sf), ["model"], "y_true", "y_pred").select("model", "n", F.round("mean_difference", 6).alias("mean_difference"), F.round("t", 5).alias("t"))
+    return A.paired_t(predictions(spark, sf), ["model"], "y_true", "y_pred").select("model", "n", F.round("mean_difference", 6).alias("mean_difference"), F.round("t", 5).alias("t"), F.round("p", 6).alias("p"))
 
 
 @query("regression_metrics", f"WITH {PRED} SELECT model, sigma, round(avg((y_true - y_pred) ** 2), 5) AS mse, round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse, round(avg(abs(y_true - y_pred)), 6) AS mae, round(1 - sum((y_true - y_pred) ** 2) / (count(*) * var_pop(y_true)), 6) AS r2, count(*) AS n FROM preds GROUP BY ALL")
