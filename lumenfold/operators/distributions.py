@@ -69,7 +69,7 @@ def normal_two_sided(z: Column) -> Column:
 
 def pearson_p(r: Column, n: Column) -> Column:
     """Two-sided p of a correlation of n pairs; null for fewer than three."""
-    return F.when((n > 2) & ~F.isnan(r), beta_inc((n - 2) / 2, F.lit(0.5), F.greatest(1 - r * r, F.lit(0.0))))
+    return F.when((n > 2) & r.isNotNull() & ~F.isnan(r), beta_inc((n - 2) / 2, F.lit(0.5), F.greatest(1 - r * r, F.lit(0.0))))
 
 
 @lru_cache(maxsize=64)
