@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators import explain as E
 from lumenfold.operators import models as M
 from lumenfold.operators import selection as S
 from lumenfold.operators.evaluation import check_labels
@@ -56,7 +57,34 @@ def forest_importance(df: DataFrame, rep: str, key: str, y: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(rep, i, float(v)) for i, v in enumerate(values)], "rep string, pos int, score double")
 
 
-IMPORTANCE: dict[str, Importance] = {"correlation": correlation_importance, "random_forest": forest_importance}
+def explained_importance(explain: Callable[..., DataFrame]) -> Importance:
+    """(rep, pos, score): the mean absolute contribution of each feature to a forest's predictions."""
+
+    def score(df: DataFrame, rep: str, key: str, y: str) -> DataFrame:
+        d = df.select(key, F.col(rep).alias("x"), F.col(y).alias("y"))
+        values = E.mean_absolute(explain(d, M.forest(50, 10).fit(M.assembled(d)), key=key))
+        return values.select(F.lit(rep).alias("rep"), "pos", "score")
+
+    return score
+
+
+def boruta_importance(df: DataFrame, rep: str, key: str, y: str) -> DataFrame:
+    """(rep, pos, score): the largest rank of a shadow test less the feature's, plus one."""
+    found = E.boruta(df, key=key, vector=rep, y=y)
+    worst = max(v["rank"] for v in found.values())
+    return df.sparkSession.createDataFrame([(rep, i, float(worst - v["rank"] + 1)) for i, v in found.items()], "rep string, pos int, score double")
+
+
+def permuted_importance(df: DataFrame, rep: str, key: str, y: str) -> DataFrame:
+    """(rep, pos, score): drop of R2 when a component is exchanged between rows."""
+    found = M.permutation_importance(df.select(key, F.col(rep).alias("x"), F.col(y).alias("y")), key=key)
+    return df.sparkSession.createDataFrame([(rep, i, float(v)) for i, v in found.items()], "rep string, pos int, score double")
+
+
+IMPORTANCE: dict[str, Importance] = {
+    "correlation": correlation_importance, "random_forest": forest_importance, "permutation": permuted_importance, "boruta": boruta_importance,
+    "treeshap": explained_importance(E.tree_shap), "kernelshap": explained_importance(E.kernel_shap), "lime": explained_importance(E.lime),
+}
 
 
 def forest_value(train: DataFrame, validation: DataFrame) -> float:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -32,8 +34,19 @@ def forest_importance(df: DataFrame, trees: int = 50, depth: int = 10) -> list[f
     return list(forest(trees, depth).fit(assembled(df)).featureImportances.toArray())
 
 
-def boosted_importance(df: DataFrame, rounds: int = 20) -> list[float]:
-    return list(GBTRegressor(maxIter=rounds, seed=SEED).fit(assembled(df)).featureImportances.toArray())
+def boosted_importance(df: DataFrame, rounds: int = 20, kind: str = "gain") -> list[float]:
+    """Of boosted trees: a feature's share of the ``gain``, its number of splits (``weight``), or the mean rows of its splits (``cover``)."""
+    if kind not in ("gain", "weight", "cover"):
+        raise ValueError(f"kind {kind!r} is none of gain, weight, cover")
+    model = GBTRegressor(maxIter=rounds, seed=SEED).fit(assembled(df))
+    if kind == "gain":
+        return list(model.featureImportances.toArray())
+    from lumenfold.operators.explain import Ensemble
+
+    e = Ensemble.of(model)
+    split = e.left >= 0
+    times = np.bincount(e.feature[split], minlength=model.numFeatures)
+    return list(times.astype(float) if kind == "weight" else np.bincount(e.feature[split], e.cover[split], model.numFeatures) / np.maximum(times, 1))
 
 
 def r2(predicted: DataFrame) -> float:
@@ -41,21 +54,41 @@ def r2(predicted: DataFrame) -> float:
     return float(predicted.agg((1 - F.sum(e * e) / (F.count(F.lit(1)) * F.var_pop("label"))).alias("r2")).first()["r2"])
 
 
-def permutation_importance(df: DataFrame, columns: list[int], repeats: int = 5, key: str = "id", model=None) -> dict[int, float]:  # noqa: ANN001
-    """Mean drop of R2 on the training rows when one component is exchanged between rows, in hash order."""
+def permutation_importance(df: DataFrame, columns: list[int] | None = None, repeats: int = 5, key: str = "id", model=None) -> dict[int, float]:  # noqa: ANN001
+    """Mean drop of R2 on the training rows when one component (all of them, one at a time) is exchanged between rows, in hash order.
+
+    In a repeat every row meets one other and takes its components one at a time, so a repeat is one
+    join and one pass; a task gives out an error sum for each component.
+    """
+    from lumenfold.operators.explain import Ensemble
+
     d = assembled(df)
     model = model or forest().fit(d)
-    base = r2(model.transform(d))
-    k, n, v = fresh(d, "k", "n", "v")
-    place = hash_ranked(d, key, "place", k, n).drop(n)
-    out = {}
-    for c in columns:
-        drops = []
-        for r in range(repeats):
-            other = hash_ranked(d.select(key, F.element_at("x", c + 1).alias(v)), key, f"{c}_{r}", k, n).select(k, v)
-            moved = place.join(other, k).withColumn("x", F.transform("x", lambda x, i: F.when(i == c, F.col(v)).otherwise(x)))
-            drops.append(base - r2(model.transform(moved.withColumn("features", array_to_vector("x")))))
-        out[c] = sum(drops) / repeats
+    ensemble = Ensemble.of(model)
+    rows = d.select(key, F.col("x").cast("array<double>").alias("x"), "label")
+    n, spread, width = rows.agg(F.count(F.lit(1)), F.var_pop("label"), F.max(F.size("x"))).first()
+    columns = list(range(width or 0)) if columns is None else columns
+    k, total = fresh(rows, "k", "n")
+    place = hash_ranked(rows, key, "place", k, total).drop(total)
+
+    def errors(frames):  # noqa: ANN001, ANN202
+        sums = np.zeros(len(columns) + 1)
+        for pdf in frames:
+            if len(pdf):
+                x, other, y = np.array(pdf["x"].tolist()), np.array(pdf["o"].tolist()), pdf["label"].to_numpy()
+                sums[-1] += ((y - ensemble.predict(x)) ** 2).sum()
+                for i, c in enumerate(columns):
+                    moved = x.copy()
+                    moved[:, c] = other[:, c]
+                    sums[i] += ((y - ensemble.predict(moved)) ** 2).sum()
+        yield pd.DataFrame({"c": [*columns, -1], "e": sums})
+
+    out = dict.fromkeys(columns, 0.0)
+    for r in range(repeats):
+        other = hash_ranked(rows.select(key, F.col("x").alias("o")), key, f"moved_{r}", k, total).select(k, "o")
+        found = {x["c"]: x["e"] for x in place.join(other, k).select("x", "o", "label").mapInPandas(errors, "c long, e double").groupBy("c").agg(F.sum("e").alias("e")).collect()}
+        for c in columns:
+            out[c] += (found[c] - found[-1]) / (n * spread) / repeats
     return out
 
 

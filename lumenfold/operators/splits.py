@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.quantiles import with_quantile
@@ -62,13 +62,18 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def bootstrap(df: DataFrame, key: str, runs: int) -> DataFrame:
     """(run, weight) per row: Poisson(1) weights by hash; out of bag where 0."""
     d = df.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("_"), F.col("run").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return d.withColumn("weight", poisson_weight(F.col(key), F.col("run")))
+
+
+def poisson_weight(key: Column, run: Column) -> Column:
+    """How often a bootstrap run draws a row: Poisson(1), by hash, 8 at most."""
+    u = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit("_"), run.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     weight, mass, upto = F.lit(0), 0.36787944117144233, 0.36787944117144233
     for k in range(1, 9):
         weight = weight + (u >= upto).cast("int")
         mass /= k
         upto += mass
-    return d.withColumn("weight", weight)
+    return weight
 
 
 def learning_curve(df: DataFrame, key: str, sizes: list[int], seeds: list[int]) -> DataFrame:
