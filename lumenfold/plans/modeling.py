@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.operators import explain as E
 from lumenfold.operators import hybrid as H
 from lumenfold.operators import models as M
+from lumenfold.operators import noise_registry as R
 from lumenfold.operators import selection as S
+from lumenfold.operators import uncertainty as U
 from lumenfold.plans.analytics import rounded
-from lumenfold.plans.carriers import table, vectors
+from lumenfold.plans.carriers import VEC, table, vectors
 from lumenfold.plans.registry import query
 from lumenfold.plans.selection import _LONG, _reps
 from lumenfold.streaming.curation import windowed_potency
@@ -77,7 +80,7 @@ def stable_features(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    found = M.permutation_importance(vectors(spark, sf).select("id", "x", "y"), [0, 1, 2], 1)
+    found = M.permutation_importance(vectors(spark, sf).select("id", "x", "y"))
     return spark.createDataFrame([(i, float(v)) for i, v in found.items()], "pos long, importance double")
 
 
@@ -110,3 +113,69 @@ def estimate_leave_one_out(spark, sf):
 @query("estimate_quantile")
 def estimate_quantile(spark, sf):
     return M.model_score("quantile", vectors(spark, sf).select("id", "x", "y"), trees=10)
+
+
+def _labelled(spark, sf):
+    return vectors(spark, sf).select("id", "x", "y")
+
+
+@query("boosted_split_counts")
+def boosted_split_counts(spark, sf):
+    rows = [(kind, i, float(v)) for kind in ("weight", "cover") for i, v in enumerate(M.boosted_importance(_labelled(spark, sf), 5, kind))]
+    return spark.createDataFrame(rows, "kind string, pos long, importance double")
+
+
+@query("tree_shap_importance")
+def tree_shap_importance(spark, sf):
+    d = _labelled(spark, sf)
+    return E.mean_absolute(E.tree_shap(d, M.forest(20, 6).fit(M.assembled(d))))
+
+
+@query("kernel_shap_importance")
+def kernel_shap_importance(spark, sf):
+    d = _labelled(spark, sf)
+    return E.mean_absolute(E.kernel_shap(d, M.forest(10, 5).fit(M.assembled(d)), background=10, extra=128))
+
+
+@query("lime_importance")
+def lime_importance(spark, sf):
+    d = _labelled(spark, sf)
+    return E.mean_absolute(E.lime(d, M.forest(10, 5).fit(M.assembled(d)), perturbed=300))
+
+
+@query("boruta_selection")
+def boruta_selection(spark, sf):
+    found = E.boruta(_labelled(spark, sf), runs=8, trees=20)
+    return spark.createDataFrame([(i, v["status"], v["hits"], v["runs"], v["rank"]) for i, v in found.items()], "pos long, status string, hits long, runs long, rank long")
+
+
+@query("quantile_regression")
+def quantile_regression(spark, sf):
+    return U.quantile_regression(_labelled(spark, sf), steps=15)
+
+
+@query("jackknife_variance")
+def jackknife_variance(spark, sf):
+    return U.jackknife(_labelled(spark, sf), members=8)
+
+
+@query("gaussian_process_scores")
+def gaussian_process_scores(spark, sf):
+    return U.gaussian_process(_labelled(spark, sf), features=96, scales=(1.0, 2.0))
+
+
+@query("noise_bootstrap_ensemble")
+def noise_bootstrap_ensemble(spark, sf):
+    return U.bootstrap_ensemble(_labelled(spark, sf), members=4)
+
+
+_BY_K = {k: f"SELECT 'knn_k{k}' AS method, count(*) FILTER (WHERE s > c) AS flagged, count(*) AS n FROM (SELECT s, quantile_cont(s, 0.9) OVER () AS c FROM (SELECT a.id, stddev_pop(b.y) AS s FROM near a JOIN vecs b ON b.id = a.neighbor WHERE rank <= {k} GROUP BY 1))" for k in (5, 10, 20)}
+
+
+@query("noise_registry_flags", f"WITH {VEC}, near AS (SELECT * FROM (SELECT a.id, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS rank FROM vecs a JOIN vecs b ON a.id <> b.id) WHERE rank <= 20) {' UNION ALL '.join(_BY_K.values())} UNION ALL SELECT 'zscore', count(*) FILTER (WHERE abs(y - m) > 3 * s), count(*) FROM (SELECT y, avg(y) OVER () AS m, stddev_pop(y) OVER () AS s FROM vecs)")
+def noise_registry_flags(spark, sf):
+    out = None
+    for name in ("knn_k5", "knn_k10", "knn_k20", "zscore"):
+        part = R.detect(name, _labelled(spark, sf)).agg(F.lit(name).alias("method"), F.count_if("is_noise").alias("flagged"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.union(part)
+    return out
