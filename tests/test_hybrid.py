@@ -57,7 +57,7 @@ def test_bad_input_is_an_error(planted, spark):
         with pytest.raises(ValueError):
             make(**options)
     with pytest.raises(NotImplementedError):
-        make(importance="boruta")
+        make(importance="integrated_gradients")
     with pytest.raises(ValueError, match="not a number"):
         make(planted.withColumn("y", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("y"))))
     with pytest.raises(ValueError, match="features"):
