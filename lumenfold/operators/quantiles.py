@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators.ranks import fresh
 
-#: Rows of a group (or bracket) that are sorted at once; accuracy of the sketch; cuts of a bracket in later rounds.
-FEW, ACCURACY, CUTS = 50_000, 10_000, 64
+#: Rows of a group (or bracket) that one buffer takes; accuracy of the sketch; cuts of a bracket in later rounds; groups whose cuts are broadcast, if they are counted to be no more.
+FEW, ACCURACY, CUTS, BROADCAST_GROUPS = 250_000, 10_000, 64, 5_000
 
 
 def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[str] | None = None, name: str = "q", most: int | None = None, few: int = FEW, accuracy: int = ACCURACY) -> DataFrame:
@@ -30,7 +30,10 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     d = df.select(*by, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v"), F.to_json(F.struct(F.lit(0).alias("_0"), *by)).alias("_g"))
     keys = d.groupBy("_g").agg(*(F.first(c).alias(c) for c in by), F.count("_v").alias("_n"))
     out = d.groupBy(*by).agg(F.percentile("_v", F.array(*map(F.lit, shares))).alias(name))
-    if (most if most is not None and most <= few else keys.agg(F.max("_n")).first()[0] or 0) <= few:  # an aggregation buffer holds that many values at most
+    if most is not None and most <= few:  # an aggregation buffer holds that many values at most
+        return out
+    most, groups = keys.agg(F.max("_n"), F.count(F.lit(1))).first()
+    if (most or 0) <= few:
         return out
     places = [(s, i) for s in range(len(shares)) for i in (0, 1)]
     low = lambda s: F.floor((F.col("_n") - 1) * F.lit(shares[s]))
@@ -43,7 +46,7 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
         cuts = rows.groupBy("_g", "_j").agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", F.array(*map(F.lit, grid)), accuracy))).alias("_cuts")).persist()
         # Twice the number of cuts below the value, one more on a cut.
         at = 2 * F.size(F.filter("_cuts", lambda c: c < F.col("_v"))) + F.array_contains("_cuts", F.col("_v")).cast("int")
-        placed = rows.join(cuts, ["_g", "_j"]).withColumn("_b", at)
+        placed = rows.join(F.broadcast(cuts) if groups <= BROADCAST_GROUPS else cuts, ["_g", "_j"]).withColumn("_b", at)
         counts = placed.groupBy("_g", "_j", "_b").agg(F.count(F.lit(1)).alias("_c"))
         counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy("_g", "_j").orderBy("_b")) - F.col("_c"))
         hit = brackets.select("_g", "_j", F.explode("_wanted").alias("_w")).join(counts, ["_g", "_j"]).filter("_w.k >= _before and _w.k < _before + _c").join(cuts, ["_g", "_j"]).persist()
@@ -53,7 +56,8 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
         inside = hit.filter("_b % 2 = 0").groupBy("_g", "_j", "_b").agg(F.collect_list(F.struct(F.col("_w.t").alias("t"), (F.col("_w.k") - F.col("_before")).alias("k"))).alias("_wanted"), F.first("_c").alias("_c"))
         rows = placed.drop("_cuts").join(inside.select("_g", "_j", "_b"), ["_g", "_j", "_b"]).select("_g", number.alias("_j"), "_v")
         brackets = inside.select("_g", number.alias("_j"), "_wanted")
-        if (inside.agg(F.max("_c")).first()[0] or 0) <= few:
+        largest, groups = inside.agg(F.max("_c"), F.count(F.lit(1))).first()
+        if (largest or 0) <= few:
             break
         grid = [i / CUTS for i in range(1, CUTS)]
     ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_j").orderBy("_v")) - 1)
