@@ -27,14 +27,15 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     at most, where that is known without counting ``df``, which may be costly.
     """
     by = by or []
-    d = df.select(*by, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v"), F.to_json(F.struct(F.lit(0).alias("_0"), *by)).alias("_g"))
-    keys = d.groupBy("_g").agg(*(F.first(c).alias(c) for c in by), F.count("_v").alias("_n"))
+    d = df.select(*by, (F.col(value) if isinstance(value, str) else value).cast("double").alias("_v"))
     out = d.groupBy(*by).agg(F.percentile("_v", F.array(*map(F.lit, shares))).alias(name))
     if most is not None and most <= few:  # an aggregation buffer holds that many values at most
         return out
-    most, groups = keys.agg(F.max("_n"), F.count(F.lit(1))).first()
+    most, groups = d.groupBy(*by).agg(F.count("_v").alias("_n")).agg(F.max("_n"), F.count(F.lit(1))).first()
     if (most or 0) <= few:
         return out
+    d = d.withColumn("_g", F.to_json(F.struct(F.lit(0).alias("_0"), *by)))  # tells groups apart, nulls too
+    keys = d.groupBy("_g").agg(*(F.first(c).alias(c) for c in by), F.count("_v").alias("_n"))
     places = [(s, i) for s in range(len(shares)) for i in (0, 1)]
     low = lambda s: F.floor((F.col("_n") - 1) * F.lit(shares[s]))
     wanted = F.array(*(F.struct(F.lit(2 * s + i).alias("t"), F.least(low(s) + i, F.col("_n") - 1).cast("long").alias("k")) for s, i in places))
