@@ -114,7 +114,7 @@ def paired_chains(spark, sf):
 @query("read_matrix", f"WITH {VEC} SELECT id, 64::BIGINT AS width, round(list_sum(x), 5) AS total FROM vecs")
 def read_matrix(spark, sf):
     path = R.scratch(spark, "matrix")
-    R.write_matrix(vectors(spark, sf).repartition(3, "id").select(F.concat(F.array(F.col("id").cast("double")), "x").alias("m")), path, "m").count()
+    R.write_matrix(vectors(spark, sf).repartition(3, "id").select(F.concat(F.array(F.col("id").cast("double")), "x").alias("m")), path, "m")
     v = F.slice("values", 2, F.size("values") - 1)
     d = R.load(spark, "npy", path).select(F.element_at("values", 1).cast("long").alias("id"), F.size(v).cast("long").alias("width"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("total"))
     return rounded(d, 5)

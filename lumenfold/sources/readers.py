@@ -109,42 +109,21 @@ def paired_chains(fasta: DataFrame, heavy: str = "H", light: str = "L") -> DataF
 
 
 @reader("npy")
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row, values) of NumPy matrices: a file is one task's; object arrays are refused."""
-    import io
-
-    import numpy as np
-    import pandas as pd
-
-    def rows(frames):  # noqa: ANN001, ANN202
-        for pdf in frames:
-            for content in pdf["content"]:
-                m = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(float)
-                yield pd.DataFrame({"row": np.arange(len(m)), "values": list(m)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "row long, values array<double>")
+def read_matrix(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """(file, row, values) of NumPy matrices, by row ranges; object arrays are refused."""
+    from lumenfold.sources.matrices import MatrixSource
 
+    spark.dataSource.register(MatrixSource)
+    return spark.read.format("matrix").options(**options).load(path)
 
-def write_matrix(df: DataFrame, path: str, vector: str) -> DataFrame:
-    """(file, rows): a NumPy matrix per partition, under a name that a repeated attempt writes again; ragged rows are refused."""
-    from collections.abc import Iterator
 
-    import numpy as np
-    import pandas as pd
-    from pyspark import TaskContext
-
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [v for pdf in frames for v in pdf[vector]]  # one partition is one file
-        if rows:
-            system, folder = file_system(path)
-            name = f"{folder}/part-{TaskContext.get().partitionId():05d}.npy"
-            with system.open_output_stream(name) as f:
-                np.save(f, np.array(rows, dtype=float), allow_pickle=False)
-            yield pd.DataFrame({"file": [name], "rows": [len(rows)]})
+def write_matrix(df: DataFrame, path: str, vector: str, **options: object) -> DataFrame:
+    """Writes NumPy matrices, pieces of a bounded size, in place of those there; gives (file, rows). Ragged rows and nulls are refused."""
+    from lumenfold.sources.matrices import MatrixSource
 
-    system, folder = file_system(path)
-    system.create_dir(folder, recursive=True)
-    return df.select(vector).mapInPandas(save, "file string, rows long")
+    df.sparkSession.dataSource.register(MatrixSource)
+    df.select(F.col(vector).cast("array<double>").alias("values")).write.format("matrix").options(**options).mode("overwrite").save(path)
+    return read_matrix(df.sparkSession, path).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def file_system(path: str):  # noqa: ANN201

@@ -64,3 +64,56 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     with pytest.raises(ValueError):
         R.write_results(spark.range(1), str(tmp_path / "z"), "latex")
+
+
+def test_matrix_goes_by_row_ranges(spark, tmp_path):
+    m = np.random.default_rng(1).normal(size=(5000, 7))
+    np.save(tmp_path / "c.npy", m)
+    np.save(tmp_path / "f.npy", np.asfortranarray(m.astype("float32")))
+    np.save(tmp_path / "v.npy", np.arange(7))
+    np.save(tmp_path / "empty.npy", np.empty((0, 7)))
+    d = R.load(spark, "npy", str(tmp_path), range_bytes=7 * 8 * 400, batch_bytes=7 * 8 * 150)
+    assert d.rdd.getNumPartitions() == 13 + 7 + 1
+    got = {(r["file"].rsplit("/", 1)[1], r["row"]): r["values"] for r in d.collect()}
+    assert len(got) == 10001 and got["v.npy", 0] == list(range(7))
+    assert np.array_equal([got["c.npy", i] for i in range(5000)], m)
+    assert np.array_equal([got["f.npy", i] for i in range(5000)], m.astype("float32"))
+
+
+@pytest.mark.parametrize("bad", [np.array([{}, None], dtype=object), np.zeros((2, 2, 2)), np.array(["a"])])
+def test_matrix_refuses_what_is_no_table_of_numbers(spark, tmp_path, bad):
+    np.save(tmp_path / "o.npy", bad, allow_pickle=True)
+    with pytest.raises(Exception, match="not numbers|axes"):
+        R.load(spark, "npy", str(tmp_path / "o.npy")).count()
+
+
+def test_matrix_that_ends_early_is_an_error(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.zeros((100, 4)))
+    whole = (tmp_path / "a.npy").read_bytes()
+    (tmp_path / "a.npy").write_bytes(whole[:-8])
+    with pytest.raises(Exception, match="ends before"):
+        R.load(spark, "npy", str(tmp_path / "a.npy")).collect()
+
+
+def test_matrix_is_written_in_bounded_pieces(spark, tmp_path):
+    d = spark.range(0, 1000, 1, 2).select(F.array(F.col("id").cast("double"), (F.col("id") * 2).cast("double")).alias("m"))
+    for n in (1000, 300):  # the second replaces the first
+        files = R.write_matrix(d.filter(F.col("m")[0] < n), str(tmp_path / "out"), "m", piece_bytes=16 * 128).collect()
+        assert sum(r["rows"] for r in files) == n and max(r["rows"] for r in files) <= 128
+        back = R.load(spark, "npy", str(tmp_path / "out")).collect()
+        assert sorted(r["values"] for r in back) == [[i, 2 * i] for i in range(n)]
+    assert all(p.suffix == ".npy" for p in (tmp_path / "out").iterdir())
+    assert sum(len(np.load(p)) for p in (tmp_path / "out").iterdir()) == 300
+    R.write_matrix(d.filter("false"), str(tmp_path / "none"), "m")
+    assert R.load(spark, "npy", str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("values", ["array(id, 1)", "if(id = 3, array(id), array(id, 1))", "array(id, if(id = 3, null, 1))", "if(id = 3, null, array(id, 1))"])
+def test_matrix_rows_are_as_long_as_each_other(spark, tmp_path, values):
+    d = spark.range(0, 6, 1, 1).selectExpr(f"{values} AS m")
+    if values == "array(id, 1)":
+        assert R.write_matrix(d, str(tmp_path / "out"), "m").first()["rows"] == 6
+    else:
+        with pytest.raises(Exception, match="holds no nulls|in one matrix"):
+            R.write_matrix(d, str(tmp_path / "out"), "m")
+        assert not list((tmp_path / "out").glob("*"))
