@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,37 +73,33 @@ def silhouette(df: DataFrame, cluster: str, key: str = "id", vector: str = "x")
 
 
 def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, sample covariance) of the components, from partial sums per batch: two arrays as wide as a vector reach the driver per task."""
+    """(mean, sample covariance) of the components; one matrix as wide as a vector reaches the driver."""
+    d = df.select(F.col(vector).cast("array<double>").alias("x"))
+    n = d.count()
+    if not n:
+        return np.zeros(0), np.zeros((0, 0))
+    mean = d.agg(Summarizer.metrics("mean").summary(array_to_vector("x")).alias("s")).first()["s"]["mean"].toArray()
+    return mean, scatter(d, mean, np.ones(len(mean))) / max(1, n - 1)
+
+
+def scatter(d: DataFrame, mean: np.ndarray, scale: np.ndarray, q: np.ndarray | None = None) -> np.ndarray:
+    """The scatter matrix of (x - mean) / scale, times ``q`` if there is one: tasks give their matrix row by row, and Spark sums each row over the tasks."""
+    shape = (len(mean), len(mean) if q is None else q.shape[1])
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, mean, moment = 0, None, None
+        out, seen = np.zeros(shape), False
         for pdf in frames:
-            if len(pdf):  # sums about a running mean, so that they don't cancel
-                x = np.array(pdf["x"].tolist(), dtype=float)
-                k, m = len(x), x.mean(axis=0)
-                c = (x - m).T @ (x - m)
-                if mean is None:
-                    n, mean, moment = k, m, c
-                else:
-                    gap = m - mean
-                    moment = moment + c + np.outer(gap, gap) * n * k / (n + k)
-                    n, mean = n + k, mean + gap * k / (n + k)
-        if n:
-            yield pd.DataFrame({"n": [n], "mean": [mean], "moment": [moment.ravel()]})
-
-    parts = df.select(F.col(vector).cast("array<double>").alias("x")).mapInPandas(partial, "n long, mean array<double>, moment array<double>").collect()
-    n, mean, moment = 0, None, None
-    for p in parts:
-        m, c = np.array(p["mean"]), np.array(p["moment"]).reshape(len(p["mean"]), -1)
-        if mean is None:
-            n, mean, moment = p["n"], m, c
-        else:
-            gap, k = m - mean, p["n"]
-            moment = moment + c + np.outer(gap, gap) * n * k / (n + k)
-            n, mean = n + k, mean + gap * k / (n + k)
-    if mean is None:
-        return np.zeros(0), np.zeros((0, 0))
-    return mean, moment / max(1, n - 1)
+            if len(pdf):
+                x, seen = (np.array(pdf["x"].tolist(), dtype=float) - mean) / scale, True
+                out += x.T @ (x if q is None else x @ q)
+        if seen:
+            yield pd.DataFrame({"i": np.arange(len(out)), "row": list(out)})
+
+    summed = d.mapInPandas(partial, "i long, row array<double>").groupBy("i").agg(Summarizer.metrics("sum").summary(array_to_vector("row")).alias("s"))
+    out = np.zeros(shape)
+    for r in summed.select("i", "s.sum").collect():  # as many rows as a vector has numbers
+        out[r["i"]] = r["sum"].toArray()
+    return out
 
 
 def clusters(df: DataFrame, k: int, key: str = "id", vector: str = "x", seed: int = 42) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.operators import projection as P
 from lumenfold.operators import rank_fusion as R
 from lumenfold.operators import selection as S
 from lumenfold.plans.analytics import rounded
@@ -64,6 +65,33 @@ def selected_stack(spark, sf):
     return rounded(out.select("id", F.size("features").cast("long").alias("n"), F.aggregate("features", F.lit(0.0), lambda s, v: s + v).alias("total")))
 
 
+# Principal components by squaring the covariance over and over: what is left of it is the first component's.
+_ROW = "list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b)))"
+_TRACE = "list_sum(list_transform(m, lambda a: list_dot_product(a, a)))"
+_LARGEST = "list_transform({m}, lambda a: list_dot_product(a, a))"
+
+
+def _component(name: str, source: str) -> str:
+    sizes = _LARGEST.format(m="m")
+    return f"""{name}_pow AS (SELECT 0 AS k, m FROM {source} UNION ALL SELECT k + 1, list_transform({_ROW}, lambda a: list_transform(a, lambda v: v / {_TRACE})) FROM {name}_pow WHERE k < 24),
+{name}_row AS (SELECT m[list_position({sizes}, list_max({sizes}))] AS r FROM {name}_pow WHERE k = 24),
+{name}_v AS (SELECT list_transform(r, lambda v: v / sqrt(list_dot_product(r, r)) * sign(r[list_position(list_transform(r, lambda w: round(abs(w), 12)), list_max(list_transform(r, lambda w: round(abs(w), 12))))])) AS v FROM {name}_row)"""
+
+
+_PCA = f"""{VEC}, train AS (SELECT id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM vecs WHERE id % 5 <> 0), mean_i AS (SELECT i, avg(v) AS m FROM train GROUP BY 1),
+centred AS (SELECT id, i, v - m AS v FROM train JOIN mean_i USING (i)), cov AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / (count(*) - 1) AS c FROM centred a JOIN centred b USING (id) GROUP BY ALL),
+matrix AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY 1)), {_component("p1", "matrix")},
+rest AS (SELECT list_transform(m, lambda a, i: list_transform(a, lambda c, j: c - l * v[i] * v[j])) AS m FROM (SELECT m, v, list_dot_product(v, list_transform(m, lambda a: list_dot_product(a, v))) AS l FROM matrix, p1_v)), {_component("p2", "rest")},
+mean_v AS (SELECT list(m ORDER BY i) AS mean FROM mean_i)"""
+
+
+@query("projected_features", f"WITH RECURSIVE {_PCA} SELECT id, round(list_dot_product(x, a.v) - list_dot_product(mean, a.v), 5) AS p1, round(list_dot_product(x, b.v) - list_dot_product(mean, b.v), 5) AS p2 FROM vecs, p1_v a, p2_v b, mean_v")
+def projected_features(spark, sf):
+    reps = _reps(spark, sf)
+    d = P.combine(reps, ["a", "b", "c"], "pca", 2, fit_on=reps.filter("id % 5 <> 0"))
+    return rounded(d.select("id", F.element_at("features", 1).alias("p1"), F.element_at("features", 2).alias("p2")), 5)
+
+
 @query("importance_by_rep", f"WITH {_STAT} SELECT rep, round(sum(c), 6) AS importance, count(*) AS n, round(sum(c) / sum(sum(c)) OVER (), 6) AS share FROM stat GROUP BY 1")
 def importance_by_rep(spark, sf):
     return rounded(S.importance_by_rep(_scores(spark, sf)))
