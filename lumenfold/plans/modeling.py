@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.operators import experiments as X
 from lumenfold.operators import explain as E
 from lumenfold.operators import hybrid as H
 from lumenfold.operators import models as M
@@ -14,6 +15,7 @@ from lumenfold.plans.analytics import rounded
 from lumenfold.plans.carriers import VEC, table, vectors
 from lumenfold.plans.registry import query
 from lumenfold.plans.selection import _LONG, _reps
+from lumenfold.sources.readers import scratch
 from lumenfold.streaming.curation import windowed_potency
 
 
@@ -179,3 +181,29 @@ def noise_registry_flags(spark, sf):
         part = R.detect(name, _labelled(spark, sf)).agg(F.lit(name).alias("method"), F.count_if("is_noise").alias("flagged"), F.count(F.lit(1)).alias("n"))
         out = part if out is None else out.union(part)
     return out
+
+
+def _grouped(df):
+    """Twenty groups by id: whole ones go to a fold."""
+    return df.withColumn("g", F.pmod("id", F.lit(20)))
+
+
+@query("grid_search")
+def grid_search(spark, sf):
+    configs = X.grid(allocation=["fixed"], n_per_rep=[2, 8], importance=["correlation"], model=["ridge", "random_forest"])
+    rows = X.hybrid_search(_grouped(_reps(spark, sf)), ["a", "b", "c"], configs, scratch(spark, "grid"), "g", 2)
+    return X.search_summary(rows, ("n_per_rep", "model")).drop("config", "settings")
+
+
+@query("generalization_gap")
+def generalization_gap(spark, sf):
+    rows = X.generalization_gap(_grouped(_labelled(spark, sf)), [2, 8, 32], ["ridge"], scratch(spark, "gap"), "g", 3)
+    return X.search_summary(rows, ("components", "model")).drop("config", "settings")
+
+
+@query("noise_experiments")
+def noise_experiments(spark, sf):
+    d = _labelled(spark, sf)
+    configs = X.grid(method=["zscore", "knn_k5"], sigma=[0.3, 0.6], seed=[7], strategy=["outlier"])
+    rows = X.noise_grid(d.filter("id % 5 <> 0"), d.filter("id % 5 = 0"), configs, scratch(spark, "noise"))
+    return rows.select(X.setting("method").alias("method"), X.setting("sigma", "double").alias("sigma"), "r2_clean", "r2_noisy", "r2_cleaned", "recovery", "precision", "recall", "f1", "n_detected", "n_true", "n_after")
