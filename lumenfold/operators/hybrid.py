@@ -48,7 +48,7 @@ def finite(df: DataFrame, reps: list[str]) -> DataFrame:
 
 def correlation_importance(df: DataFrame, rep: str, key: str, y: str) -> DataFrame:
     """(rep, pos, score): |correlation| with the label."""
-    return S.correlation_scores(S.long_form(df, key, [rep]), df.select(key, F.col(y).alias("y")), key)
+    return df.sparkSession.createDataFrame([(rep, i, c) for i, c in enumerate(S.vector_correlations(df, rep, y))], "rep string, pos int, score double")
 
 
 def forest_importance(df: DataFrame, rep: str, key: str, y: str) -> DataFrame:
@@ -100,11 +100,25 @@ def importance_of(method: str | Importance) -> Importance:
     return IMPORTANCE[method]
 
 
+#: What parameters may be: a test, and how it reads.
+BOUNDS: dict[str, tuple[Callable[[float], bool], str]] = {
+    **dict.fromkeys(("budget", "step", "n_per_rep", "augmentation_budget", "patience"), (lambda v: v > 0, "above 0")),
+    "validation": (lambda v: 0 < v < 1, "a share of the rows, neither none nor all"), "rows": (lambda v: v > 1, "two or more"),
+}
+
+
+def in_bounds(**values: float | None) -> None:
+    """An error for the first value out of its bounds; None is no value."""
+    for name, v in values.items():
+        fits, wanted = BOUNDS[name]
+        if v is not None and not fits(v):
+            raise ValueError(f"{name}: {v} is not {wanted}")
+
+
 def widths(df: DataFrame, reps: list[str]) -> dict[str, int]:
     """Each representation's number of features; an error if rows differ, or there are none, or too few rows."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *(f(F.size(r)).alias(f"{r}_{n}") for r in reps for n, f in (("min", F.min), ("max", F.max)))).first()
-    if row["n"] < 2:
-        raise ValueError(f"need at least 2 samples, got {row['n']}")
+    in_bounds(rows=row["n"])
     for r in reps:
         if row[f"{r}_min"] != row[f"{r}_max"]:
             raise ValueError(f"representation {r!r} has rows of {row[f'{r}_min']} to {row[f'{r}_max']} features")
@@ -175,13 +189,7 @@ def create_hybrid(
     """
     if not reps:
         raise ValueError("no representations")
-    for name, v in (("budget", budget), ("step", step), ("n_per_rep", n_per_rep), ("augmentation_budget", augmentation_budget)):
-        if v <= 0:
-            raise ValueError(f"{name} must be positive, got {v}")
-    if not 0 < validation < 1:
-        raise ValueError(f"validation must be between 0 and 1, got {validation}")
-    if patience is not None and patience < 1:
-        raise ValueError(f"patience must be at least 1 or None, got {patience}")
+    in_bounds(budget=budget, step=step, n_per_rep=n_per_rep, augmentation_budget=augmentation_budget, validation=validation, patience=patience)
     if allocation not in ("fixed", "performance_weighted", "greedy", "mrmr"):
         raise ValueError(f"unknown allocation {allocation!r}")
     if augmentation not in ("none", "all", "greedy_ablation"):
@@ -192,8 +200,7 @@ def create_hybrid(
     clean = finite(df, [*reps, *augmentations])
     kept = None
     if filters is not None:
-        chosen = S.quality_filter(S.long_form(clean, key, reps), *S.FILTERS[filters]).collect()  # one row per feature
-        kept = {r: {x["pos"] for x in chosen if x["rep"] == r} for r in reps}
+        kept = {r: S.vector_quality(clean, r, *S.FILTERS[filters]) for r in reps}
         if empty := [r for r in reps if not kept[r]]:
             raise ValueError(f"all features of {empty} are filtered out")
     split = internal_validation(clean, key, validation)

@@ -35,6 +35,37 @@ def quality_filter(long: DataFrame, sparsity: float | None = 0.95, variance: flo
     return s.select("rep", "pos")
 
 
+def vector_statistics(df: DataFrame, rep: str) -> list[tuple[float, float, float]]:
+    """(mean, population variance, share of zeros) of each component, in one pass over the rows; nothing is exploded."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(F.col(rep).cast("array<double>"))
+    s = df.agg(Summarizer.metrics("count", "mean", "variance", "numNonZeros").summary(v).alias("s")).first()["s"]
+    n = s["count"]
+    return [(float(m), float(u) * (n - 1) / n, 1 - float(k) / n) for m, u, k in zip(s["mean"], s["variance"], s["numNonZeros"], strict=True)]
+
+
+def vector_quality(df: DataFrame, rep: str, sparsity: float | None = 0.95, variance: float | None = 0.01) -> set[int]:
+    """``quality_filter`` of one array column: the places that are neither too sparse nor too constant."""
+    found = vector_statistics(df, rep)
+    return {i for i, (_, v, z) in enumerate(found) if (sparsity is None or z <= sparsity) and (variance is None or v > variance)}
+
+
+def vector_correlations(df: DataFrame, rep: str, y: str) -> list[float]:
+    """|correlation| of each component with the label, 0 for constant ones: two passes that sum an array, with neither explode nor join."""
+    from lumenfold.operators.information import scatter
+
+    d = df.select(F.concat(F.col(rep).cast("array<double>"), F.array(F.col(y).cast("double"))).alias("x"))
+    found = vector_statistics(d, "x")
+    mean, spread = np.array([m for m, _, _ in found]), np.sqrt([v for _, v, _ in found])
+    label = np.zeros((len(mean), 1))
+    label[-1] = 1
+    together = scatter(d, mean, np.ones(len(mean)), label)[:-1, 0] / df.count()
+    size = spread[:-1] * spread[-1]
+    return [float(abs(c) / s) if s > 0 else 0.0 for c, s in zip(together, size, strict=True)]
+
+
 def apply_filter(long: DataFrame, kept: DataFrame) -> DataFrame:
     """Fitted on training rows, applied to any rows."""
     return long.join(kept, ["rep", "pos"], "left_semi")
@@ -96,8 +127,9 @@ def importance_by_rep(scores: DataFrame) -> DataFrame:
 
 
 def correlation_scores(long: DataFrame, y: DataFrame, key: str) -> DataFrame:
-    """(rep, pos, score): |correlation| of each feature with the label."""
-    return long.join(y, key).groupBy("rep", "pos").agg(F.abs(F.coalesce(F.nanvl(F.corr("value", "y"), F.lit(0.0)), F.lit(0.0))).alias("score"))
+    """(rep, pos, score): |correlation| of each feature with the label, 0 for constant ones."""
+    c = F.try_divide(F.covar_pop("value", "y"), F.stddev_pop("value") * F.stddev_pop("y"))  # corr raises where one is constant
+    return long.join(y, key).groupBy("rep", "pos").agg(F.abs(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))).alias("score"))
 
 
 def correlation_matrix(df: DataFrame, vector: str) -> np.ndarray:

@@ -190,7 +190,7 @@ def _grouped(df):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    configs = X.grid(allocation=["fixed"], n_per_rep=[2, 8], importance=["correlation"], model=["ridge", "random_forest"])
+    configs = X.grid(allocation=["fixed"], n_per_rep=[2, 8], importance=["correlation"], model=["ridge"])
     rows = X.hybrid_search(_grouped(_reps(spark, sf)), ["a", "b", "c"], configs, scratch(spark, "grid"), "g", 2)
     return X.search_summary(rows, ("n_per_rep", "model")).drop("config", "settings")
 

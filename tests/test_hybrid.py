@@ -132,3 +132,22 @@ def test_pair_order_statistics(spark):
     for k in (0, 89, 90, 4_000, 8_099):
         assert N.pair_order_statistic(d, gap, k, float(np.ptp(y)), bins=7, few=40) == every[k]
     assert math.isclose(N.pair_quantile(d, gap, 0.37, float(np.ptp(y)), 8_100), np.quantile(every, 0.37))
+
+
+def test_statistics_of_arrays_are_those_of_the_long_form(spark):
+    import numpy as np
+
+    from lumenfold.operators import selection as S
+
+    g = np.random.default_rng(8)
+    x = g.normal(size=(200, 5)) * (g.random((200, 5)) < [1, 0.5, 0.03, 1, 0]) + [1e5, 0, 0, 0, 0]
+    x[:, 3] = 4.0
+    y = x[:, 0] - 1e5 + 0.3 * g.normal(size=200)
+    d = spark.createDataFrame([(i, [float(v) for v in x[i]], float(y[i])) for i in range(200)], "id long, a array<double>, y double").repartition(5)
+    long = S.long_form(d, "id", ["a"])
+    want = {r["pos"]: (r["mean"], r["variance"], r["zeros"]) for r in S.feature_statistics(long).collect()}
+    assert np.allclose(S.vector_statistics(d, "a"), [want[i] for i in range(5)], atol=1e-9)
+    for limits in S.FILTERS.values():
+        assert S.vector_quality(d, "a", *limits) == {r["pos"] for r in S.quality_filter(long, *limits).collect()}
+    scores = {r["pos"]: r["score"] for r in S.correlation_scores(long, d.select("id", "y"), "id").collect()}
+    assert np.allclose(S.vector_correlations(d, "a", "y"), [scores[i] for i in range(5)], atol=1e-9)
