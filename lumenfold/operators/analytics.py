@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.operators.distributions import f_tail, pearson_p, rank_sum_p, signed_rank_p, t_two_sided
 from lumenfold.operators.quantiles import quantiles
+from lumenfold.operators.ranks import fresh, with_sum_before
 
 
 def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
@@ -93,32 +96,53 @@ def variance_decomposition(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
     return out.withColumn("p", f_tail(F.col("f"), F.col("df"), F.col("_rest"))).drop("_rest")
 
 
+def average_ranks(counts: DataFrame, value: str, n: str, groups: list[str], name: str) -> DataFrame:
+    """Adds the average rank that the ``n`` rows of a value have within groups; ``counts`` has each value once."""
+    before = fresh(counts, "before")[0]
+    return with_sum_before(counts, value, n, before, groups).withColumn(name, F.col(before) + (F.col(n) + 1) / 2.0).drop(before)
+
+
 def with_average_rank(df: DataFrame, value: str, groups: list[str], name: str) -> DataFrame:
-    """Adds the average rank of ``value`` within groups; ties share the mean of their places."""
-    w = Window.partitionBy(*groups).orderBy(value)
-    tie = Window.partitionBy(*groups, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0)
+    """Adds the average rank of ``value`` within groups; ties share the mean of their places.
+
+    Values are counted, the counts ranked by buckets of their order and joined back: no group is one task.
+    """
+    n = fresh(df, "n")[0]
+    keys = [*groups, value]
+    other = fresh(df, *(f"{k}_of" for k in keys))
+    r = average_ranks(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)), value, n, groups, name)
+    r = r.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)), name)
+    return df.join(r, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, other, strict=True)))).drop(*other)
+
+
+def _tied(n: str) -> Column:
+    """The sum of t**3 - t over runs of t equal values."""
+    t = F.col(n).cast("double")
+    return F.sum(t * t * t - t)
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, top: int = 6, min_n: int = 3) -> DataFrame:
-    """U and its two-sided p for every pair among the ``top`` most frequent groups, average ranks for ties."""
+    """U and its two-sided p for every pair among the ``top`` most frequent groups, average ranks for ties.
+
+    A group's rows are counted by value before anything is paired.
+    """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n).orderBy(F.desc("n"), group).limit(top)
-    s = df.join(F.broadcast(sizes.select(group)), group).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    s = df.join(F.broadcast(sizes.select(group)), group).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
     names = sizes.select(F.col(group).alias("g"))
     pairs = names.select(F.col("g").alias("g1")).join(names.select(F.col("g").alias("g2")), F.col("g1") < F.col("g2"))
     both = s.join(F.broadcast(pairs), (F.col("g") == F.col("g1")) | (F.col("g") == F.col("g2")))  # at most top * (top - 1) / 2 pairs
-    r = with_average_rank(both, "v", ["g1", "g2"], "r").withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy("g1", "g2", "v")))
-    first = F.col("g") == F.col("g1")
-    out = r.groupBy("g1", "g2").agg(F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), F.sum(F.when(first, F.col("r"))).alias("_r1"), F.sum(F.col("_t").cast("double") ** 2 - 1).alias("_ties"))
+    counts = both.groupBy("g1", "g2", "v").agg(F.sum(F.when(F.col("g") == F.col("g1"), F.col("k")).otherwise(0)).alias("_a"), F.sum("k").alias("_k"))
+    r = average_ranks(counts, "v", "_k", ["g1", "g2"], "_r")
+    out = r.groupBy("g1", "g2").agg(F.sum("_a").alias("n1"), F.sum(F.col("_k") - F.col("_a")).alias("n2"), F.sum(F.col("_a") * F.col("_r")).alias("_r1"), _tied("_k").alias("_ties"))
     out = out.select("g1", "g2", "n1", "n2", (F.col("_r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "_ties")
     return out.withColumn("p", rank_sum_p(F.col("n1"), F.col("n2"), F.col("u"), F.col("_ties"))).drop("_ties")
 
 
 def wilcoxon(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Signed-rank sums of a - b per key, zero differences left out: statistic is the smaller sum, p two-sided."""
-    d = df.withColumn("_d", F.col(a) - F.col(b)).filter("_d <> 0").withColumn("_abs", F.abs("_d"))
-    r = with_average_rank(d, "_abs", keys, "_r").withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_abs")))
-    out = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("_d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("_d") < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"), F.sum(F.col("_t").cast("double") ** 2 - 1).alias("_ties"))
+    d = df.withColumn("_d", F.col(a) - F.col(b)).filter("_d <> 0").groupBy(*keys, F.abs("_d").alias("_abs")).agg(F.count_if(F.col("_d") > 0).alias("_up"), F.count(F.lit(1)).alias("_k"))
+    r = average_ranks(d, "_abs", "_k", keys, "_r")
+    out = r.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum(F.col("_up") * F.col("_r")).alias("w_plus"), F.sum((F.col("_k") - F.col("_up")) * F.col("_r")).alias("w_minus"), _tied("_k").alias("_ties"))
     out = out.withColumn("statistic", F.least("w_plus", "w_minus"))
     return out.withColumn("p", signed_rank_p(F.col("n"), F.col("statistic"), F.col("_ties"))).drop("_ties")
 
@@ -155,13 +179,15 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str = "y_true", p: str
 
 
 def binary_metrics(df: DataFrame, y: str, p: str, score: str | None = None) -> DataFrame:
-    """Confusion counts, accuracy, balanced accuracy, F1; the area under the curve by average ranks if there is a score."""
-    d = df if score is None else with_average_rank(df, score, [], "_r")
+    """Confusion counts, accuracy, balanced accuracy, F1; the area under the curve by average ranks if there is a score. Null where there is nothing to divide by."""
     pos, hit = F.col(y) == 1, F.col(p) == 1
-    out = d.agg(F.count_if(pos & hit).alias("tp"), F.count_if(~pos & hit).alias("fp"), F.count_if(pos & ~hit).alias("fn"), F.count_if(~pos & ~hit).alias("tn"), *([F.sum(F.when(pos, F.col("_r"))).alias("_rp")] if score else []))
+    out = df.agg(F.count_if(pos & hit).alias("tp"), F.count_if(~pos & hit).alias("fp"), F.count_if(pos & ~hit).alias("fn"), F.count_if(~pos & ~hit).alias("tn"))
+    if score:
+        counts = df.groupBy(F.col(score).alias("_s")).agg(F.count_if(pos).alias("_p"), F.count(F.lit(1)).alias("_k"))
+        out = out.crossJoin(average_ranks(counts, "_s", "_k", [], "_r").agg(F.sum(F.col("_p") * F.col("_r")).alias("_rp")))  # one row each
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    out = out.withColumns({"accuracy": (tp + tn) / (tp + fp + fn + tn), "balanced_accuracy": (tp / (tp + fn) + tn / (tn + fp)) / 2, "f1": 2 * tp / (2 * tp + fp + fn)})
-    return out.withColumn("auc", (F.col("_rp") - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (fp + tn))).drop("_rp") if score else out
+    out = out.withColumns({"accuracy": F.try_divide(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2, "f1": F.try_divide(2 * tp, 2 * tp + fp + fn)})
+    return out.withColumn("auc", F.try_divide(F.col("_rp") - (tp + fn) * (tp + fn + 1) / 2, (tp + fn) * (fp + tn))).drop("_rp") if score else out
 
 
 def class_metrics(df: DataFrame, y: str, p: str) -> DataFrame:

@@ -57,13 +57,42 @@ def hash_ranked(df: DataFrame, key: str, seed: object, place: str, total: str, b
     return ranked(df, [h, F.col(key)], F.substring(h, 1, HASH_DIGITS), place, total, by)
 
 
-def key_ranked(df: DataFrame, key: str, place: str, total: str, by: list[str] | None = None) -> DataFrame:
-    """``ranked`` by a numeric key: its approximate quantiles, ``CUTS`` numbers, cut the buckets."""
+def _quantile_bucket(df: DataFrame, key: str) -> Column:
+    """How many of a numeric key's approximate quantiles, ``CUTS`` numbers, lie below it."""
     cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), F.array(*(F.lit(i / CUTS) for i in range(1, CUTS))))).first()[0] or []
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(key))) if cuts else F.lit(0)
+
+
+def key_ranked(df: DataFrame, key: str, place: str, total: str, by: list[str] | None = None) -> DataFrame:
+    """``ranked`` by a numeric key."""
+    return ranked(df, [F.col(key)], _quantile_bucket(df, key), place, total, by)
+
+
+def name_ranked(df: DataFrame, key: str, place: str, total: str, by: list[str] | None = None) -> DataFrame:
+    """``ranked`` by a key of any ordered type, null first: ``CUTS`` keys, the first by hash, cut the buckets."""
+    cuts = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(CUTS).collect()]
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
     return ranked(df, [F.col(key)], bucket, place, total, by)
 
 
+def with_sum_before(df: DataFrame, value: str, weight: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Adds what ``weight`` sums to over the rows with a smaller (numeric) ``value`` within ``by``; null is least, NaN largest.
+
+    ``value`` must not repeat within ``by``. Sums run within buckets of the value's order and over the
+    table of buckets, at most ``CUTS`` rows for each value of ``by``: no task sees a whole group.
+    """
+    by = by or []
+    _, b, before, all_of = fresh(df, name, "bucket", "before", "all")
+    keys = [*by, b]
+    d = df.withColumn(b, _quantile_bucket(df, value))
+    other = fresh(d, *(f"{k}_of" for k in keys))
+    sums = d.groupBy(*keys).agg(F.sum(weight).alias(all_of))
+    sums = sums.withColumn(before, F.sum(all_of).over(Window.partitionBy(*by).orderBy(b)) - F.col(all_of))
+    sums = sums.select(*(F.col(k).alias(o) for k, o in zip(keys, other, strict=True)), before)
+    within = F.sum(weight).over(Window.partitionBy(*keys).orderBy(value)) - F.col(weight)
+    return d.withColumn(all_of, within).join(sums, _same(keys, other)).withColumn(name, F.col(all_of) + F.col(before)).drop(*other, b, all_of, before)
+
+
 def tile(place: Column, total: Column, k: int) -> Column:
     """The number (from 0) of a place's part when rows are dealt into k runs of equal sizes, the first ones a row longer."""
     size, longer = F.floor(total / k), total % k

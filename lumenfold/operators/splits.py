@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.operators.quantiles import with_quantile
-from lumenfold.operators.ranks import fresh, hash_ranked, key_ranked, order_key, tile
+from lumenfold.operators.ranks import fresh, hash_ranked, key_ranked, name_ranked, order_key, tile
 
 
 def hashed_fraction(df: DataFrame, key: str, fractions: dict[str, float], seed: int = 42) -> DataFrame:
@@ -91,56 +91,87 @@ def learning_curve(df: DataFrame, key: str, sizes: list[int], seeds: list[int])
     return out
 
 
-def _dealt(df: DataFrame, group: str, column: str, kind: str, deal: Callable[[], Callable[[int], object]]) -> DataFrame:
-    """Adds to each row what ``deal`` gives its group: it sees the groups' sizes, largest first, one after another.
+#: Of the groups of one size: those from place ``start`` to before ``upto`` take the names by turns.
+Turns = list[tuple[int, int, list]]
 
-    Sequential by nature: one task sorts the table of groups (two columns, spilled as needed) and
-    streams it by; its state is what ``deal`` keeps. The result is joined back on the group.
+
+def _dealt(df: DataFrame, group: str, column: str, kind: str, deal: Callable[[list[tuple[int, int]]], Iterator[Turns]], seed: int | None = None) -> DataFrame:
+    """Adds to each row what its group is dealt: groups go by size, largest first, equal sizes by key or, with a seed, by hash.
+
+    ``deal`` sees (size, groups of that size) and says for each size what its groups take. n rows have
+    at most sqrt(2 n) different sizes, so that table alone goes through one task; groups find their
+    place among those of their size by ``ranks``.
     """
-    g, n = fresh(df, "g", "n")
-    sizes = df.groupBy(F.col(group).alias(g)).agg(F.count(F.lit(1)).alias(n)).repartition(1).sortWithinPartitions(F.col(n).desc(), g)
+    g, n, place, total, turns = fresh(df, "g", "n", "place", "total", "turns")
+    groups = df.groupBy(F.col(group).alias(g)).agg(F.count(F.lit(1)).alias(n))
+    placed = name_ranked(groups, g, place, total, [n]) if seed is None else hash_ranked(groups, g, seed, place, total, [n])
+    sizes = groups.groupBy(n).agg(F.count(F.lit(1)).alias(total)).repartition(1).sortWithinPartitions(F.col(n).desc())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        put = deal()
-        for pdf in frames:
-            yield pd.DataFrame({g: pdf[g], column: [put(int(x)) for x in pdf[n]]})
+        pairs = [(int(a), int(b)) for pdf in frames for a, b in zip(pdf[n], pdf[total], strict=True)]
+        for (size, _), found in zip(pairs, deal(pairs), strict=True):
+            yield pd.DataFrame({n: [size], turns: [[{"start": a, "upto": b, "names": names} for a, b, names in found]]})
 
-    named = sizes.mapInPandas(run, f"`{g}` {df.schema[group].dataType.simpleString()}, `{column}` {kind}")
+    plan = sizes.mapInPandas(run, f"`{n}` long, `{turns}` array<struct<start: long, upto: long, names: array<{kind}>>>")
+    own = F.get(F.filter(turns, lambda t: F.col(place) < t["upto"]), F.lit(0))
+    named = placed.join(plan, n).select(g, F.get(own["names"], (F.col(place) - own["start"]) % F.size(own["names"])).alias(column))
     return df.join(named, F.col(group).eqNullSafe(F.col(g))).drop(g)
 
 
-def group_split(df: DataFrame, group: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """Adds ``split``, whole groups each, largest first: train while it fits, then validation, else test.
+def split_turns(pairs: list[tuple[int, int]], train: float, validation: float) -> Iterator[Turns]:
+    """For each (size, groups) the split they go to: train while it fits, then validation, else test."""
+    rows = sum(size * groups for size, groups in pairs)
+    first, both = int(rows * train), int(rows * (train + validation))
+    held = checked = 0
+    for size, groups in pairs:
+        a = min(groups, max(0, (first - held) // size))
+        held += a * size
+        b = min(groups - a, max(0, (both - held - checked) // size))
+        checked += b * size
+        yield [(x, y, [name]) for x, y, name in ((0, a, "train"), (a, a + b, "validation"), (a + b, groups, "test")) if x < y]
 
-    A group that doesn't fit goes on to the next split while smaller ones after it may still fit.
-    """
-    total = df.count()
-    a, b = total * train, total * (train + validation)
-
-    def deal() -> Callable[[int], str]:
-        held = {"train": 0, "validation": 0}
 
-        def put(n: int) -> str:
-            name = "train" if held["train"] + n <= a else "validation" if held["train"] + held["validation"] + n <= b else "test"
-            held[name] = held.get(name, 0) + n
-            return name
+def fold_turns(pairs: list[tuple[int, int]], k: int) -> Iterator[Turns]:
+    """For each (size, groups) the fold they go to: always the lightest, the first among equals.
 
-        return put
+    Groups of one size raise loads by equal steps. Counted in steps, a fold enters at the whole part
+    of its load; from there on all that have entered take turns, by the rest of their load and number.
+    """
+    load = [0] * k
+    for size, groups in pairs:
+        enters = sorted({w // size for w in load})
+        turns, start = [], 0
+        for level, after in zip(enters, [*enters[1:], None], strict=True):
+            inside = sorted((f for f in range(k) if load[f] // size <= level), key=lambda f: (load[f] % size, f))
+            upto = groups if after is None else min(groups, start + (after - level) * len(inside))
+            if start < upto:
+                turns.append((start, upto, inside))
+            start = upto
+        for a, b, inside in turns:
+            each, more = divmod(b - a, len(inside))
+            for i, f in enumerate(inside):
+                load[f] += (each + (i < more)) * size
+        yield turns
 
-    return _dealt(df, group, "split", "string", deal)
 
+def group_split(df: DataFrame, group: str, train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """Adds ``split``, whole groups each, largest first: train while it fits, then validation, else test.
 
-def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Adds ``fold``: groups, largest first, each to the lightest fold (the first among equals)."""
+    A group that doesn't fit goes on to the next split while smaller ones after it may still fit. Rows
+    whose group is null are one group.
+    """
+    return _dealt(df, group, "split", "string", lambda pairs: split_turns(pairs, train, validation))
 
-    def deal() -> Callable[[int], int]:
-        load = [0] * k
 
-        def put(n: int) -> int:
-            at = load.index(min(load))
-            load[at] += n
-            return at
+def group_folds(df: DataFrame, group: str, k: int = 5, seed: int | None = None) -> DataFrame:
+    """Adds ``fold``: groups, largest first, each to the lightest fold (the first among equals); a seed shuffles groups of equal sizes."""
+    return _dealt(df, group, "fold", "int", lambda pairs: fold_turns(pairs, k), seed)
 
-        return put
 
-    return _dealt(df, group, "fold", "int", deal)
+def repeated_group_folds(df: DataFrame, group: str, k: int = 5, repeats: int = 3, seed: int = 42) -> DataFrame:
+    """``group_folds`` once for each ``repeat``, groups of equal sizes in another order each time."""
+    out = None
+    for r in range(repeats):
+        part = group_folds(df, group, k, seed + r).withColumn("repeat", F.lit(r))
+        out = part if out is None else out.unionByName(part)
+    return out
