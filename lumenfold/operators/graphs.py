@@ -15,15 +15,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.operators.ranks import name_ranked
 
-def refinement_histogram(edges: DataFrame, labels: DataFrame, rounds: int = 5) -> DataFrame:
+#: Graphs with more rows than this (links and labelled nodes) are refined by joins, not as one row each.
+ROW_GRAPH = 200_000
+
+
+def refinement_histogram(edges: DataFrame, labels: DataFrame, rounds: int = 5, most: int = ROW_GRAPH) -> DataFrame:
     """(g, label, n): counts of the labels "round_label" that neighbourhood refinement gives.
 
     ``labels`` is (g, node, label). A round's label is the node's label and its neighbours' sorted
     labels, hashed so that its length stays bounded. Isolated nodes refine to their own label. A
-    graph is small and travels as one row: one shuffle for all rounds.
+    graph of at most ``most`` rows travels as one row, one shuffle for all rounds; larger ones are
+    refined by joins, round by round, where one row holds a node's neighbours at most.
     """
+    link = edges.select("g", F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.lit(None).cast("string").alias("label")).alias("p"))
+    node = labels.filter("label is not null").select("g", F.struct(F.col("node").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("label").cast("string").alias("label")).alias("p"))
+    large = edges.select("g").union(labels.filter("label is not null").select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("g")
+    if large.isEmpty():
+        return _refined_in_rows(link.union(node), rounds)
+    within, beyond = (lambda d: d.join(large, "g", "left_anti")), (lambda d: d.join(large, "g", "left_semi"))
+    return _refined_in_rows(within(link.union(node)), rounds).union(_refined_by_joins(beyond(edges), beyond(labels.filter("label is not null")), rounds))
+
 
+def _refined_in_rows(parts: DataFrame, rounds: int) -> DataFrame:
     def refine(parts: list) -> Counter:
         now = {p["src"]: p["label"] for p in parts if p["label"] is not None}
         near: dict[int, list[int]] = {}
@@ -40,9 +55,30 @@ def refinement_histogram(edges: DataFrame, labels: DataFrame, rounds: int = 5) -
         for pdf in frames:
             yield pd.DataFrame([(g, label, n) for g, parts in zip(pdf["g"], pdf["parts"], strict=True) for label, n in refine(parts).items()], columns=["g", "label", "n"])
 
-    link = edges.select("g", F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.lit(None).cast("string").alias("label")).alias("p"))
-    node = labels.filter("label is not null").select("g", F.struct(F.col("node").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("label").cast("string").alias("label")).alias("p"))
-    return link.union(node).groupBy("g").agg(F.collect_list("p").alias("parts")).mapInPandas(run, "g long, label string, n long")
+    return parts.groupBy("g").agg(F.collect_list("p").alias("parts")).mapInPandas(run, "g long, label string, n long")
+
+
+def _refined_by_joins(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFrame:
+    now = labels.select("g", F.col("node").cast("long").alias("node"), F.col("label").cast("string").alias("label"))
+    links = edges.select("g", F.col("src").cast("long").alias("node"), F.col("dst").cast("long").alias("dst"))
+    counts = lambda d, r: d.groupBy("g", F.concat(F.lit(f"{r}_"), "label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    out = counts(now, 0)
+    for r in range(1, rounds + 1):
+        seen = links.join(now.select("g", F.col("node").alias("dst"), F.col("label").alias("other")), ["g", "dst"])
+        around = seen.groupBy("g", "node").agg(F.array_join(F.sort_array(F.collect_list("other")), "_").alias("around"))
+        now = now.join(around, ["g", "node"], "left").select("g", "node", F.md5(F.concat("label", F.lit("|"), F.coalesce("around", F.lit("")))).alias("label")).checkpoint()
+        out = out.union(counts(now, r))
+    return out.select(F.col("g").cast("long").alias("g"), "label", "n")
+
+
+def label_places(histogram: DataFrame) -> DataFrame:
+    """(label, place): the vocabulary of training graphs, places from 0 in the labels' order."""
+    return name_ranked(histogram.select("label").distinct(), "label", "place", "n").drop("n")
+
+
+def placed_counts(histogram: DataFrame, places: DataFrame) -> DataFrame:
+    """(g, place, n): counts over a training vocabulary, for the same or other graphs; unseen labels are dropped."""
+    return histogram.join(places, "label").select("g", "place", "n")
 
 
 def vocabulary_counts(histogram: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -111,6 +147,22 @@ def path_features(hops: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("g", "path_mean", "path_max", "wiener", "ecc_mean", "ecc_std", "periphery", "center", F.when(whole, F.col("_d")).otherwise(-1).alias("diameter"), F.when(whole, F.col("_m")).otherwise(-1).alias("radius"))
 
 
+def distance_features(hops: DataFrame) -> DataFrame:
+    """Per graph, over its largest component (of equal ones that with the least node): nodes, path mean, maximum, sum and deviation, eccentricity mean and deviation, periphery and centre sizes.
+
+    ``hops`` must reach as far as any path does. Nodes are summed by graph and component, then by
+    their eccentricity: no join, and one shuffle by graph. Graphs without a link have no row.
+    """
+    h = F.col("hops").cast("long")
+    by_node = hops.repartition("g").groupBy("g", "src").agg(F.min("dst").alias("_root"), F.max(h).alias("_e"), F.count(F.lit(1)).alias("_r"), F.sum(h).alias("_s"), F.sum(h * h).alias("_q"))
+    by_ecc = by_node.groupBy("g", "_root", "_e").agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col("_r") - 1).alias("_p"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"))
+    e, c = F.col("_e"), F.col("_c")
+    parts = by_ecc.groupBy("g", "_root").agg(F.sum(c).alias("nodes"), F.sum("_p").alias("p"), F.sum("_s").alias("s"), F.sum("_q").alias("q"), F.sum(c * e).alias("es"), F.sum(c * e * e).alias("eq"), F.max(e).alias("path_max"), F.max_by(c, e).alias("periphery"), F.min_by(c, e).alias("center"))
+    best = parts.groupBy("g").agg(F.max_by(F.struct("nodes", "p", "s", "q", "es", "eq", "path_max", "periphery", "center"), F.struct(F.col("nodes"), -F.col("_root"))).alias("b")).select("g", "b.*")
+    deviation = lambda q, s, n: F.sqrt(F.greatest(F.lit(0.0), (F.col(q) * F.col(n) - F.col(s) * F.col(s)) / (F.col(n) * F.col(n))))  # noqa: E731  (whole numbers up to the division)
+    return best.filter("nodes > 1").select("g", "nodes", (F.col("s") / F.col("p")).alias("path_mean"), "path_max", (F.col("s") / 2).alias("wiener"), deviation("q", "s", "p").alias("path_std"), (F.col("es") / F.col("nodes")).alias("ecc_mean"), deviation("eq", "es", "nodes").alias("ecc_std"), "periphery", "center")
+
+
 def component_counts(hops: DataFrame) -> DataFrame:
     """(g, components), from hop distances that reach as far as any path does."""
     return hops.groupBy("g", "src").agg(F.min("dst").alias("_root")).groupBy("g").agg(F.count_distinct("_root").alias("components"))

@@ -175,3 +175,10 @@ def repeated_group_folds(df: DataFrame, group: str, k: int = 5, repeats: int = 3
         part = group_folds(df, group, k, seed + r).withColumn("repeat", F.lit(r))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def group_ids(df: DataFrame, group: str, name: str = "group_id") -> DataFrame:
+    """Adds a whole number for each group, from 0 in the groups' order; null is a group, the first."""
+    g, n = fresh(df, "g", "n")
+    ids = name_ranked(df.select(F.col(group).alias(g)).distinct(), g, name, n).drop(n)
+    return df.join(ids, F.col(group).eqNullSafe(F.col(g))).drop(g)

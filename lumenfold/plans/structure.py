@@ -121,6 +121,43 @@ def graph_components(spark, sf):
     return G.component_counts(G.hop_distances(edges(spark, sf)))
 
 
+_MAIN = "comp AS (SELECT g, src, least(src, min(dst)) AS root FROM hops GROUP BY g, src), size AS (SELECT g, root, count(*) AS nodes FROM comp GROUP BY g, root QUALIFY row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, root) = 1)"
+
+
+@query("graph_distances", f"""WITH RECURSIVE {EDGES}, {_HOPS}, {_MAIN}, own AS (SELECT hops.* FROM hops JOIN comp USING (g, src) JOIN size USING (g, root)), ecc AS (SELECT g, src, max(h) AS e FROM own GROUP BY ALL),
+c AS (SELECT g, max(e) AS d, min(e) AS m, avg(e) AS ecc_mean, stddev_pop(e) AS ecc_std FROM ecc GROUP BY 1), b AS (SELECT g, count(*) FILTER (WHERE e = d) AS periphery, count(*) FILTER (WHERE e = m) AS center FROM ecc JOIN c USING (g) GROUP BY 1),
+p AS (SELECT g, avg(h) AS path_mean, sum(h) / 2 AS wiener, stddev_pop(h) AS path_std FROM own GROUP BY 1)
+SELECT g, nodes, round(path_mean, 6) AS path_mean, d AS path_max, wiener, round(path_std, 6) AS path_std, round(ecc_mean, 6) AS ecc_mean, round(ecc_std, 6) AS ecc_std, periphery, center FROM p JOIN c USING (g) JOIN b USING (g) JOIN size USING (g)""")
+def graph_distances(spark, sf):
+    return rounded(G.distance_features(G.hop_distances(edges(spark, sf))))
+
+
+def _rounds(n: int) -> str:
+    """The CTEs of refinement rounds 1 to n: r0 holds (g, node, label)."""
+    one = "a{0} AS (SELECT e.g, e.src AS node, string_agg(l.label, '_' ORDER BY l.label) AS a FROM edges_v e JOIN r{1} l ON l.g = e.g AND l.node = e.dst GROUP BY ALL), r{0} AS (SELECT r{1}.g, r{1}.node, md5(label || '|' || coalesce(a, '')) AS label FROM r{1} LEFT JOIN a{0} USING (g, node))"
+    return ", ".join(one.format(i, i - 1) for i in range(1, n + 1))
+
+
+_KERNEL = f"""{EDGES}, r0 AS (SELECT DISTINCT g, src AS node, CASE WHEN src < 5 THEN 's' ELSE 'p' END AS label FROM edges_v), {_rounds(5)},
+hist AS (SELECT g, label, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT g, '{i}_' || label AS label FROM r{i}" for i in range(6))}) GROUP BY ALL)"""
+
+
+@query("refinement_features", f"WITH {_KERNEL}, v AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place FROM (SELECT DISTINCT label FROM hist WHERE g % 5 <> 0)) SELECT g, place, n FROM hist JOIN v USING (label) WHERE g % 5 = 0")
+def refinement_features(spark, sf):
+    """Five rounds; graphs of every fifth key are the test set, counted over the others' vocabulary."""
+    e = edges(spark, sf)
+    labels = e.select("g", F.col("src").alias("node")).distinct().withColumn("label", F.when(F.col("node") < 5, "s").otherwise("p"))
+    test = lambda d: d.filter("g % 5 = 0")
+    train = lambda d: d.filter("g % 5 <> 0")
+    places = G.label_places(G.refinement_histogram(train(e), train(labels), 5))
+    return G.placed_counts(G.refinement_histogram(test(e), test(labels), 5), places)
+
+
+@query("scaffold_groups", "SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS group_id FROM documents")
+def scaffold_groups(spark, sf):
+    return S.group_ids(table(spark, sf, "documents").select("doc_id", "source"), "source").select("doc_id", "group_id")
+
+
 _TRIANGLES = """half AS (SELECT DISTINCT l_orderkey // 4 AS g, l_suppkey % 7 AS src, l_partkey % 7 AS dst FROM lineitem WHERE l_suppkey % 7 <> l_partkey % 7),
 t AS (SELECT g, src, dst FROM half UNION SELECT g, dst, src FROM half)"""
 
