@@ -174,8 +174,9 @@ def paired_t(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """Errors and r2 per key; r2 is null where labels don't differ."""
     e = F.col(y) - F.col(p)
-    return df.groupBy(*keys).agg(F.avg(e**2).alias("mse"), F.sqrt(F.avg(e**2)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e**2) / (F.count(F.lit(1)) * F.var_pop(y))).alias("r2"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys).agg(F.avg(e**2).alias("mse"), F.sqrt(F.avg(e**2)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1 - F.try_divide(F.sum(e**2), F.count(F.lit(1)) * F.var_pop(y))).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
 def binary_metrics(df: DataFrame, y: str, p: str, score: str | None = None) -> DataFrame:

@@ -94,6 +94,19 @@ def median_dedupe(df: DataFrame, keys: list[str], value: str, max_std: float | N
     return out if max_std is None else out.filter(F.col("std").isNull() | (F.col("std") <= max_std))
 
 
+def property_dataset(df: DataFrame, keys: list[str], properties: list[str], target: str, order: list[Column], train: Column | None = None) -> DataFrame:
+    """(keys, y, z): one of several properties as the label, the first row in ``order`` of each key, z by the training rows.
+
+    Rows whose target is null, not a number or infinite go before the first row is chosen; an unknown target is an error.
+    """
+    if target not in properties:
+        raise ValueError(f"unknown property {target!r}; known: {sorted(properties)}")
+    y = F.col(target).try_cast("double")
+    d = df.withColumn("_y", y).filter(F.col("_y").isNotNull() & ~F.isnan("_y") & (F.abs("_y") < float("inf")))
+    first = d.groupBy(*keys).agg(F.min_by("_y", F.struct(*(o.alias(f"_{i}") for i, o in enumerate(order)))).alias("y"))
+    return standardized(first, "y", train)
+
+
 def first_match(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, order: list[str]) -> DataFrame:
     """Inner join in which a left row meets only the first right row of its key."""
     ranked = right.withColumn("_k", right_key).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(*order))).filter("_n = 1").drop("_n")

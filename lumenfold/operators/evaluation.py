@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.analytics import regression_metrics
 from lumenfold.operators.quantiles import quantiles
 
 # Kinds of mitigation methods, and those that take a distance or spare activity cliffs.
@@ -62,6 +63,27 @@ def allocation_shares(selected: DataFrame, widths: DataFrame) -> DataFrame:
     return d.select("rep", "n", "width", (100 * F.col("n") / F.col("width")).alias("of_width"), (100 * F.col("n") / F.col("budget")).alias("of_budget"), "importance_mean", "importance_std")
 
 
+def representation_report(predictions: DataFrame, cross: DataFrame, rep: str = "rep") -> DataFrame:
+    """Per representation r2 on training and test rows, rmse and mae on test rows, mean and population deviation of r2 over folds, and its rank by test r2.
+
+    ``predictions`` is (rep, split, y_true, y_pred) with splits train and test, ``cross`` (rep, fold,
+    y_true, y_pred). Where labels don't differ r2 is null; null ranks last, ties go by name.
+    """
+    return ranked_report(_by_split(predictions, rep), regression_metrics(cross, [rep, "fold"]), rep)
+
+
+def _by_split(predictions: DataFrame, rep: str) -> DataFrame:
+    m = regression_metrics(predictions, [rep, "split"])
+    of = lambda metric, split: F.max(F.when(F.col("split") == split, F.col(metric)))
+    return m.groupBy(rep).agg(of("r2", "train").alias("r2_train"), of("r2", "test").alias("r2_test"), of("rmse", "test").alias("rmse_test"), of("mae", "test").alias("mae_test"))
+
+
+def ranked_report(scores: DataFrame, folds: DataFrame, rep: str = "rep") -> DataFrame:
+    """Scores by representation with the mean and deviation of its folds' r2, and their rank."""
+    f = folds.groupBy(rep).agg(F.avg("r2").alias("cv_mean"), F.stddev_pop("r2").alias("cv_std"), F.count(F.lit(1)).alias("folds"))
+    return scores.join(f, rep, "left").withColumn("rank", F.row_number().over(Window.orderBy(F.col("r2_test").desc_nulls_last(), rep)))  # one row per representation
+
+
 def learning_curve_fit(df: DataFrame, keys: list[str], size: str = "n", score: str = "r2", powers: tuple[float, float, float] = (0.1, 2.0, 0.01)) -> DataFrame:
     """score = limit - a / size ** b, by least squares for each power of a grid; the power with the least error wins.
 

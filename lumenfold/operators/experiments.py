@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from lumenfold.operators import models as M
 from lumenfold.operators import noise as Z
+from lumenfold.operators.evaluation import ranked_report
 from lumenfold.operators.hybrid import create_hybrid, finite
 from lumenfold.operators.noise_registry import detect
 from lumenfold.operators.projection import fit_projection
-from lumenfold.operators.splits import group_folds
+from lumenfold.operators.splits import folds, group_folds
 from lumenfold.sources.readers import cached, write_checkpoint
 
 Config = dict[str, object]
@@ -134,6 +135,22 @@ def by_folds(d: DataFrame, k: int, score: Callable[[DataFrame, DataFrame], DataF
     return out
 
 
+def evaluate_representations(df: DataFrame, reps: list[str], train: F.Column, k: int = 5, model: str = "ridge", key: str = "id", y: str = "y") -> DataFrame:
+    """Per representation (a vector column) r2 on training rows, r2, rmse and mae on the others, and r2 over folds of the training rows; ranked by the others' r2.
+
+    Rows for which ``train`` isn't true are the others. Folds are runs of the training rows' keys, the same for all.
+    """
+    rows = df.withColumn("_train", F.coalesce(train, F.lit(False)))
+    own, others = rows.filter("_train"), rows.filter("not _train")
+    dealt = folds(own, key, k)
+    scores = cross = None
+    for rep in reps:
+        one = train_and_score(own, others, model, rep, y).select(F.lit(rep).alias("rep"), F.col("train_r2").alias("r2_train"), F.col("r2").alias("r2_test"), F.col("rmse").alias("rmse_test"), F.col("mae").alias("mae_test"), "n_features")
+        each = by_folds(dealt, k, lambda a, b, rep=rep: train_and_score(a, b, model, rep, y)).select(F.lit(rep).alias("rep"), "fold", "r2")
+        scores, cross = (one, each) if scores is None else (scores.unionByName(one), cross.unionByName(each))
+    return ranked_report(scores, cross)
+
+
 def _with_folds(df: DataFrame, group: str, k: int, path: str) -> DataFrame:
     """The rows with their fold, whole groups each: dealt once for all configurations."""
     return cached(df.sparkSession, f"{path}/folds-{k}", lambda: group_folds(df, group, k))

@@ -18,6 +18,23 @@ from lumenfold.operators.quantiles import with_quantile
 EULER = 0.5772156649015329
 
 
+def nearer(s: np.ndarray, v: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``s`` have |s - v| < r, for each v and r.
+
+    v - r and v + r are rounded; values next to them are looked at until the differences agree.
+    """
+
+    def inside(i: np.ndarray) -> np.ndarray:
+        return (i >= 0) & (i < len(s)) & (np.abs(s[np.clip(i, 0, len(s) - 1)] - v) < r)
+
+    low, high = np.searchsorted(s, v - r, side="right"), np.searchsorted(s, v + r, side="left")
+    at = lambda i: s[np.clip(i, 0, len(s) - 1)]
+    for _ in range(4):
+        low = np.where(inside(low - 1), np.searchsorted(s, at(low - 1), side="left"), np.where((low < high) & ~inside(low), np.searchsorted(s, at(low), side="right"), low))
+        high = np.where(inside(high), np.searchsorted(s, at(high), side="right"), np.where((low < high) & ~inside(high - 1), np.searchsorted(s, at(high - 1), side="left"), high))
+    return np.maximum(high - low, 0)
+
+
 def mutual_information(df: DataFrame, x: str, y: str, k: int = 3, key: str = "id") -> DataFrame:
     """One row: the k-nearest-neighbour estimate of the mutual information of two numbers.
 
@@ -32,9 +49,7 @@ def mutual_information(df: DataFrame, x: str, y: str, k: int = 3, key: str = "id
         own, held, e = np.array(a["x"].tolist()), np.array(h["x"].tolist()), a["_e"].to_numpy()
         out = []
         for axis in (0, 1):  # others nearer than the radius, by a sorted search in the block
-            s = np.sort(held[:, axis])
-            n = np.array([(np.abs(s[max(0, i - 1) : j + 1] - v) < r).sum() for v, r, i, j in zip(own[:, axis], e, np.searchsorted(s, own[:, axis] - e), np.searchsorted(s, own[:, axis] + e, side="right"), strict=True)])
-            out.append(n)
+            out.append(nearer(np.sort(held[:, axis]), own[:, axis], e))
         same = np.isin(a["_id"].to_numpy(), h["_id"].to_numpy()) & (e > 0)
         return pd.DataFrame({"_id": a["_id"].to_numpy(), "nx": out[0] - same, "ny": out[1] - same, "m": len(h) - np.isin(a["_id"].to_numpy(), h["_id"].to_numpy())})
 

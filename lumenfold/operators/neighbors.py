@@ -458,7 +458,7 @@ def _shared(asked: list[np.ndarray], held: list[np.ndarray]) -> np.ndarray:
 def nearest_grams(asked: DataFrame, held: DataFrame, key: str = "id", text: str = "text", n: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, best): the largest Tanimoto similarity of each asked row's n-gram set with a held row's, 0 for empty sets.
 
-    Whole texts, every asked row with every held row, block against block as in ``neighbors``.
+    Held rows with the asked row's own key don't count. Whole texts, every asked row with every held row, block against block as in ``neighbors``.
     """
     of = lambda d: max(1, -(-d.count() // block_rows))
     ni, nj = of(asked), of(held)
@@ -474,7 +474,9 @@ def nearest_grams(asked: DataFrame, held: DataFrame, key: str = "id", text: str
         ga, gh = [gram_codes(t, n) for t in a["_t"]], [gram_codes(t, n) for t in h["_t"]]
         shared = _shared(ga, gh)
         union = np.array([len(x) for x in gh])[:, None] + np.array([len(x) for x in ga])[None, :] - shared
-        return pd.DataFrame({"_id": a["_id"].to_numpy(), "best": (shared / np.maximum(union, 1)).max(axis=0)})
+        own = h["_id"].to_numpy()[:, None] == a["_id"].to_numpy()[None, :]
+        best = np.where(own, -1.0, shared / np.maximum(union, 1)).max(axis=0)
+        return pd.DataFrame({"_id": a["_id"].to_numpy(), "best": best})[best >= 0]
 
     found = both.groupBy("_i", "_j").applyInPandas(best, "_id long, best double")
     return found.groupBy(F.col("_id").alias(key)).agg(F.max("best").alias("best"))

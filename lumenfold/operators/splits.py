@@ -40,6 +40,22 @@ def quartile_strata(df: DataFrame, value: str, name: str = "stratum") -> DataFra
     return with_quantile(df, q, value, [0.25, 0.5, 0.75]).withColumn(name, F.size(F.filter(q, lambda e: e <= F.col(value)))).drop(q)
 
 
+def quartile_split(df: DataFrame, key: str, value: str, test: float = 0.1, validation: float = 0.1, seed: int = 42) -> DataFrame:
+    """Adds ``split``, each quartile of ``value`` in its share: test rows are drawn first, quartiles of the remainder then draw validation.
+
+    Shares are of all rows; a stratum gives floor(its rows * share). A null value is in the lowest quartile.
+    """
+    n, place, stratum = fresh(df, "n", "place", "stratum")
+
+    def drawn(d: DataFrame, share: float, seed: int) -> DataFrame:
+        d = quartile_strata(d, value, stratum).withColumn(stratum, F.coalesce(F.col(stratum), F.lit(0)))
+        return hash_ranked(d, key, seed, place, n, [stratum]).withColumn("split", F.when(F.col(place) < F.floor(F.col(n) * share), "drawn")).drop(n, place, stratum)
+
+    first = drawn(df, test, seed)
+    rest = drawn(first.filter("split is null").drop("split"), validation / (1 - test), seed + 1)
+    return first.filter("split is not null").withColumn("split", F.lit("test")).unionByName(rest.withColumn("split", F.when(F.col("split").isNull(), "train").otherwise("validation")))
+
+
 def internal_validation(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """Adds ``is_validation``: the first max(floor(n * share), 1) rows in hash order; fewer than 2 training rows are an error."""
     n, place = fresh(df, "n", "place")

@@ -62,6 +62,23 @@ def allocation_shares(spark, sf):
     return rounded(E.allocation_shares(s.orderBy(F.desc("score"), F.desc("rep"), F.desc("pos")).limit(20), s.groupBy("rep").agg(F.count(F.lit(1)).alias("width"))))
 
 
+_PREDICTED = """given AS (SELECT l_linestatus || l_returnflag AS rep, CASE WHEN l_partkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, l_suppkey % 5 AS fold, l_quantity::DOUBLE AS y_true, l_quantity + l_extendedprice / 15000 AS y_pred FROM lineitem),
+s AS (SELECT rep, split, fold, y_true, y_pred, y_true - y_pred AS e FROM given), m AS (SELECT rep, split, 1 - sum(e * e) / (count(*) * var_pop(y_true)) AS r2, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM s GROUP BY ALL),
+f AS (SELECT rep, fold, 1 - sum(e * e) / (count(*) * var_pop(y_true)) AS r2 FROM s WHERE split = 'train' GROUP BY ALL)"""
+
+
+@query("representation_report", f"""WITH {_PREDICTED}, r AS (SELECT rep, max(r2) FILTER (WHERE split = 'train') AS r2_train, max(r2) FILTER (WHERE split = 'test') AS r2_test, max(rmse) FILTER (WHERE split = 'test') AS rmse_test, max(mae) FILTER (WHERE split = 'test') AS mae_test FROM m GROUP BY 1),
+c AS (SELECT rep, avg(r2) AS cv_mean, stddev_pop(r2) AS cv_std, count(*) AS folds FROM f GROUP BY 1)
+SELECT rep, round(r2_train, 6) AS r2_train, round(r2_test, 6) AS r2_test, round(rmse_test, 6) AS rmse_test, round(mae_test, 6) AS mae_test, round(cv_mean, 6) AS cv_mean, round(cv_std, 6) AS cv_std, folds, row_number() OVER (ORDER BY r2_test DESC NULLS LAST, rep) AS rank FROM r LEFT JOIN c USING (rep)""")
+def representation_report(spark, sf):
+    c = F.col
+    d = table(spark, sf, "lineitem").select(
+        F.concat("l_linestatus", "l_returnflag").alias("rep"), F.when(c("l_partkey") % 5 == 0, "test").otherwise("train").alias("split"), (c("l_suppkey") % 5).alias("fold"),
+        c("l_quantity").cast("double").alias("y_true"), (c("l_quantity") + c("l_extendedprice") / 15000).cast("double").alias("y_pred"),
+    )
+    return rounded(E.representation_report(d, d.filter("split = 'train'")))
+
+
 _GRID = "list_transform(range(0, 191), lambda i: round(0.1 + i * 0.01, 6))"
 
 

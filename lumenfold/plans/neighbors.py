@@ -197,6 +197,13 @@ def nearest_tanimoto(spark, sf):
     return rounded(N.nearest_grams(t.filter("doc_id % 100 = 0"), t.filter("doc_id % 100 <> 0"), "doc_id"))
 
 
+@query("nearest_tanimoto_all", "WITH t AS (SELECT doc_id, list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS g FROM documents WHERE text IS NOT NULL), p AS (SELECT a.doc_id, len(list_intersect(a.g, b.g)) AS n, len(a.g) + len(b.g) AS m FROM t a JOIN t b ON a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id) SELECT doc_id, round(max(n / (m - n)), 6) AS best FROM p GROUP BY 1")
+def nearest_tanimoto_all(spark, sf):
+    """Every document whose id is divisible by 100 against all others, such ones too."""
+    t = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return rounded(N.nearest_grams(t.filter("doc_id % 100 = 0"), t, "doc_id"))
+
+
 @query("intrinsic_dimension", f"WITH {_knn('euclidean', 10)}, t AS (SELECT id, max(distance) FILTER (WHERE rank = 10) AS tk FROM near GROUP BY 1), m AS (SELECT n.id, 9 / sum(ln(tk / distance)) AS d FROM near n JOIN t USING (id) WHERE rank < 10 GROUP BY 1) SELECT round(avg(d), 5) AS dimension, count(*) AS n FROM m")
 def intrinsic_dimension(spark, sf):
     from lumenfold.operators.selection import intrinsic_dimension as dimension

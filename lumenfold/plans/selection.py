@@ -58,6 +58,18 @@ def allocate_budget(spark, sf):
     return S.allocate(s, 40)
 
 
+_SHARED = _STAT + """, perf AS (SELECT rep, avg(c) AS score, count(*) AS width FROM stat GROUP BY 1), raw_n AS (SELECT *, score / sum(score) OVER () * 40 AS e FROM perf),
+n AS (SELECT *, least(CASE WHEN e % 1 = 0.5 THEN 2 * round(e / 2) ELSE round(e) END, width)::BIGINT AS n FROM raw_n),
+g AS (SELECT *, 40 - sum(n) OVER () AS gap, sum(width - n) OVER (ORDER BY score DESC, rep) - (width - n) AS up, sum(n) OVER (ORDER BY score, rep DESC) - n AS down FROM n)"""
+
+
+@query("allocate_by_performance", f"WITH {_SHARED} SELECT rep, round(score, 6) AS score, width, (n + CASE WHEN gap > 0 THEN greatest(0, least(width - n, gap - up)) WHEN gap < 0 THEN -greatest(0, least(n, -gap - down)) ELSE 0 END)::BIGINT AS n FROM g")
+def allocate_by_performance(spark, sf):
+    """A budget of 40 features shared by the representations' mean correlation with the label."""
+    scores = _scores(spark, sf).groupBy("rep").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("width"))
+    return rounded(S.allocate(scores, 40))
+
+
 @query("selected_stack", f"WITH {_STAT}, k AS (SELECT rep, pos FROM (SELECT rep, pos, row_number() OVER (PARTITION BY rep ORDER BY c DESC, pos DESC) AS r FROM stat) WHERE r <= 4) SELECT id, count(*) AS n, round(sum(value), 6) AS total FROM long_v SEMI JOIN k USING (rep, pos) GROUP BY 1")
 def selected_stack(spark, sf):
     chosen = S.top_features(_scores(spark, sf), 4).groupBy("rep").agg(F.sort_array(F.collect_list("pos")).alias("p")).collect()  # one row per representation

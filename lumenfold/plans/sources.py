@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenfold.operators import curation as C
 from lumenfold.operators import selection as S
 from lumenfold.plans.analytics import rounded
 from lumenfold.plans.carriers import AA, CELLS, VEC, cells, proteins, table, vectors
@@ -37,6 +38,14 @@ def solubility_chain(spark, sf):
     return rounded(m.filter("spread <= 1 and not isnan(y) and abs(y) < double('inf')").select("compound", "y", "n"))
 
 
+@query("property_dataset", """WITH d AS (SELECT l_partkey AS compound, l_tax::DOUBLE AS y, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_tax IS NOT NULL), f AS (SELECT compound, y FROM d WHERE k = 1),
+s AS (SELECT avg(y) AS m, stddev_pop(y) AS s FROM f WHERE compound % 5 <> 0) SELECT compound, round(y, 6) AS y, round(CASE WHEN s > 0 THEN (y - m) / s ELSE 0 END, 6) AS z FROM f, s""")
+def property_dataset(spark, sf):
+    """One of several properties as the label, the first measurement of each compound, standardized by the training compounds."""
+    d = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("compound"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return rounded(C.property_dataset(d, ["compound"], ["l_quantity", "l_discount", "l_tax"], "l_tax", [F.col("l_orderkey"), F.col("l_linenumber")], F.col("compound") % 5 != 0))
+
+
 @query("read_tsv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def read_tsv(spark, sf):
     path = R.scratch(spark, "tsv")

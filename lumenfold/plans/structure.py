@@ -33,6 +33,16 @@ def quartile_split(spark, sf):
     return S.random_split(S.quartile_strata(vectors(spark, sf).select("id", "y"), "y").drop("y"), "id", strata=["stratum"])
 
 
+def _drawn(source: str, share: str, seed: int, name: str) -> str:
+    """CTEs: ``source``'s rows (id, y) with whether their quartile draws them."""
+    return f"{name}_q AS (SELECT quantile_cont(y, [0.25, 0.5, 0.75]) AS q FROM {source}), {name}_s AS (SELECT id, y, (y >= q[1])::INT + (y >= q[2])::INT + (y >= q[3])::INT AS s FROM {source}, {name}_q), {name} AS (SELECT id, y, row_number() OVER (PARTITION BY s ORDER BY {_md5('id', seed)}, id) <= floor(count(*) OVER (PARTITION BY s) * {share}) AS drawn FROM {name}_s)"
+
+
+@query("quartile_resplit", f"WITH {VEC}, {_drawn('vecs', '0.1::DOUBLE', 42, 'one')}, rest AS (SELECT id, y FROM one WHERE NOT drawn), {_drawn('rest', '(0.1::DOUBLE / (1 - 0.1::DOUBLE))', 43, 'two')} SELECT id, 'test' AS split FROM one WHERE drawn UNION ALL SELECT id, CASE WHEN drawn THEN 'validation' ELSE 'train' END FROM two")
+def quartile_resplit(spark, sf):
+    return S.quartile_split(vectors(spark, sf).select("id", "y"), "id", "y").select("id", "split")
+
+
 @query("internal_validation", f"SELECT id, row_number() OVER (ORDER BY {_md5('id', 42)}, id) <= greatest(floor(count(*) OVER () * 0.15), 1) AS is_validation FROM (SELECT vec_id AS id FROM embeddings)")
 def internal_validation(spark, sf):
     return S.internal_validation(vectors(spark, sf).select("id"), "id", 0.15)

@@ -93,8 +93,9 @@ def read_named_runs(spark: SparkSession, path: str, schema: str | None = None) -
 
 @reader("fasta")
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, chain, kind, sequence from >ID|CHAIN|KIND headers; fields that a header lacks are empty."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    """id, chain, kind, sequence from >ID|CHAIN|KIND headers; fields that a header lacks are empty. A record starts where a line starts with >."""
+    text = spark.read.option("lineSep", "\n>").text(path)
+    records = text.select(F.regexp_replace("value", r"^>|\r$", "").alias("value")).filter(F.trim("value") != "")
     lines = F.split("value", r"\r?\n")
     head = F.split(F.element_at(lines, 1), r"\|")
     field = lambda i: F.trim(F.coalesce(F.get(head, F.lit(i)), F.lit("")))
