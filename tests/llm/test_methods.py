@@ -451,6 +451,37 @@ def test_blocks_that_cannot_reach_the_threshold_are_not_decoded(spark):
     assert shard.decoded <= 0.6 * shard.asked
 
 
+def test_whole_documents_as_queries_decode_few_postings(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    share = 1 / np.arange(1, 3_001)
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(20, 600)), p=share / share.sum()))) for i in range(3_000)]
+    rows += [(3_000 + i, rows[7][1]) for i in range(30)]  # copies: ties go by doc_id
+    index = bm25_search.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    shard = bm25_search.Shard(*(warc.pa.scalar(bytes(index[0][c]), warc.pa.binary()) for c in ("docs", "lengths", "terms", "starts", "held", "times")), 300.0)
+    at, weights, edges, want = [], [], [0], []
+    for doc in (7, 100, 200, 2_999):
+        own = shard.look_up(np.unique(bm25_search.term_hashes(rows[doc][1])))
+        w = np.log(1 + (len(rows) - shard.df[own] + 0.5) / (shard.df[own] + 0.5))
+        score = np.zeros(len(rows))
+        for t, x in zip(own, w, strict=True):
+            a, b = shard.starts[t], shard.starts[t + 1]
+            score[shard.held[a:b]] += shard.impact[a:b] * x
+        score = np.round(score, 9)
+        best = np.lexsort((shard.docs, -score))[:10]
+        want.append((shard.docs[best], score[best]))
+        docs, got = shard.top(own, w, 10)
+        assert docs.tolist() == want[-1][0].tolist() and np.allclose(got, want[-1][1])
+        at, weights, edges = [*at, *own], [*weights, *w], [*edges, edges[-1] + len(own)]
+    assert shard.decoded <= 0.1 * shard.asked
+    # All queries at once, with floors that the tenth, the third or no document reaches.
+    for floors in ([0.0] * 4, [s[9] for _, s in want], [s[2] for _, s in want], [s[0] + 1 for _, s in want]):
+        got = {j: (d.tolist(), s) for j, d, s in shard.tops(np.array(at), np.array(weights), np.array(edges), 10, np.array(floors))}
+        for j, (docs, score) in enumerate(want):
+            reach = score >= floors[j]
+            assert got.get(j, ([],))[0] == docs[reach].tolist() and np.allclose(got[j][1] if j in got else [], score[reach])
+
+
 def test_search_over_small_shards_and_query_blocks(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     q = d.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
