@@ -137,6 +137,17 @@ def test_long_conversation_costs_its_length():
     assert chat_format.turn_spans(lambda t: chat_format.bracket_template(t), few) == chat_format.turn_spans(chat_format.bracket_template, few)
 
 
+def test_every_prefix_of_an_incremental_template_is_compared():
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(12)]
+    whole = lambda t: "".join(chat_format.bracket_turn(*x) for x in t)
+    for odd in range(1, 13):  # only the prefix of so many turns comes out otherwise
+        template = chat_format.Incremental(lambda t, odd=odd: whole(t) + "." * (len(t) == odd), chat_format.bracket_turn)
+        assert chat_format.turn_spans(template, turns)[1] is None
+        assert chat_format.turn_spans(template, turns[: odd - 1]) == chat_format.turn_spans(chat_format.bracket_template, turns[: odd - 1])
+    assert chat_format.turn_spans(chat_format.bracket_template, turns) == chat_format.turn_spans(whole, turns)
+    assert chat_format.turn_spans(chat_format.bracket_template, []) == ("", [])
+
+
 def test_incremental_template_that_rewrites_is_found():
     forgetful = chat_format.Incremental(lambda turns: "".join(chat_format.bracket_turn(r, t) for r, t in turns[-3:]), chat_format.bracket_turn)
     assert chat_format.turn_spans(forgetful, [("user", str(i)) for i in range(4)])[1] is None
