@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.operators.analytics import with_average_rank
-
 
 def normalized(s: DataFrame) -> DataFrame:
     """Adds ``norm``: min-max per method, 1 / n where a method's scores are all equal."""
@@ -79,8 +77,13 @@ def mean_and_deviation(s: DataFrame) -> DataFrame:
 
 
 def agreement(s: DataFrame, top: int = 10) -> DataFrame:
-    """Per pair of methods: rank correlation, Jaccard and overlap of their top sets."""
-    r = ranked(with_average_rank(s, "score", ["method"], "_r"))
+    """Per pair of methods: rank correlation, Jaccard and overlap of their top sets.
+
+    Average ranks are taken within the rows (a method has one for each feature), not joined by score:
+    scores that are themselves sums come out in other last digits each time a cluster adds them up.
+    """
+    tied = F.count(F.lit(1)).over(Window.partitionBy("method", "score"))
+    r = ranked(s.withColumn("_r", F.rank().over(Window.partitionBy("method").orderBy("score")) + (tied - 1) / 2))
     a, b = r.select(F.col("method").alias("m1"), "idx", F.col("_r").alias("r1"), F.col("rank").alias("k1")), r.select(F.col("method").alias("m2"), "idx", F.col("_r").alias("r2"), F.col("rank").alias("k2"))
     both = F.count_if((F.col("k1") < top) & (F.col("k2") < top))
     either = F.count_if((F.col("k1") < top) | (F.col("k2") < top))
