@@ -154,6 +154,17 @@ def test_incremental_template_that_rewrites_is_found():
     assert chat_format.turn_spans(forgetful, [("user", str(i)) for i in range(3)])[1] is not None
 
 
+def test_query_renders_every_prefix(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(chat_format, "format_conversations", lambda rows, *a, f=chat_format.format_conversations: given.append(a) or f(rows, *a))
+    chat_format.op7_chat_format(spark, "/root/testdata/sf0.001")
+    (template,) = given[0]
+    turns, seen = [("user", "a </s>"), ("assistant", "b"), ("tool", ""), ("assistant", "b")], []
+    found = chat_format.turn_spans(lambda t: seen.append(len(t)) or template(t), turns)
+    assert not isinstance(template, chat_format.Incremental) and seen == [0, 1, 2, 3, 4]
+    assert found == chat_format.turn_spans(chat_format.bracket_template, turns)
+
+
 def test_small_sources_meet_their_targets(spark):
     rows, at = [], 0
     for source, words, each in [("big", 40_000, 100), *((f"s{n:03}", n, 1) for n in range(1, 101, 9)), (None, 7, 2), ("", 5, 5)]:
