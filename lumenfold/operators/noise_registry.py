@@ -1,6 +1,7 @@
 """Every detector and every estimator of label noise by one name each, over rows (id, x, y).
 
-Neighbour tables are computed here, so a name is all a caller needs; options go to the method.
+Neighbour tables are computed here, so a name is all a caller needs; options go to the method. Detectors
+by neighbours take a table of as many or more (``near``) from callers that use several.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ Flagger = Callable[..., DataFrame]
 
 
 def _by_neighbors(make: Flagger, k: int) -> Flagger:
-    def flag(df: DataFrame, key: str = "id", metric: str = "euclidean", neighbors: int = k, **options: object) -> DataFrame:
-        return make(df.drop("x"), N.neighbors(df, neighbors, metric, key), key=key, **options).select(key, "is_noise")
+    def flag(df: DataFrame, key: str = "id", metric: str = "euclidean", neighbors: int = k, near: DataFrame | None = None, **options: object) -> DataFrame:
+        found = N.neighbors(df, neighbors, metric, key) if near is None else near.filter(F.col("rank") <= neighbors)
+        return make(df.drop("x"), found, key=key, **options).select(key, "is_noise")
 
     return flag
 

@@ -8,6 +8,7 @@ from lumenfold.operators import experiments as X
 from lumenfold.operators import explain as E
 from lumenfold.operators import hybrid as H
 from lumenfold.operators import models as M
+from lumenfold.operators import neighbors as N
 from lumenfold.operators import noise_registry as R
 from lumenfold.operators import selection as S
 from lumenfold.operators import uncertainty as U
@@ -176,9 +177,10 @@ _BY_K = {k: f"SELECT 'knn_k{k}' AS method, count(*) FILTER (WHERE s > c) AS flag
 
 @query("noise_registry_flags", f"WITH {VEC}, near AS (SELECT * FROM (SELECT a.id, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS rank FROM vecs a JOIN vecs b ON a.id <> b.id) WHERE rank <= 20) {' UNION ALL '.join(_BY_K.values())} UNION ALL SELECT 'zscore', count(*) FILTER (WHERE abs(y - m) > 3 * s), count(*) FROM (SELECT y, avg(y) OVER () AS m, stddev_pop(y) OVER () AS s FROM vecs)")
 def noise_registry_flags(spark, sf):
-    out = None
+    rows = _labelled(spark, sf)
+    near, out = N.neighbors(rows, 20), None
     for name in ("knn_k5", "knn_k10", "knn_k20", "zscore"):
-        part = R.detect(name, _labelled(spark, sf)).agg(F.lit(name).alias("method"), F.count_if("is_noise").alias("flagged"), F.count(F.lit(1)).alias("n"))
+        part = R.detect(name, rows, **({} if name == "zscore" else {"near": near})).agg(F.lit(name).alias("method"), F.count_if("is_noise").alias("flagged"), F.count(F.lit(1)).alias("n"))
         out = part if out is None else out.union(part)
     return out
 
